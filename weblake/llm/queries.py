@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality
-from .common import table
+from . import langid, line_dedup, mixing, quality, toxicity
+from .common import crc_mod, table
 
 
 def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,23 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_rules(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
-QUERIES = {f.__name__: f for f in (op2_curriculum_mixing, op3_line_dedup, op5_line_quality)}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = labels.select("doc_id", "toxic").where(crc_mod(F.col("doc_id"), 3) != 1).join(docs.select("doc_id", "text"), "doc_id")
+    return (
+        toxicity.fit(learned)
+        .score(docs.select("doc_id", "text"))
+        .select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_hits")
+    )
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    contents = langid.dictionaries(docs.where(crc_mod(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang"))
+    return langid.predict(docs.select("doc_id", "text"), contents).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op2_curriculum_mixing, op3_line_dedup, op4_toxicity, op5_line_quality, op7_language_id)}
 ORACLES: dict[str, str] = {}
 ORACLES["op2_curriculum_mixing"] = mixing.ORACLE
 ORACLES["op3_line_dedup"] = r"""
