@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, quality, toxicity
+from . import langid, line_dedup, mixing, packing, quality, toxicity, warc
 from .common import crc_mod, table
 
 
@@ -38,7 +38,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), contents).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op2_curriculum_mixing, op3_line_dedup, op4_toxicity, op5_line_quality, op7_language_id)}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_curriculum_mixing, op3_line_dedup, op4_toxicity, op5_line_quality, op6_packing, op7_language_id, op9_warc)}
 ORACLES: dict[str, str] = {}
 ORACLES["op2_curriculum_mixing"] = mixing.ORACLE
 ORACLES["op3_line_dedup"] = r"""
