@@ -1,5 +1,5 @@
 """Language identification by compression: a text is compressed with a raw-content zstandard dictionary of each
-language, and the language whose dictionary makes it smallest is chosen.
+language, both in lower case, and the language whose dictionary makes it smallest is chosen.
 
 Dictionaries are made of at most ``docs_per_language`` training texts and ``dictionary_bytes`` bytes a language;
 languages are the labels found, at most ``max_languages`` of them, the most frequent first.  They are bounded and go to
@@ -34,7 +34,7 @@ def dictionaries(labelled: DataFrame, docs_per_language: int = 200, dictionary_b
     texts: dict[str, list[str]] = {}
     for r in ranked.orderBy("lang", "n").collect():
         texts.setdefault(r["lang"], []).append(r["text"])
-    return tuple((lang, "\n".join(t).encode()[-dictionary_bytes:]) for lang, t in sorted(texts.items()))
+    return tuple((lang, "\n".join(t).lower().encode()[:dictionary_bytes]) for lang, t in sorted(texts.items()))
 
 
 @lru_cache(4)
@@ -43,7 +43,7 @@ def _compressors(contents: tuple, level: int):
     for _, content in contents:
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=level)
-        out.append((zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False), frozenset(content.lower().split())))
+        out.append((zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False), frozenset(content.split())))
     return out
 
 
@@ -51,12 +51,12 @@ def identify(text: str | None, contents: tuple, margin: float, level: int) -> tu
     """(language, score, rejected)."""
     if not text or not contents or not _LETTER.search(text):
         return "und", 0.0, True
-    data = text.encode()
+    data = text.lower().encode()
     sizes = [len(c.compress(data)) for c, _ in _compressors(contents, level)]
     best = min(sizes)
     if sizes.count(best) > 1 or best < 200:
         # Too short for sizes of whole bytes to tell: the bytes of words known to a dictionary count too.
-        words = data.lower().split()
+        words = data.split()
         known = [sum(len(w) for w in words if w in vocabulary) for _, vocabulary in _compressors(contents, level)]
         costs = [s - k for s, k in zip(sizes, known)]
     else:
@@ -68,7 +68,7 @@ def identify(text: str | None, contents: tuple, margin: float, level: int) -> tu
     return contents[order[0]][0], score, narrow
 
 
-def predict(docs: DataFrame, contents: tuple, margin: float = 0.01, level: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, contents: tuple, margin: float = 0.01, level: int = 6, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with ``lang_pred``, ``score`` and ``rejected``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
