@@ -15,6 +15,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found or jsc.getCheckpointDir().get()
 
 
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    path = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+    return (pa.fs.LocalFileSystem(), path) if path.startswith("/") else pa.fs.FileSystem.from_uri(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder; its lineage ends there, so a lost executor costs nothing."""
     shared_dir(df.sparkSession)

@@ -24,12 +24,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, shared_dir
+from .common import as_bytes, cut, file_system, shared_dir
 
 # Fixed values of the format.
 SKIPPABLE = 0x184D2A5D
@@ -47,10 +46,6 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def record(id_: object, url: str | None, payload: bytes, payload_digest: str, refers_to: str | None) -> bytes:
     """One record's bytes; a revisit (``refers_to``) has the HTTP headers only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -149,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, archive_byt
     """Writes rows (id, url, payload, digest, refers_to) and returns the manifest (path, records)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _open(folder)
+        fs, root = file_system(folder)
         compressor = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), level=level)
         head = archive_head(dictionary)
         paths, counts = [], []
@@ -181,7 +176,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fs, name = _open(path)
+                fs, name = file_system(path)
                 rows = []
                 with fs.open_input_stream(name) as stream:
                     for headers, block in read_archive(stream):
