@@ -24,9 +24,8 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    learned = labels.select("doc_id", "toxic").where(crc_mod(F.col("doc_id"), 3) != 1).join(docs.select("doc_id", "text"), "doc_id")
     return (
-        toxicity.fit(learned)
+        toxicity.fit(docs, labels.where(crc_mod(F.col("doc_id"), 3) != 1))
         .score(docs.select("doc_id", "text"))
         .select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_hits")
     )

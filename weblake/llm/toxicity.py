@@ -143,9 +143,11 @@ class ToxicityModel:
         return rows.mapInArrow(emit, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]) + ", score double, n_hits long")
 
 
-def fit(labelled: DataFrame, max_labelled: int = 20_000, max_entries: int = 2_000, least_odds: float = 3.0, least_spread: float = 20.0, exceptions: tuple[str, ...] = ()) -> ToxicityModel:
-    """Fits the lexicon from ``labelled`` (doc_id, text, toxic 0/1)."""
-    sample = cut(labelled.where("toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("text", F.col("toxic").cast("int").alias("toxic")).repartition(16))
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_entries: int = 2_000, least_odds: float = 3.0, least_spread: float = 20.0, exceptions: tuple[str, ...] = ()) -> ToxicityModel:
+    """Fits the lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1).  The chosen labels are at most
+    ``max_labelled`` rows of two numbers, so they are broadcast and only their texts are moved."""
+    chosen = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labelled)
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").repartition(16))
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     P, N = int(toxic), int(n) - int(toxic)
     if not P or not N:
