@@ -15,6 +15,7 @@ rows; equal rows are interchangeable; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ class _Encoder(dict):
     so a text's ids are those of its words, one after the other."""
 
     def __init__(self, path: str):
+        # A task has one core: threads of the library's own only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -49,7 +52,7 @@ class _Encoder(dict):
         if len(self) > _MOST_WORDS:
             self.clear()
         new = list(set().union(*split) - self.keys())
-        for word, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
+        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
             self[word] = np.array(e.ids, "<u4").tobytes()
         for words in split:
             yield b"".join(map(self.__getitem__, words))

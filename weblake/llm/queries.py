@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, lm, mixing, packing, quality, toxicity, warc
+from . import imi, langid, line_dedup, lm, mixing, packing, quality, toxicity, warc
 from .common import crc_mod, table
 
 
@@ -41,6 +41,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return imi.search(vectors, vectors.where("vec_id % 20 = 0"), visit_share=0.5)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -51,7 +56,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.train(docs.where(~held_out))).withColumn("held_out", held_out)
 
 
-QUERIES = {f.__name__: f for f in (op2_curriculum_mixing, op3_line_dedup, op4_toxicity, op5_line_quality, op6_packing, op7_language_id, op9_warc, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op2_curriculum_mixing, op3_line_dedup, op4_toxicity, op5_line_quality, op6_packing, op7_language_id, op8_multi_index, op9_warc, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
 ORACLES["op2_curriculum_mixing"] = mixing.ORACLE
 ORACLES["op3_line_dedup"] = r"""
