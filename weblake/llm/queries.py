@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imi, langid, line_dedup, lm, mixing, packing, quality, toxicity, warc
+from . import imi, langid, line_dedup, lm, mixing, ngram_join, packing, quality, toxicity, warc
 from .common import crc_mod, table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,7 +60,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.train(docs.where(~held_out))).withColumn("held_out", held_out)
 
 
-QUERIES = {f.__name__: f for f in (op2_curriculum_mixing, op3_line_dedup, op4_toxicity, op5_line_quality, op6_packing, op7_language_id, op8_multi_index, op9_warc, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_curriculum_mixing, op3_line_dedup, op4_toxicity, op5_line_quality, op6_packing, op7_language_id, op8_multi_index, op9_warc, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
 ORACLES["op2_curriculum_mixing"] = mixing.ORACLE
 ORACLES["op3_line_dedup"] = r"""
