@@ -77,5 +77,8 @@ def test_elias_fano(n, top):
     sequence = EliasFano(encode(values))
     at = np.arange(len(values))
     assert (sequence.get(at) == values).all() and (sequence.find(values) == at).all()
+    if len(values) > 1:
+        first, second = sequence.span(at[:-1])
+        assert (first == values[:-1]).all() and (second == values[1:]).all()
     others = rng.integers(0, top, 500, dtype=np.uint64)
     assert ((sequence.find(others) >= 0) == np.isin(others, values)).all()

@@ -60,40 +60,50 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str = ""):
         self.low, self.high, self.ones = (arrays[prefix + k] for k in ("low", "high", "ones"))
         self.n, self.width, self.most = (int(x) for x in arrays[prefix + "meta"])
+        self.blocks = self.high.reshape(-1, _BLOCK)
         self.zeros = np.arange(len(self.ones), dtype=np.int64) * (64 * _BLOCK) - self.ones
 
     def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """The place of the k-th (from 0) bit of that kind."""
         directory = self.ones if bit else self.zeros
         block = np.searchsorted(directory, k, side="right") - 1
-        left = k - directory[block]
-        word = block * _BLOCK
-        found = np.zeros(len(k), _U)
-        at = word.copy()
-        open_ = np.ones(len(k), bool)
-        for j in range(_BLOCK):
-            w = self.high[np.minimum(word + j, len(self.high) - 1)]
-            w = w if bit else ~w
-            c = np.bitwise_count(w).astype(np.int64)
-            here = open_ & (left < c)
-            found[here], at[here] = w[here], word[here] + j
-            open_ &= ~here
-            left = np.where(open_, left - c, left)
-        place = at * 64
-        done = np.zeros(len(k), bool)
-        for j in range(8):
-            byte = ((found >> _U(8 * j)) & _U(255)).astype(np.int64)
-            c = np.bitwise_count(byte.astype(np.uint8)).astype(np.int64)
-            here = ~done & (left < c)
-            place[here] += 8 * j + _IN_BYTE[byte[here], left[here]]
-            done |= here
-            left = np.where(done, left, left - c)
-        return place
+        words = self.blocks[block]
+        words = words if bit else ~words
+        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int16)
+        left = (k - directory[block]).astype(np.int16)
+        word = (upto <= left[:, None]).sum(axis=1)
+        each = np.arange(len(k))
+        left -= np.where(word > 0, upto[each, word - 1], 0).astype(np.int16)
+        octets = words[each, word].view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int16)
+        octet = (upto <= left[:, None]).sum(axis=1)
+        left -= np.where(octet > 0, upto[each, octet - 1], 0).astype(np.int16)
+        return block * (64 * _BLOCK) + word * 64 + octet * 8 + _IN_BYTE[octets[each, octet], left]
+
+    def _next(self, place: np.ndarray, bit: int, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th bit of that kind, the first one from ``place`` on: most often in the next 64 bits."""
+        word, off = place >> 6, (place & 63).astype(_U)
+        after = self.high[np.minimum(word + 1, len(self.high) - 1)]
+        seen = (self.high[np.minimum(word, len(self.high) - 1)] >> off) | np.where(off == 0, _U(0), after << ((_U(64) - off) & _U(63)))
+        seen = seen if bit else ~seen
+        out = place + np.bitwise_count((seen & (~seen + _U(1))) - _U(1))
+        far = np.flatnonzero((seen == 0) | (off > 0) & (word + 1 >= len(self.high)))
+        if len(far):
+            out[far] = self._select(k[far], bit)
+        return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
         high = (self._select(i, 1) - i).astype(_U)
         return (high << _U(self.width)) | read_bits(self.low, self.width, i)
 
+    def span(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values i and i + 1."""
+        place = self._select(i, 1)
+        first = ((place - i).astype(_U) << _U(self.width)) | read_bits(self.low, self.width, i)
+        j = i + 1
+        second = ((self._next(place + 1, 1, j) - j).astype(_U) << _U(self.width)) | read_bits(self.low, self.width, j)
+        return first, second
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """The index of each value, -1 where it is not there: a successor search among the values that share its high
         part."""
@@ -103,8 +113,8 @@ class EliasFano:
         high = (x >> _U(self.width)).astype(np.int64)
         at = np.flatnonzero((x >> _U(self.width)) <= _U(self.most))
         high, low = high[at], x[at] & _U((1 << self.width) - 1)
-        end = self._select(high, 0) - high
-        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), 0) + 1 - high, 0)
+        place = np.where(high > 0, self._select(np.maximum(high - 1, 0), 0) + 1, 0)
+        begin, end = place - high, self._next(place, 0, high) - high
         lo, hi = begin.copy(), end.copy()
         while True:
             go = np.flatnonzero(lo < hi)

@@ -39,7 +39,7 @@ END = np.uint64(0x5E1F_E11D_0F_7E87)
 #: Quantised logarithms: 0 is probability 1, a step is 16 / 65535 of a power of ten.
 _STEP = 16 / 65535
 _BLOCK_CHARS = 4 << 20
-_HELD = 3_000_000
+_HELD = 2_000_000
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -158,15 +158,17 @@ class Model:
                 weight[at] = restore(map_arrays(self.folder, level.above[s])["backoff"][local])
                 some = np.flatnonzero(weight[at] < 1)
                 pointers = _sequence(self.folder, level.above[s], "ptr_")
-                begin[at[some]] = pointers.get(local[some]).astype(np.int64) + level.firsts[s]
-                end[at[some]] = pointers.get(local[some] + 1).astype(np.int64) + level.firsts[s]
+                a, b = pointers.span(local[some])
+                begin[at[some]], end[at[some]] = a.astype(np.int64) + level.firsts[s], b.astype(np.int64) + level.firsts[s]
         return weight, begin, end
 
     def successors(self, n: int, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For pairs of a node at level n - 1 and a word: the node at level n or -1, and the context's back-off."""
         pairs, back = np.unique(contexts.astype(np.uint64) * np.uint64(max(1, self.words)) + words.astype(np.uint64), return_inverse=True)
         context = (pairs // np.uint64(max(1, self.words))).astype(np.int64)
-        weight, begin, end = self.contexts(n - 1, context)
+        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.empty(0, np.int64)
+        runs = np.diff(np.append(first, len(context)))
+        weight, begin, end = (np.repeat(x, runs) for x in self.contexts(n - 1, context[first]))
         node = np.full(len(pairs), -1, np.int64)
         some = np.flatnonzero(end > begin)
         found = self.nodes(n, pairs[some])
