@@ -41,23 +41,24 @@ def _hash(key: bytes) -> bytes:
 def _pairs(min_chars: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, hashes, places = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            ids, docs, hashes, places = [], [], [], []
+            for id_, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
                 at: dict[bytes, list[int]] = {}
                 for i, line in enumerate(text.split(b"\n")):
                     k = line_key(line)
                     if len(k) >= min_chars and (min_chars <= 1 or len(k.decode()) >= min_chars):
                         at.setdefault(_hash(k), []).append(i)
+                ids += [id_] * len(at)
                 docs += [key] * len(at)
                 hashes += at
                 places += at.values()
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(docs, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["hash", "doc", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["hash", "id", "doc", "at"])
 
     return emit
 
 
 def _runs(min_docs: int):
-    """Streams sorted (hash, doc, at) rows.  A run with ``min_docs`` documents in this partition is settled here;
+    """Streams sorted (hash, id, doc, at) rows.  A run with ``min_docs`` documents in this partition is settled here;
     shorter runs are settled too unless they touch an edge, where the hash may go on in the next partition.
     At most ``min_docs`` rows are held at a time.  Rows out: verdict 1 drop, 0 keep (not emitted), 2 open."""
 
@@ -72,7 +73,7 @@ def _runs(min_docs: int):
                 if n < min_docs:
                     out.extend((*row, n, 2, at_edge) for row in held if at_edge)
                 if at_edge:
-                    out.append((current, None, None, n, 3, True))
+                    out.append((current, None, None, None, n, 3, True))
                 first = False
 
         for batch in batches:
@@ -98,9 +99,9 @@ def _runs(min_docs: int):
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    c = list(zip(*rows)) or [()] * 6
-    kinds = (pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], ["hash", "doc", "at", "n", "verdict", "edge"])
+    c = list(zip(*rows)) or [()] * 7
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], ["hash", "id", "doc", "at", "n", "verdict", "edge"])
 
 
 def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,16 +127,17 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = docs.select(document_key(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pairs(min_chars), "hash binary, doc long, at array<int>")
-    sorted_ = lines.repartitionByRange(n, "hash", "doc").sortWithinPartitions("hash", "doc")
-    runs = cut(sorted_.mapInArrow(_distinct, "hash binary, doc long, at array<int>").mapInArrow(_runs(min_docs), "hash binary, doc long, at array<int>, n long, verdict int, edge boolean"))
+    pair = "hash binary, id long, doc long, at array<int>"
+    lines = docs.select(F.col(id_col).cast("long").alias("id"), document_key(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pairs(min_chars), pair)
+    sorted_ = lines.repartitionByRange(n, "hash", "id", "doc").sortWithinPartitions("hash", "id", "doc")
+    runs = cut(sorted_.mapInArrow(_distinct, pair).mapInArrow(_runs(min_docs), pair + ", n long, verdict int, edge boolean"))
     # A hash that touches an edge may have its documents in several partitions: add up what each of them saw.
     totals = runs.where("verdict = 3").groupBy("hash").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
     late = runs.where("verdict = 2").join(totals.select("hash"), "hash", "left_semi")
-    gone = runs.where("verdict = 1").select("hash", "doc", "at").unionByName(late.select("hash", "doc", "at"))
+    gone = runs.where("verdict = 1").select("hash", "id", "doc", "at").unionByName(late.select("hash", "id", "doc", "at"))
     if keep == "first":
-        firsts = gone.groupBy("hash").agg(F.min("doc").alias("doc")).withColumn("first", F.lit(True))
-        gone = gone.join(firsts, ["hash", "doc"], "left").withColumn("at", F.when(F.col("first"), F.slice("at", 2, F.size("at"))).otherwise(F.col("at"))).where(F.size("at") > 0)
+        firsts = gone.groupBy("hash").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc"))["doc"].alias("first"))
+        gone = gone.join(firsts, "hash").withColumn("at", F.when(F.col("doc") == F.col("first"), F.slice("at", 2, F.size("at"))).otherwise(F.col("at"))).where(F.size("at") > 0)
     return gone.groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(_bitmap, "doc long, drop binary")
 
 
@@ -143,7 +145,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows without repeats of (hash, doc), which equal rows of the table give."""
     last = None
     for batch in batches:
-        h, d = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        h, d = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         keep = []
         for x in zip(h, d):
             keep.append(x != last)
@@ -178,8 +180,9 @@ def digests(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), "_drop").mapInArrow(emit, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def cleaned(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their kept text; a document that loses every line goes; other columns stay."""
+def cleaned(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_percent: int = 50) -> DataFrame:
+    """The documents with their kept text; other columns stay.  A document of which more than ``most_percent`` of the lines
+    would go stays whole: it is a copy as a whole, which is for document deduplication to judge."""
     names = docs.columns
     marked = with_bitmaps(docs, maps, id_col, text_col)
     same = marked.where("_drop is null").select(*names)
@@ -188,8 +191,10 @@ def cleaned(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, blobs = as_bytes(batch.column(text_col)), batch.column("_drop").to_pylist()
-            done = [kept_text(t, b)[0] for t, b in zip(texts, blobs)]
-            out = batch.drop_columns(["_drop"]).set_column(names.index(text_col), text_col, pa.array([d.decode() for d in done], pa.string()))
-            yield out.filter(pa.array([bool(d.strip()) for d in done], pa.bool_()))
+            done = []
+            for text, blob in zip(texts, blobs):
+                kept, lines, gone = kept_text(text, blob)
+                done.append(text if 100 * gone > most_percent * lines else kept)
+            yield batch.drop_columns(["_drop"]).set_column(names.index(text_col), text_col, pa.array([d.decode() for d in done], pa.string()))
 
     return same.unionByName(marked.where("_drop is not null").select(*names, "_drop").mapInArrow(emit, schema))

@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut
 
 END = 2
-#: A stop or comma after an ASCII letter and before white space is a token of its own in any case, so it may be split
-#: off; that makes far fewer distinct words.
-_STOPS = re.compile(rb"(?<=[a-z])([.,])(?=[\s]|$)")
-_MOST_WORDS = 600_000
+_STOPS = b".,"
+_MOST_WORDS = 1_000_000
 _encoders: dict = {}
 
 
@@ -47,15 +46,34 @@ class _Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
+    def _encode(self, words: list[bytes]) -> None:
+        for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
+            self[word] = array("I", e.ids).tobytes()
+
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [(_STOPS.sub(rb" \1 ", t.lower()) if b"<|" not in t else t).split() for t in texts]
         if len(self) > _MOST_WORDS:
             self.clear()
-        new = list(set().union(*split) - self.keys())
-        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self[word] = np.array(e.ids, "<u4").tobytes()
-        for words in split:
-            yield b"".join(map(self.__getitem__, words))
+        found, gaps, new = [], [], set()
+        for t in texts:
+            # A-Z are lower-cased by the tokenizer in any case; only its special tokens tell them apart.
+            words = (t.lower() if b"<|" not in t else t).split()
+            ids = list(map(self.get, words))
+            gap = [(i, words[i]) for i, x in enumerate(ids) if x is None]
+            new.update(w for _, w in gap)
+            found.append(ids)
+            gaps.append(gap)
+        # A stop or comma after a-z is a token of its own, so such a word is its core's ids and the sign's.
+        stopped = [w for w in new if w[-1] in _STOPS and len(w) > 1 and 97 <= w[-2] <= 122]
+        new.difference_update(stopped)
+        new.update(c for w in stopped if (c := w[:-1]) not in self)
+        new.update(s for s in (b".", b",") if s not in self)
+        self._encode(list(new))
+        for w in stopped:
+            self[w] = self[w[:-1]] + self[w[-1:]]
+        for ids, gap in zip(found, gaps):
+            for i, w in gap:
+                ids[i] = self[w]
+            yield b"".join(ids)
 
 
 def _pieces(path: str, piece: int):

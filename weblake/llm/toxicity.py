@@ -133,14 +133,17 @@ class ToxicityModel:
         """The ``keep`` columns with ``score`` and ``n_hits``."""
         lexicon, exceptions, a, b = self.lexicon, self.exceptions, self.intercept, self.slope
 
+        names = [*keep, *([] if text_col in keep else [text_col])]
+        place = names.index(text_col)
+
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [weigh(t or "", lexicon, exceptions) for t in batch.column(0).to_pylist()]
+                found = [weigh(t or "", lexicon, exceptions) for t in batch.column(place).to_pylist()]
                 scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x)))) for x, _ in found]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array([n for _, n in found], pa.int64())], [*keep, "score", "n_hits"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array([n for _, n in found], pa.int64())], [*keep, "score", "n_hits"])
 
-        rows = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
-        return rows.mapInArrow(emit, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]) + ", score double, n_hits long")
+        rows = docs.select(*names)
+        return rows.mapInArrow(emit, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)]) + ", score double, n_hits long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_entries: int = 2_000, least_odds: float = 3.0, least_spread: float = 20.0, exceptions: tuple[str, ...] = ()) -> ToxicityModel:
