@@ -2,8 +2,8 @@
 
 Tokens (shingle hashes) are ordered by a class of their document frequency, rare first, then by hash.  A set that may
 miss at most ``m`` tokens and still reach the threshold needs a prefix worth ``m + 1``: a rare token counts at once and is
-indexed alone; tokens of the frequent classes are indexed as pairs or triples within a segment of the hash range, so
-the prefix is extended by one or two tokens a segment.  Two similar sets share a signature, since what one of them may
+indexed alone; frequent tokens are indexed as pairs within a segment of the hash range (about four of a set's tokens), so the prefix
+is extended by one token a segment.  Two similar sets share a signature, since what one of them may
 miss cannot break every combination of both prefixes.  Segments depend on a band of set sizes; a set is indexed in
 each band a partner may be of.
 
@@ -15,8 +15,9 @@ Steps, all Spark jobs over whole texts:
    documents share is one entry a chunk.  Tokens of frequency 1 can be in no overlap: sets with more of them than
    they may miss have no links and leave here.
 3. Signatures meet.  Each class is verified against one pivot per signature (the one with the fewest tokens of its
-   own), then those still apart from it against two more; only pairs in different components so far are left, and all
-   of those are verified.  Pairs within a component need no check, as the answer is components.
+   own), then those still apart from it against two more; only pairs in different components so far are left, and of
+   those all that sizes and a 512-bit sketch of the sets leave possible are verified.  Pairs within a component need no
+   check, as the answer is components.
 4. Components by minimum labels with pointer jumping; documents get the smallest id of theirs.
 
 Defined results: a null or empty text, or one without words, has the empty set, links with nothing and is its own
@@ -28,7 +29,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, blocks, cut, mix, windows, word_hashes
 
-#: Document frequencies up to which a token is of class 1 (indexed alone) and 2 (in pairs); above: 3 (triples).
-RARE, COMMON = 32, 1024
+#: The document frequency up to which a token is rare and indexed alone.
+RARE = 32
+#: 64-bit words of a set's sketch: a bit for each hash value modulo 512 that its shared tokens have.
+SKETCH = 8
 
 
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -72,8 +74,9 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, alone: int, n: int, perc
         return np.empty(0, np.uint64)
     out = []
     for band in range(n.bit_length() - 1, (n * 100 // percent).bit_length()):
-        room = (percent * percent << band) // 80_000
-        size = np.minimum(classes, 3) if room else np.ones(len(classes), np.int64)
+        # Each segment costs one token, and what a set must share of the band's sizes pays for half of them at least.
+        room = min(1 << band >> 2, (percent * percent << band) // 20_000)
+        size = np.minimum(classes, 2) if room else np.ones(len(classes), np.int64)
         bits = max(0, room.bit_length() - 1)
         segment = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
         group = np.where(size > 1, (size << 40) + segment, 0)
@@ -88,13 +91,17 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, alone: int, n: int, perc
         for a, b in zip(begin, np.append(begin[1:], len(order))):
             if a < end and s[a] > 1:
                 part = t[a : min(b, end)]
-                k = int(s[a])
-                if len(part) >= k:
-                    c = np.array(list(combinations(part.tolist(), k)), np.uint64)
-                    out.append(mix((c * np.array([3, 5, 7][:k], np.uint64) + np.uint64(band)).sum(axis=1, dtype=np.uint64)))
+                i, j = np.triu_indices(len(part), 1)
+                out.append(mix(part[i] * np.uint64(3) + part[j] * np.uint64(5) + np.uint64(band)))
     return np.unique(np.concatenate(out))
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * SKETCH, np.uint8)
+    bits[((tokens >> np.uint64(20)) % np.uint64(64 * SKETCH)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _planes(a: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, which compress well."""
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
@@ -152,7 +159,7 @@ def _answer(table: pa.Table) -> pa.Table:
     counts = np.concatenate([_unplanes(x, np.uint16) for x in table.column("counts").to_pylist()]).astype(np.int64)
     _, back = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(back, counts)
-    classes = np.searchsorted(np.array([1, RARE, COMMON]), total, side="left").astype(np.uint8)[back]
+    classes = np.searchsorted(np.array([1, RARE]), total, side="left").astype(np.uint8)[back]
     parts = np.split(classes, np.cumsum([len(x) for x in keys])[:-1])
     return pa.table([table.column("chunk"), pa.array([None] * len(parts), pa.int64()), table.column("bucket"), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["chunk", "row", "bucket", "classes"])
 
@@ -173,9 +180,9 @@ def _index(k: int, bits: int, percent: int):
                 alone = n - int(shared.sum())
                 if alone <= may_miss(n, percent):
                     t = tokens[shared]
-                    out.append((set_class(tokens), n, alone, t.tobytes(), signatures(t, own[shared], alone, n, percent).view(np.int64)))
-        cols = list(zip(*out)) or [()] * 5
-        return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["cls", "n", "alone", "tokens", "sigs"])
+                    out.append((set_class(tokens), n, alone, t.tobytes(), signatures(t, own[shared], alone, n, percent).view(np.int64), *sketch(t).tolist()))
+        cols = list(zip(*out)) or [()] * (5 + SKETCH)
+        return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * SKETCH))], ["cls", "n", "alone", "tokens", "sigs", *_BITS])
 
     return emit
 
@@ -192,6 +199,16 @@ def _linked(percent: int):
     return emit
 
 
+_BITS = [f"s{i}" for i in range(SKETCH)]
+
+
+def _overlap_possible(percent: int):
+    """The same with sketches: a bit that one set has and the other has not is a token that they do not share."""
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{x}0").bitwiseAND(F.bitwise_not(F.col(f"{y}0")))))
+    most = F.least(F.col("na") - F.col("ua") - lacks("s", "t"), F.col("nb") - F.col("ub") - lacks("t", "s"))
+    return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+
+
 def _possible(percent: int, na="na", nb="nb", ua="ua", ub="ub"):
     """Whether sizes and unshared tokens leave room for a link."""
     most = F.least(F.col(na) - F.col(ua), F.col(nb) - F.col(ub))
@@ -237,7 +254,7 @@ def link_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: s
     asked = texts.groupBy("chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(_ask(k, bits, bounds), "bucket int, chunk long, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, row long, bucket int, classes binary")
     sides = firsts.select("chunk", "row", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("classes")).union(answers)
-    sets = cut(texts.groupBy("chunk").cogroup(sides.groupBy("chunk")).applyInArrow(_index(k, bits, percent), "cls binary, n long, alone long, tokens binary, sigs array<long>"))
+    sets = cut(texts.groupBy("chunk").cogroup(sides.groupBy("chunk")).applyInArrow(_index(k, bits, percent), "cls binary, n long, alone long, tokens binary, sigs array<long>, " + ", ".join(f"{b} long" for b in _BITS)))
 
     signed = sets.select("cls", "n", "alone", F.explode("sigs").alias("sig"))
     pivots = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("alone", "cls", "n")).alias("p")).where("many > 1").select("sig", F.col("p.cls").alias("b"), F.col("p.n").alias("nb"), F.col("p.alone").alias("ub"))
@@ -245,22 +262,23 @@ def link_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: s
     tried = cut(met.where((F.col("a") != F.col("b")) & _possible(percent)).select("a", "b").distinct())
     edges = cut(verified(tried, sets, percent))
 
-    # Members not in their pivot's component try two more members of it.
+    # Members not in their pivot's component try two more members of it, then all that are left.
     for last in (False, True):
         comp = components(edges) if not edges.isEmpty() else spark.createDataFrame([], "node binary, comp binary")
-        held = met.join(comp, met["a"] == comp["node"], "left").select("sig", "a", "na", "ua", "b", F.coalesce("comp", "a").alias("ca"))
-        mixed = held.groupBy("sig").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")).where("lo <> hi").select("sig")
-        held = cut(held.join(mixed, "sig", "left_semi"))
+        own, pivot = comp.toDF("a", "ca"), comp.toDF("b", "cb")
+        held = met.join(own, "a", "left").join(pivot, "b", "left").select("sig", "a", "na", "ua", F.coalesce("ca", "a").alias("ca"), (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("apart"))
+        held = cut(held.join(held.where("apart").select("sig").distinct(), "sig", "left_semi"))
         if held.isEmpty():
             return measured, edges
+        apart = held.where("apart").drop("apart")
         if not last:
-            home = held.where("a = b").select("sig", F.col("ca").alias("home"))
-            inner, outer = held.join(home, "sig").where("ca = home"), held.join(home, "sig").where("ca <> home")
-            more = [inner.groupBy("sig").agg(F.min(F.struct(F.xxhash64("a", F.lit(seed)).alias("h"), "a", "na", "ua")).alias("p")).select("sig", F.col("p.a").alias("q"), F.col("p.na").alias("nb"), F.col("p.ua").alias("ub")) for seed in (1, 2)]
-            pairs = outer.drop("b").join(more[0].union(more[1]), "sig").where(_possible(percent)).select("a", F.col("q").alias("b"))
+            more = [held.where("not apart").groupBy("sig").agg(F.min(F.struct(F.xxhash64("a", F.lit(seed)).alias("h"), "a", "na", "ua")).alias("p")).select("sig", F.col("p.a").alias("q"), F.col("p.na").alias("nb"), F.col("p.ua").alias("ub")) for seed in (1, 2)]
+            pairs = apart.join(more[0].union(more[1]), "sig").where(_possible(percent)).select("a", F.col("q").alias("b"))
         else:
-            other = held.select("sig", F.col("a").alias("q"), F.col("na").alias("nb"), F.col("ua").alias("ub"), F.col("ca").alias("cb"))
-            pairs = held.drop("b").join(other, "sig").where((F.col("a") < F.col("q")) & (F.col("ca") != F.col("cb")) & _possible(percent)).select("a", F.col("q").alias("b"))
+            bits = sets.select(F.col("cls").alias("a"), *_BITS)
+            left = apart.join(bits, "a")
+            right = held.join(bits, "a").select("sig", F.col("a").alias("q"), F.col("na").alias("nb"), F.col("ua").alias("ub"), F.col("ca").alias("cq"), F.col("apart").alias("apart_too"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
+            pairs = left.join(right, "sig").where((F.col("ca") != F.col("cq")) & (~F.col("apart_too") | (F.col("a") < F.col("q"))) & _overlap_possible(percent)).select("a", F.col("q").alias("b"))
         known = tried.union(tried.select("b", "a"))
         pairs = cut(pairs.distinct().join(known, ["a", "b"], "left_anti"))
         tried = tried.union(pairs)
