@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -37,6 +38,9 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(archive))
+    # Texts are long: the default of 10,000 rows a batch takes a Python worker hundreds of MB.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     _shipped.add(spark.sparkContext.applicationId)
 
 
@@ -73,8 +77,24 @@ def crc_mod(col: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def as_bytes(column: pa.Array) -> list[bytes]:
+#: What clears the caches that operators keep in a Python worker between tasks.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keep_cache(owner: str, clear: Callable[[], None]) -> None:
+    _caches[owner] = clear
+
+
+def release(owner: str = "") -> None:
+    """Called as a task begins: workers are used again by later stages, so what other operators hold goes."""
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
+
+
+def as_bytes(column: pa.Array, owner: str = "") -> list[bytes]:
     """A string column as UTF-8 bytes, nulls as the empty text."""
+    release(owner)
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 

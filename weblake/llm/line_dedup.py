@@ -76,7 +76,7 @@ def _runs(min_docs: int):
                     out.append((current, None, None, None, n, 3, True))
                 first = False
 
-        for batch in batches:
+        for batch in _distinct(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[0] != current:
                     close(False)
@@ -130,7 +130,7 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pair = "hash binary, id long, doc long, at array<int>"
     lines = docs.select(F.col(id_col).cast("long").alias("id"), document_key(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pairs(min_chars), pair)
     sorted_ = lines.repartitionByRange(n, "hash", "id", "doc").sortWithinPartitions("hash", "id", "doc")
-    runs = cut(sorted_.mapInArrow(_distinct, pair).mapInArrow(_runs(min_docs), pair + ", n long, verdict int, edge boolean"))
+    runs = cut(sorted_.mapInArrow(_runs(min_docs), pair + ", n long, verdict int, edge boolean"))
     # A hash that touches an edge may have its documents in several partitions: add up what each of them saw.
     totals = runs.where("verdict = 3").groupBy("hash").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
     late = runs.where("verdict = 2").join(totals.select("hash"), "hash", "left_semi")

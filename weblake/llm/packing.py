@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut
+from .common import as_bytes, cut, keep_cache
 
 END = 2
 _STOPS = b".,"
 _MOST_WORDS = 1_000_000
 _encoders: dict = {}
+keep_cache("packing", _encoders.clear)
 
 
 class _Encoder(dict):
@@ -82,7 +83,7 @@ def _pieces(path: str, piece: int):
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            texts = as_bytes(batch.column(1))
+            texts = as_bytes(batch.column(1), "packing")
             for a in range(0, len(texts), 500):
                 for i, ids in enumerate(encoder.texts(texts[a : a + 500]), a):
                     ids += end

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 # Characters that stand for others.
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
@@ -137,6 +137,7 @@ class ToxicityModel:
         place = names.index(text_col)
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in batches:
                 found = [weigh(t or "", lexicon, exceptions) for t in batch.column(place).to_pylist()]
                 scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x)))) for x, _ in found]
