@@ -44,7 +44,7 @@ def decode_path(value: str) -> str:
     if not value.startswith("b64_"):
         return value
     try:
-        text = base64.urlsafe_b64decode(value[4:] + "=" * (-len(value[4:]) % 4)).decode()
+        text = base64.b64decode(value[4:] + "=" * (-len(value[4:]) % 4), b"-_", validate=True).decode()
     except (binascii.Error, UnicodeDecodeError):
         return value
     return value if "\0" in text else text

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..schema import ENTRIES
+
 VERSION = 1
 _PARTS = ("grp", "dt")
 
@@ -59,6 +61,8 @@ class EntryTable:
             return False
 
     def read(self, log_group: str | None = None) -> DataFrame:
+        if not self.exists():
+            return self.spark.createDataFrame([], ENTRIES)
         rows = self.spark.read.parquet(self.data)
         if log_group is not None:
             rows = rows.where((F.col("grp") == F.substring(F.md5(F.lit(log_group).cast("binary")), 1, 12)) & (F.col("main_log_path") == log_group))
