@@ -90,6 +90,7 @@ def release(owner: str = "") -> None:
     for name, clear in _caches.items():
         if name != owner:
             clear()
+    pa.default_memory_pool().release_unused()
 
 
 def as_bytes(column: pa.Array, owner: str = "") -> list[bytes]:

@@ -236,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, chunk_tokens: int = 3_000_000) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, chunk_tokens: int = 1_500_000) -> tuple[DataFrame, DataFrame]:
     """Per row of ``docs`` (id, row, n, cls), and (a, b) links between classes, enough for their components."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
     measured = cut(rows.select("id", "row", "text").mapInArrow(_measure(k), "id long, row long, n long, cls binary"))
@@ -286,7 +286,7 @@ def link_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: s
     return measured, edges
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 3_000_000) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 1_500_000) -> DataFrame:
     """(id, row, n_shingles, component_id) per row of ``docs``; ``row`` is ``xxhash64(id, text)``."""
     measured, edges = link_classes(docs, k, percent, id_col, text_col, chunk_tokens)
     comp = components(edges)
