@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, cut
 
 
 def digest(id_col: Column) -> Column:
@@ -59,7 +59,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
 def curriculum(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, bucket_docs: int = 1000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, position), a row per document, range-sorted by training
     position; ``position`` (0..1) is where its first word is read, null if none is.  ``keep`` carries further columns."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep)
+    # Words are counted once; all else moves only numbers.
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, share, cap)
     # The digest's first 13 hexadecimal digits as a fraction of 1, cut into the source's buckets.
     place = F.conv(F.substring("digest", 1, 13), 16, 10).cast("double") / float(16**13)

@@ -157,7 +157,7 @@ def _placed(table: dict[str, np.ndarray]):
     return emit
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, piece: int | None = None, bucket_pieces: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, piece: int | None = None, bucket_pieces: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row per piece.  ``tokenizer`` is the path
     of a vocabulary file that every executor has."""
     if tokenizer is None:
