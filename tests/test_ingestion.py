@@ -135,6 +135,7 @@ def test_upsert_keeps_the_last_of_an_id(spark, tmp_path):
     table.upsert(make([("a", NOW, "g", "f", 1), ("b", NOW, "g", "f", 2), ("a", NOW, "h", "f", 3), (None, NOW, "g", "f", 4)]))
     table.upsert(make([("a", NOW, "g", "f", 10)]))
     assert sorted((r["main_log_path"], r["id"], r["bytes_sent"]) for r in table.read().collect()) == [("g", "a", 10), ("g", "b", 2), ("h", "a", 3)]
+    assert table.read("g", NOW, NOW + 1).count() == 2 and table.read("g", NOW + 1).count() == 0 and table.read(end=NOW).count() == 0
     table.drop_group("g")
     assert table.count() == 1
 

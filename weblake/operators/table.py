@@ -60,12 +60,18 @@ class EntryTable:
         except AnalysisException:
             return False
 
-    def read(self, log_group: str | None = None) -> DataFrame:
+    def read(self, log_group: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+        """The rows of a group and of [start, end); both choose partitions before files are read."""
         if not self.exists():
             return self.spark.createDataFrame([], ENTRIES)
         rows = self.spark.read.parquet(self.data)
         if log_group is not None:
             rows = rows.where((F.col("grp") == F.substring(F.md5(F.lit(log_group).cast("binary")), 1, 12)) & (F.col("main_log_path") == log_group))
+        day = lambda seconds: F.to_date(F.timestamp_seconds(F.lit(seconds)))
+        if start is not None:
+            rows = rows.where((F.col("dt") >= day(start)) & (F.col("timestamp") >= start))
+        if end is not None:
+            rows = rows.where((F.col("dt") <= day(end)) & (F.col("timestamp") < end))
         return rows.drop(*_PARTS)
 
     def _move(self, rows: DataFrame, mode: str = "dynamic") -> None:

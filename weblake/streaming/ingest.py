@@ -13,6 +13,7 @@ from ..functions.errorlog import error_entry
 from ..functions.useragent import with_user_agent
 from ..operators.geography import locate
 from ..operators.table import EntryTable, document_id
+from ..shipping import ship
 from ..sources import files
 from ..sources.rotated_log import RotatedLogSource
 
@@ -56,6 +57,7 @@ class Ingestion:
     def __init__(self, spark: SparkSession, root: str, groups: list[str], error_logs: set[str] = frozenset(), ranges: DataFrame | None = None):
         self.spark, self.table, self.groups, self.error_logs, self.ranges = spark, EntryTable(spark, root), groups, set(error_logs), ranges
         self.state_path = f"{root.rstrip('/')}/file_state"
+        ship(spark)
         spark.dataSource.register(RotatedLogSource)
 
     def states(self) -> dict[str, files.FileState]:
