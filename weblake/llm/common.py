@@ -12,9 +12,7 @@ Conventions of the subpackage
 from __future__ import annotations
 
 import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,26 +20,17 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = "[^\\x20\\x09-\\x0D]+"
-
+from .. import shipping
 
-_shipped: set[str] = set()
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once an application, so that their Python can import it."""
-    if spark.sparkContext.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="weblake-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(archive))
+    """Sends this package to the executors, and sets what its operators need of a session, once an application."""
+    shipping.ship(spark)
     # Texts are long: the default of 10,000 rows a batch takes a Python worker hundreds of MB.
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    _shipped.add(spark.sparkContext.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
