@@ -439,7 +439,7 @@ def test_archives(spark):
 
 def test_broken_archives():
     dictionary = b"WARC/1.1 Content-Length response " * 8
-    one = warc.record(1, "u", b"abc", warc.digest(b"abc"), None)
+    one = warc.record(1, "u", b"abc", 3, warc.digest(b"abc"))
     compressor = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
     good = warc.archive_head(dictionary) + compressor.compress(one) + compressor.compress(one)
     assert [warc.page_of(*r) for r in warc.read_archive(io.BytesIO(good), 7)] == [(1, 3, warc.digest(b"abc"), "response", None)] * 2
@@ -449,4 +449,4 @@ def test_broken_archives():
         with pytest.raises((warc.WarcError, zstandard.ZstdError)):
             list(warc.read_archive(io.BytesIO(bad)))
     with pytest.raises(warc.WarcError):
-        warc.page_of(*warc.parse_record(warc.record(1, "u", b"abd", warc.digest(b"abc"), None)))
+        warc.page_of(*warc.parse_record(warc.record(1, "u", b"abd", 3, warc.digest(b"abc"))))

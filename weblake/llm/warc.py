@@ -10,7 +10,8 @@ Of records with equal payloads the one with the smallest id is a ``response``, t
 without the payload, which name the first.  Copies are found by digest with a minimum that combines before the
 shuffle, and only (id, digest) rows take part.
 
-Defined results: a null payload is empty; rows equal in id and payload are one response and revisits of it; a null id
+Defined results: a null payload is empty; rows equal in id, url and payload are each the first of their payload, if
+they are; a null id
 is smallest of all; an empty table gives no archives and no rows.
 """
 
@@ -46,12 +47,12 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(id_: object, url: str | None, payload: bytes, payload_digest: str, refers_to: str | None) -> bytes:
-    """One record's bytes; a revisit (``refers_to``) has the HTTP headers only."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+def record(id_: object, url: str | None, payload: bytes | None, size: int, payload_digest: str, refers_to: str | None = None) -> bytes:
+    """One record's bytes; without a payload a revisit, which has the HTTP headers only and names the record it repeats."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = http + (payload or b"")
     headers = [
-        f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
+        f"WARC-Type: {'revisit' if payload is None else 'response'}",
         f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{id_}')}>",
         f"WARC-Date: {_DATE}",
         "WARC-Target-URI: " + " ".join((url or "urn:none").split()),
@@ -60,7 +61,7 @@ def record(id_: object, url: str | None, payload: bytes, payload_digest: str, re
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
-    if refers_to is not None:
+    if payload is None:
         headers[4:4] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"WARC-Refers-To-Page-ID: {refers_to}"]
     return b"WARC/1.1\r\n" + "\r\n".join(headers).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -133,24 +134,26 @@ def page_of(headers: dict[bytes, bytes], block: bytes) -> tuple:
 def train_dictionary(pages: DataFrame, payload_col: str = "html", samples: int = 400, most_chars: int = 50_000, size: int = 65_536) -> bytes:
     """A dictionary from at most ``samples`` payloads of at most ``most_chars`` characters each; without enough
     of them, some plain bytes."""
-    rows = pages.where(F.length(payload_col).between(1, most_chars)).select(F.col(payload_col).alias("p")).orderBy(F.xxhash64("p")).limit(samples).collect()
+    rows = pages.select(F.col(payload_col).alias("p")).where(F.length("p").between(1, most_chars))
+    share = max(1, rows.count() // samples)
+    some = rows.where(F.pmod(F.xxhash64("p"), F.lit(share)) == 0).limit(samples).collect()
     try:
-        return zstandard.train_dictionary(size, [r["p"].encode() for r in rows]).as_bytes()
+        return zstandard.train_dictionary(size, [r["p"].encode() for r in some]).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b"<!DOCTYPE html><html><head><title></title></head><body></body></html>"
 
 
 def write_archives(pages: DataFrame, folder: str, dictionary: bytes, archive_bytes: int = 64 << 20, level: int = 3) -> DataFrame:
-    """Writes rows (id, url, payload, digest, refers_to) and returns the manifest (path, records)."""
+    """Writes the rows of ``with_revisits`` and returns the manifest (path, records)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
-        compressor = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), level=level)
+        compressor = _compressor(dictionary, level)
         head = archive_head(dictionary)
         paths, counts = [], []
         out, size = None, 0
         for batch in batches:
-            for id_, url, payload, sha, refers, again in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            for id_, url, bytes_, sha, frame, refers, again in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None or size > archive_bytes:
                     if out is not None:
                         out.close()
@@ -160,8 +163,10 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, archive_byt
                     out.write(head)
                     paths.append(f"{folder}/{name}")
                     counts.append(0)
-                out.write(compressor.compress(record(id_, url, payload, sha, ("" if refers is None else str(refers)) if again else None)))
-                size += len(payload)
+                if again:
+                    frame = compressor.compress(record(id_, url, None, bytes_, sha, "" if refers is None else str(refers)))
+                out.write(frame)
+                size += bytes_
                 counts[-1] += 1
         if out is not None:
             out.close()
@@ -189,25 +194,43 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     return manifest.mapInArrow(emit, "id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), level=level)
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.append_column("digest", pa.array([digest(p) for p in as_bytes(batch.column("payload"))], pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array([digest(p) for p in as_bytes(batch.column("payload"))], pa.string())], ["id", "row", "digest"])
+
+
+def _frames(dictionary: bytes, level: int):
+    """Each payload's response record as it will be in an archive: what moves between tasks is compressed."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = _compressor(dictionary, level)
+        for batch in batches:
+            payloads = as_bytes(batch.column("payload"))
+            shas = [digest(p) for p in payloads]
+            frames = [compressor.compress(record(i, u, p, len(p), s)) for i, u, p, s in zip(batch.column("id").to_pylist(), batch.column("url").to_pylist(), payloads, shas)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), batch.column("row"), pa.array(map(len, payloads), pa.int64()), pa.array(shas, pa.string()), pa.array(frames, pa.binary())], ["id", "url", "row", "bytes", "digest", "frame"])
+
+    return emit
 
 
-def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """(id, url, payload, digest, refers_to, again): of equal payloads of at least ``min_bytes`` bytes all but the
+def with_revisits(pages: DataFrame, dictionary: bytes, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, level: int = 3) -> DataFrame:
+    """(id, url, bytes, digest, frame, refers_to, again): of equal payloads of at least ``min_bytes`` bytes all but the
     first are revisits (``again``)."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"), F.monotonically_increasing_id().alias("row"))
-    digested = rows.mapInArrow(_digests, "id long, url string, payload string, row long, digest string")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"), F.xxhash64(id_col, url_col, payload_col).alias("row"))
     order = F.struct(F.col("id").isNotNull().alias("known"), "id", "row")
-    first = digested.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first.id", "first.row").toDF("digest", "first_id", "first_row")
-    big = F.octet_length(F.coalesce("payload", F.lit(""))) >= min_bytes
-    again = big & F.col("first_row").isNotNull() & (F.col("row") != F.col("first_row"))
-    return digested.join(first, "digest", "left").select("id", "url", "payload", "digest", F.when(again, F.col("first_id")).alias("refers_to"), F.coalesce(again, F.lit(False)).alias("again"))
+    digests = rows.select("id", "row", "payload").mapInArrow(_digests, "id long, row long, digest string")
+    first = digests.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first.id", "first.row").toDF("digest", "first_id", "first_row")
+    framed = rows.mapInArrow(_frames(dictionary, level), "id long, url string, row long, bytes long, digest string, frame binary")
+    again = (F.col("bytes") >= min_bytes) & F.col("first_row").isNotNull() & (F.col("row") != F.col("first_row"))
+    return framed.join(first, "digest", "left").select("id", "url", "bytes", "digest", "frame", F.when(again, F.col("first_id")).alias("refers_to"), F.coalesce(again, F.lit(False)).alias("again"))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, **columns: str) -> DataFrame:
     """Writes all pages to archives and reads them back."""
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     dictionary = train_dictionary(pages, columns.get("payload_col", "html"))
-    return read_archives(write_archives(with_revisits(pages, min_bytes=min_bytes, **columns), folder, dictionary))
+    return read_archives(write_archives(with_revisits(pages, dictionary, min_bytes=min_bytes, **columns), folder, dictionary))
