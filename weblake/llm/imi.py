@@ -125,7 +125,8 @@ def search(
     # Distinct vectors with their k + 1 smallest ids; Spark cuts each to its first rows before the shuffle.
     firsts = Window.partitionBy("v").orderBy("id")
     entries = cut(keyed(read(vectors)).withColumn("n", F.row_number().over(firsts)).where(F.col("n") <= k + 1).groupBy("key", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    taken = entries.orderBy("key").limit(sample).select("v").toArrow()
+    share = -(-entries.count() // sample)
+    taken = entries.where(F.pmod(F.xxhash64("key"), F.lit(max(1, share))) == 0).limit(sample).select("v").toArrow()
     if not taken.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = _matrix(taken.column(0).combine_chunks(), width)

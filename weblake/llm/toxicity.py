@@ -5,7 +5,7 @@ letter (i, l, 1, ! and | are one), and turns other ASCII characters into spaces.
 and whole words, each with the logarithm of its odds among toxic documents; exception phrases cover hits inside
 them.  The weights found in a text are added, normalised by its length, and mapped to 0..1 by a logistic curve.
 
-Learning uses at most ``max_labelled`` labelled rows (those with the smallest hash of the id); its results, at most
+Learning uses at most ``max_labelled`` labelled rows (an even share of them by a hash of the id); its results, at most
 ``max_entries`` entries and two coefficients, are bounded and go to the tasks with the code.
 
 Defined results: a null or empty text scores what a text without hits scores; null labels and rows whose remainder is
@@ -150,7 +150,9 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_entries: int = 2_000, least_odds: float = 3.0, least_spread: float = 20.0, exceptions: tuple[str, ...] = ()) -> ToxicityModel:
     """Fits the lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1).  The chosen labels are at most
     ``max_labelled`` rows of two numbers, so they are broadcast and only their texts are moved."""
-    chosen = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labelled)
+    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    share = -(-known.count() // max_labelled)
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, share))) == 0).limit(max_labelled)
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").repartition(16))
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     P, N = int(toxic), int(n) - int(toxic)
