@@ -282,17 +282,25 @@ def _count(model: Model, n: int, bounds: np.ndarray, least: int):
 
 
 def _sample(model: Model, n: int, least: int, share: int):
-    """Some keys, chosen by their hash, for the quantiles."""
+    """Some keys, chosen by their hash, with their counts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = np.unique(_keys(model, n, as_bytes(batch.column(0)), least))
-            k = k[mix(k) % np.uint64(share) == 0]
-            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes()], pa.binary())], ["keys"])
+            k, c = np.unique(_keys(model, n, as_bytes(batch.column(0)), least), return_counts=True)
+            some = mix(k) % np.uint64(share) == 0
+            yield pa.RecordBatch.from_arrays([pa.array([k[some].tobytes()], pa.binary()), pa.array([c[some].astype(np.uint64).tobytes()], pa.binary())], ["keys", "counts"])
 
     return emit
 
 
+def _bounds(keys: np.ndarray, counts: np.ndarray, shards: int, lists: int) -> np.ndarray:
+    """First keys of shards that get about as many list entries each: a key that the sample has more than once is taken to be
+    in nearly every task's list, any other in one."""
+    weight = np.cumsum(np.where(counts > 1, lists, 1))
+    at = np.searchsorted(weight, weight[-1] * np.arange(1, shards) / shards) if len(keys) else np.empty(0, np.int64)
+    return np.unique(np.concatenate((np.zeros(1, np.uint64), keys[at])))
+
+
 def _build(model: Model, n: int, bounds: np.ndarray, least: int, discount: float):
     """Merges a shard's lists, writes its file, and returns its contexts' kept mass and successors."""
 
@@ -360,8 +368,8 @@ def _link(folder: str, n: int, bases: np.ndarray, ends: np.ndarray):
     return merge
 
 
-def train(docs: DataFrame, order: int = 3, min_count: int = 2, discount: float = 0.5, shard_chars: int = 20_000_000, sample_docs: int = 2000, text_col: str = "text", folder: str | None = None) -> Model:
-    """Builds the model from the texts of ``docs``."""
+def train(docs: DataFrame, order: int = 3, min_count: int = 2, discount: float = 0.5, shard_chars: int = 20_000_000, task_chars: int = 30_000_000, sample_docs: int = 2000, text_col: str = "text", folder: str | None = None) -> Model:
+    """Builds the model from the texts of ``docs``; ``task_chars`` is about what one task reads."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/lm-{uuid.uuid4().hex}"
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -375,10 +383,9 @@ def train(docs: DataFrame, order: int = 3, min_count: int = 2, discount: float =
         if n == 1:
             bounds = np.array([(s << 64) // shards for s in range(shards)], np.uint64)
         else:
-            taken = [np.frombuffer(r["keys"], np.uint64) for r in some.mapInArrow(_sample(model, n, min_count, 16), "keys binary").collect()]
-            taken = np.unique(np.concatenate(taken or [np.empty(0, np.uint64)]))
-            cuts = taken[(np.arange(1, shards) * len(taken)) // shards] if len(taken) else taken
-            bounds = np.unique(np.concatenate((np.zeros(1, np.uint64), cuts)))
+            taken = some.mapInArrow(_sample(model, n, min_count, 16), "keys binary, counts binary").collect()
+            keys, counts = _add([np.frombuffer(r["keys"], np.uint64) for r in taken], [np.frombuffer(r["counts"], np.uint64) for r in taken])
+            bounds = _bounds(keys, counts, shards, max(1, int(chars) // task_chars))
         counted = texts.mapInArrow(_count(model, n, bounds, min_count), "shard int, keys binary, counts binary")
         built = cut(counted.groupBy("shard").applyInArrow(_build(model, n, bounds, min_count, discount), _BUILT))
         listed = sorted((r for r in built.select("shard", "n", "tokens", "name").collect() if r["n"]), key=lambda r: r["shard"])
