@@ -35,8 +35,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     ship(spark)
     docs = docs.select(*COLUMNS)
     groups = ngram_join.join(docs, k=5, percent=80)
-    first = groups.where("id = component_id").groupBy("component_id").agg(F.min("row").alias("_row")).select("_row")
-    stay = first.union(groups.where("id is null").select(F.col("row").alias("_row")).distinct())
+    own = F.when(F.col("id").isNull(), F.col("row")).otherwise(F.col("component_id"))
+    stay = groups.where("id is null or id = component_id").groupBy(F.col("id").isNull().alias("none"), own.alias("own")).agg(F.min("row").alias("_row")).select("_row")
     return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 

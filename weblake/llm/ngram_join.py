@@ -14,9 +14,8 @@ Steps, all Spark jobs over whole texts:
    tokens, cut to the bits that the corpus needs, to ranges of tokens, which answer with classes.  A token that all
    documents share is one entry a chunk.  Tokens of frequency 1 can be in no overlap: sets with more of them than
    they may miss have no links and leave here.
-3. Signatures meet.  Each class is verified against one pivot per signature (the one with the fewest tokens of its
-   own), then those still apart from it against two more; only pairs in different components so far are left, and of
-   those all that sizes and a 512-bit sketch of the sets leave possible are verified.  Pairs within a component need no
+3. Signatures meet.  Each class is verified against three members of each signature's classes; only pairs in different
+   components so far are left, and of those all that sizes and a 512-bit sketch of the sets leave possible are verified.  Pairs within a component need no
    check, as the answer is components.
 4. Components by minimum labels with pointer jumping; documents get the smallest id of theirs.
 
@@ -223,25 +222,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node of each node's component, for the nodes of (a, b) edges."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    """(node, comp): the smallest node of each node's component, for the nodes of (a, b) edges.  Each round takes the smallest
+    label of a node and its neighbours, then that label's own label."""
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")))
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
     while True:
-        low = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("low"))
-        near = labels.join(low, labels["node"] == low["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("to"))
+        near = both.join(labels, both["b"] == labels["node"]).select("a", "comp", F.lit(None).cast("binary").alias("was"))
+        low = near.union(labels.select("node", "comp", "comp")).groupBy("a").agg(F.min("comp").alias("to"), F.max("was").alias("was"))
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("far"))
-        stepped = cut(near.join(jump, "to", "left").select("node", "was", F.least("to", F.coalesce("far", "to")).alias("comp")))
+        stepped = cut(low.join(jump, "to").select(F.col("a").alias("node"), "was", F.least("to", "far").alias("comp")))
         labels = stepped.select("node", "comp")
         if stepped.where("was <> comp").isEmpty():
             return labels
 
 
 def link_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, chunk_tokens: int = 1_500_000) -> tuple[DataFrame, DataFrame]:
-    """Per row of ``docs`` (id, row, n, cls), and (a, b) links between classes, enough for their components."""
+    """Per row of ``docs`` (id, row, n, cls), and (node, comp) of the classes that have links."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
     measured = cut(rows.select("id", "row", "text").mapInArrow(_measure(k), "id long, row long, n long, cls binary"))
     spark = docs.sparkSession
-    none = spark.createDataFrame([], "a binary, b binary")
+    none = spark.createDataFrame([], "node binary, comp binary")
     total = measured.agg(F.sum("n")).first()[0] or 0
     if not total:
         return measured, none
@@ -257,39 +257,32 @@ def link_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: s
     sets = cut(texts.groupBy("chunk").cogroup(sides.groupBy("chunk")).applyInArrow(_index(k, bits, percent), "cls binary, n long, alone long, tokens binary, sigs array<long>, " + ", ".join(f"{b} long" for b in _BITS)))
 
     signed = sets.select("cls", "n", "alone", F.explode("sigs").alias("sig"))
-    pivots = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("alone", "cls", "n")).alias("p")).where("many > 1").select("sig", F.col("p.cls").alias("b"), F.col("p.n").alias("nb"), F.col("p.alone").alias("ub"))
-    met = cut(signed.join(pivots, "sig").select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("alone").alias("ua"), "b", "nb", "ub"))
-    tried = cut(met.where((F.col("a") != F.col("b")) & _possible(percent)).select("a", "b").distinct())
-    edges = cut(verified(tried, sets, percent))
-
-    # Members not in their pivot's component try two more members of it, then all that are left.
-    for last in (False, True):
-        comp = components(edges) if not edges.isEmpty() else spark.createDataFrame([], "node binary, comp binary")
-        own, pivot = comp.toDF("a", "ca"), comp.toDF("b", "cb")
-        held = met.join(own, "a", "left").join(pivot, "b", "left").select("sig", "a", "na", "ua", F.coalesce("ca", "a").alias("ca"), (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("apart"))
-        held = cut(held.join(held.where("apart").select("sig").distinct(), "sig", "left_semi"))
-        if held.isEmpty():
-            return measured, edges
-        apart = held.where("apart").drop("apart")
-        if not last:
-            more = [held.where("not apart").groupBy("sig").agg(F.min(F.struct(F.xxhash64("a", F.lit(seed)).alias("h"), "a", "na", "ua")).alias("p")).select("sig", F.col("p.a").alias("q"), F.col("p.na").alias("nb"), F.col("p.ua").alias("ub")) for seed in (1, 2)]
-            pairs = apart.join(more[0].union(more[1]), "sig").where(_possible(percent)).select("a", F.col("q").alias("b"))
-        else:
-            bits = sets.select(F.col("cls").alias("a"), *_BITS)
-            left = apart.join(bits, "a")
-            right = held.join(bits, "a").select("sig", F.col("a").alias("q"), F.col("na").alias("nb"), F.col("ua").alias("ub"), F.col("ca").alias("cq"), F.col("apart").alias("apart_too"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
-            pairs = left.join(right, "sig").where((F.col("ca") != F.col("cq")) & (~F.col("apart_too") | (F.col("a") < F.col("q"))) & _overlap_possible(percent)).select("a", F.col("q").alias("b"))
-        known = tried.union(tried.select("b", "a"))
-        pairs = cut(pairs.distinct().join(known, ["a", "b"], "left_anti"))
-        tried = tried.union(pairs)
-        edges = cut(edges.union(verified(pairs, sets, percent)))
-    return measured, edges
+    # Three members of each signature stand for it: the one with the fewest tokens of its own, and two by a hash.
+    member = lambda first: F.min(F.struct(first.alias("o"), "cls", "n", "alone"))
+    pivots = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), *(member(o).alias(f"p{i}") for i, o in enumerate((F.col("alone"), F.xxhash64("cls", F.lit(1)), F.xxhash64("cls", F.lit(2)))))).where("many > 1")
+    pivots = pivots.select("sig", F.col("p0.cls").alias("home"), F.array(*(F.struct(f"p{i}.cls", f"p{i}.n", f"p{i}.alone") for i in range(3))).alias("p"))
+    met = cut(signed.join(pivots, "sig").select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("alone").alias("ua"), "home", "p"))
+    pairs = met.select("a", "na", "ua", F.explode(F.array_distinct("p")).alias("p")).select("a", "na", "ua", F.col("p.cls").alias("b"), F.col("p.n").alias("nb"), F.col("p.alone").alias("ub"))
+    edges = cut(verified(pairs.where((F.col("a") != F.col("b")) & _possible(percent)).select("a", "b").distinct(), sets, percent))
+    comp = components(edges) if not edges.isEmpty() else none
+
+    # What is not in its signature's component is compared with all that are left.
+    own, other = comp.toDF("a", "ca"), comp.toDF("home", "ch")
+    held = met.join(own, "a", "left").join(other, "home", "left").select("sig", "a", "na", "ua", F.coalesce("ca", "a").alias("ca"), (F.coalesce("ca", "a") != F.coalesce("ch", "home")).alias("apart"))
+    held = cut(held.join(held.where("apart").select("sig").distinct(), "sig", "left_semi"))
+    if held.isEmpty():
+        return measured, comp
+    bits = sets.select(F.col("cls").alias("a"), *_BITS)
+    left = held.where("apart").drop("apart").join(bits, "a")
+    right = held.join(bits, "a").select("sig", F.col("a").alias("q"), F.col("na").alias("nb"), F.col("ua").alias("ub"), F.col("ca").alias("cq"), F.col("apart").alias("apart_too"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
+    pairs = left.join(right, "sig").where((F.col("ca") != F.col("cq")) & (~F.col("apart_too") | (F.col("a") < F.col("q"))) & _overlap_possible(percent)).select("a", F.col("q").alias("b"))
+    late = cut(verified(pairs.distinct(), sets, percent))
+    return measured, (comp if late.isEmpty() else components(edges.union(late)))
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 1_500_000) -> DataFrame:
     """(id, row, n_shingles, component_id) per row of ``docs``; ``row`` is ``xxhash64(id, text)``."""
-    measured, edges = link_classes(docs, k, percent, id_col, text_col, chunk_tokens)
-    comp = components(edges)
+    measured, comp = link_classes(docs, k, percent, id_col, text_col, chunk_tokens)
     classes = measured.where("n > 0").groupBy("cls").agg(F.min("id").alias("low"))
     joined = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "low", F.coalesce("comp", "cls").alias("comp"))
     lows = joined.groupBy("comp").agg(F.min("low").alias("component_id"))
