@@ -7,10 +7,11 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from weblake.operators.detail import completed, error_details
 from weblake.operators.table import EntryTable
 from weblake.plans import catalog
 from weblake.sources import files
-from weblake.streaming.ingest import Ingestion, error_details
+from weblake.streaming.ingest import Ingestion
 
 NOW = 1735740000
 
@@ -106,9 +107,22 @@ def test_error_log(spark, tmp_path, log):
     work = Ingestion(spark, str(tmp_path / "table"), [log], {log})
     work.round(NOW)
     rows = error_details(work.table.read()).collect()
+    assert completed(error_details(work.table.read())).where("upstream <> '' or protocol is not null or pid <> 1").count() == 0
     assert sorted(r["level"] for r in rows) == ["crit", "error", "info", "warn"] and {(r["ip"], r["path"], r["message"], r["host"]) for r in rows} == {("1.2.3.4", "/x", "bad", "h")}
 
 
+def test_stale_groups_go_in_the_second_round(work, log):
+    put(log, range(3))
+    work.round(NOW)
+    assert work.prune({log}) == set() and work.prune({"/other"}) == set()
+    os.remove(log)
+    assert work.prune(set()) == set()
+    first = work.prune({"/other"})
+    assert first == {log} and work.table.count() == 3
+    work.prune({"/other"}, first)
+    assert work.table.count() == 0 and work.states() == {}
+
+
 def test_stream(spark, tmp_path, log):
     work = Ingestion(spark, str(tmp_path / "table"), [log])
     put(log, range(3))

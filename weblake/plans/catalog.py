@@ -42,6 +42,14 @@ def groups(states: DataFrame, hosts: DataFrame) -> DataFrame:
     )
 
 
+def ungrouped(states: DataFrame, hosts: DataFrame) -> DataFrame:
+    """One row per listed log with its own state, not indexed where it has none."""
+    own = states.select(F.col("path").alias("_path"), "index_status", "document_count", "last_size", "last_indexed", "timerange_start", "timerange_end")
+    return hosts.join(own, hosts["path"] == own["_path"], "left").select(
+        "path", "type", F.coalesce("index_status", F.lit("not_indexed")).alias("index_status"), F.coalesce("document_count", F.lit(0)).alias("document_count"), F.coalesce("last_size", F.lit(0)).alias("last_size"), "last_indexed", "timerange_start", "timerange_end"
+    )
+
+
 def filtered(listing: DataFrame, type_: str | None = None, name: str | None = None, path: str | None = None, indexed: str | None = None) -> DataFrame:
     """Groups of a type, with a part of their name or path, that are indexed (true), not (false) or being indexed."""
     if type_:
@@ -131,7 +139,7 @@ def cleanup(states: DataFrame, now: int, days: int) -> DataFrame:
 
 def reset_tasks(states: DataFrame) -> DataFrame:
     open_ = F.col("index_status").isin("indexing", "queued")
-    return states.withColumn("index_status", F.when(open_, "not_indexed").otherwise(F.col("index_status"))).withColumn("queue_position", F.when(open_, 0).otherwise(F.col("queue_position")))
+    return states.withColumns({"index_status": F.when(open_, "not_indexed").otherwise(F.col("index_status")), "queue_position": F.when(open_, 0).otherwise(F.col("queue_position"))})
 
 
 def widen(states: DataFrame, log_group: str, documents: int, first: Column, last: Column) -> DataFrame:

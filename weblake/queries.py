@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .functions import access, errorlog, geo, params, rotation, text, useragent
 from .operators import dashboard as dash
-from .operators import facets, geography, table
+from .operators import detail, facets, geography, table
 from .operators.search import SearchRequest, by_relevance, hits, highlighted, latest, matching, total
 from .plans import catalog
 from .streaming import ingest
@@ -196,6 +196,10 @@ _add(
 _add("geo_lookup", lambda s, d: geography.locate(fixtures.events(s, d).select("id", "ip"), fixtures.geo_ranges(s)).select("id", "ip", "region_code", "city_id", "sub1", "sub2", "city_point"), "SELECT id, ip, region_code, city_id, sub1, sub2, city_point FROM entries")
 _add("geo_location_label", lambda s, d: fixtures.entries(s, d).select("id", geo.location_label(F.col("region_code"), F.col("province"), F.col("city")).alias("label")), "SELECT id, concat_ws(', ', region_code, province, city) AS label FROM entries")
 
+_add("entries_completed", lambda s, d: detail.completed(fixtures.entries(s, d).select("id", "level", "region_code", "city_id", "referer", "browser", "request_time")), "SELECT id, level, coalesce(region_code, '') AS region_code, coalesce(city_id, 0) AS city_id, coalesce(referer, '') AS referer, coalesce(browser, '') AS browser, request_time FROM entries")
+_add("entries_labelled", lambda s, d: detail.labelled(fixtures.entries(s, d), chinese=True).select("id", "ip_location_label"), "SELECT id, concat_ws(' ', CASE region_code WHEN 'CN' THEN '中国' ELSE region_code END, province, city) AS ip_location_label FROM entries")
+_add("error_details", lambda s, d: detail.error_details(fixtures.error_lines(s, d).withColumn("level", F.lit("error"))).select("id", *detail.DETAILS), "SELECT id, 'no handler for ' || path AS message, 'example.com' AS server, method || ' ' || path || ' HTTP/1.1' AS request, NULL::VARCHAR AS upstream, 'example.com' AS host, 12::BIGINT AS pid, CAST(substr(id, 3) AS BIGINT) AS connection FROM entries WHERE path LIKE '/error/%'")
+
 # --- parsing --------------------------------------------------------------------------------------------------------------
 
 
@@ -264,6 +268,9 @@ _state_query(
     lambda s, st: catalog.groups(st, _hosts(s)).select("path", "type", "index_status", "document_count", "last_size", F.unix_timestamp("timerange_start").alias("first"), F.unix_timestamp("timerange_end").alias("last")),
     "SELECT main_log_path AS path, 'access' AS type, CASE WHEN bool_or(index_status = 'queued') THEN 'queued' ELSE 'indexed' END AS index_status, coalesce(max(document_count) FILTER (WHERE path = main_log_path), CAST(sum(document_count) AS BIGINT)) AS document_count, coalesce(max(last_size) FILTER (WHERE path = main_log_path), CAST(sum(last_size) AS BIGINT)) AS last_size, min(first) AS first, max(last) AS last FROM states GROUP BY main_log_path UNION ALL SELECT '/var/log/web/new.error.log', 'error', 'not_indexed', 0, 0, NULL, NULL",
 )
+_state_query("catalog_ungrouped", lambda s, st: catalog.ungrouped(st, _hosts(s)).select("path", "type", "index_status", "document_count", "last_size"), "SELECT path, 'access' AS type, index_status, document_count, last_size FROM states WHERE path = '/var/log/web/shop.access.log' UNION ALL SELECT '/var/log/web/new.error.log', 'error', 'not_indexed', 0, 0")
+_state_query("catalog_changes", lambda s, st: catalog.reset_tasks(catalog.enable(catalog.delete(st, path="/var/log/web/shop.access.log.1"), "/var/log/web/blog.access.log.1", False)).groupBy("index_status", "enabled").agg(F.count(F.lit(1)).alias("n"), F.sum("queue_position").alias("positions")), "SELECT CASE WHEN index_status = 'queued' THEN 'not_indexed' ELSE index_status END AS index_status, enabled AND path <> '/var/log/web/blog.access.log.1' AS enabled, count(*) AS n, CAST(sum(CASE WHEN index_status = 'queued' THEN 0 ELSE queue_position END) AS BIGINT) AS positions FROM states WHERE path <> '/var/log/web/shop.access.log.1' GROUP BY 1, 2")
+_state_query("catalog_needs_indexing", lambda s, st: st.select("path", catalog.needs_indexing(F.col("last_size") + F.length("path") % 2, F.col("last_modified")).alias("changed"), catalog.needs_rebuild(F.col("last_size") - F.length("path") % 2, F.col("last_modified")).alias("rebuild"), catalog.is_healthy().alias("healthy"), catalog.can_retry().alias("retry")), "SELECT path, length(path) % 2 = 1 AS changed, length(path) % 2 = 1 AS rebuild, index_status <> 'error' AND enabled AS healthy, index_status = 'error' AS retry FROM states")
 _state_query("catalog_filtered", lambda s, st: catalog.filtered(catalog.groups(st, _hosts(s)), type_="access", name="access", path="web", indexed="indexing").select("path"), "SELECT DISTINCT main_log_path AS path FROM states WHERE index_status = 'queued'")
 _state_query("catalog_summary", lambda s, st: catalog.listing_summary(catalog.groups(st, _hosts(s))), "SELECT 3::BIGINT AS total_files, count(*) FILTER (WHERE NOT q) AS indexed_files, count(*) FILTER (WHERE q) AS indexing_files, CAST(sum(n) AS BIGINT) AS total_documents FROM (SELECT bool_or(index_status = 'queued') AS q, coalesce(max(document_count) FILTER (WHERE path = main_log_path), sum(document_count)) AS n FROM states GROUP BY main_log_path)")
 _state_query("catalog_stats", lambda s, st: catalog.persistence_stats(st, START + 12 * DAY), f"SELECT count(*) AS total_files, count(*) FILTER (WHERE enabled) AS enabled_files, CAST(sum(document_count) AS BIGINT) AS total_documents, count(*) FILTER (WHERE last >= {START + 12 * DAY - 3600}) AS changed_files FROM states")

@@ -32,6 +32,9 @@ class FileState:
         return asdict(self)
 
 
+STATE_SCHEMA = "path string, main_log_path string, fingerprint string, position long, size long, modified double, indexed double, sync_version int"
+
+
 @dataclass
 class Slice:
     """Bytes of a file to read; ``purge``: what was read from it before is void."""
@@ -175,4 +178,4 @@ def lines(piece: Slice):
 
 
 def state_after(piece: Slice, now: float) -> FileState:
-    return FileState(piece.path, piece.main_log_path, piece.fingerprint, max(piece.start, piece.end), piece.size, piece.modified, now)
+    return FileState(piece.path, piece.main_log_path, piece.fingerprint, max(piece.start, piece.end), piece.size, piece.modified, float(now))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +39,6 @@ def error_entries(lines: DataFrame) -> DataFrame:
     )
 
 
-def error_details(entries: DataFrame) -> DataFrame:
-    """Error entries with the fields of their lines."""
-    fields = ("message", "server", "request", "upstream", "host", "pid", "connection")
-    return entries.withColumn("_e", F.when(F.col("level").isNotNull(), error_entry(F.col("raw")))).select("*", *(F.col(f"_e.{c}").alias(c) for c in fields)).drop("_e")
-
-
 def counted(lines: DataFrame) -> DataFrame:
     """One row: lines read, parsed, not parsed, and the share of those."""
     ok = access_entry(F.col("raw")).isNotNull().cast("int")
@@ -62,7 +57,7 @@ class Ingestion:
 
     def states(self) -> dict[str, files.FileState]:
         try:
-            return {r["path"]: files.FileState(**r.asDict()) for r in self.spark.read.json(self.state_path).collect()}
+            return {r["path"]: files.FileState(**r.asDict()) for r in self.spark.read.schema(files.STATE_SCHEMA).json(self.state_path).collect()}
         except Exception as error:  # the first round has none
             if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
                 return {}
@@ -84,11 +79,26 @@ class Ingestion:
         if self.error_logs:
             entries = entries.unionByName(error_entries(lines.where(is_error)), allowMissingColumns=True)
         self.table.upsert(entries)
-        after = states | {s.path: files.state_after(s, now) for s in slices}
-        staged = self.spark.createDataFrame([s.json() for s in after.values()])
-        staged.coalesce(1).write.mode("overwrite").json(self.state_path)
+        self._save(states | {s.path: files.state_after(s, now) for s in slices})
         return len(slices)
 
+    def prune(self, listed: set[str], before: set[str] = frozenset()) -> set[str]:
+        """Removes groups that the host does not list, whose file is gone, and that the round ``before`` found stale too; the
+        groups found stale now.  With nothing listed nothing is stale."""
+        states = self.states()
+        stale = {s.main_log_path for s in states.values() if listed and s.main_log_path not in listed and not os.path.exists(s.main_log_path)}
+        gone = stale & before
+        for group in sorted(gone):
+            self.table.drop_group(group)
+        if gone:
+            self._save({p: s for p, s in states.items() if s.main_log_path not in gone})
+        return stale - gone
+
+    def _save(self, states: dict[str, files.FileState]) -> None:
+        rows = [s.json() for s in states.values()]
+        frame = self.spark.createDataFrame(rows, files.STATE_SCHEMA)
+        frame.coalesce(1).write.mode("overwrite").json(self.state_path)
+
     def stream(self, checkpoint: str, now: int, every: str | None = None):
         """The same as a streaming query: all that is there (default), or rounds ``every`` interval."""
         lines = self.spark.readStream.format("rotated_log").option("groups", json.dumps(self.groups)).load()
