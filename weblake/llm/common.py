@@ -30,7 +30,7 @@ def ship(spark: SparkSession) -> None:
     shipping.ship(spark)
     # Texts are long: the default of 10,000 rows a batch takes a Python worker hundreds of MB.
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,6 +137,14 @@ def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.n
     return h, counts, points[e] - points[s]
 
 
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and counts of ``word_hashes`` for many texts, a block at a time to stay in the processor's cache."""
+    parts = [word_hashes(texts[a:b])[:2] for a, b in blocks(map(len, texts))]
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts])
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` consecutive words."""
     n = len(h) - k + 1

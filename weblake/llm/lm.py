@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, cut, file_system, mix, shared_dir, word_hashes
+from .common import as_bytes, blocks, cut, file_system, hashed_words, mix, shared_dir
 from .elias_fano import EliasFano, encode, pack_bits, read_bits
 
 END = np.uint64(0x5E1F_E11D_0F_7E87)
 #: Quantised logarithms: 0 is probability 1, a step is 16 / 65535 of a power of ten.
 _STEP = 16 / 65535
-_BLOCK_CHARS = 4 << 20
+_BLOCK_CHARS = 12 << 20
 _HELD = 2_000_000
 
 
@@ -91,6 +91,19 @@ def _sequence(folder: str, name: str, prefix: str) -> EliasFano:
     return EliasFano(map_arrays(folder, name), prefix)
 
 
+def _seen(keys: np.ndarray) -> np.ndarray:
+    """A bit for each of the keys' hash values, eight bits a key or more: spares the search for most keys that are not there."""
+    bits = np.zeros(1 << max(6, int(8 * len(keys)).bit_length()), np.uint8)
+    bits[mix(keys) >> np.uint64(64 - (len(bits).bit_length() - 1))] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def _maybe(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys that may be there."""
+    at = mix(keys) >> np.uint64(64 - (8 * len(seen)).bit_length() + 1)
+    return np.flatnonzero((seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+
+
 # --- the model ----------------------------------------------------------------------------------------------------
 
 
@@ -127,6 +140,8 @@ class Model:
         shard = np.searchsorted(level.starts, keys, side="right") - 1
         for s, at in self._by_shard(shard):
             if s >= 0:
+                if n > 1:
+                    at = at[_maybe(map_arrays(self.folder, level.names[s])["seen"], keys[at])]
                 found = _sequence(self.folder, level.names[s], "key_").find(keys[at] - level.starts[s])
                 out[at] = np.where(found >= 0, found + level.bases[s], -1)
         return out
@@ -180,7 +195,7 @@ class _Tokens:
     """The tokens of a block of texts: vocabulary nodes (-1: not known), counts, and the text of each."""
 
     def __init__(self, model: Model, texts: list[bytes]):
-        h, sizes, _ = word_hashes(texts)
+        h, sizes = hashed_words(texts)
         self.sizes = sizes + 1
         self.text = np.repeat(np.arange(len(texts)), self.sizes)
         keys = np.full(len(self.text), END, np.uint64)
@@ -226,7 +241,7 @@ def _add(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 def _keys(model: Model, n: int, texts: list[bytes], least: int) -> np.ndarray:
     """The keys of the level-n grams of the texts that can be kept."""
     if n == 1:
-        h, _, _ = word_hashes(texts)
+        h, _ = hashed_words(texts)
         return np.concatenate((h, np.full(len(texts), END, np.uint64)))
     t = _Tokens(model, texts)
     nodes = np.where(t.count >= least, t.node, -1)
@@ -322,7 +337,7 @@ def _build(model: Model, n: int, bounds: np.ndarray, least: int, discount: float
             children = np.diff(np.concatenate((first, [len(k)])))
             total = model.counts(n - 1, parents)
             p = restore(quantise((c - discount) / np.repeat(total, children)))
-            arrays["prob"] = quantise(p)
+            arrays |= {"prob": quantise(p), "seen": _seen(k)}
             mass = np.add.reduceat(p, first)
         name = write_arrays(model.folder, f"level{n}", arrays)
         return pa.table(
