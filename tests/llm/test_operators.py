@@ -327,10 +327,19 @@ def test_special_strings_and_case():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, encoder = Tokenizer.from_file(path), packing._Encoder(path)
-    for t in ("a<|endoftext|>b <|EndOfText|> C.", "İstanbul ΣΑΣ. x's. 'S, d., ...", "é ́x\x1cy\x85z w .,", "", "  ", "Don't, stop. 12,5 .a", "l.e. e.g., ."):
+    for t in ("a<|endoftext|>b <|EndOfText|> C.", "İstanbul ΣΑΣ. x's. 'S, d., ...", "é ́x\x1cy\x85z w .,", "", "  ", "Don't, stop. 12,5 .a", "l.e. e.g., .", "straße Ünïted ﬁn ǅ naïve nai\u0308ve ªº µm ÿØ"):
         assert np.frombuffer(next(encoder.texts([t.encode()])), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = "Two  words, and\nlines."
+    assert np.frombuffer(next(packing._Encoder(path).texts([t.encode()])), "<u4").tolist() == Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
+
+
 def test_patterns_hold_the_histogram():
     rng = random.Random(4)
     for size in (16, 100, 4096):

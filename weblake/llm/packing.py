@@ -15,7 +15,9 @@ rows; equal rows are interchangeable; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,9 +37,13 @@ _encoders: dict = {}
 keep_cache("packing", _encoders.clear)
 
 
+#: Words of these letters alone are not changed by normalisation nor cut before merging.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
 class _Encoder(dict):
-    """Word -> its ids as little-endian 32-bit integers.  The tokenizer drops white space and never joins across it,
-    so a text's ids are those of its words, one after the other."""
+    """Word -> its ids as little-endian 32-bit integers, for a tokenizer that lower-cases, drops white space and never joins
+    across it: a text's ids are those of its words, one after the other.  Any other tokenizer gets whole texts."""
 
     def __init__(self, path: str):
         # A task has one core: threads of the library's own only wait for each other.
@@ -46,12 +52,29 @@ class _Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        cutters = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_words = steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cutters] == ["Split", "ByteLevel"] and cutters[0]["invert"] and "[\\p{L}]+" in cutters[0]["pattern"]["Regex"]
+        if self.by_words:
+            rules |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": cutters[1]}
+            self.merges_only = Tokenizer.from_str(json.dumps(rules))
 
     def _encode(self, words: list[bytes]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            self[word] = array("I", e.ids).tobytes()
+        plain: list[str] = []
+        other: list[str] = []
+        for w in words:
+            text = w.decode()
+            (plain if _PLAIN.fullmatch(text) else other).append(text)
+        for tokenizer, part in ((self.merges_only, plain), (self.tokenizer, other)):
+            for text, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self[text.encode()] = array("I", e.ids).tobytes()
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not self.by_words:
+            for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
+            return
         if len(self) > _MOST_WORDS:
             self.clear()
         found, gaps, new = [], [], set()
