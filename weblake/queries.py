@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import glob
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,7 +87,7 @@ _add(
 _add("search_total", lambda s, d: total(fixtures.entries(s, d), SearchRequest(start=START, end=END, exact={"status": [404, 500]})), f"SELECT count(*) AS total FROM entries WHERE {_IN} AND status IN (404, 500)")
 _add("search_highlight", lambda s, d: highlighted(fixtures.entries(s, d), SearchRequest(query="signup", limit=20, fields=["id", "path"], phrases={"path": ["signup"]}), ("path",)), "SELECT id, replace(path, 'signup', '<mark>signup</mark>') AS path FROM entries WHERE path LIKE '/signup/%' ORDER BY timestamp DESC, id LIMIT 20")
 _add(
-    "search_relevance",
+    "relevance",
     lambda s, d: by_relevance(s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), F.col("url").alias("raw")), "example.org en 85 top", 50).select("id", F.round("score", 6).alias("score")),
     f"""WITH words AS (SELECT page_id AS id, {_TOKENS.format("url")} AS t FROM pages), n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM words),
 seen AS (SELECT id, len(t) AS n, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM words) WHERE term IN ('example.org', 'en', '85', 'top') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM seen GROUP BY term)
@@ -161,10 +164,10 @@ def _top_sql(column: str, size: int) -> str:
 
 
 _dash("dash_browsers", lambda s, r: dash.browsers(dash.window(r, START, END)), _top_sql("browser", 50))
-_dash("dash_systems", lambda s, r: dash.systems(dash.window(r, START, END)), _top_sql("os", 50))
+_dash("dash_os", lambda s, r: dash.systems(dash.window(r, START, END)), _top_sql("os", 50))
 _dash("dash_devices", lambda s, r: dash.devices(dash.window(r, START, END)), _top_sql("device_type", 50))
-_dash("dash_urls", lambda s, r: dash.urls(dash.window(r, START, END)), _top_sql("path_exact", 100))
-_add("dash_empty_window", lambda s, d: dash.dashboard(s, fixtures.entries(s, d), 1700006400, 1700006400 + DAY)["hourly"], "SELECT 0 AS hour, 0::BIGINT AS timestamp, 0::BIGINT AS uv, 0::BIGINT AS pv WHERE FALSE")
+_dash("dash_top_urls", lambda s, r: dash.urls(dash.window(r, START, END)), _top_sql("path_exact", 100))
+_add("dash_empty", lambda s, d: dash.dashboard(s, fixtures.entries(s, d), 1700006400, 1700006400 + DAY)["hourly"], "SELECT 0 AS hour, 0::BIGINT AS timestamp, 0::BIGINT AS uv, 0::BIGINT AS pv WHERE FALSE")
 _LAST = START + 6 * DAY
 _add(
     "dash_day_hours",
@@ -176,7 +179,7 @@ _add(
 
 _add("geo_countries", lambda s, d: geography.countries(fixtures.entries(s, d)), "SELECT region_code AS code, count(*) AS value FROM entries WHERE region_code IS NOT NULL GROUP BY 1 ORDER BY value DESC, code LIMIT 300")
 _PERCENT = "SELECT code, value, 100.0::DOUBLE * value / sum(value) OVER () AS percent FROM (SELECT region_code AS code, count(*) AS value FROM entries WHERE region_code IS NOT NULL GROUP BY 1)"
-_add("geo_world_map", lambda s, d: geography.world_map(fixtures.entries(s, d)), _PERCENT)
+_add("geo_world", lambda s, d: geography.world_map(fixtures.entries(s, d)), _PERCENT)
 _add("geo_top_countries", lambda s, d: geography.top_countries(fixtures.entries(s, d), 3), f"{_PERCENT} ORDER BY value DESC, code LIMIT 3")
 _add("geo_provinces", lambda s, d: geography.provinces(fixtures.entries(s, d), "FR"), "SELECT province AS code, count(*) AS value FROM entries WHERE region_code = 'FR' GROUP BY 1")
 _add("geo_cities", lambda s, d: geography.cities(fixtures.entries(s, d), "Ile-de-France"), "SELECT city AS code, count(*) AS value FROM entries WHERE province = 'Ile-de-France' GROUP BY 1")
@@ -186,15 +189,15 @@ def _shares_sql(country: str) -> str:
     return f"SELECT code, min(level) AS level, count(*) AS value, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM entries WHERE region_code = '{country}') AS percent FROM (SELECT sub1 AS code, 1 AS level FROM entries WHERE region_code = '{country}' UNION ALL SELECT sub2, 2 FROM entries WHERE region_code = '{country}') WHERE code IS NOT NULL GROUP BY code"
 
 
-_add("geo_region_shares", lambda s, d: geography.region_shares(fixtures.entries(s, d), "FR"), _shares_sql("FR"))
-_add("geo_region_shares_cn", lambda s, d: geography.region_shares(fixtures.entries(s, d), "CN"), _shares_sql("CN"))
+_add("geo_regions", lambda s, d: geography.region_shares(fixtures.entries(s, d), "FR"), _shares_sql("FR"))
+_add("geo_regions_cn", lambda s, d: geography.region_shares(fixtures.entries(s, d), "CN"), _shares_sql("CN"))
 _add(
-    "geo_city_hotspots",
+    "geo_points",
     lambda s, d: geography.city_hotspots(fixtures.entries(s, d), 4),
     "SELECT split_part(city_point, '|', 1) AS country, split_part(city_point, '|', 2) AS city, CAST(split_part(city_point, '|', 3) AS DOUBLE) AS latitude, CAST(split_part(city_point, '|', 4) AS DOUBLE) AS longitude, CAST(split_part(city_point, '|', 5) AS BIGINT) AS city_id, value, percent FROM (SELECT city_point, count(*) AS value, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS percent FROM entries WHERE city_point IS NOT NULL GROUP BY 1 ORDER BY value DESC, city_point LIMIT 4)",
 )
-_add("geo_lookup", lambda s, d: geography.locate(fixtures.events(s, d).select("id", "ip"), fixtures.geo_ranges(s)).select("id", "ip", "region_code", "city_id", "sub1", "sub2", "city_point"), "SELECT id, ip, region_code, city_id, sub1, sub2, city_point FROM entries")
-_add("geo_location_label", lambda s, d: fixtures.entries(s, d).select("id", geo.location_label(F.col("region_code"), F.col("province"), F.col("city")).alias("label")), "SELECT id, concat_ws(', ', region_code, province, city) AS label FROM entries")
+_add("geo_range_join", lambda s, d: geography.locate(fixtures.events(s, d).select("id", "ip"), fixtures.geo_ranges(s)).select("id", "ip", "region_code", "city_id", "sub1", "sub2", "city_point"), "SELECT id, ip, region_code, city_id, sub1, sub2, city_point FROM entries")
+_add("location_label", lambda s, d: fixtures.entries(s, d).select("id", geo.location_label(F.col("region_code"), F.col("province"), F.col("city")).alias("label")), "SELECT id, concat_ws(', ', region_code, province, city) AS label FROM entries")
 
 _add("entries_completed", lambda s, d: detail.completed(fixtures.entries(s, d).select("id", "level", "region_code", "city_id", "referer", "browser", "request_time")), "SELECT id, level, coalesce(region_code, '') AS region_code, coalesce(city_id, 0) AS city_id, coalesce(referer, '') AS referer, coalesce(browser, '') AS browser, request_time FROM entries")
 _add("entries_labelled", lambda s, d: detail.labelled(fixtures.entries(s, d), chinese=True).select("id", "ip_location_label"), "SELECT id, concat_ws(' ', CASE region_code WHEN 'CN' THEN '中国' ELSE region_code END, province, city) AS ip_location_label FROM entries")
@@ -210,33 +213,33 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
 _FIELDS = ("timestamp", "ip", "method", "path", "protocol", "status", "bytes_sent", "referer", "request_time", "upstream_time")
 _add("parse_access", lambda s, d: _lines(s, d).select("id", access.access_entry(F.col("raw")).alias("e")).select("id", *(F.col(f"e.{c}").alias(c) for c in _FIELDS)), f"SELECT id, {', '.join(c for c in _FIELDS if c != 'referer')}, coalesce(referer, '-') AS referer FROM entries")
 _add(
-    "parse_user_agent",
+    "ua_classify",
     lambda s, d: useragent.with_user_agent(_lines(s, d).select("id", access.access_entry(F.col("raw"))["user_agent"].alias("user_agent"))).select("id", "browser", "browser_version", "os", "os_version", "device_type"),
     "SELECT id, browser, browser_version, os, os_version, device_type FROM entries",
 )
 _add("user_agent_kinds", lambda s, d: fixtures.events(s, d).groupBy("user_agent").count().select("user_agent", "count", useragent.is_bot(F.col("user_agent")).alias("bot"), useragent.is_mobile(F.col("user_agent")).alias("mobile"), useragent.is_tablet(F.col("user_agent")).alias("tablet"), useragent.simple_device(F.col("user_agent")).alias("device")), "SELECT user_agent, count(*) AS count, coalesce(browser = 'Bot', FALSE) AS bot, device_type = 'iPhone' AS mobile, device_type IN ('Tablet', 'iPad') AS tablet, CASE device_type WHEN 'iPhone' THEN 'Mobile' WHEN 'iPad' THEN 'Tablet' ELSE device_type END AS device FROM entries GROUP BY ALL")
-_add("parse_round_trip", lambda s, d: _lines(s, d).select(access.access_entry(F.col("raw")).alias("e")).select("e.*").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ip").alias("ips"), F.sum("bytes_sent").alias("bytes"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")), "SELECT status, count(*) AS n, count(DISTINCT ip) AS ips, CAST(sum(bytes_sent) AS BIGINT) AS bytes, min(timestamp) AS first, max(timestamp) AS last FROM entries GROUP BY status")
+_add("parse_access_roundtrip", lambda s, d: _lines(s, d).select(access.access_entry(F.col("raw")).alias("e")).select("e.*").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ip").alias("ips"), F.sum("bytes_sent").alias("bytes"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")), "SELECT status, count(*) AS n, count(DISTINCT ip) AS ips, CAST(sum(bytes_sent) AS BIGINT) AS bytes, min(timestamp) AS first, max(timestamp) AS last FROM entries GROUP BY status")
 _add(
-    "parse_error",
+    "parse_error_roundtrip",
     lambda s, d: fixtures.error_lines(s, d).select("id", errorlog.error_entry(F.col("raw")).alias("e")).select("id", *(F.col(f"e.{c}").alias(c) for c in ("timestamp", "level", "pid", "connection", "message", "client", "server", "request", "host", "referrer", "method", "path"))),
     "SELECT id, timestamp, CASE WHEN status = 500 THEN 'error' ELSE 'warn' END AS level, 12::BIGINT AS pid, CAST(substr(id, 3) AS BIGINT) AS connection, 'no handler for ' || path AS message, ip AS client, 'example.com' AS server, method || ' ' || path || ' HTTP/1.1' AS request, 'example.com' AS host, referer || ', x' AS referrer, method, path FROM entries WHERE path LIKE '/error/%'",
 )
 _add("parse_error_levels", lambda s, d: fixtures.error_lines(s, d).select(errorlog.level_of(F.regexp_extract("raw", r"\[(\w+)\]", 1)).alias("level")).groupBy("level").count(), "SELECT CASE WHEN status = 500 THEN 'error' ELSE 'warn' END AS level, count(*) AS count FROM entries WHERE path LIKE '/error/%' GROUP BY 1")
-_add("validate_entries", lambda s, d: ingest.access_entries(_lines(s, d).withColumns({"fingerprint": F.md5("main_log_path"), "offset": F.substring("id", 3, 12).cast("long")}), START + 3 * DAY).agg(F.count(F.lit(1)).alias("n")), f"SELECT count(*) AS n FROM entries WHERE timestamp <= {START + 4 * DAY}")
+_add("validate_rows", lambda s, d: ingest.access_entries(_lines(s, d).withColumns({"fingerprint": F.md5("main_log_path"), "offset": F.substring("id", 3, 12).cast("long")}), START + 3 * DAY).agg(F.count(F.lit(1)).alias("n")), f"SELECT count(*) AS n FROM entries WHERE timestamp <= {START + 4 * DAY}")
 _add("parse_counters", lambda s, d: ingest.counted(_lines(s, d).union(s.createDataFrame([("x", "", "m", "f")], "id string, raw string, main_log_path string, file_path string"))).select("processed", "succeeded", "failed"), "SELECT count(*) + 1 AS processed, count(*) AS succeeded, 1::BIGINT AS failed FROM entries")
 _add("text_tokens", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select(F.explode(text.tokens(F.col("url"))).alias("token")).groupBy("token").count(), f"SELECT token, count(*) AS count FROM (SELECT unnest({_TOKENS.format('url')}) AS token FROM pages) GROUP BY token")
-_add("rotation_groups", lambda s, d: fixtures.events(s, d).select("file_path").distinct().select("file_path", rotation.main_log_path(F.col("file_path")).alias("main"), rotation.is_compressed(F.col("file_path")).alias("compressed"), rotation.is_rotated(F.col("file_path")).alias("rotated")), "SELECT DISTINCT file_path, main_log_path AS main, file_path LIKE '%.gz' AS compressed, file_path <> main_log_path AS rotated FROM entries")
+_add("rotation_group", lambda s, d: fixtures.events(s, d).select("file_path").distinct().select("file_path", rotation.main_log_path(F.col("file_path")).alias("main"), rotation.is_compressed(F.col("file_path")).alias("compressed"), rotation.is_rotated(F.col("file_path")).alias("rotated")), "SELECT DISTINCT file_path, main_log_path AS main, file_path LIKE '%.gz' AS compressed, file_path <> main_log_path AS rotated FROM entries")
 _add("percent_of_hours", lambda s, d: fixtures.events(s, d).groupBy(params.hour_of(F.col("timestamp")).alias("hour")).agg(F.count(F.lit(1)).alias("n"), params.percent(F.sum((F.col("status") >= 400).cast("int")), F.count(F.lit(1))).alias("failed")), "SELECT timestamp - timestamp % 3600 AS hour, count(*) AS n, 100.0::DOUBLE * count(*) FILTER (WHERE status >= 400) / count(*) AS failed FROM entries GROUP BY 1")
 
 # --- tables and catalogue ------------------------------------------------------------------------------------------------------
 
 _add(
-    "upsert_keep_last",
+    "dedupe_by_id",
     lambda s, d: table.keep_last(fixtures.entries(s, d).withColumn("_seq", F.lit(0)).unionByName(fixtures.entries(s, d).where("status = 404").withColumns({"_seq": F.lit(1), "bytes_sent": F.lit(-1).cast("long")}))).groupBy("main_log_path").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_sent").alias("bytes")),
     "SELECT main_log_path, count(*) AS n, CAST(sum(CASE WHEN status = 404 THEN -1 ELSE bytes_sent END) AS BIGINT) AS bytes FROM entries GROUP BY 1",
 )
 _add("null_rules", lambda s, d: table.compact_nulls(fixtures.entries(s, d).withColumns({"referer": F.coalesce("referer", F.lit("")), "request_time": F.coalesce("request_time", F.lit(0.0))})).agg(F.count("referer").alias("referers"), F.count("request_time").alias("times")), "SELECT count(referer) AS referers, count(request_time) AS times FROM entries")
-_add("document_ids", lambda s, d: fixtures.entries(s, d).select("id", table.document_id(F.md5("main_log_path"), F.col("bytes_sent")).alias("doc")).select("id", "doc", table.is_document_id(F.col("doc")).alias("own"), table.is_document_id(F.col("id")).alias("other")), "SELECT id, substr(md5(main_log_path), 1, 16) || '-' || bytes_sent AS doc, bytes_sent >= 0 AS own, FALSE AS other FROM entries")
+_add("doc_id", lambda s, d: fixtures.entries(s, d).select("id", table.document_id(F.md5("main_log_path"), F.col("bytes_sent")).alias("doc")).select("id", "doc", table.is_document_id(F.col("doc")).alias("own"), table.is_document_id(F.col("id")).alias("other")), "SELECT id, substr(md5(main_log_path), 1, 16) || '-' || bytes_sent AS doc, bytes_sent >= 0 AS own, FALSE AS other FROM entries")
 _add("count_by_file", lambda s, d: fixtures.entries(s, d).groupBy("main_log_path", "file_path").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")), "SELECT main_log_path, file_path, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM entries GROUP BY ALL")
 
 
@@ -264,7 +267,7 @@ def _state_query(name: str, run, sql: str) -> None:
 
 
 _state_query(
-    "catalog_groups",
+    "group_rollup",
     lambda s, st: catalog.groups(st, _hosts(s)).select("path", "type", "index_status", "document_count", "last_size", F.unix_timestamp("timerange_start").alias("first"), F.unix_timestamp("timerange_end").alias("last")),
     "SELECT main_log_path AS path, 'access' AS type, CASE WHEN bool_or(index_status = 'queued') THEN 'queued' ELSE 'indexed' END AS index_status, coalesce(max(document_count) FILTER (WHERE path = main_log_path), CAST(sum(document_count) AS BIGINT)) AS document_count, coalesce(max(last_size) FILTER (WHERE path = main_log_path), CAST(sum(last_size) AS BIGINT)) AS last_size, min(first) AS first, max(last) AS last FROM states GROUP BY main_log_path UNION ALL SELECT '/var/log/web/new.error.log', 'error', 'not_indexed', 0, 0, NULL, NULL",
 )
@@ -272,18 +275,37 @@ _state_query("catalog_ungrouped", lambda s, st: catalog.ungrouped(st, _hosts(s))
 _state_query("catalog_changes", lambda s, st: catalog.reset_tasks(catalog.enable(catalog.delete(st, path="/var/log/web/shop.access.log.1"), "/var/log/web/blog.access.log.1", False)).groupBy("index_status", "enabled").agg(F.count(F.lit(1)).alias("n"), F.sum("queue_position").alias("positions")), "SELECT CASE WHEN index_status = 'queued' THEN 'not_indexed' ELSE index_status END AS index_status, enabled AND path <> '/var/log/web/blog.access.log.1' AS enabled, count(*) AS n, CAST(sum(CASE WHEN index_status = 'queued' THEN 0 ELSE queue_position END) AS BIGINT) AS positions FROM states WHERE path <> '/var/log/web/shop.access.log.1' GROUP BY 1, 2")
 _state_query("catalog_needs_indexing", lambda s, st: st.select("path", catalog.needs_indexing(F.col("last_size") + F.length("path") % 2, F.col("last_modified")).alias("changed"), catalog.needs_rebuild(F.col("last_size") - F.length("path") % 2, F.col("last_modified")).alias("rebuild"), catalog.is_healthy().alias("healthy"), catalog.can_retry().alias("retry")), "SELECT path, length(path) % 2 = 1 AS changed, length(path) % 2 = 1 AS rebuild, index_status <> 'error' AND enabled AS healthy, index_status = 'error' AS retry FROM states")
 _state_query("catalog_filtered", lambda s, st: catalog.filtered(catalog.groups(st, _hosts(s)), type_="access", name="access", path="web", indexed="indexing").select("path"), "SELECT DISTINCT main_log_path AS path FROM states WHERE index_status = 'queued'")
-_state_query("catalog_summary", lambda s, st: catalog.listing_summary(catalog.groups(st, _hosts(s))), "SELECT 3::BIGINT AS total_files, count(*) FILTER (WHERE NOT q) AS indexed_files, count(*) FILTER (WHERE q) AS indexing_files, CAST(sum(n) AS BIGINT) AS total_documents FROM (SELECT bool_or(index_status = 'queued') AS q, coalesce(max(document_count) FILTER (WHERE path = main_log_path), sum(document_count)) AS n FROM states GROUP BY main_log_path)")
-_state_query("catalog_stats", lambda s, st: catalog.persistence_stats(st, START + 12 * DAY), f"SELECT count(*) AS total_files, count(*) FILTER (WHERE enabled) AS enabled_files, CAST(sum(document_count) AS BIGINT) AS total_documents, count(*) FILTER (WHERE last >= {START + 12 * DAY - 3600}) AS changed_files FROM states")
+_state_query("list_summary", lambda s, st: catalog.listing_summary(catalog.groups(st, _hosts(s))), "SELECT 3::BIGINT AS total_files, count(*) FILTER (WHERE NOT q) AS indexed_files, count(*) FILTER (WHERE q) AS indexing_files, CAST(sum(n) AS BIGINT) AS total_documents FROM (SELECT bool_or(index_status = 'queued') AS q, coalesce(max(document_count) FILTER (WHERE path = main_log_path), sum(document_count)) AS n FROM states GROUP BY main_log_path)")
+_state_query("persistence_stats", lambda s, st: catalog.persistence_stats(st, START + 12 * DAY), f"SELECT count(*) AS total_files, count(*) FILTER (WHERE enabled) AS enabled_files, CAST(sum(document_count) AS BIGINT) AS total_documents, count(*) FILTER (WHERE last >= {START + 12 * DAY - 3600}) AS changed_files FROM states")
 _state_query("catalog_incremental", lambda s, st: catalog.incremental_stats(st, START + 12 * DAY), f"SELECT main_log_path, count(*) AS total_files, count(*) FILTER (WHERE enabled) AS changed_files, count(*) FILTER (WHERE last + 60 < {START + 5 * DAY}) AS old_files, CAST(sum(document_count) AS BIGINT) AS total_documents FROM states GROUP BY 1")
-_state_query("catalog_status_histogram", catalog.status_histogram, "SELECT s AS index_status, count(path) AS files FROM unnest(['not_indexed', 'queued', 'indexing', 'indexed', 'error']) t(s) LEFT JOIN states ON index_status = s AND enabled GROUP BY s")
+_state_query("status_histogram", catalog.status_histogram, "SELECT s AS index_status, count(path) AS files FROM unnest(['not_indexed', 'queued', 'indexing', 'indexed', 'error']) t(s) LEFT JOIN states ON index_status = s AND enabled GROUP BY s")
 _state_query("catalog_queued", lambda s, st: catalog.queued(st).select("path", "queue_position"), "SELECT path, queue_position FROM states WHERE enabled AND index_status = 'queued'")
 _state_query("catalog_recoverable", lambda s, st: catalog.recoverable(st, START + 6 * DAY), f"SELECT DISTINCT main_log_path FROM states WHERE index_status = 'queued' OR (index_status = 'error' AND last > {START + 6 * DAY - 3600})")
-_state_query("catalog_stale", lambda s, st: catalog.stale(st, _hosts(s)), "SELECT DISTINCT main_log_path FROM states WHERE main_log_path NOT LIKE '%shop%'")
+_state_query("stale_groups", lambda s, st: catalog.stale(st, _hosts(s)), "SELECT DISTINCT main_log_path FROM states WHERE main_log_path NOT LIKE '%shop%'")
 _state_query("catalog_preflight", lambda s, st: catalog.preflight(catalog.groups(st, _hosts(s)), "/var/log/web/shop.access.log").select("path", "has_data", "start_time", "end_time"), "SELECT main_log_path AS path, TRUE AS has_data, min(first) AS start_time, max(last) AS end_time FROM states WHERE main_log_path LIKE '%shop%' GROUP BY 1")
 _state_query("catalog_inherited", lambda s, st: catalog.inherited(st.select(F.concat("path", F.lit(".1")).alias("path"), "fingerprint"), st).select("path", "position"), "SELECT path || '.1' AS path, coalesce((SELECT last_size FROM states o WHERE o.path = s.path), 0) AS position FROM states s WHERE NOT EXISTS (SELECT 1 FROM states o WHERE o.path = s.path || '.1') UNION ALL SELECT s.path || '.1', s.last_size FROM states s WHERE EXISTS (SELECT 1 FROM states o WHERE o.path = s.path || '.1')")
 _state_query("catalog_transition", lambda s, st: catalog.transition(st, "/var/log/web/shop.access.log.1", "queued", NOW, position=3).groupBy("index_status").agg(F.count(F.lit(1)).alias("n"), F.sum("queue_position").alias("positions")), "SELECT CASE WHEN path = '/var/log/web/shop.access.log.1' THEN 'queued' ELSE index_status END AS index_status, count(*) AS n, CAST(sum(CASE WHEN path = '/var/log/web/shop.access.log.1' THEN 3 ELSE queue_position END) AS BIGINT) AS positions FROM states GROUP BY 1")
 
 
+def _stream_ingest(s: SparkSession, d: str) -> DataFrame:
+    """The events' log, read by the stream into a table, counted."""
+    root = (s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weblake-")).removeprefix("file://")
+    root = f"{root}/ingest-{uuid.uuid4().hex}"
+    _lines(s, d).select("raw").coalesce(2).write.text(f"{root}/logs")
+    work = ingest.Ingestion(s, f"{root}/table", sorted(glob.glob(f"{root}/logs/part-*")))
+    work.stream(f"{root}/checkpoint", NOW).awaitTermination()
+    return work.table.read().groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_sent").alias("bytes"), F.count_distinct("ip").alias("ips"))
+
+
+_add("stream_ingest", _stream_ingest, "SELECT status, count(*) AS n, CAST(sum(bytes_sent) AS BIGINT) AS bytes, count(DISTINCT ip) AS ips FROM entries GROUP BY status")
+_add("count_by_group", lambda s, d: fixtures.entries(s, d).groupBy("main_log_path").agg(F.count(F.lit(1)).alias("n")), "SELECT main_log_path, count(*) AS n FROM entries GROUP BY 1")
+_add(
+    "city_key_parse",
+    lambda s, d: fixtures.entries(s, d).select("id", geo.parse_city_point(F.col("city_point")).alias("p")).select("id", "p.country", "p.city", F.round("p.latitude", 2).alias("latitude"), "p.city_id"),
+    "SELECT id, split_part(city_point, '|', 1) AS country, split_part(city_point, '|', 2) AS city, CAST(split_part(city_point, '|', 3) AS DOUBLE) AS latitude, CAST(split_part(city_point, '|', 5) AS BIGINT) AS city_id FROM entries WHERE city_point IS NOT NULL UNION ALL SELECT id, NULL, NULL, NULL, NULL FROM entries WHERE city_point IS NULL",
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly dashboard of a week."""
     return QUERIES["dash_hourly"](spark, sf_dir)
