@@ -224,7 +224,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of each node's component, for the nodes of (a, b) edges.  Each round takes the smallest
     label of a node and its neighbours, then that label's own label."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")))
+    both = cut(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b"))
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).select("a", "comp", F.lit(None).cast("binary").alias("was"))
