@@ -22,7 +22,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more stay in the first only; documents that are copies as a whole stay whole."""
+    """Lines found in ten documents or more stay in the first only; documents that would lose more than half of their words
+    stay whole for the next stage, which takes such lines from those that are no copies."""
     ship(spark)
     docs = docs.select(*COLUMNS)
     kept = line_dedup.cleaned(docs, line_dedup.drop_bitmaps(docs, min_docs=10, keep="first"))

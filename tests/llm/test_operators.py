@@ -212,6 +212,15 @@ def test_lines_of_nothing(none):
     assert line_dedup.digests(line_dedup.with_bitmaps(none, line_dedup.drop_bitmaps(none))).count() == 0
 
 
+def test_whole_copies_are_told_by_words(spark):
+    boiler = "share this page\nall rights reserved"
+    rows = [(i, boiler, "en", "s", 0) for i in range(12)] + [(50, " ".join(f"w{j}" for j in range(900)) + "\n" + boiler, "en", "s", 0), (51, "one two three four five six seven\n" + boiler, "en", "s", 0)]
+    frame = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.cleaned(frame, line_dedup.drop_bitmaps(frame, min_docs=10, keep="first")).collect()}
+    assert got[50] == rows[12][1].split("\n")[0] and got[51] == "one two three four five six seven"
+    assert all(got[i] == boiler for i in range(12))
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -181,8 +181,8 @@ def digests(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def cleaned(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_percent: int = 50) -> DataFrame:
-    """The documents with their kept text; other columns stay.  A document of which more than ``most_percent`` of the lines
-    would go stays whole: it is a copy as a whole, which is for document deduplication to judge."""
+    """The documents with their kept text; other columns stay.  A document of which more than ``most_percent`` of the words
+    would go stays whole: it may be a copy as a whole, which is for document deduplication to judge."""
     names = docs.columns
     marked = with_bitmaps(docs, maps, id_col, text_col)
     same = marked.where("_drop is null").select(*names)
@@ -193,8 +193,9 @@ def cleaned(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col:
             texts, blobs = as_bytes(batch.column(text_col)), batch.column("_drop").to_pylist()
             done = []
             for text, blob in zip(texts, blobs):
-                kept, lines, gone = kept_text(text, blob)
-                done.append(text if 100 * gone > most_percent * lines else kept)
+                kept = kept_text(text, blob)[0]
+                words = len(text.split())
+                done.append(text if 100 * (words - len(kept.split())) > most_percent * words else kept)
             yield batch.drop_columns(["_drop"]).set_column(names.index(text_col), text_col, pa.array([d.decode() for d in done], pa.string()))
 
     return same.unionByName(marked.where("_drop is not null").select(*names, "_drop").mapInArrow(emit, schema))
