@@ -32,13 +32,16 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by a similarity of 0.8 of five-word shingles.  Rows without an
-    id stay."""
+    id stay.  What is left are no copies, so passages of 50 words or more that documents share stay in the first only, and so
+    do lines found in ten documents that line dedup left in possible copies."""
     ship(spark)
     docs = docs.select(*COLUMNS)
     groups = ngram_join.join(docs, k=5, percent=80)
     own = F.when(F.col("id").isNull(), F.col("row")).otherwise(F.col("component_id"))
     stay = groups.where("id is null or id = component_id").groupBy(F.col("id").isNull().alias("none"), own.alias("own")).agg(F.min("row").alias("_row")).select("_row")
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
+    left = cut(docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS))
+    kept = line_dedup.without_passages(left, min_docs=10, passage_words=50)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

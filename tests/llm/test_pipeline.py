@@ -63,6 +63,22 @@ def test_stages(spark, corpus):
     assert pipeline.run(spark, folder).count() == kept[4][2].count()
 
 
+def test_shared_passages_stay_once(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    long, block, short = text(60), [text(20) for _ in range(3)], text(20)
+    own = [text(200) for _ in range(6)]
+    base = [text(25) for _ in range(10)]
+    rows = [(0, f"{own[0]}\n{long}"), (1, f"{own[1]}\n{long}"), (2, "\n".join([own[2], *block])), (3, "\n".join([block[0], "", block[1], block[2], own[3]])), (4, f"{own[4]}\n{short}"), (5, f"{own[5]}\n{short}")]
+    # Near copies that share six lines of ten with twelve others: without those lines they would link with nothing.
+    for i in range(13):
+        rows.append((100 + i, "\n".join([*base[:6], *(x.rsplit(" ", 1)[0] + f" z{i}" if i else x for x in base[6:])])))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    lines = cut(pipeline.without_repeated_lines(spark, docs, ""))
+    got = {r["doc_id"]: r["text"] for r in pipeline.without_near_duplicates(spark, lines, "").collect()}
+    assert got == dict(rows[:7]) | {1: own[1], 3: "\n" + own[3]}
+
+
 def test_stages_of_nothing(spark, corpus):
     folder = corpus[0]
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")

@@ -104,14 +104,15 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], ["hash", "id", "doc", "at", "n", "verdict", "edge"])
 
 
+def _packed(at: list[int]) -> bytes:
+    bits = np.zeros(max(at, default=-1) + 1, np.uint8)
+    bits[at] = 1
+    return zlib.compress(np.packbits(bits).tobytes(), 1)
+
+
 def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        maps = []
-        for at in batch.column(1).to_pylist():
-            bits = np.zeros(max(at) + 1, np.uint8)
-            bits[at] = 1
-            maps.append(zlib.compress(np.packbits(bits).tobytes(), 1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], ["doc", "drop"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(at) for at in batch.column(1).to_pylist()], pa.binary())], ["doc", "drop"])
 
 
 def _dropped(blob: bytes | None) -> set[int]:
@@ -126,6 +127,14 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc, drop): for each document that loses lines, its key and a compressed bitmap of the lines to drop."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
+    gone = _repeated(docs, id_col, text_col, min_docs, min_chars)
+    if keep == "first":
+        gone = _later(gone).select("doc", F.col("later").alias("at")).where(F.size("at") > 0)
+    return gone.groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(_bitmap, "doc long, drop binary")
+
+
+def _repeated(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
+    """(hash, id, doc, at) of the lines found in ``min_docs`` documents or more."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pair = "hash binary, id long, doc long, at array<int>"
     lines = docs.select(F.col(id_col).cast("long").alias("id"), document_key(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pairs(min_chars), pair)
@@ -134,11 +143,64 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A hash that touches an edge may have its documents in several partitions: add up what each of them saw.
     totals = runs.where("verdict = 3").groupBy("hash").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
     late = runs.where("verdict = 2").join(totals.select("hash"), "hash", "left_semi")
-    gone = runs.where("verdict = 1").select("hash", "id", "doc", "at").unionByName(late.select("hash", "id", "doc", "at"))
-    if keep == "first":
-        firsts = gone.groupBy("hash").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc"))["doc"].alias("first"))
-        gone = gone.join(firsts, "hash").withColumn("at", F.when(F.col("doc") == F.col("first"), F.slice("at", 2, F.size("at"))).otherwise(F.col("at"))).where(F.size("at") > 0)
-    return gone.groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(_bitmap, "doc long, drop binary")
+    return runs.where("verdict = 1").select("hash", "id", "doc", "at").unionByName(late.select("hash", "id", "doc", "at"))
+
+
+def _later(repeated: DataFrame) -> DataFrame:
+    """(doc, at, later, docs): of each repeated line all places, those after its first occurrence, and the count of documents."""
+    firsts = repeated.groupBy("hash").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc"))["doc"].alias("first"), F.count(F.lit(1)).alias("docs"))
+    later = F.when(F.col("doc") == F.col("first"), F.slice("at", 2, F.size("at"))).otherwise(F.col("at"))
+    return repeated.join(firsts, "hash").select("doc", "at", later.alias("later"), "docs")
+
+
+def passage_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10) -> DataFrame:
+    """(doc, shared, later, often): for each document compressed bitmaps of the lines found in two documents or more, of those
+    that are not the first occurrence, and of those again that are found in ``min_docs`` documents or more."""
+    places = _later(_repeated(docs, id_col, text_col, 2, 1))
+    lists = places.groupBy("doc").agg(*(F.flatten(F.collect_list(c)).alias(a) for c, a in ((F.col("at"), "shared"), (F.col("later"), "later"), (F.when(F.col("docs") >= min_docs, F.col("later")), "often"))))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([_packed(at) for at in batch.column(i).to_pylist()], pa.binary()) for i in (1, 2, 3))], ["doc", "shared", "later", "often"])
+
+    return lists.where("size(later) > 0").mapInArrow(emit, "doc long, shared binary, later binary, often binary")
+
+
+def passage_lines(lines: list[bytes], shared: set[int], later: set[int], often: set[int], passage_words: int) -> set[int]:
+    """Places of the lines to drop: those found often, and those of runs of shared lines (lines without words do not end a
+    run) with ``passage_words`` words or more; always without first occurrences."""
+    gone, run, words = set(often), [], 0
+    for i, line in enumerate([*lines, None]):
+        n = len(line.split()) if line is not None else 1
+        if i in shared and line is not None:
+            run.append(i)
+            words += n
+        elif n:
+            if words >= passage_words:
+                gone.update(later.intersection(run))
+            run, words = [], 0
+    return gone
+
+
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, passage_words: int = 50) -> DataFrame:
+    """The documents without lines found in ``min_docs`` documents and without passages (a line, or consecutive lines) of
+    ``passage_words`` words whose lines are found in two; each line's first occurrence stays.  For texts that are no copies
+    of each other: what is left of a copy would be no copy."""
+    names, schema = docs.columns, docs.schema
+    maps = passage_bitmaps(docs, id_col, text_col, min_docs).select(F.col("doc").alias("_doc"), F.col("shared").alias("_shared"), F.col("later").alias("_later"), F.col("often").alias("_often"))
+    marked = docs.withColumn("_doc", document_key(id_col, text_col)).join(maps, "_doc", "left")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for text, *blobs in zip(as_bytes(batch.column(text_col)), *(batch.column(c).to_pylist() for c in ("_shared", "_later", "_often"))):
+                lines = text.split(b"\n")
+                gone = passage_lines(lines, *map(_dropped, blobs), passage_words)
+                done.append(b"\n".join(x for i, x in enumerate(lines) if i not in gone))
+            yield batch.select(names).set_column(names.index(text_col), text_col, pa.array([d.decode() for d in done], pa.string()))
+
+    same = marked.where("_later is null").select(*names)
+    return same.unionByName(marked.where("_later is not null").select(*names, "_shared", "_later", "_often").mapInArrow(emit, schema))
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
