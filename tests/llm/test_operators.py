@@ -299,6 +299,24 @@ def test_quality(spark, max_docs):
     assert got == rules(rows, max_docs)
 
 
+def test_quality_of_planted_hosts(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}x" for _ in range(n))
+    page, boiler = text(90), "subscribe to our letter 7"
+    rows = [(i, text(80) + ("\n" + boiler.replace("7", str(i % 10)) if i < 12 else "") + ("\n" + boiler if i == 0 else ""), "en", "small", 0) for i in range(40)]
+    rows += [(100 + i, page + "\n" + text(10), "en", "small", 0) for i in range(11)] + [(200 + i, page, "en", None, 0) for i in range(10)]
+    big = text(60)
+    rows += [(1000 + i, text(60) + ("\n" + big if i < 15 else ""), "en", "big", 0) for i in range(2000)]
+    frame = spark.createDataFrame(rows, DOCS).transform(clash)
+    got = {r["id"]: r for r in quality.line_rules(frame).collect()}
+    assert {i for i, r in got.items() if not r["kept"]} == set(range(100, 111))
+    assert [got[i]["removed_words"] for i in (0, 1, 12, 100, 200, 1000)] == [10, 5, 0, 90, 0, 0]
+    left = quality.cleaned(frame)
+    assert left.columns == frame.columns
+    texts = {r["doc_id"]: r["text"] for r in left.collect()}
+    assert texts == {r[0]: "\n".join(x for x in r[1].split("\n") if r[3] != "small" or not (x == page or x.startswith("subscribe"))) for r in rows}
+
+
 def test_quality_of_nothing(none):
     assert quality.line_rules(none).count() == 0
 

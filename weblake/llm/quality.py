@@ -1,8 +1,9 @@
 """Quality rules: base counts of each text, and the frequency of its lines across the documents of a host.
 
 A line is normalised (ASCII white space stripped, A-Z lower-cased, digits to 0) and hashed.  For each host the
-documents of each line are counted; lines in more than ``max_docs`` documents are removed, and a document is
-rejected when what remains is depleted: less than ``min_left_percent`` of its words.  Counting is a group-by that
+documents of each line are counted; lines in more documents than the host's limit are removed, and a document is
+rejected when what remains is depleted: less than ``min_left_percent`` of its words.  The limit is ``share_percent`` of
+the host's documents, ``floor_docs`` at least and ``max_docs`` at most.  Counting is a group-by that
 combines before the shuffle, and only frequent lines come back to the documents, so neither a host nor a line with
 a third of all rows gathers in one task.
 
@@ -42,6 +43,10 @@ def repeated_words(h: np.ndarray, k: int = 3) -> int:
     return int(cover.sum())
 
 
+def line_hash(core: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(core.lower().translate(_DIGITS)) - (1 << 63)
+
+
 def line_counts(text: bytes) -> tuple[int, dict[int, int]]:
     """The count of lines with a word that equal an earlier line, and the words under each normalised line's hash."""
     seen, dup, lines = set(), 0, {}
@@ -50,7 +55,7 @@ def line_counts(text: bytes) -> tuple[int, dict[int, int]]:
         if core:
             dup += line in seen
             seen.add(line)
-            k = xxhash.xxh3_64_intdigest(core.lower().translate(_DIGITS)) - (1 << 63)
+            k = line_hash(core)
             lines[k] = lines.get(k, 0) + len(core.split())
     return dup, lines
 
@@ -72,20 +77,73 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def line_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, max_docs: int = 100, min_left_percent: int = 30
-) -> DataFrame:
-    """(id, the five counts, base_failed, removed_words, kept), a row for each row of ``docs``."""
-    measured = cut(
+def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    return cut(
         docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")).mapInArrow(
             _measure, "row long, id long, host string, " + ", ".join(f"{k} long" for k in _COUNTS) + ", lines array<long>, line_words array<int>"
         )
     )
-    lines = measured.select("row", F.xxhash64("host").alias("host"), F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", F.xxhash64("host", "l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    frequent = lines.groupBy("line").count().where(F.col("count") > max_docs).select("line")
+
+
+def _frequent(measured: DataFrame, max_docs: int, share_percent: float, floor_docs: int) -> tuple[DataFrame, DataFrame]:
+    """The lines of all rows (row, host, line, text_line, words), and the ``line`` above their host's limit; ``line`` is a line
+    of a host, ``text_line`` the same of any."""
+    host = F.xxhash64("host").alias("host")
+    lines = measured.select("row", host, F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.xxhash64("host", "l.lines").alias("line"), F.col("l.lines").alias("text_line"), F.col("l.line_words").alias("words"))
+    limits = measured.groupBy(host).count().select(F.col("host").alias("of"), F.least(F.lit(max_docs), F.greatest(F.lit(floor_docs), F.col("count") * share_percent / 100)).alias("limit"))
+    least = min(max_docs, floor_docs)
+    counts = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.first("host").alias("host")).where(F.col("n") > least)
+    return lines, counts.join(limits, counts["host"] == limits["of"]).where(F.col("n") > F.col("limit")).select("line")
+
+
+def _failed(min_words: int, max_repeat_percent: int):
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+
+def line_rules(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    min_words: int = 50,
+    max_repeat_percent: int = 50,
+    max_docs: int = 100,
+    min_left_percent: int = 30,
+    share_percent: float = 1,
+    floor_docs: int = 10,
+) -> DataFrame:
+    """(id, the five counts, base_failed, removed_words, kept), a row for each row of ``docs``."""
+    measured = _measured(docs, id_col, text_col, host_col)
+    lines, frequent = _frequent(measured, max_docs, share_percent, floor_docs)
     removed = lines.join(frequent, "line", "left_semi").groupBy("row").agg(F.sum("words").alias("removed_words"))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = measured.select("row", "id", *_COUNTS).join(removed, "row", "left")
-    return rows.select("id", *_COUNTS, failed.alias("base_failed"), F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words")).withColumn(
+    return rows.select("id", *_COUNTS, _failed(min_words, max_repeat_percent).alias("base_failed"), F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words")).withColumn(
         "kept", ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("removed_words")) >= min_left_percent * F.col("n_words"))
     )
+
+
+def cleaned(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    max_docs: int = 100,
+    share_percent: float = 1,
+    floor_docs: int = 10,
+) -> DataFrame:
+    """All rows and columns of ``docs``, the texts without the lines that ``line_rules`` removes."""
+    names, schema = docs.columns, docs.schema
+    key = F.xxhash64(F.col(host_col).cast("string"), F.col(text_col).cast("string"))
+    # Texts that are equal in one host lose the same lines, so these find their rows by the text.
+    keyed = docs.withColumn("_key", key)
+    lines, frequent = _frequent(_measured(keyed, "_key", text_col, host_col).withColumnRenamed("row", "_row").withColumnRenamed("id", "row"), max_docs, share_percent, floor_docs)
+    gone = lines.join(frequent, "line", "left_semi").groupBy("row").agg(F.collect_set("text_line").alias("_gone")).withColumnRenamed("row", "_key")
+    marked = keyed.join(gone, "_key", "left")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [b"\n".join(x for x in text.split(b"\n") if not x.strip() or line_hash(x.strip()) not in gone) for text, gone in zip(as_bytes(batch.column(text_col)), map(set, batch.column("_gone").to_pylist()))]
+            yield batch.select(names).set_column(names.index(text_col), text_col, pa.array([d.decode() for d in done], pa.string()))
+
+    same = marked.where("_gone is null").select(*names)
+    return same.unionByName(marked.where("_gone is not null").select(*names, "_gone").mapInArrow(emit, schema))
