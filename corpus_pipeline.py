@@ -36,7 +36,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     do lines found in ten documents that line dedup left in possible copies."""
     ship(spark)
     docs = docs.select(*COLUMNS)
-    groups = ngram_join.join(docs, k=5, percent=80)
+    groups = ngram_join.join(docs, k=5, percent=80, links=False)
     own = F.when(F.col("id").isNull(), F.col("row")).otherwise(F.col("component_id"))
     stay = groups.where("id is null or id = component_id").groupBy(F.col("id").isNull().alias("none"), own.alias("own")).agg(F.min("row").alias("_row")).select("_row")
     left = cut(docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS))

@@ -101,6 +101,23 @@ def test_join_equals_all_pairs(spark, seed, groups, size, n, k, percent):
     assert got == components_of(rows, k, percent)
 
 
+@pytest.mark.parametrize("seed,groups,size,n,k,percent,block", [(2, 1, 90, 45, 4, 85, 16), (3, 6, 8, 300, 5, 80, 256)])
+def test_links_equal_all_pairs(spark, seed, groups, size, n, k, percent, block):
+    rows = near_copies(seed, groups, size, n)
+    rows += [(5000 + i, r[1], *r[2:]) for i, r in enumerate(rows[-5:])]
+
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+    sets = {shingles(r[1]) for r in rows}
+    links = {a: sum(a != b and bool(a & b) and 100 * len(a & b) >= percent * len(a | b) for b in sets) for a in sets}
+    assert max(links.values()) > 1
+    got = ngram_join.join(spark.createDataFrame(rows, DOCS).transform(clash), k, percent, chunk_tokens=2000, block=block).collect()
+    assert Counter((r["id"], r["n_links"]) for r in got) == Counter((r[0], links[shingles(r[1])]) for r in rows)
+    assert len({r["class_id"] for r in got if r["n_shingles"]}) == len(sets - {frozenset()}) and all((r["class_id"] is None) == (r["n_shingles"] == 0) for r in got)
+
+
 def test_signatures_of_similar_sets_meet():
     rng = np.random.default_rng(5)
     for _ in range(400):

@@ -16,8 +16,10 @@ Steps, all Spark jobs over whole texts:
    they may miss have no links and leave here.
 3. Signatures meet.  Each class is verified against three members of each signature's classes; only pairs in different
    components so far are left, and of those all that sizes and a 512-bit sketch of the sets leave possible are verified.  Pairs within a component need no
-   check, as the answer is components.
+   check for components.
 4. Components by minimum labels with pointer jumping; documents get the smallest id of theirs.
+5. Links join classes of one component only, so to count them each component's classes are compared with each other, all
+   pairs of them.  A large component is dealt to blocks, and a task has the pairs of two blocks.
 
 Defined results: a null or empty text, or one without words, has the empty set, links with nothing and is its own
 component; a text of fewer words than the n-gram has one shingle, the whole sequence; equal rows are copies; rows that
@@ -236,15 +238,71 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, chunk_tokens: int = 1_500_000) -> tuple[DataFrame, DataFrame]:
-    """Per row of ``docs`` (id, row, n, cls), and (node, comp) of the classes that have links."""
+def _overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many tokens each two of the sets share."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, token, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Tokens of one set alone are in no overlap; the others' columns are numbered anew.
+    shared = counts[token] > 1
+    owner, token = owner[shared], (np.cumsum(counts > 1) - 1)[token[shared]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    both = np.zeros((n, n), np.float64)
+    for first in range(0, int(token[-1]) + 1 if len(token) else 0, columns):
+        a, b = np.searchsorted(token, (first, first + columns))
+        held = np.zeros((n, columns), np.float32)
+        held[owner[a:b], token[a:b] - first] = 1
+        both += held @ held.T
+    return both.astype(np.int64)
+
+
+def _counted(percent: int):
+    def emit(table: pa.Table) -> pa.Table:
+        table = table.select(["comp", "i", "j", "b", "cls", "n", "tokens"]).sort_by("comp")
+        comp, i, j = (table.column(c).to_pylist() for c in ("comp", "i", "j"))
+        block, n = np.array(table.column("b").to_pylist(), np.int64), np.array(table.column("n").to_pylist(), np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        links, a = np.zeros(len(sets), np.int64), 0
+        while a < len(sets):
+            b = a + 1
+            while b < len(sets) and comp[b] == comp[a]:
+                b += 1
+            both, m = _overlaps(sets[a:b]), n[a:b]
+            linked = (both > 0) & (100 * both >= percent * (m[:, None] + m[None, :] - both))
+            np.fill_diagonal(linked, False)
+            if i[a] != j[a]:
+                linked &= block[a:b, None] != block[None, a:b]
+            links[a:b] = linked.sum(axis=1)
+            a = b
+        return pa.table([table.column("cls"), pa.array(links, pa.int64())], ["cls", "links"])
+
+    return emit
+
+
+def link_counts(sets: DataFrame, comp: DataFrame, percent: int, block: int = 256, block_tokens: int = 500_000) -> DataFrame:
+    """(cls, links) of the classes in components of (node, comp): how many other classes each links with."""
+    members = cut(comp.join(sets.select("cls", "n", "tokens"), comp["node"] == sets["cls"]).select("comp", "cls", "n", "tokens"))
+    parts = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / block_tokens)).cast("int")
+    buckets = members.agg(parts()).first()[0] or 1
+    sizes = members.groupBy("comp").agg(parts().alias("blocks"))
+    dealt = members.join(sizes, "comp").withColumn("b", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    # A component of one block shares its task with others.
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(buckets))).otherwise(F.xxhash64("comp")).alias("g"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "comp", "b", "cls", "n", "tokens"
+    )
+    return dealt.groupBy("g", "i", "j").applyInArrow(_counted(percent), "cls binary, links long").groupBy("cls").agg(F.sum("links").alias("links"))
+
+
+def link_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, chunk_tokens: int = 1_500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per row of ``docs`` (id, row, n, cls), (node, comp) of the classes that have links, and classes with their tokens."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
     measured = cut(rows.select("id", "row", "text").mapInArrow(_measure(k), "id long, row long, n long, cls binary"))
     spark = docs.sparkSession
     none = spark.createDataFrame([], "node binary, comp binary")
     total = measured.agg(F.sum("n")).first()[0] or 0
     if not total:
-        return measured, none
+        return measured, none, spark.createDataFrame([], "cls binary, n long, tokens binary")
     chunks = max(1, total // chunk_tokens)
     bits = min(62, total.bit_length() + 14)
     bounds = np.array([(b << bits) // chunks for b in range(chunks)], np.uint64)
@@ -271,20 +329,27 @@ def link_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: s
     held = met.join(own, "a", "left").join(other, "home", "left").select("sig", "a", "na", "ua", F.coalesce("ca", "a").alias("ca"), (F.coalesce("ca", "a") != F.coalesce("ch", "home")).alias("apart"))
     held = cut(held.join(held.where("apart").select("sig").distinct(), "sig", "left_semi"))
     if held.isEmpty():
-        return measured, comp
+        return measured, comp, sets
     bits = sets.select(F.col("cls").alias("a"), *_BITS)
     left = held.where("apart").drop("apart").join(bits, "a")
     right = held.join(bits, "a").select("sig", F.col("a").alias("q"), F.col("na").alias("nb"), F.col("ua").alias("ub"), F.col("ca").alias("cq"), F.col("apart").alias("apart_too"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
     pairs = left.join(right, "sig").where((F.col("ca") != F.col("cq")) & (~F.col("apart_too") | (F.col("a") < F.col("q"))) & _overlap_possible(percent)).select("a", F.col("q").alias("b"))
     late = cut(verified(pairs.distinct(), sets, percent))
-    return measured, (comp if late.isEmpty() else components(edges.union(late)))
+    return measured, (comp if late.isEmpty() else components(edges.union(late))), sets
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 1_500_000) -> DataFrame:
-    """(id, row, n_shingles, component_id) per row of ``docs``; ``row`` is ``xxhash64(id, text)``."""
-    measured, comp = link_classes(docs, k, percent, id_col, text_col, chunk_tokens)
+def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 1_500_000, links: bool = True, block: int = 256) -> DataFrame:
+    """(id, row, n_shingles, component_id, class_id, n_links) per row of ``docs``; ``row`` is ``xxhash64(id, text)``, ``class_id``
+    names the documents of an equal set (null without words), ``n_links`` is the count of other classes that this one links
+    with, whatever their component's shape.  Without ``links`` that column is left out, and its work."""
+    measured, comp, sets = link_classes(docs, k, percent, id_col, text_col, chunk_tokens)
     classes = measured.where("n > 0").groupBy("cls").agg(F.min("id").alias("low"))
     joined = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "low", F.coalesce("comp", "cls").alias("comp"))
     lows = joined.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = joined.join(lows, "comp").select(F.col("cls").alias("of"), "component_id")
-    return measured.join(named, measured["cls"] == named["of"], "left").select("id", "row", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    more = []
+    if links:
+        found = link_counts(sets, comp, percent, block).withColumnRenamed("cls", "linked")
+        named = named.join(found, named["of"] == found["linked"], "left").select("of", "component_id", "links")
+        more = [F.coalesce("links", F.lit(0)).cast("long").alias("n_links")]
+    return measured.join(named, measured["cls"] == named["of"], "left").select("id", "row", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.lower(F.hex("cls")).alias("class_id"), *more)

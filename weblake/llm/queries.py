@@ -10,7 +10,7 @@ from .common import crc_mod, table
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
