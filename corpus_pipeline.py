@@ -37,8 +37,9 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     ship(spark)
     docs = docs.select(*COLUMNS)
     groups = ngram_join.join(docs, k=5, percent=80, links=False)
-    own = F.when(F.col("id").isNull(), F.col("row")).otherwise(F.col("component_id"))
-    stay = groups.where("id is null or id = component_id").groupBy(F.col("id").isNull().alias("none"), own.alias("own")).agg(F.min("row").alias("_row")).select("_row")
+    # Components are told by their classes: rows of one id can be in several.
+    own = F.when(F.col("id").isNull() | F.col("comp").isNull(), F.col("row"))
+    stay = groups.groupBy(F.col("id").isNull().alias("none"), "comp", own.alias("own")).agg(F.min(F.struct("id", "row"))["row"].alias("_row")).select("_row")
     left = cut(docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS))
     kept = line_dedup.without_passages(left, min_docs=10, passage_words=50)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

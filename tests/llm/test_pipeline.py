@@ -63,6 +63,16 @@ def test_stages(spark, corpus):
     assert pipeline.run(spark, folder).count() == kept[4][2].count()
 
 
+def test_rows_of_one_id_are_documents(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(7, a), (7, b), (7, b), (8, b + " end"), (9, c), (9, c + " end"), (7, "too short"), (7, ""), (7, " "), (None, "no id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in pipeline.without_near_duplicates(spark, docs, "").collect())
+    nine = [(9, t) for t in (c, c + " end") if (9, t) in got]
+    assert len(nine) == 1 and got == Counter([(7, a), (7, b), (7, "too short"), (7, ""), (7, " "), (None, "no id"), *nine])
+
+
 def test_shared_passages_stay_once(spark, tmp_path):
     rng = random.Random(5)
     text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
