@@ -418,6 +418,14 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.predict(frame, langid.dictionaries(frame.where("false"))).collect()} == {"und"}
 
 
+def test_all_languages_have_dictionaries(spark):
+    rows = [(i, f"word{i} other{i}", f"l{i:03}", "s", 0) for i in range(70)] + [(100 + i, f"long{i} " * 3000, "zz", "s", 0) for i in range(3)]
+    contents = dict(langid.dictionaries(spark.createDataFrame(rows, DOCS), dictionary_bytes=30000))
+    assert sorted(contents) == [f"l{i:03}" for i in range(70)] + ["zz"] and len(contents["zz"]) == 30000
+    with pytest.raises(ValueError):
+        langid.dictionaries(spark.createDataFrame(rows, DOCS), max_languages=70)
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,8 @@
 language, both in lower case, and the language whose dictionary makes it smallest is chosen.
 
 Dictionaries are made of at most ``docs_per_language`` training texts and ``dictionary_bytes`` bytes a language;
-languages are the labels found, at most ``max_languages`` of them, the most frequent first.  They are bounded and go to
-the tasks with the code.  Whole texts are compressed.
+languages are all labels found; more than ``max_languages`` are an error.  Texts of more than 8,000 characters are used, as
+far as there is room, where a language has too few shorter ones.  Dictionaries are bounded and go to the tasks with the code.  Whole texts are compressed.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a narrow margin (the second language
 within ``margin`` of the first) sets ``rejected`` but the prediction stays; equal sizes go to the language with more
@@ -25,12 +25,17 @@ from pyspark.sql import functions as F
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def dictionaries(labelled: DataFrame, docs_per_language: int = 200, dictionary_bytes: int = 112_640, max_languages: int = 64) -> tuple[tuple[str, bytes], ...]:
+def dictionaries(labelled: DataFrame, docs_per_language: int = 200, dictionary_bytes: int = 112_640, max_languages: int = 1024) -> tuple[tuple[str, bytes], ...]:
     """(language, dictionary content) pairs from ``labelled`` (doc_id, text, lang)."""
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("order"))
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    rows = rows.where("length(text) > 0").withColumn("long", F.length("text") > 8000).withColumn("text", F.substring("text", 1, dictionary_bytes))
+    found = rows.select("lang").distinct().limit(max_languages + 1).count()
+    if found > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     # Spark cuts each language to its first rows before the shuffle, so a frequent language does not gather.
-    ranked = rows.where(F.col("lang").isin(common) & F.length("text").between(1, 8000)).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("n") <= docs_per_language)
+    first = Window.partitionBy("lang").orderBy("long", "order")
+    ranked = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language)
+    ranked = ranked.withColumn("before", F.sum(F.length("text") + 1).over(first.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < dictionary_bytes)
     texts: dict[str, list[str]] = {}
     for r in ranked.orderBy("lang", "n").collect():
         texts.setdefault(r["lang"], []).append(r["text"])
