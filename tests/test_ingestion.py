@@ -73,6 +73,130 @@ def test_copy_truncate_and_gzip(work, log):
     assert numbers(work) == [0, 1, 2, 3, 4, 5, 6, 20, 21]
 
 
+def test_gzip_of_several_members_and_names_in_capitals(work, log):
+    put(log, [0])
+    with open(log + ".2.GZ", "wb") as f:
+        f.write(gzip.compress("".join(map(line, range(100, 200))).encode()) + gzip.compress("".join(map(line, range(200, 210))).encode()) + gzip.compress(b""))
+    piece = next(p for p in files.plan(log, {}) if p.compressed)
+    assert piece.end == sum(len(line(i)) for i in range(100, 210)) and files.trailer_size(piece.path) == 0
+    work.round(NOW)
+    assert numbers(work) == [0, *range(100, 210)] and work.states()[piece.path].position == piece.end
+    assert work.round(NOW) == 0
+
+
+def test_forged_trailer(work, log):
+    """A trailer says the size modulo 2**32 only: a small one must not cut a file, nor make it void."""
+    with open(log + ".1.gz", "wb") as f:
+        data = bytearray(gzip.compress("".join(map(line, range(50))).encode()))
+        f.write(bytes(data))
+    work.round(NOW)
+    whole = work.states()[log + ".1.gz"]
+    with open(log + ".1.gz", "ab") as f:
+        f.write(gzip.compress("".join(map(line, range(50, 60))).encode()))
+    assert files.trailer_size(log + ".1.gz") < whole.position
+    piece = files.plan(log, work.states())[0]
+    assert (piece.start, piece.purge) == (whole.position, False) and piece.end > piece.start
+    work.round(NOW)
+    assert numbers(work) == list(range(60))
+
+
+def test_unreadable_files_are_left_for_later(work, log):
+    put(log, range(3))
+    with open(log + ".1.gz", "wb") as f:
+        f.write(gzip.compress("".join(map(line, range(10, 400))).encode())[:-300])
+    assert work.round(NOW) == 1 and numbers(work) == [0, 1, 2] and log + ".1.gz" not in work.states()
+    with open(log + ".1.gz", "wb") as f:
+        f.write(gzip.compress("".join(map(line, range(10, 12))).encode()))
+    work.round(NOW)
+    assert numbers(work) == [0, 1, 2, 10, 11]
+
+
+def test_parts_of_a_file_have_each_line_once(log):
+    with open(log, "wb") as f:
+        f.write(b"first\r\n\n" + b"z" * (files.LONGEST_LINE + 5) + b"\nb\xff\n  \n" + b"".join(b"line %d\n" % i for i in range(300)) + b"cut sho")
+    piece = files.plan(log, {})[0]
+    whole = [x for texts, offsets in files.lines(piece) for x in zip(texts, offsets)]
+    assert whole[0] == (b"first", 0) and whole[1][0] == b"b\xff" and len(whole) == 302 and whole[-1][0] == b"line 299"
+    for step in (1, 3, 7, 50, 4096, 10**6):
+        parts = files.parts(piece, 997 if step < 50 else 5000 + step)
+        assert len(parts) > 1 or step == 10**6
+        got = [x for p in parts for texts, offsets in files.lines(p, step if step > 3 else 64) for x in zip(texts, offsets)]
+        assert got == whole
+
+
+def test_file_that_rotates_while_it_is_read(work, log):
+    put(log, range(4))
+    piece = files.plan(log, {})[0]
+    os.rename(log, log + ".1")
+    put(log, range(20, 40))
+    assert not files.still_there(piece) and [t for texts, _ in files.lines(piece) for t in texts] == [line(i).rstrip().encode() for i in range(4)]
+    work.round(NOW)
+    assert numbers(work) == [0, 1, 2, 3, *range(20, 40)]
+
+
+def test_round_that_fails_is_repeated_without_loss(work, log, monkeypatch):
+    put(log, range(6))
+    work.round(NOW)
+    put(log, [0, 50])  # shorter: what was read is void
+    for broken in ("upsert", "_apply"):
+        with monkeypatch.context() as m:
+            m.setattr(EntryTable, broken, lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError):
+                work.round(NOW)
+    work.round(NOW)
+    assert numbers(work) == [0, 50]
+    # Everything but the last move of a purge is done: the next change finishes it, and no other row is gone.
+    put(log, range(51, 60), "a")
+    work.round(NOW)
+    with monkeypatch.context() as m:
+        m.setattr(EntryTable, "_apply", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            work.table.purge_file(log, log)
+    assert numbers(work) == [0, 50, *range(51, 60)]
+    work.table.recover()
+    assert work.table.count() == 0
+    assert [n for n in work.table.folder.names() if n.startswith(("change-", "incoming-"))] == []
+
+
+def test_state_of_a_round_that_is_cut_short(work, log):
+    put(log, range(3))
+    work.round(NOW)
+    os.makedirs(f"{work.state_path}/v{9:010d}")  # a version without its mark
+    assert work.states()[log].position == sum(len(line(i)) for i in range(3))
+
+
+def test_entries_that_change_their_day(spark, tmp_path):
+    table = EntryTable(spark, str(tmp_path / "t"))
+    make = lambda rows: spark.createDataFrame(rows, "id string, timestamp long, main_log_path string, file_path string, bytes_sent long")
+    table.upsert(make([("a", NOW, "g", "f", 1), ("b", NOW - 3 * 86400, "g", "f", 2), ("c", NOW - 5 * 86400, "g", "f", 3)]))
+    table.upsert(make([("b", NOW, "g", "f", 20)]))
+    assert sorted((r["id"], r["bytes_sent"]) for r in table.read().collect()) == [("a", 1), ("b", 20), ("c", 3)]
+    grp = next(p for p in (tmp_path / "t/data").iterdir() if p.name.startswith("grp="))
+    assert len([p for p in grp.iterdir() if p.name.startswith("dt=")]) == 2
+
+
+def test_stream_of_error_logs_and_rewritten_files(spark, tmp_path, log):
+    other = log.replace("access", "error")
+    work = Ingestion(spark, str(tmp_path / "table"), [log, other], {other})
+    put(log, range(5))
+    with open(other, "w") as f:
+        f.write('2025/01/01 12:00:01 [error] 1#1: *1 bad, client: 1.2.3.4, server: s, request: "GET /x HTTP/1.1", host: "h"\n')
+    work.stream(str(tmp_path / "ck"), NOW).awaitTermination(60)
+    assert {r["level"]: r["count"] for r in work.table.read().groupBy("level").count().collect()} == {None: 5, "error": 1}
+    put(log, [0, 70])
+    work.stream(str(tmp_path / "ck"), NOW).awaitTermination(60)
+    assert sorted(r["path"] for r in work.table.read(log).select("path").collect()) == ["/id/000000", "/id/000070"]
+
+
+def test_parsers_of_ones_own(spark, tmp_path, log):
+    put(log, range(2))
+    agent = lambda c: F.struct(F.lit("Mine").alias("browser"), F.length(c).cast("string").alias("browser_version"), *(F.lit("").alias(n) for n in ("os", "os_version", "device_type")))
+    place = lambda df, ranges: df.withColumns({c: F.lit("here" if c == "city" else None).cast("string") for c in ("region_code", "province", "city", "sub1", "sub2", "city_point")} | {"city_id": F.lit(7).cast("long")})
+    work = Ingestion(spark, str(tmp_path / "table"), [log], ranges=spark.range(0), agent=agent, place=place)
+    work.round(NOW)
+    assert {(r["browser"], r["browser_version"], r["city"], r["city_id"]) for r in work.table.read().collect()} == {("Mine", "2", "here", 7)}
+
+
 def test_rewrite_with_the_same_first_line_is_read_again(work, log):
     put(log, range(8))
     work.round(NOW)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from weblake import queries
 from weblake.operators import dashboard as dash
 from weblake.operators import facets
-from weblake.operators.search import RequestError, SearchRequest, country_code, hits, matching
+from weblake.operators.search import RequestError, SearchRequest, check_access_log, country_code, fragments, hits, matching
+from weblake.plans import catalog
 
 NOON = 1735732800
 FILTER_DOCS = [
@@ -79,6 +80,44 @@ def test_cursor_pages_have_no_gaps(spark):
     assert len(set(seen)) == 25 and seen == [r[0] for r in sorted(rows, key=lambda r: (-r[1], r[0]))]
 
 
+def test_relevance_as_an_order(docs):
+    rows = hits(docs, SearchRequest(query="get login users", sort_by="_score", fields=["id"])).collect()
+    assert [r["id"] for r in rows] == sorted((r["id"] for r in rows), key=lambda i: -next(r["_score"] for r in rows if r["id"] == i)) and rows[-1]["_score"] > 0 and len(rows) == 4
+    after = hits(docs, SearchRequest(query="get login users", sort_by="_score", search_after=(rows[0]["_score"], rows[0]["id"]), fields=["id"], exact={"status": [200, 500, 404]})).collect()
+    assert after == rows[1:]
+    assert hits(docs, SearchRequest(query="get", sort_by="_score", limit=-1)).count() == 0 and "_score" not in hits(docs, SearchRequest(query="get")).columns
+    with pytest.raises(RequestError):
+        hits(docs, SearchRequest(sort_by="_score"))
+
+
+def test_limits_and_error_logs():
+    assert (SearchRequest(limit=0, offset=-5).normalised().limit, SearchRequest(limit=5000).normalised().limit, SearchRequest(offset=-5).normalised().offset) == (10, 1000, 0)
+    check_access_log("/a.log", {"/b.log"})
+    with pytest.raises(RequestError):
+        check_access_log("/b.log", {"/b.log"})
+
+
+def test_fragments(docs):
+    rows = {r["id"]: r["fragments"] for r in fragments(docs, SearchRequest(query="api post", phrases={"path": ["api"]}, fields=["id"]), around=3).collect()}
+    assert rows["d1"] == {"raw": ["T /<mark>api</mark>/lo"], "path": ["/<mark>api</mark>/lo"]}
+    assert rows["d2"]["raw"][0].startswith(".2 <mark>POST</mark>")
+    assert list(fragments(docs, SearchRequest(query="api", phrases={"path": ["api"]}, fields=["id"]), ("raw",)).first()["fragments"]) == ["raw"]
+    assert fragments(docs, SearchRequest(fields=["id"])).first()["fragments"] is None
+
+
+def test_scan_and_widen(spark, docs):
+    import pyarrow as pa
+
+    def longest(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max(map(len, b.column(0).to_pylist()), default=0)])], ["n"])
+
+    assert max(r["n"] for r in facets.scan(docs, ["path"], longest, "n long").collect()) == 14
+    states = spark.createDataFrame([("/a", 3, 50, 90), ("/b", 1, 5, 6)], "path string, document_count long, s long, e long").select("path", "document_count", F.timestamp_seconds("s").alias("timerange_start"), F.timestamp_seconds("e").alias("timerange_end"))
+    rows = catalog.widen(states, "/a", 9, F.timestamp_seconds(F.lit(60)), F.timestamp_seconds(F.lit(99))).select("path", "document_count", F.unix_timestamp("timerange_start"), F.unix_timestamp("timerange_end")).collect()
+    assert sorted(map(tuple, rows)) == [("/a", 9, 50, 99), ("/b", 1, 5, 6)]
+
+
 def test_stats(spark):
     frame = spark.createDataFrame([(f"{i}", NOON + i, 100 * i, i / 10 if i else None) for i in range(10)], "id string, timestamp long, bytes_sent long, request_time double")
     s = facets.stats(matching(frame, SearchRequest(start=NOON + 1, end=NOON + 5))).first()
@@ -111,8 +150,9 @@ def test_dashboard_equals_a_plain_count(spark):
     assert len(parts["daily"].collect()) == 2
     later = dash.dashboard(spark, frame, end + 40 * 86400, end + 41 * 86400)
     assert all(later[k].isEmpty() for k in ("hourly", "daily", "browsers", "urls"))
+    parts.close(), later.close()
 
 
 def test_every_query_has_its_sql():
     missing = set(queries.QUERIES) - set(queries.ORACLES)
-    assert missing == {"distinct_ip_approximate"}
+    assert not missing

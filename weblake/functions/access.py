@@ -7,44 +7,62 @@ from pyspark.sql import functions as F
 
 # Methods that are kept.
 METHODS = ("GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH", "TRACE", "CONNECT", "PROPFIND", "PROPPATCH", "MKCOL", "COPY", "MOVE", "LOCK", "UNLOCK")
-#: Groups: ip, time, request, status, size, referer, agent, request time, upstream time.
-LINE = r'^([^ ]+) *[^ ]* *[^ ]* *(?:\[([^\]]*)\]?)? *(?:"([^"]*)"?)? *([0-9]*) *([0-9-]*)(?: *"([^"]*)"?)?(?: *"([^"]*)"?)? *([0-9.-]*) *([0-9.-]*)'
-#: Lines that end before the status are kept with what was read, stamped with the time of reading.
-COMPLETE = r'^[^ ]+ +[^ ]* *[^ ]* *\[[^\]]*\] *"[^"]*" *[0-9]+.'
+#: Groups: what is whole up to the status, ip, time, request, status, size, referer, agent, request time, upstream time.  A line
+#: that ends before the status is kept with what was read, stamped with the time of reading.
+LINE = (
+    r'(?s)^(?=((?=.{20})[^ ]+ +[^ ]* *[^ ]* *\[[^\]]*\] *"[^"]*" *[0-9]+.)?)'
+    r'([^ ]+) *[^ ]* *[^ ]* *(?:\[([^\]]*)\]?)? *(?:"([^"]*)"?)? *([0-9]*) *([0-9-]*)(?: *"([^"]*)"?)?(?: *"([^"]*)"?)? *([0-9.-]*) *([0-9.-]*).*$'
+)
+_MARK = "\x1f"
 MAX_LINE = 16 * 1024
 TIMES = ("dd/MMM/yyyy:HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss")
 
 
 def epoch(text: Column) -> Column:
-    """Seconds of an access time, 0 if no layout fits; layouts without a zone are UTC whatever the session's zone is."""
-    zoned = [F.unix_timestamp(F.try_to_timestamp(text, F.lit(f))) for f in TIMES[:2]]
-    plain = [F.unix_timestamp(F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{f} Z"))) for f in TIMES[2:]]
-    return F.coalesce(*zoned, *plain, F.lit(0)).cast("long")
+    """Seconds of an access time, 0 if no layout fits; layouts without a zone are UTC whatever the session's zone is.  Only
+    layouts whose shape fits are tried."""
+    zoned = lambda layout: F.unix_timestamp(F.try_to_timestamp(text, F.lit(layout)))
+    plain = lambda layout: F.unix_timestamp(F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{layout} Z")))
+    slashed, has_zone = F.substring(text, 3, 1) == "/", F.length(text) > 20
+    return F.coalesce(F.when(slashed & has_zone, zoned(TIMES[0])).when(slashed, plain(TIMES[3])).when(F.substring(text, 11, 1) == "T", zoned(TIMES[1])).otherwise(plain(TIMES[2])), F.lit(0)).cast("long")
+
+
+def _parts(raw: Column) -> Column:
+    """The groups of a line, matched once.  A separator character in the line counts as a space."""
+    groups = _MARK.join(f"${i}" for i in range(1, 11))
+    return F.split(F.regexp_replace(F.translate(raw, _MARK + "\n", "  "), LINE, groups), _MARK)
 
 
 def access_entry(raw: Column, ingest_time: Column | None = None) -> Column:
     """A struct of the line's fields; null for an empty line or one above ``MAX_LINE``.  A line cut short before its size
     keeps its fields and gets ``ingest_time`` (null: 0) as its time."""
-    group = lambda i: F.regexp_extract(raw, LINE, i)
-    request = F.split(F.trim(group(3)), r"\s+")
-    method, path, protocol = (F.coalesce(F.get(request, i), F.lit("")) for i in range(3))
-    status = F.coalesce(group(4).try_cast("int"), F.lit(0))
-    seconds = lambda i: F.when(group(i).rlike(r"^[0-9]+(\.[0-9]*)?$|^\.[0-9]+$"), group(i).try_cast("double"))
-    whole = (F.length(raw) >= 20) & raw.rlike(COMPLETE)
-    fields = F.struct(
-        group(1).alias("ip"),
-        F.when(whole, epoch(group(2))).otherwise(F.coalesce(ingest_time, F.lit(0)) if ingest_time is not None else F.lit(0)).cast("long").alias("timestamp"),
-        F.when(method.isin(*METHODS), method).otherwise("").alias("method"),
-        path.alias("path"),
-        protocol.alias("protocol"),
-        F.when(status.between(100, 599), status).otherwise(0).alias("status"),
-        F.coalesce(group(5).try_cast("long"), F.lit(0)).alias("bytes_sent"),
-        F.nullif(group(6), F.lit("")).alias("referer"),
-        F.nullif(group(7), F.lit("")).alias("user_agent"),
-        F.nullif(seconds(8), F.lit(0.0)).alias("request_time"),
-        seconds(9).alias("upstream_time"),
-    )
-    return F.when((F.length(raw) > 0) & (F.length(raw) <= MAX_LINE), fields)
+    inner = ingest_time if ingest_time is not None else F.lit(0)
+
+    def fields(parts: Column) -> Column:
+        # A line that the pattern does not fit (it begins with a space) has no groups.
+        fits = F.size(parts) == 10
+        group = lambda i: F.when(fits, F.get(parts, i)).otherwise("")
+        request = F.split(F.trim(group(3)), r"\s+")
+        method, path, protocol = (F.coalesce(F.get(request, i), F.lit("")) for i in range(3))
+        status = F.coalesce(group(4).try_cast("int"), F.lit(0))
+        seconds = lambda i: F.when(group(i).rlike(r"^[0-9]+(\.[0-9]*)?$|^\.[0-9]+$"), group(i).try_cast("double"))
+        return F.struct(
+            group(1).alias("ip"),
+            F.when(group(0) != "", epoch(group(2))).otherwise(F.coalesce(inner, F.lit(0))).cast("long").alias("timestamp"),
+            F.when(method.isin(*METHODS), method).otherwise("").alias("method"),
+            path.alias("path"),
+            protocol.alias("protocol"),
+            F.when(status.between(100, 599), status).otherwise(0).alias("status"),
+            F.coalesce(group(5).try_cast("long"), F.lit(0)).alias("bytes_sent"),
+            F.nullif(group(6), F.lit("")).alias("referer"),
+            F.nullif(group(7), F.lit("")).alias("user_agent"),
+            F.nullif(seconds(8), F.lit(0.0)).alias("request_time"),
+            seconds(9).alias("upstream_time"),
+        )
+
+    # A variable of ``transform`` stands for the groups, so that each line is matched once however often they are named.
+    good = (F.length(raw) > 0) & (F.length(raw) <= MAX_LINE)
+    return F.get(F.transform(F.array(_parts(F.when(good, raw))), lambda parts: F.when(parts.isNotNull(), fields(parts))), 0)
 
 
 def valid_entry(now: Column, ip="ip", timestamp="timestamp", method="method", status="status", path="path", raw="raw") -> Column:

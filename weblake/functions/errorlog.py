@@ -17,7 +17,12 @@ CONTEXT = (("client", False), ("server", False), ("request", True), ("upstream",
 MAX_LINE = 64 * 1024
 
 _HEAD = rf"^(\d{{4}}/\d{{2}}/\d{{2}} \d{{2}}:\d{{2}}:\d{{2}}) \[({'|'.join(LEVELS)})\] *(?:(\d+)#(\d+): )?(?:\*(\d+) )?"
-_MESSAGE = rf"{_HEAD}(.*?)(?:, (?:{'|'.join(k for k, _ in CONTEXT)}): .*)?$"
+_MESSAGE = rf"((?:(?!, (?:{'|'.join(k for k, _ in CONTEXT)}): ).)*)"
+_PAIRS = "".join(rf'(?:, {k}: "([^"]*)")?' if quoted else rf"(?:, {k}: ((?:(?!, ).)*))?" for k, quoted in CONTEXT)
+#: Groups: time, level, process, thread, connection, message, and the values of the context.
+LINE = rf"(?s){_HEAD}{_MESSAGE}{_PAIRS}.*$"
+_GROUPS = 6 + len(CONTEXT)
+_MARK = "\x1f"
 
 
 def level_of(value: Column) -> Column:
@@ -34,30 +39,29 @@ def level_name(value: str) -> str | None:
     return name if name in LEVELS else None
 
 
-def _context(raw: Column, key: str) -> Column:
-    """The value of a key in the run of context that follows the message."""
-    at = [k for k, _ in CONTEXT].index(key)
-    pair = lambda k, quoted: rf', {k}: "[^"]*"' if quoted else rf", {k}: (?:(?!, ).)*"
-    before = "".join(f"(?:{pair(k, q)})?" for k, q in CONTEXT[:at])
-    own = rf', {key}: "([^"]*)"' if CONTEXT[at][1] else rf", {key}: ((?:(?!, ).)*)"
-    keys = "|".join(k for k, _ in CONTEXT)
-    return F.nullif(F.regexp_extract(raw, rf"{_HEAD}(?:(?!, (?:{keys}): ).)*{before}{own}", 6), F.lit(""))
+def error_entry(raw: Column) -> Column:
+    """A struct of the line's fields, null where it does not start like an error line.  Times are in the session's zone.  A
+    separator character in the line counts as a space."""
+    marked = F.regexp_replace(F.translate(raw, _MARK, " "), LINE, _MARK.join(f"${i}" for i in range(1, _GROUPS + 1)))
+    parts = F.split(F.when((F.length(raw) >= 25) & (F.length(raw) <= MAX_LINE), marked), _MARK)
 
+    def fields(found: Column) -> Column:
+        group = lambda i: F.get(found, i - 1)
+        value = {key: F.nullif(group(7 + i), F.lit("")) for i, (key, _) in enumerate(CONTEXT)}
+        time = F.try_to_timestamp(group(1), F.lit("yyyy/MM/dd HH:mm:ss"))
+        request = F.split(F.trim(value["request"]), r"\s+")
+        method = F.when((F.size(request) >= 2) & F.get(request, 0).isin(*METHODS), F.get(request, 0))
+        entry = F.struct(
+            F.unix_timestamp(time).alias("timestamp"),
+            group(2).alias("level"),
+            F.coalesce(group(3).try_cast("long"), F.lit(0)).alias("pid"),
+            F.coalesce(group(5).try_cast("long"), F.lit(0)).alias("connection"),
+            group(6).alias("message"),
+            *(value[key].alias(key) for key, _ in CONTEXT),
+            method.alias("method"),
+            F.when(method.isNotNull(), F.get(request, 1)).alias("path"),
+        )
+        return F.when((F.size(found) == _GROUPS) & time.isNotNull(), entry)
 
-def error_entry(raw: Column) -> Column:
-    """A struct of the line's fields, null where it does not start like an error line.  Times are in the session's zone."""
-    group = lambda i: F.regexp_extract(raw, _MESSAGE, i)
-    time = F.try_to_timestamp(F.substring(raw, 1, 19), F.lit("yyyy/MM/dd HH:mm:ss"))
-    request = F.split(F.trim(_context(raw, "request")), r"\s+")
-    method = F.when((F.size(request) >= 2) & F.get(request, 0).isin(*METHODS), F.get(request, 0))
-    fields = F.struct(
-        F.unix_timestamp(time).alias("timestamp"),
-        group(2).alias("level"),
-        F.coalesce(group(3).try_cast("long"), F.lit(0)).alias("pid"),
-        F.coalesce(group(5).try_cast("long"), F.lit(0)).alias("connection"),
-        group(6).alias("message"),
-        *(_context(raw, key).alias(key) for key, _ in CONTEXT),
-        method.alias("method"),
-        F.when(method.isNotNull(), F.get(request, 1)).alias("path"),
-    )
-    return F.when((F.length(raw) >= 25) & (F.length(raw) <= MAX_LINE) & raw.rlike(_HEAD) & time.isNotNull(), fields)
+    # A variable of ``transform`` stands for the groups, so that each line is matched once however often they are named.
+    return F.get(F.transform(F.array(parts), fields), 0)

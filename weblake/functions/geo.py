@@ -1,7 +1,9 @@
-"""Places: city keys, subdivision codes, labels, and numbers of IPv4 addresses."""
+"""Places: city keys, subdivision codes, labels, and keys of addresses and networks."""
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,18 +11,41 @@ from pyspark.sql import functions as F
 CHINESE = ("HK", "MO", "TW")
 
 
+#: What the keys of IPv4 addresses begin with.
+MAPPED = "0" * 20 + "ffff"
+
+
 def ip_number(ip: Column) -> Column:
     """The number of an IPv4 address, null for anything else."""
     part = lambda i: F.split_part(ip, F.lit("."), F.lit(i)).try_cast("long")
     return F.when(ip.rlike(r"^(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}$"), part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4))
 
 
+def address_key(address: str | None) -> str | None:
+    """32 hexadecimal digits of an address, IPv4 ones as mapped into IPv6, so that all sort by their number; None for anything
+    that is no address."""
+    try:
+        found = ipaddress.ip_address(address or "")
+    except ValueError:
+        return None
+    return f"{int(found):032x}" if found.version == 6 else f"{MAPPED}{int(found):08x}"
+
+
+def network_keys(cidr: str | None) -> tuple[str, str] | None:
+    """The keys of the first and last address of a network such as 10.0.0.0/8 or 2001:db8::/32; None for anything else."""
+    try:
+        found = ipaddress.ip_network(cidr or "", strict=False)
+    except ValueError:
+        return None
+    return (address_key(str(found[0])), address_key(str(found[-1]))) if "/" in (cidr or "") else None
+
+
 def first_non_empty(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in columns))
 
 
 def city_point(country: Column, city: Column, latitude: Column, longitude: Column, city_id: Column | None = None) -> Column:
-    """``country|city|lat|lon[|id]`` with two decimals."""
+    """``country|city|lat|lon[|id]`` with two decimals; null without a city or a place."""
     clean = F.translate(city, "|", "/")
     parts = [country, clean, F.format_string("%.2f", latitude), F.format_string("%.2f", longitude)]
     key = F.concat(parts[0], F.lit("|"), parts[1], F.lit("|"), parts[2], F.lit("|"), parts[3])

@@ -35,9 +35,22 @@ def has_phrase(text: Column, phrase: str) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" ")).contains(f" {' '.join(wanted)} ")
 
 
+def _any_of(wanted: list[str]) -> str:
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}_])({'|'.join(map(re.escape, wanted))})(?![\p{{L}}\p{{N}}_])"
+
+
 def highlight(text: Column, query: str, before: str = "<mark>", after: str = "</mark>") -> Column:
     """The text with the query's tokens marked."""
     wanted = literal_tokens(query)
     if not wanted:
         return text
-    return F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}_])({'|'.join(map(re.escape, wanted))})(?![\p{{L}}\p{{N}}_])", f"{before}$1{after}")
+    return F.regexp_replace(text, _any_of(wanted), f"{before}$1{after}")
+
+
+def fragments(text: Column, query: str, around: int = 100, before: str = "<mark>", after: str = "</mark>") -> Column:
+    """The parts of the text around the query's tokens, ``around`` characters at either side at most, with the tokens marked."""
+    wanted = literal_tokens(query)
+    if not wanted:
+        return F.array().cast("array<string>")
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?s).{{0,{around}}}?{_any_of(wanted)}.{{0,{around}}}"), F.lit(0))
+    return F.transform(found, lambda part: highlight(part, query, before, after))

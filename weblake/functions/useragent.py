@@ -143,9 +143,10 @@ def simple_device(agent: Column) -> Column:
     return F.when(device.isin("iPhone", "Mobile"), "Mobile").when(device.isin("iPad", "Tablet"), "Tablet").when(device == "Bot", "Bot").otherwise("Desktop")
 
 
-def with_user_agent(df, agent_col: str = "user_agent"):
-    """``df`` with the five columns, classified once for each distinct agent and joined back."""
-    agents = df.select(agent_col).where(F.col(agent_col).isNotNull()).distinct().withColumn("_ua", user_agent(F.col(agent_col))).select(agent_col, "_ua.*")
+def with_user_agent(df, agent_col: str = "user_agent", parser=user_agent):
+    """``df`` with the five columns, classified once for each distinct agent and joined back; ``parser`` gives the struct of
+    ``user_agent`` from a column."""
+    agents = df.select(agent_col).where(F.col(agent_col).isNotNull()).distinct().withColumn("_ua", parser(F.col(agent_col))).select(agent_col, "_ua.*")
     unknown = lambda c: F.when(F.col(c) != "Unknown", F.col(c))
     agents = agents.withColumns({"browser": unknown("browser"), "os": unknown("os")} | {c: F.nullif(F.col(c), F.lit("")) for c in ("browser_version", "os_version")})
     return df.join(agents, agent_col, "left")

@@ -1,4 +1,7 @@
-"""The traffic dashboard of a window [start, end): buckets, totals, peaks and lists."""
+"""The traffic dashboard of a window [start, end): buckets, totals, peaks and lists.
+
+All figures come from one pass over the entries: each entry is counted in a few *cells* (its visitor in its hour, its minute, and
+each of its listed values), cells are added up before and after one shuffle, and every figure is a small sum over cells."""
 
 from __future__ import annotations
 
@@ -12,10 +15,8 @@ from ..functions.params import hour_of, local_date, minute_of, percent
 from .search import RequestError
 
 BUFFER = 12 * 3600
-
-
-def _visitor():
-    return F.nullif(F.col("ip"), F.lit(""))
+#: Listed columns, and how many of their values are listed.
+LISTS = {"browsers": ("browser", 50), "systems": ("os", 50), "devices": ("device_type", 50), "urls": ("path_exact", 100)}
 
 
 def base(entries: DataFrame, start: int, end: int) -> DataFrame:
@@ -25,74 +26,77 @@ def base(entries: DataFrame, start: int, end: int) -> DataFrame:
     return entries.where((F.col("timestamp") >= start - BUFFER) & (F.col("timestamp") < end + BUFFER)).select("timestamp", "ip", "path_exact", "browser", "os", "device_type", "bytes_sent")
 
 
-def window(rows: DataFrame, start: int, end: int) -> DataFrame:
-    return rows.where((F.col("timestamp") >= start) & (F.col("timestamp") < end))
+def cells(entries: DataFrame, start: int, end: int) -> DataFrame:
+    """(kind, hour, date, inside, term, n, bytes): ``visit`` cells count a visitor (``term``) in an hour and a date, for the window
+    (``inside``) and the hours around it apart; ``minute`` cells a minute of the window, and those of a listed column one of its values."""
+    time = F.col("timestamp")
+    inside = (time >= start) & (time < end)
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def cell(kind: str, hour, date, within, term):
+        return F.struct(F.lit(kind).alias("kind"), hour.alias("hour"), date.alias("date"), within.alias("inside"), term.alias("term"))
+
+    own = [cell("visit", hour_of(time), local_date(time), inside, F.nullif("ip", F.lit(""))), F.when(inside, cell("minute", minute_of(time), none("date"), F.lit(True), none("string")))]
+    own += [F.when(inside & (F.col(c) != ""), cell(c, none("long"), none("date"), F.lit(True), F.col(c))) for c, _ in LISTS.values()]
+    spread = base(entries, start, end).select("bytes_sent", F.explode(F.array_compact(F.array(*own))).alias("c")).select("c.*", "bytes_sent")
+    return spread.groupBy("kind", "hour", "date", "inside", "term").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes_sent"), F.lit(0)).alias("bytes"))
+
+
+def _visits(counted: DataFrame) -> DataFrame:
+    return counted.where("kind = 'visit'")
 
 
-def hourly(spark: SparkSession, rows: DataFrame, start: int, end: int, aligned: bool = False) -> DataFrame:
+def _sums() -> tuple:
+    return F.count_distinct("term").alias("uv"), F.sum("n").alias("pv")
+
+
+def hourly(spark: SparkSession, counted: DataFrame, start: int, end: int, aligned: bool = False) -> DataFrame:
     """(hour, timestamp, uv, pv): buckets of an hour from ``start`` - 12 h; those that no row falls in have 0.  Buckets that do
     not begin on a full hour stay empty unless ``aligned``."""
     first = start - BUFFER
     first -= first % 3600 if aligned else 0
     n = -(-(end - start + 24 * 3600) // 3600)
     grid = spark.range(n).select((F.lit(first) + F.col("id") * 3600).alias("timestamp"))
-    counted = rows.groupBy(hour_of(F.col("timestamp")).alias("timestamp")).agg(F.count_distinct(_visitor()).alias("uv"), F.count(F.lit(1)).alias("pv"))
-    return grid.join(counted, "timestamp", "left").select((F.pmod(F.col("timestamp"), F.lit(86400)) / 3600).cast("int").alias("hour"), "timestamp", F.coalesce("uv", F.lit(0)).alias("uv"), F.coalesce("pv", F.lit(0)).alias("pv"))
+    seen = _visits(counted).groupBy(F.col("hour").alias("timestamp")).agg(*_sums())
+    return grid.join(seen, "timestamp", "left").select((F.pmod(F.col("timestamp"), F.lit(86400)) / 3600).cast("int").alias("hour"), "timestamp", F.coalesce("uv", F.lit(0)).alias("uv"), F.coalesce("pv", F.lit(0)).alias("pv"))
 
 
-def daily(spark: SparkSession, rows: DataFrame, start: int, end: int) -> DataFrame:
+def daily(spark: SparkSession, counted: DataFrame, start: int, end: int) -> DataFrame:
     """(date, timestamp, uv, pv): the days, in the session's zone, of start, start + 1 day and so on before ``end``; each counts
     all rows of its date."""
     zone = ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
-    moment, days = datetime.fromtimestamp(start, zone), []
+    moment, days = datetime.fromtimestamp(start, zone), {}
     while moment.timestamp() < end:
         midnight = datetime(moment.year, moment.month, moment.day, tzinfo=zone)
-        days.append((midnight.date(), int(midnight.timestamp())))
+        days[midnight.date()] = int(midnight.timestamp())
         moment += timedelta(days=1)
-    grid = spark.createDataFrame(days, "date date, timestamp long").distinct()
-    counted = rows.groupBy(local_date(F.col("timestamp")).alias("date")).agg(F.count_distinct(_visitor()).alias("uv"), F.count(F.lit(1)).alias("pv"))
-    return grid.join(counted, "date", "left").select("date", "timestamp", F.coalesce("uv", F.lit(0)).alias("uv"), F.coalesce("pv", F.lit(0)).alias("pv"))
+    grid = spark.createDataFrame(list(days.items()), "date date, timestamp long")
+    seen = _visits(counted).groupBy("date").agg(*_sums())
+    return grid.join(seen, "date", "left").select("date", "timestamp", F.coalesce("uv", F.lit(0)).alias("uv"), F.coalesce("pv", F.lit(0)).alias("pv"))
 
 
-def totals(inside: DataFrame) -> DataFrame:
+def totals(counted: DataFrame) -> DataFrame:
     """(pv, uv, traffic) of the window."""
-    return inside.agg(F.count(F.lit(1)).alias("pv"), F.count_distinct(_visitor()).alias("uv"), F.coalesce(F.sum("bytes_sent"), F.lit(0)).alias("traffic"))
+    return _visits(counted).where("inside").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pv"), F.count_distinct("term").alias("uv"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("traffic"))
 
 
-def peak_minute(inside: DataFrame) -> DataFrame:
+def peak_minute(counted: DataFrame) -> DataFrame:
     """The most views of a minute."""
-    return inside.groupBy(minute_of(F.col("timestamp")).alias("m")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("peak"))
+    return counted.where("kind = 'minute'").agg(F.coalesce(F.max("n"), F.lit(0)).alias("peak"))
 
 
-def top(inside: DataFrame, column: str, size: int = 50) -> DataFrame:
-    """(term, count, percent): the most frequent values of a column, ties by value; percentages are of all views."""
-    every = inside.agg(F.count(F.lit(1)).alias("every"))
-    listed = inside.where(F.nullif(F.col(column), F.lit("")).isNotNull()).groupBy(F.col(column).alias("term")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "term").limit(size)
+def top(counted: DataFrame, column: str, size: int = 50) -> DataFrame:
+    """(term, count, percent): the most frequent values of a listed column, ties by value; percentages are of all views."""
+    every = _visits(counted).where("inside").agg(F.sum("n").alias("every"))
+    listed = counted.where(F.col("kind") == column).select("term", F.col("n").alias("count")).orderBy(F.desc("count"), "term").limit(size)
     return listed.crossJoin(F.broadcast(every)).select("term", "count", percent(F.col("count"), F.col("every")).alias("percent"))
 
 
-def browsers(inside: DataFrame) -> DataFrame:
-    return top(inside, "browser", 50)
-
-
-def systems(inside: DataFrame) -> DataFrame:
-    return top(inside, "os", 50)
-
-
-def devices(inside: DataFrame) -> DataFrame:
-    return top(inside, "device_type", 50)
-
-
-def urls(inside: DataFrame) -> DataFrame:
-    return top(inside, "path_exact", 100)
-
-
-def summary(spark: SparkSession, rows: DataFrame, start: int, end: int) -> DataFrame:
+def summary(spark: SparkSession, counted: DataFrame, start: int, end: int) -> DataFrame:
     """One row: totals, daily averages, the peak hour (the earliest of the busiest, of the buckets), average and peak rate."""
-    inside = window(rows, start, end)
-    hours = hourly(spark, rows, start, end).agg(F.max(F.struct("pv", (-F.col("timestamp")).alias("t"), "hour")).alias("h")).select(F.when(F.col("h.pv") > 0, F.col("h.hour")).otherwise(0).alias("peak_hour"), F.col("h.pv").alias("peak_hour_traffic"))
-    days = daily(spark, rows, start, end).agg(F.count(F.lit(1)).alias("days"), F.sum("pv").alias("day_pv"))
-    row = totals(inside).crossJoin(peak_minute(inside)).crossJoin(hours).crossJoin(days)
+    hours = hourly(spark, counted, start, end).agg(F.max(F.struct("pv", (-F.col("timestamp")).alias("t"), "hour")).alias("h")).select(F.when(F.col("h.pv") > 0, F.col("h.hour")).otherwise(0).alias("peak_hour"), F.col("h.pv").alias("peak_hour_traffic"))
+    days = daily(spark, counted, start, end).agg(F.count(F.lit(1)).alias("days"), F.sum("pv").alias("day_pv"))
+    row = totals(counted).crossJoin(peak_minute(counted)).crossJoin(hours).crossJoin(days)
     return row.select(
         F.col("uv").alias("total_uv"),
         F.col("pv").alias("total_pv"),
@@ -106,16 +110,38 @@ def summary(spark: SparkSession, rows: DataFrame, start: int, end: int) -> DataF
     )
 
 
-def dashboard(spark: SparkSession, entries: DataFrame, start: int, end: int) -> dict[str, DataFrame]:
+class Dashboard(dict):
+    """The parts by name; they share the cells, which stay persisted until ``close`` or the end of a ``with`` block."""
+
+    def __init__(self, counted: DataFrame, parts: dict[str, DataFrame]):
+        super().__init__(parts)
+        self.counted = counted
+
+    def close(self) -> None:
+        self.counted.unpersist()
+
+    def __enter__(self) -> Dashboard:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def dashboard(spark: SparkSession, entries: DataFrame, start: int, end: int) -> Dashboard:
     """All figures; lists and buckets are empty when the window has no views."""
-    rows = base(entries, start, end)
-    inside = window(rows, start, end)
-    some = F.broadcast(inside.limit(1).select(F.lit(True).alias("_some")))
-    parts = {"hourly": hourly(spark, rows, start, end), "daily": daily(spark, rows, start, end), "browsers": browsers(inside), "systems": systems(inside), "devices": devices(inside), "urls": urls(inside)}
-    return {k: v.crossJoin(some).drop("_some") for k, v in parts.items()} | {"summary": summary(spark, rows, start, end)}
+    counted = cells(entries, start, end).persist()
+    some = F.broadcast(counted.where("kind = 'minute'").limit(1).select(F.lit(True).alias("_some")))
+    parts = {"hourly": hourly(spark, counted, start, end), "daily": daily(spark, counted, start, end)}
+    parts |= {name: top(counted, column, size) for name, (column, size) in LISTS.items()}
+    return Dashboard(counted, {k: v.crossJoin(some).drop("_some") for k, v in parts.items()} | {"summary": summary(spark, counted, start, end)})
 
 
 def day_hours(spark: SparkSession, entries: DataFrame, last_day_start: int) -> DataFrame:
     """The 48 hours from twelve before a day to twelve after it."""
-    rows = base(entries, last_day_start, last_day_start + 86400)
-    return hourly(spark, rows, last_day_start, last_day_start + 86400)
+    end = last_day_start + 86400
+    return hourly(spark, cells(entries, last_day_start, end), last_day_start, end)
+
+
+def daily_hits(spark: SparkSession, hits: DataFrame, start: int, end: int) -> DataFrame:
+    """Days of hits that are at hand already: (date, timestamp, uv, pv), hits outside the window left out."""
+    return daily(spark, cells(hits.where((F.col("timestamp") >= start) & (F.col("timestamp") < end)), start, end), start, end)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,9 @@ RETURNED = (
 #: Lists of exact values, and lists of phrases; any value of a list matches, all lists must.
 EXACT = ("ip", "status", "method", "region_code", "province", "browser", "os", "device_type", "level")
 PHRASES = ("path", "user_agent", "referer")
+#: What a request sorts by to have the most relevant first.
+SCORE = "_score"
+DEFAULT_LIMIT, MOST_HITS = 10, 1000
 
 
 class RequestError(ValueError):
@@ -50,10 +53,16 @@ class SearchRequest:
         if self.sort_order not in ("", "asc", "desc"):
             raise RequestError("the order is asc or desc")
         check_time_range(self.start or 0, self.end or 0)
+        if self.sort_by == SCORE and not self.query:
+            raise RequestError("relevance is of a free text")
         unknown = [*(set(self.exact) - set(EXACT)), *(set(self.phrases) - set(PHRASES))]
         if unknown:
             raise RequestError(f"no such filter: {unknown}")
 
+    def normalised(self) -> SearchRequest:
+        """With a limit of 10 where it has none, 1000 at most, and no negative offset."""
+        return replace(self, limit=min(self.limit, MOST_HITS) if self.limit > 0 else DEFAULT_LIMIT, offset=max(0, self.offset))
+
 
 def check_time_range(start: int, end: int) -> None:
     if start < 0 or end < 0 or (start and end and start >= end):
@@ -101,8 +110,14 @@ def matching(entries: DataFrame, request: SearchRequest) -> DataFrame:
 
 
 def hits(entries: DataFrame, request: SearchRequest) -> DataFrame:
-    """One page of the matches: in the request's order, ties by id ascending, missing values last."""
+    """One page of the matches: in the request's order, ties by id ascending, missing values last.  Scores are computed, and are
+    a column of the page, only where the order is by them and the page is not empty."""
     found = matching(entries, request)
+    scored = request.sort_by == SCORE and request.limit >= 0
+    if scored:
+        found = with_score(found, entries, request.query)
+    elif request.sort_by == SCORE:
+        found = found.withColumn(SCORE, F.lit(0.0))
     key, down = F.col(request.sort_by), request.sort_order != "asc"
     if request.search_after is not None:
         value, last_id = request.search_after
@@ -116,7 +131,7 @@ def hits(entries: DataFrame, request: SearchRequest) -> DataFrame:
     if request.offset and request.search_after is None:
         ordered = ordered.offset(request.offset)
     names = request.fields or [c for c in RETURNED if c in entries.columns]
-    return ordered.limit(limit).select(*names)
+    return ordered.limit(limit).select(*names, *([SCORE] if scored and SCORE not in names else []))
 
 
 def total(entries: DataFrame, request: SearchRequest) -> DataFrame:
@@ -128,20 +143,41 @@ def latest(entries: DataFrame, limit: int = 100, tail: bool = True) -> DataFrame
     return hits(entries, SearchRequest(limit=limit, sort_order="desc" if tail else "asc"))
 
 
-def by_relevance(entries: DataFrame, query: str, limit: int = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score): matches by BM25 over all entries."""
+def _is(word: str):
+    return lambda token: token == word
+
+
+def with_score(rows: DataFrame, entries: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``rows`` with ``_score``, BM25 by the statistics of all ``entries``: one row for the few terms of a query."""
     wanted = sorted(set(text.literal_tokens(query)))
-    words = entries.select("id", text.tokens(F.col("raw")).alias("t")).withColumn("n", F.size("t"))
-    whole = words.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    seen = words.select("id", "n", F.explode(F.filter("t", lambda t: t.isin(wanted))).alias("term")).groupBy("id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    # The terms of one query are few, and the statistics are one row.
-    scored = seen.join(F.broadcast(df), "term").crossJoin(F.broadcast(whole)).groupBy("id").agg(F.sum(part).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(limit)
+    tokens = entries.select(text.tokens(F.col("raw")).alias("t"))
+    whole = tokens.agg(F.count(F.lit(1)).alias("_docs"), F.avg(F.size("t")).alias("_mean"), *(F.sum(F.array_contains("t", w).cast("int")).alias(f"_df{i}") for i, w in enumerate(wanted)))
+    held = rows.withColumn("_t", text.tokens(F.col("raw"))).crossJoin(F.broadcast(whole))
+    score = F.lit(0.0)
+    for i, w in enumerate(wanted):
+        tf = F.size(F.filter("_t", _is(w)))
+        idf = F.log(1 + (F.col("_docs") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("_t") / F.col("_mean")))
+    return held.withColumn(SCORE, F.coalesce(score, F.lit(0.0))).drop("_t", *whole.columns)
+
+
+def by_relevance(entries: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """(id, score): the matches of a free text, the most relevant first."""
+    return hits(entries, SearchRequest(query=query, sort_by=SCORE, limit=limit, fields=["id"])).withColumnRenamed(SCORE, "score")
 
 
 def highlighted(entries: DataFrame, request: SearchRequest, columns: tuple[str, ...] = ("raw",)) -> DataFrame:
     """The page with the query's tokens marked."""
     return hits(entries, request).withColumns({c: text.highlight(F.col(c), request.query or "") for c in columns})
+
+
+def fragments(entries: DataFrame, request: SearchRequest, columns: tuple[str, ...] = ("*",), around: int = 100) -> DataFrame:
+    """The page with ``fragments``: for each named column (``*``: all that were searched) that has hits, the parts of its text
+    around them, marked.  The free text is looked for in ``raw``, phrases in their own columns."""
+    asked = {"raw": [request.query] if request.query else [], **request.phrases}
+    found = {c: " ".join(v) for c, v in asked.items() if v and (c in columns or "*" in columns)}
+    page = hits(entries, replace(request, fields=[*dict.fromkeys([*(request.fields or [c for c in RETURNED if c in entries.columns]), *found])]))
+    pairs = [F.struct(F.lit(c).alias("key"), text.fragments(F.col(c), v, around).alias("value")) for c, v in found.items()]
+    if not pairs:
+        return page.withColumn("fragments", F.lit(None).cast("map<string,array<string>>"))
+    return page.withColumn("fragments", F.map_from_entries(F.filter(F.array(*pairs), lambda p: F.size(p["value"]) > 0)))

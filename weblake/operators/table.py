@@ -1,13 +1,17 @@
 """The ``entries`` table on Parquet: upserts by id, deletions, compaction and counts.
 
-Rows live in partitions by log group (a digest of its path) and day.  A change rewrites the partitions it touches: the new
-content is written beside the table and then moved over them by dynamic partition overwrite."""
+Rows live in partitions by log group (a digest of its path) and day.  A change rewrites the partitions it touches: their new
+content is written beside the table first, with a plan of the partitions that become empty; then it is moved over them by
+dynamic partition overwrite.  A change that was cut short after its plan was written is finished by the next one, and one that
+was cut short before has changed nothing, so no failure loses rows.  A table has one writer at a time."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -46,9 +50,41 @@ def keep_last(rows: DataFrame, order: str = "_seq") -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
 
 
+def group_digest(log_group: str) -> str:
+    """The name of a group's partition."""
+    return hashlib.md5(log_group.encode()).hexdigest()[:12]
+
+
+class Folder:
+    """A folder in any file system that Spark knows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path
+        self._new = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._new(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._new(self.path))) if self._fs.exists(self._new(self.path)) else []
+
+    def has(self, name: str) -> bool:
+        return self._fs.exists(self._new(f"{self.path}/{name}"))
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._new(f"{self.path}/{name}"), True)
+
+    def put(self, name: str, text: str) -> None:
+        """A small file that is there whole or not at all."""
+        partial = self._new(f"{self.path}/.{uuid.uuid4().hex}")
+        out = self._fs.create(partial, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._fs.rename(partial, self._new(f"{self.path}/{name}"))
+
+
 class EntryTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.data = spark, root.rstrip("/"), f"{root.rstrip('/')}/data"
+        self.folder = Folder(spark, self.root)
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("grp", F.substring(F.md5(F.col("main_log_path").cast("binary")), 1, 12)).withColumn("dt", F.to_date(F.timestamp_seconds("timestamp")))
@@ -66,7 +102,7 @@ class EntryTable:
             return self.spark.createDataFrame([], ENTRIES)
         rows = self.spark.read.parquet(self.data)
         if log_group is not None:
-            rows = rows.where((F.col("grp") == F.substring(F.md5(F.lit(log_group).cast("binary")), 1, 12)) & (F.col("main_log_path") == log_group))
+            rows = rows.where((F.col("grp") == group_digest(log_group)) & (F.col("main_log_path") == log_group))
         day = lambda seconds: F.to_date(F.timestamp_seconds(F.lit(seconds)))
         if start is not None:
             rows = rows.where((F.col("dt") >= day(start)) & (F.col("timestamp") >= start))
@@ -74,64 +110,94 @@ class EntryTable:
             rows = rows.where((F.col("dt") <= day(end)) & (F.col("timestamp") < end))
         return rows.drop(*_PARTS)
 
-    def _move(self, rows: DataFrame, mode: str = "dynamic") -> None:
-        staging = f"{self.root}/staging-{uuid.uuid4().hex}"
-        rows.write.partitionBy(*_PARTS).parquet(staging)
+    # --- changes -----------------------------------------------------------------------------------------------------
+
+    def recover(self) -> None:
+        """Finishes a change whose plan is there, and drops what is left of one without."""
+        for name in self.folder.names():
+            if name.startswith("change-") and self.folder.has(f"{name}/plan.json"):
+                self._apply(name)
+            elif name.startswith(("change-", "incoming-")):
+                self.folder.delete(name)
+
+    def _replace(self, rows: DataFrame, touched: DataFrame) -> None:
+        """``rows`` become all of the ``touched`` (grp, dt) partitions; those that get none of them go."""
+        name = f"change-{uuid.uuid4().hex}"
+        staged = f"{self.root}/{name}"
+        # Spark splits large days and joins small ones, so files have an even size.
+        rows.hint("rebalance", *_PARTS).write.partitionBy(*_PARTS).parquet(f"{staged}/rows")
+        held = {(r["grp"], r["dt"]) for r in self._staged(staged).select(*_PARTS).distinct().collect()}
+        emptied = [f"grp={r['grp']}/dt={r['dt']}" for r in touched.collect() if (r["grp"], r["dt"]) not in held]
+        self.folder.put(f"{name}/plan.json", json.dumps({"emptied": emptied, "rows": bool(held)}))
+        self._apply(name)
+
+    def _staged(self, staged: str) -> DataFrame:
         try:
-            moved = self.spark.read.parquet(staging)
+            return self.spark.read.parquet(f"{staged}/rows")
         except AnalysisException:
-            return
-        moved.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*_PARTS).parquet(self.data)
-        self._delete(staging)
+            return self.spark.createDataFrame([], "grp string, dt date")
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+    def _apply(self, name: str) -> None:
+        """Moves a staged change in; done twice it gives the same."""
+        plan = json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.root}/{name}/plan.json").collect()))
+        if plan["rows"]:
+            self._staged(f"{self.root}/{name}").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(self.data)
+        for part in plan["emptied"]:
+            self.folder.delete(f"data/{part}")
+        self.folder.delete(name)
 
     def upsert(self, rows: DataFrame) -> None:
-        """Adds rows; one with the id of another of its group replaces it."""
-        new = self._placed(acceptable(compact_nulls(rows)))
+        """Adds rows; one with the id of another of its group replaces it.  Only the days of the new rows are rewritten, and
+        those from which a row moves to another day, which a look at the ids of the groups finds."""
+        self.recover()
+        incoming = f"incoming-{uuid.uuid4().hex}"
+        self._placed(acceptable(compact_nulls(rows))).write.parquet(f"{self.root}/{incoming}")
+        new = self.spark.read.parquet(f"{self.root}/{incoming}")
+        both = new.withColumn("_seq", F.lit(1))
+        touched = new.select(*_PARTS).distinct()
         if self.exists():
             old = self.spark.read.parquet(self.data)
-            # An id that moves to another day would stay in its old partition: days are taken from all rows of touched groups.
-            touched = new.select("grp").distinct()
-            both = old.join(touched, "grp", "left_semi").withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
-        else:
-            both = new.withColumn("_seq", F.lit(1))
-        self._move(keep_last(both).drop("_seq"))
-
-    def _rewrite(self, log_group: str, keep) -> None:
-        rows = self.read(log_group).where(keep)
-        grp = self._placed(rows)
-        staging = f"{self.root}/staging-{uuid.uuid4().hex}"
-        grp.write.partitionBy(*_PARTS).parquet(staging)
-        self.drop_group(log_group)
-        try:
-            self.spark.read.parquet(staging).write.mode("append").partitionBy(*_PARTS).parquet(self.data)
-        except AnalysisException:
-            pass
-        self._delete(staging)
+            ids = new.select("grp", "main_log_path", "id", F.col("dt").alias("to"))
+            moved = old.select("grp", "main_log_path", "id", "dt").join(ids, ["grp", "main_log_path", "id"]).where("dt <> to").select(*_PARTS)
+            touched = touched.union(moved).distinct()
+            both = old.join(touched, list(_PARTS), "left_semi").withColumn("_seq", F.lit(0)).unionByName(both, allowMissingColumns=True)
+        self._replace(keep_last(both).drop("_seq"), touched)
+        self.folder.delete(incoming)
+
+    def _days(self, log_group: str, rows: Column | None = None) -> DataFrame:
+        own = self.spark.read.parquet(self.data).where(F.col("grp") == group_digest(log_group))
+        return (own if rows is None else own.where(rows)).select(*_PARTS).distinct()
+
+    def purge_files(self, log_group: str, file_paths: list[str], legacy_only: bool = False) -> None:
+        """Deletes the files' rows, or only if some of them have ids of another form."""
+        self.recover()
+        own = F.col("file_path").isin(file_paths) & (F.col("main_log_path") == log_group)
+        if not self.exists() or (legacy_only and self.read(log_group).where(own & ~is_document_id(F.col("id"))).isEmpty()):
+            return
+        touched = self._days(log_group, own)
+        kept = self.spark.read.parquet(self.data).where(F.col("grp") == group_digest(log_group)).join(touched, list(_PARTS), "left_semi").where(~own)
+        self._replace(kept, touched)
 
     def purge_file(self, log_group: str, file_path: str, legacy_only: bool = False) -> None:
-        """Deletes a file's rows, or only if some of them have ids of another form."""
-        own = F.col("file_path") == file_path
-        if legacy_only and self.read(log_group).where(own & ~is_document_id(F.col("id"))).isEmpty():
-            return
-        self._rewrite(log_group, ~own)
+        self.purge_files(log_group, [file_path], legacy_only)
 
     def drop_group(self, log_group: str) -> None:
-        import hashlib
-
-        self._delete(f"{self.data}/grp={hashlib.md5(log_group.encode()).hexdigest()[:12]}")
+        self.recover()
+        self.folder.delete(f"data/grp={group_digest(log_group)}")
 
     def truncate(self) -> None:
-        self._delete(self.data)
+        for name in self.folder.names():
+            if name == "data" or name.startswith(("change-", "incoming-")):
+                self.folder.delete(name)
+
+    def compact(self, log_group: str) -> None:
+        """Rewrites a group in few files a day, sorted by time."""
+        self.recover()
+        if self.exists():
+            rows = self.spark.read.parquet(self.data).where(F.col("grp") == group_digest(log_group))
+            self._replace(rows, self._days(log_group))
 
-    def compact(self, log_group: str, files: int = 1) -> None:
-        """Rewrites a group in few files a day."""
-        rows = self._placed(self.read(log_group)).repartition(files, "dt").sortWithinPartitions("dt", "timestamp")
-        self._move(rows)
+    # --- counts ------------------------------------------------------------------------------------------------------
 
     def count(self, log_group: str | None = None, file_path: str | None = None) -> int:
         rows = self.read(log_group)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.rotation import is_compressed
 from ..schema import STATUSES
 
 #: Of a group's files the status that comes first here is the group's.
@@ -51,17 +52,16 @@ def ungrouped(states: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def filtered(listing: DataFrame, type_: str | None = None, name: str | None = None, path: str | None = None, indexed: str | None = None) -> DataFrame:
-    """Groups of a type, with a part of their name or path, that are indexed (true), not (false) or being indexed."""
+    """Groups of a type, with a part of their name or path, that are indexed (true), not indexed (false) or being indexed
+    (indexing); any other value of ``indexed`` filters nothing."""
     if type_:
         listing = listing.where(F.col("type") == type_)
     if name:
         listing = listing.where(F.element_at(F.split("path", "/"), -1).contains(name))
     if path:
         listing = listing.where(F.col("path").contains(path))
-    if indexed:
-        wanted = {"true": F.col("index_status") == "indexed", "false": ~F.col("index_status").isin("indexed", "indexing", "queued"), "indexing": F.col("index_status").isin("indexing", "queued")}[indexed]
-        listing = listing.where(wanted)
-    return listing
+    wanted = {"true": "indexed", "false": "not_indexed", "indexing": "indexing"}.get(indexed or "")
+    return listing.where(F.col("index_status") == wanted) if wanted else listing
 
 
 def listing_summary(listing: DataFrame) -> DataFrame:
@@ -182,14 +182,54 @@ def can_retry(max_retries: int = 3) -> Column:
     return (F.col("index_status") == "error") & (F.col("retry_count") < max_retries)
 
 
-def preflight(listing: DataFrame, path: str) -> DataFrame:
-    """What can be shown of a log: whether it is available, being indexed, and from when to when."""
-    status = F.col("index_status")
-    return listing.where(F.col("path") == path).select(
-        "path", (status == "indexed").alias("available"), status.isin("indexing", "queued").alias("busy"), (F.col("document_count") > 0).alias("has_data"), F.unix_timestamp("timerange_start").alias("start_time"), F.unix_timestamp("timerange_end").alias("end_time"), "last_size"
+def preflight(listing: DataFrame, path: str, exists: bool = True, readable: bool = True, size: int | None = None, modified: int | None = None, allowed: bool = True, healthy: bool = True, busy: bool = False) -> DataFrame:
+    """One row: what can be shown of a log, by its row of the listing if it has one and what the host knows of its file.
+
+    A path that is not allowed and a file that cannot be read are errors.  A file that is gone counts as indexed where its log was
+    (``historical``).  ``available``: it was indexed, and searches work (``healthy``); else it is being indexed or queued if
+    the host is ``busy``."""
+    spark = listing.sparkSession
+    own = listing.where((F.col("path") == path) & (F.col("files") > 0)).select("last_indexed", "timerange_start", "timerange_end", "document_count", F.lit(True).alias("_row"))
+    row = spark.range(1).join(own, F.lit(True), "left")
+    known, indexed = F.col("_row").isNotNull(), F.col("last_indexed").isNotNull()
+    refused = not allowed or (exists and not readable)
+    if refused:
+        status, message = F.lit("error"), F.lit("the file cannot be read" if allowed else "the path is not allowed")
+    elif not exists:
+        status, message = F.when(indexed, "indexed").otherwise("not_indexed"), F.when(indexed, "the file is gone, what was read of it is there").otherwise("there is no such file")
+    else:
+        status = F.when(indexed, "indexed").when(F.lit(busy), F.when(known, "indexing").otherwise("queued")).otherwise("not_indexed")
+        message = F.when(known, "").otherwise("not indexed yet")
+    there = exists and allowed
+    return row.select(
+        F.lit(path).alias("path"),
+        (indexed & F.lit(healthy and not refused)).alias("available"),
+        status.alias("index_status"),
+        message.alias("message"),
+        (indexed & F.lit(not exists and not refused)).alias("historical"),
+        (F.coalesce("document_count", F.lit(0)) > 0).alias("has_data"),
+        *(F.when(F.lit(not refused), F.unix_timestamp(c)).alias(a) for c, a in (("timerange_start", "start_time"), ("timerange_end", "end_time"))),
+        F.lit(there).alias("exists"),
+        F.lit(there and readable).alias("readable"),
+        F.lit(size if there and readable else None).cast("long").alias("size"),
+        F.lit(modified if there and readable else None).cast("long").alias("last_modified"),
     )
 
 
+def status_items(states: DataFrame, hosts: DataFrame, **filters: str) -> DataFrame:
+    """A row for each group that the filters leave, sorted by path: the listing with the details of the main file's own row."""
+    listing = filtered(groups(states, hosts), **filters)
+    kinds = {"index_start_time": "timestamp", "error_message": "string", "error_time": "timestamp", "retry_count": "int", "queue_position": "int"}
+    main = states.where("path = main_log_path").select(F.col("path").alias("_path"), *((F.col(c) if c in states.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    configured = hosts.select(F.col("path").alias("_host"), "config_file")
+    joined = listing.join(main, listing["path"] == main["_path"], "left").join(configured, listing["path"] == configured["_host"], "left")
+    ranged = F.col("timerange_start").isNotNull() & F.col("timerange_end").isNotNull()
+    return joined.select(
+        "path", F.col("path").alias("main_log_path"), "type", F.element_at(F.split("path", "/"), -1).alias("name"), "config_file", "index_status", "last_modified", "last_size", "last_indexed", "index_duration",
+        is_compressed(F.col("path")).alias("is_compressed"), ranged.alias("has_time_range"), "timerange_start", "timerange_end", "document_count", *kinds,
+    ).orderBy("path")
+
+
 def ordered_queue(states: DataFrame) -> DataFrame:
     """Queued rows with positions from 1 without gaps."""
     return queued(states).withColumn("queue_position", F.row_number().over(Window.orderBy("queue_position", "path")))

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import glob
+import gzip
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +18,9 @@ from . import fixtures
 from .functions import access, errorlog, geo, params, rotation, text, useragent
 from .operators import dashboard as dash
 from .operators import detail, facets, geography, table
-from .operators.search import SearchRequest, by_relevance, hits, highlighted, latest, matching, total
+from .operators.search import SearchRequest, by_relevance, fragments, hits, highlighted, latest, matching, total
 from .plans import catalog
+from .shipping import one_process
 from .streaming import ingest
 
 DAY = 86400
@@ -35,10 +40,15 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | No
         ORACLES[name] = f"WITH {fixtures.ENTRIES_SQL} {sql}" if "entries" in sql or "logged" in sql or "places" in sql or "agents" in sql else sql
 
 
+def _ranked(page: DataFrame) -> DataFrame:
+    """The page with the place of each row: a page is one sorted partition, so its order becomes part of the result."""
+    return page.withColumn("place", F.monotonically_increasing_id() + 1)
+
+
 def _search(name: str, where: str, order: str = "timestamp DESC, id", limit: int = 200, columns: tuple[str, ...] = _IDS, offset: int = 0, **request) -> None:
-    """A page of a search; the rank makes its order part of the result."""
     asked = SearchRequest(limit=limit, offset=offset, fields=list(columns), **request)
-    _add(name, lambda s, d: hits(fixtures.entries(s, d), asked), f"SELECT {', '.join(columns)} FROM entries WHERE {where} ORDER BY {order} LIMIT {limit}" + (f" OFFSET {offset}" if offset else ""))
+    page = f"SELECT {', '.join(columns)}, row_number() OVER (ORDER BY {order}) - {offset} AS place FROM entries WHERE {where}"
+    _add(name, lambda s, d: _ranked(hits(fixtures.entries(s, d), asked)), f"SELECT * FROM ({page}) WHERE place BETWEEN 1 AND {limit}")
 
 
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+(?:[.''][\p{{L}}\p{{N}}_]+)*')"
@@ -58,7 +68,7 @@ _search("search_method", "method = 'POST'", exact={"method": ["POST"]})
 _search("search_region", "region_code IN ('FR', 'CN')", exact={"region_code": ["FR", "CN"]})
 _search("search_province", "province = 'Berlin'", exact={"province": ["Berlin"]})
 _search("search_path_phrase", _sql_phrase("path", "purchase", "42") + " OR " + _sql_phrase("path", "click", "7"), phrases={"path": ["purchase/42", "click/7"]})
-_search("search_ua_phrase", _sql_phrase("user_agent", "ubuntu", "linux"), phrases={"user_agent": ["Ubuntu; Linux"]})
+_search("search_ua_phrase", _sql_phrase("user_agent", "fedora", "linux"), phrases={"user_agent": ["Fedora; Linux"]})
 _search("search_referer_phrase", _sql_phrase("referer", "from", "signup"), phrases={"referer": ["from/signup"]})
 _search("search_browser_multi", "browser IN ('Edge', 'Firefox')", exact={"browser": ["Edge", "Firefox"]})
 _search("search_os", "os = 'Windows'", exact={"os": ["Windows"]})
@@ -75,8 +85,8 @@ _search("search_offset_page", "TRUE", limit=30, offset=60)
 _search("search_projection", "TRUE", columns=("id", "region_code", "city", "browser_version", "os_version", "protocol"), limit=100)
 _add(
     "search_after_page",
-    lambda s, d: hits(fixtures.entries(s, d), SearchRequest(limit=50, search_after=(START, "e-000000000100"), fields=list(_IDS))),
-    f"SELECT {', '.join(_IDS)} FROM entries WHERE timestamp < {START} OR (timestamp = {START} AND id > 'e-000000000100') ORDER BY timestamp DESC, id LIMIT 50",
+    lambda s, d: _ranked(hits(fixtures.entries(s, d), SearchRequest(limit=50, search_after=(START, "e-000000000100"), fields=list(_IDS)))),
+    f"SELECT {', '.join(_IDS)}, row_number() OVER (ORDER BY timestamp DESC, id) AS place FROM entries WHERE timestamp < {START} OR (timestamp = {START} AND id > 'e-000000000100') ORDER BY timestamp DESC, id LIMIT 50",
 )
 _add("search_free_text", lambda s, d: hits(fixtures.entries(s, d), SearchRequest(query="SIGNUP firefox", limit=300, fields=["id"])), "SELECT id FROM entries WHERE path LIKE '/signup/%' OR browser = 'Firefox' OR referer LIKE '%/signup' ORDER BY timestamp DESC, id LIMIT 300")
 _add(
@@ -93,6 +103,20 @@ _add(
 seen AS (SELECT id, len(t) AS n, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM words) WHERE term IN ('example.org', 'en', '85', 'top') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM seen GROUP BY term)
 SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * seen.n / mean))), 6) AS score FROM seen JOIN df USING (term) CROSS JOIN n GROUP BY id ORDER BY score DESC, id LIMIT 50""",
 )
+_add(
+    "search_by_score",
+    lambda s, d: _ranked(hits(s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), F.col("url").alias("raw"), (F.col("page_id") * 10).alias("bytes_sent")), SearchRequest(query="en 85 top", sort_by="_score", sort_order="asc", min_bytes=100, limit=40, offset=5, fields=["id"]))).select("id", "place", F.round("_score", 6).alias("score")),
+    f"""WITH words AS (SELECT page_id AS id, {_TOKENS.format("url")} AS t FROM pages), n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM words),
+seen AS (SELECT id, len(t) AS n, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM words) WHERE term IN ('en', '85', 'top') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM seen GROUP BY term),
+scored AS (SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * seen.n / mean))), 6) AS score FROM seen JOIN df USING (term) CROSS JOIN n WHERE id >= 10 GROUP BY id)
+SELECT id, score, row_number() OVER (ORDER BY score, id) - 5 AS place FROM scored ORDER BY score, id LIMIT 40 OFFSET 5""",
+)
+_add(
+    "search_fragments",
+    lambda s, d: fragments(fixtures.entries(s, d), SearchRequest(phrases={"path": ["signup"], "referer": ["from/signup"]}, limit=20, fields=["id"]), around=4).select("id", F.col("fragments")["path"][0].alias("path"), F.col("fragments")["referer"][0].alias("referer")),
+    "SELECT id, '/<mark>signup</mark>' || substr(path, 8, 4) AS path, CASE WHEN referer IS NOT NULL THEN 'com/<mark>from</mark>/sig' END AS referer FROM entries WHERE path LIKE '/signup/%' AND referer IS NOT NULL ORDER BY timestamp DESC, id LIMIT 20",
+)
+_add("search_normalised", lambda s, d: _ranked(hits(fixtures.entries(s, d), SearchRequest(offset=-3, fields=["id"]).normalised())), "SELECT id, row_number() OVER (ORDER BY timestamp DESC, id) AS place FROM entries ORDER BY timestamp DESC, id LIMIT 10")
 _add("entries_oldest", lambda s, d: latest(fixtures.entries(s, d), tail=False).select(*_IDS), f"SELECT {', '.join(_IDS)} FROM entries ORDER BY timestamp, id LIMIT 100")
 _add("entries_tail", lambda s, d: latest(fixtures.entries(s, d)).select(*_IDS), f"SELECT {', '.join(_IDS)} FROM entries ORDER BY timestamp DESC, id LIMIT 100")
 
@@ -132,7 +156,11 @@ _add(
 _add("entries_stats_terms", lambda s, d: facets.entries_stats(fixtures.entries(s, d))["terms"].where("field <> 'user_agent'"), " UNION ALL ".join(_facet_sql(c) for c in ("path_exact", "ip", "status", "method")))
 _add("distinct_ip", lambda s, d: facets.distinct(fixtures.entries(s, d), "ip"), 'SELECT count(DISTINCT ip) AS "distinct" FROM entries')
 _add("distinct_path", lambda s, d: facets.distinct(matching(fixtures.entries(s, d), SearchRequest(start=START, end=END)), "path_exact"), f'SELECT count(DISTINCT path_exact) AS "distinct" FROM entries WHERE {_IN}')
-_add("distinct_ip_approximate", lambda s, d: facets.distinct(fixtures.entries(s, d), "ip", True))
+_add(
+    "distinct_ip_approximate",
+    lambda s, d: facets.distinct(fixtures.entries(s, d), "ip").crossJoin(F.broadcast(facets.distinct(fixtures.entries(s, d), "ip", True).toDF("estimate"))).select("distinct", (F.abs(F.col("estimate") - F.col("distinct")) <= 0.05 * F.col("distinct")).alias("near")),
+    'SELECT count(DISTINCT ip) AS "distinct", TRUE AS near FROM entries',
+)
 
 # --- dashboard -------------------------------------------------------------------------------------------------------
 
@@ -142,14 +170,14 @@ _DAYS = f"days AS (SELECT t AS timestamp, count(DISTINCT ip) AS uv, count(ip) AS
 
 
 def _dash(name: str, run, sql: str) -> None:
-    _add(name, lambda s, d: run(s, dash.base(fixtures.entries(s, d), START, END)), f", {_ROWS}, {_HOURS}, {_DAYS} {sql}")
+    _add(name, lambda s, d: run(s, dash.cells(fixtures.entries(s, d), START, END)), f", {_ROWS}, {_HOURS}, {_DAYS} {sql}")
     ORACLES[name] = f"WITH {fixtures.ENTRIES_SQL}, {_ROWS}, {_HOURS}, {_DAYS} {sql}"
 
 
 _dash("dash_hourly", lambda s, r: dash.hourly(s, r, START, END), f"SELECT CAST(timestamp % {DAY} // 3600 AS INTEGER) AS hour, timestamp, uv, pv FROM hours")
 _dash("dash_daily", lambda s, r: dash.daily(s, r, START, END).select("timestamp", "uv", "pv"), "SELECT timestamp, uv, pv FROM days")
-_dash("dash_window", lambda s, r: dash.totals(dash.window(r, START, END)), "SELECT count(*) AS pv, count(DISTINCT ip) AS uv, CAST(sum(bytes_sent) AS BIGINT) AS traffic FROM inside")
-_dash("dash_peak_minute", lambda s, r: dash.peak_minute(dash.window(r, START, END)), "SELECT max(n) AS peak FROM (SELECT count(*) AS n FROM inside GROUP BY timestamp // 60)")
+_dash("dash_window", lambda s, r: dash.totals(r), "SELECT count(*) AS pv, count(DISTINCT ip) AS uv, CAST(sum(bytes_sent) AS BIGINT) AS traffic FROM inside")
+_dash("dash_peak_minute", lambda s, r: dash.peak_minute(r), "SELECT max(n) AS peak FROM (SELECT count(*) AS n FROM inside GROUP BY timestamp // 60)")
 _dash(
     "dash_summary",
     lambda s, r: dash.summary(s, r, START, END),
@@ -163,11 +191,12 @@ def _top_sql(column: str, size: int) -> str:
     return f"SELECT {column} AS term, count(*) AS count, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM inside) AS percent FROM inside WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY count DESC, term LIMIT {size}"
 
 
-_dash("dash_browsers", lambda s, r: dash.browsers(dash.window(r, START, END)), _top_sql("browser", 50))
-_dash("dash_os", lambda s, r: dash.systems(dash.window(r, START, END)), _top_sql("os", 50))
-_dash("dash_devices", lambda s, r: dash.devices(dash.window(r, START, END)), _top_sql("device_type", 50))
-_dash("dash_top_urls", lambda s, r: dash.urls(dash.window(r, START, END)), _top_sql("path_exact", 100))
+_dash("dash_browsers", lambda s, r: dash.top(r, "browser", 50), _top_sql("browser", 50))
+_dash("dash_os", lambda s, r: dash.top(r, "os", 50), _top_sql("os", 50))
+_dash("dash_devices", lambda s, r: dash.top(r, "device_type", 50), _top_sql("device_type", 50))
+_dash("dash_top_urls", lambda s, r: dash.top(r, "path_exact", 100), _top_sql("path_exact", 100))
 _add("dash_empty", lambda s, d: dash.dashboard(s, fixtures.entries(s, d), 1700006400, 1700006400 + DAY)["hourly"], "SELECT 0 AS hour, 0::BIGINT AS timestamp, 0::BIGINT AS uv, 0::BIGINT AS pv WHERE FALSE")
+_add("dash_daily_hits", lambda s, d: dash.daily_hits(s, fixtures.entries(s, d), START + 3600, END).select("timestamp", "uv", "pv"), f"SELECT t AS timestamp, count(DISTINCT ip) AS uv, count(ip) AS pv FROM (SELECT {START} + i * {DAY} AS t FROM range(7) r(i)) LEFT JOIN entries ON timestamp - timestamp % {DAY} = t AND timestamp >= {START + 3600} AND timestamp < {END} GROUP BY t")
 _LAST = START + 6 * DAY
 _add(
     "dash_day_hours",
@@ -197,9 +226,31 @@ _add(
     "SELECT split_part(city_point, '|', 1) AS country, split_part(city_point, '|', 2) AS city, CAST(split_part(city_point, '|', 3) AS DOUBLE) AS latitude, CAST(split_part(city_point, '|', 4) AS DOUBLE) AS longitude, CAST(split_part(city_point, '|', 5) AS BIGINT) AS city_id, value, percent FROM (SELECT city_point, count(*) AS value, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS percent FROM entries WHERE city_point IS NOT NULL GROUP BY 1 ORDER BY value DESC, city_point LIMIT 4)",
 )
 _add("geo_range_join", lambda s, d: geography.locate(fixtures.events(s, d).select("id", "ip"), fixtures.geo_ranges(s)).select("id", "ip", "region_code", "city_id", "sub1", "sub2", "city_point"), "SELECT id, ip, region_code, city_id, sub1, sub2, city_point FROM entries")
+_NETS = (("10.0.0.0/24", "AA", "wide"), ("10.0.0.64/26", "BB", "narrow"), ("10.0.0.0/8", "CC", "all"), ("2001:db8::/32", "DD", "six"), ("2001:db8:0:7::/64", "EE", "six narrow"))
+
+
+def _nested(s: SparkSession, d: str) -> DataFrame:
+    """Addresses of both kinds in networks that lie inside each other: each has the place of the longest prefix, and a country by
+    a list of its own where that knows one."""
+    nets = geography.ranges_of(s.createDataFrame(_NETS, "cidr string, region_code string, city string").withColumns({c: F.lit(None).cast(t) for c, t in (("province", "string"), ("city_id", "long"), ("latitude", "double"), ("longitude", "double"), ("sub1_iso", "string"), ("sub2_iso", "string"))}))
+    known = geography.ranges_of(s.createDataFrame([("10.0.2.0/23", "ZZ"), ("no network", "YY")], "cidr string, region_code string"))
+    user = F.substring_index("ip", ".", -1).cast("int")
+    rows = fixtures.events(s, d).select("id", F.when(user % 5 == 0, F.concat(F.lit("2001:db8:0:"), F.lower(F.hex(user % 16)), F.lit("::1"))).when(user % 7 == 0, "no address").otherwise(F.col("ip")).alias("ip"))
+    return geography.locate(rows, nets, known).select("id", "ip", "region_code", "city")
+
+
+_add(
+    "geo_longest_prefix",
+    _nested,
+    """, a AS (SELECT id, CAST(split_part(ip, '.', 3) AS INT) AS c, CAST(split_part(ip, '.', 4) AS INT) AS u, ip FROM entries)
+SELECT id, CASE WHEN u % 5 = 0 THEN '2001:db8:0:' || printf('%x', u % 16) || '::1' WHEN u % 7 = 0 THEN 'no address' ELSE ip END AS ip,
+  CASE WHEN u % 5 = 0 THEN 'DD' WHEN u % 7 = 0 THEN NULL WHEN c IN (2, 3) THEN 'ZZ' WHEN c > 0 THEN 'CC' WHEN u BETWEEN 64 AND 127 THEN 'BB' ELSE 'AA' END AS region_code,
+  CASE WHEN u % 5 = 0 THEN 'six' WHEN u % 7 = 0 THEN NULL WHEN c > 0 THEN 'all' WHEN u BETWEEN 64 AND 127 THEN 'narrow' ELSE 'wide' END AS city FROM a""".replace("'DD'", "CASE WHEN u % 16 = 7 THEN 'EE' ELSE 'DD' END").replace("THEN 'six'", "THEN CASE WHEN u % 16 = 7 THEN 'six narrow' ELSE 'six' END"),
+)
+_add("geo_documentation", lambda s, d: geography.locate(s.createDataFrame([("192.0.2.17",), ("192.0.2.30",), ("10.1.1.1",), ("2001:db8:1::1",)], "ip string"), geography.documentation_places(s, [("FR", "p", "c", 1, 1.0, 2.0, None, None)])).select("ip", "region_code", "city"), "SELECT * FROM (VALUES ('192.0.2.17', 'FR', 'c'), ('192.0.2.30', 'FR', 'c'), ('10.1.1.1', NULL, NULL), ('2001:db8:1::1', 'FR', 'c')) v(ip, region_code, city)")
 _add("location_label", lambda s, d: fixtures.entries(s, d).select("id", geo.location_label(F.col("region_code"), F.col("province"), F.col("city")).alias("label")), "SELECT id, concat_ws(', ', region_code, province, city) AS label FROM entries")
 
-_add("entries_completed", lambda s, d: detail.completed(fixtures.entries(s, d).select("id", "level", "region_code", "city_id", "referer", "browser", "request_time")), "SELECT id, level, coalesce(region_code, '') AS region_code, coalesce(city_id, 0) AS city_id, coalesce(referer, '') AS referer, coalesce(browser, '') AS browser, request_time FROM entries")
+_add("entries_completed", lambda s, d: detail.completed(fixtures.entries(s, d).select("id", "level", "region_code", "city_id", "referer", "browser", "request_time")), "SELECT id, level, CASE WHEN level IS NULL THEN coalesce(region_code, '') ELSE region_code END AS region_code, CASE WHEN level IS NULL THEN coalesce(city_id, 0) ELSE city_id END AS city_id, coalesce(referer, '') AS referer, CASE WHEN level IS NULL THEN coalesce(browser, '') ELSE browser END AS browser, request_time FROM entries")
 _add("entries_labelled", lambda s, d: detail.labelled(fixtures.entries(s, d), chinese=True).select("id", "ip_location_label"), "SELECT id, concat_ws(' ', CASE region_code WHEN 'CN' THEN '中国' ELSE region_code END, province, city) AS ip_location_label FROM entries")
 _add("error_details", lambda s, d: detail.error_details(fixtures.error_lines(s, d).withColumn("level", F.lit("error"))).select("id", *detail.DETAILS), "SELECT id, 'no handler for ' || path AS message, 'example.com' AS server, method || ' ' || path || ' HTTP/1.1' AS request, NULL::VARCHAR AS upstream, 'example.com' AS host, 12::BIGINT AS pid, CAST(substr(id, 3) AS BIGINT) AS connection FROM entries WHERE path LIKE '/error/%'")
 
@@ -261,6 +312,14 @@ def _hosts(s: SparkSession) -> DataFrame:
     return s.createDataFrame([("/var/log/web/shop.access.log", "access", "conf", "web.conf"), ("/var/log/web/new.error.log", "error", "conf", "web.conf")], "path string, type string, source string, config_file string")
 
 
+def _preflights(listing: DataFrame) -> DataFrame:
+    """A log that was read, whose file is gone, that cannot be read, one not read yet, and one there is nothing of."""
+    shop = "/var/log/web/shop.access.log"
+    cases = {"read": (shop, {"size": 5}), "gone": (shop, {"exists": False}), "refused": (shop, {"readable": False, "size": 5}), "new": ("/var/log/web/new.error.log", {"busy": True, "size": 7}), "missing": ("/x", {"exists": False})}
+    rows = [catalog.preflight(listing, path, **known).select(F.lit(name).alias("case"), "path", "available", "index_status", "historical", "has_data", "start_time", "exists", "size") for name, (path, known) in cases.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def _state_query(name: str, run, sql: str) -> None:
     _add(name, lambda s, d: run(s, _states(s, d)), "")
     ORACLES[name] = f"{_STATES} {sql}"
@@ -274,7 +333,12 @@ _state_query(
 _state_query("catalog_ungrouped", lambda s, st: catalog.ungrouped(st, _hosts(s)).select("path", "type", "index_status", "document_count", "last_size"), "SELECT path, 'access' AS type, index_status, document_count, last_size FROM states WHERE path = '/var/log/web/shop.access.log' UNION ALL SELECT '/var/log/web/new.error.log', 'error', 'not_indexed', 0, 0")
 _state_query("catalog_changes", lambda s, st: catalog.reset_tasks(catalog.enable(catalog.delete(st, path="/var/log/web/shop.access.log.1"), "/var/log/web/blog.access.log.1", False)).groupBy("index_status", "enabled").agg(F.count(F.lit(1)).alias("n"), F.sum("queue_position").alias("positions")), "SELECT CASE WHEN index_status = 'queued' THEN 'not_indexed' ELSE index_status END AS index_status, enabled AND path <> '/var/log/web/blog.access.log.1' AS enabled, count(*) AS n, CAST(sum(CASE WHEN index_status = 'queued' THEN 0 ELSE queue_position END) AS BIGINT) AS positions FROM states WHERE path <> '/var/log/web/shop.access.log.1' GROUP BY 1, 2")
 _state_query("catalog_needs_indexing", lambda s, st: st.select("path", catalog.needs_indexing(F.col("last_size") + F.length("path") % 2, F.col("last_modified")).alias("changed"), catalog.needs_rebuild(F.col("last_size") - F.length("path") % 2, F.col("last_modified")).alias("rebuild"), catalog.is_healthy().alias("healthy"), catalog.can_retry().alias("retry")), "SELECT path, length(path) % 2 = 1 AS changed, length(path) % 2 = 1 AS rebuild, index_status <> 'error' AND enabled AS healthy, index_status = 'error' AS retry FROM states")
-_state_query("catalog_filtered", lambda s, st: catalog.filtered(catalog.groups(st, _hosts(s)), type_="access", name="access", path="web", indexed="indexing").select("path"), "SELECT DISTINCT main_log_path AS path FROM states WHERE index_status = 'queued'")
+_state_query("catalog_filtered", lambda s, st: catalog.filtered(catalog.groups(st, _hosts(s)), type_="access", name="access", path="web", indexed="true").select("path"), "SELECT main_log_path AS path FROM states GROUP BY 1 HAVING NOT bool_or(index_status = 'queued')")
+_state_query(
+    "catalog_status_items",
+    lambda s, st: catalog.status_items(st, _hosts(s), type_="access").select("path", "name", "config_file", "index_status", "document_count", "has_time_range", "is_compressed", "retry_count", "queue_position"),
+    "SELECT main_log_path AS path, split_part(main_log_path, '/', 5) AS name, CASE WHEN main_log_path LIKE '%shop%' THEN 'web.conf' END AS config_file, CASE WHEN bool_or(index_status = 'queued') THEN 'queued' ELSE 'indexed' END AS index_status, coalesce(max(document_count) FILTER (WHERE path = main_log_path), CAST(sum(document_count) AS BIGINT)) AS document_count, TRUE AS has_time_range, FALSE AS is_compressed, CASE WHEN bool_or(path = main_log_path) THEN 0 END AS retry_count, max(queue_position) FILTER (WHERE path = main_log_path) AS queue_position FROM states GROUP BY main_log_path",
+)
 _state_query("list_summary", lambda s, st: catalog.listing_summary(catalog.groups(st, _hosts(s))), "SELECT 3::BIGINT AS total_files, count(*) FILTER (WHERE NOT q) AS indexed_files, count(*) FILTER (WHERE q) AS indexing_files, CAST(sum(n) AS BIGINT) AS total_documents FROM (SELECT bool_or(index_status = 'queued') AS q, coalesce(max(document_count) FILTER (WHERE path = main_log_path), sum(document_count)) AS n FROM states GROUP BY main_log_path)")
 _state_query("persistence_stats", lambda s, st: catalog.persistence_stats(st, START + 12 * DAY), f"SELECT count(*) AS total_files, count(*) FILTER (WHERE enabled) AS enabled_files, CAST(sum(document_count) AS BIGINT) AS total_documents, count(*) FILTER (WHERE last >= {START + 12 * DAY - 3600}) AS changed_files FROM states")
 _state_query("catalog_incremental", lambda s, st: catalog.incremental_stats(st, START + 12 * DAY), f"SELECT main_log_path, count(*) AS total_files, count(*) FILTER (WHERE enabled) AS changed_files, count(*) FILTER (WHERE last + 60 < {START + 5 * DAY}) AS old_files, CAST(sum(document_count) AS BIGINT) AS total_documents FROM states GROUP BY 1")
@@ -282,22 +346,109 @@ _state_query("status_histogram", catalog.status_histogram, "SELECT s AS index_st
 _state_query("catalog_queued", lambda s, st: catalog.queued(st).select("path", "queue_position"), "SELECT path, queue_position FROM states WHERE enabled AND index_status = 'queued'")
 _state_query("catalog_recoverable", lambda s, st: catalog.recoverable(st, START + 6 * DAY), f"SELECT DISTINCT main_log_path FROM states WHERE index_status = 'queued' OR (index_status = 'error' AND last > {START + 6 * DAY - 3600})")
 _state_query("stale_groups", lambda s, st: catalog.stale(st, _hosts(s)), "SELECT DISTINCT main_log_path FROM states WHERE main_log_path NOT LIKE '%shop%'")
-_state_query("catalog_preflight", lambda s, st: catalog.preflight(catalog.groups(st, _hosts(s)), "/var/log/web/shop.access.log").select("path", "has_data", "start_time", "end_time"), "SELECT main_log_path AS path, TRUE AS has_data, min(first) AS start_time, max(last) AS end_time FROM states WHERE main_log_path LIKE '%shop%' GROUP BY 1")
+_state_query("catalog_preflight", lambda s, st: _preflights(catalog.groups(st, _hosts(s))), "SELECT c.*, CASE WHEN c.\"case\" <> 'refused' AND c.path LIKE '%shop%' THEN (SELECT min(first) FROM states WHERE main_log_path LIKE '%shop%') END AS start_time FROM (VALUES ('read', '/var/log/web/shop.access.log', TRUE, 'indexed', FALSE, TRUE, TRUE, 5::BIGINT), ('gone', '/var/log/web/shop.access.log', TRUE, 'indexed', TRUE, TRUE, FALSE, NULL), ('refused', '/var/log/web/shop.access.log', FALSE, 'error', FALSE, TRUE, TRUE, NULL), ('new', '/var/log/web/new.error.log', FALSE, 'queued', FALSE, FALSE, TRUE, 7), ('missing', '/x', FALSE, 'not_indexed', FALSE, FALSE, FALSE, NULL)) c(\"case\", path, available, index_status, historical, has_data, \"exists\", size)")
 _state_query("catalog_inherited", lambda s, st: catalog.inherited(st.select(F.concat("path", F.lit(".1")).alias("path"), "fingerprint"), st).select("path", "position"), "SELECT path || '.1' AS path, coalesce((SELECT last_size FROM states o WHERE o.path = s.path), 0) AS position FROM states s WHERE NOT EXISTS (SELECT 1 FROM states o WHERE o.path = s.path || '.1') UNION ALL SELECT s.path || '.1', s.last_size FROM states s WHERE EXISTS (SELECT 1 FROM states o WHERE o.path = s.path || '.1')")
 _state_query("catalog_transition", lambda s, st: catalog.transition(st, "/var/log/web/shop.access.log.1", "queued", NOW, position=3).groupBy("index_status").agg(F.count(F.lit(1)).alias("n"), F.sum("queue_position").alias("positions")), "SELECT CASE WHEN path = '/var/log/web/shop.access.log.1' THEN 'queued' ELSE index_status END AS index_status, count(*) AS n, CAST(sum(CASE WHEN path = '/var/log/web/shop.access.log.1' THEN 3 ELSE queue_position END) AS BIGINT) AS positions FROM states GROUP BY 1")
 
 
+def _work_dir(s: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    shared = s.conf.get("spark.checkpoint.dir", None)
+    if not shared and not one_process(s):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='weblake-')).removeprefix('file://')}/{name}-{uuid.uuid4().hex}"
+
+
+def _status_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_sent").alias("bytes"), F.count_distinct("ip").alias("ips"))
+
+
+_STATUS_SQL = "SELECT status, count(*) AS n, CAST(sum(bytes_sent) AS BIGINT) AS bytes, count(DISTINCT ip) AS ips FROM entries GROUP BY status"
+
+
 def _stream_ingest(s: SparkSession, d: str) -> DataFrame:
     """The events' log, read by the stream into a table, counted."""
-    root = (s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weblake-")).removeprefix("file://")
-    root = f"{root}/ingest-{uuid.uuid4().hex}"
-    _lines(s, d).select("raw").coalesce(2).write.text(f"{root}/logs")
+    root = _work_dir(s, "stream")
+    _lines(s, d).select("raw").write.text(f"{root}/logs")
     work = ingest.Ingestion(s, f"{root}/table", sorted(glob.glob(f"{root}/logs/part-*")))
     work.stream(f"{root}/checkpoint", NOW).awaitTermination()
-    return work.table.read().groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_sent").alias("bytes"), F.count_distinct("ip").alias("ips"))
-
-
-_add("stream_ingest", _stream_ingest, "SELECT status, count(*) AS n, CAST(sum(bytes_sent) AS BIGINT) AS bytes, count(DISTINCT ip) AS ips FROM entries GROUP BY status")
+    return _status_counts(work.table.read())
+
+
+def _joined(parts: list[str], path: str) -> None:
+    """Files one after the other; of gzip files this makes one of several members."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "ab") as out:
+        for part in parts:
+            with open(part, "rb") as f:
+                shutil.copyfileobj(f, out)
+
+
+def _gzip_ingest(s: SparkSession, d: str) -> DataFrame:
+    """The same from a rotated file that is made of several gzip members, beside an empty log."""
+    root = _work_dir(s, "gzip")
+    _lines(s, d).select("raw").repartition(3).write.option("compression", "gzip").text(f"{root}/logs")
+    _joined(sorted(glob.glob(f"{root}/logs/part-*.gz")), f"{root}/web/access.log.1.GZ")
+    _joined([], f"{root}/web/access.log")
+    work = ingest.Ingestion(s, f"{root}/table", [f"{root}/web/access.log"])
+    work.round(NOW)
+    return _status_counts(work.table.read())
+
+
+def _rotation_ingest(s: SparkSession, d: str) -> DataFrame:
+    """A log that is read, grows, is renamed with an unread tail, begins anew, is compressed, and is read again after each step;
+    then all of it once more by force.  Counted by the file a line was first read from, with what the states say."""
+    root = _work_dir(s, "rotation")
+    _lines(s, d).select("raw").repartition(3).write.text(f"{root}/logs")
+    first, second, third = sorted(glob.glob(f"{root}/logs/part-*"))
+    log = f"{root}/web/access.log"
+    work = ingest.Ingestion(s, f"{root}/table", [log])
+    _joined([first], log)
+    slices = [work.round(NOW), work.round(NOW)]
+    _joined([second], log)
+    os.rename(log, f"{log}.1")
+    _joined([third], log)
+    slices.append(work.round(NOW))
+    with open(f"{log}.1", "rb") as f, gzip.open(f"{log}.2.gz", "wb") as out:
+        shutil.copyfileobj(f, out)
+    os.remove(f"{log}.1")
+    slices.append(work.round(NOW))
+    read = work.table.count()
+    work.round(NOW, force=True)
+    states = work.states()
+    whole = sum(os.path.getsize(p) for p in (first, second, third))
+    return _status_counts(work.table.read()).withColumns({"slices": F.array(*map(F.lit, slices)).cast("string"), "all_read": F.lit(read == work.table.count() and states[log].position + states[f"{log}.2.gz"].position == whole)})
+
+
+def _table_changes(s: SparkSession, d: str) -> DataFrame:
+    """A table that is filled twice, loses a file and a group, and is compacted; counted by file."""
+    entries = fixtures.entries(s, d)
+    work = table.EntryTable(s, f"{_work_dir(s, 'changes')}/table")
+    work.prepare()
+    work.upsert(entries)
+    work.upsert(entries.where("status = 404").withColumn("bytes_sent", F.lit(-1).cast("long")))
+    work.purge_file("/var/log/web/shop.access.log", "/var/log/web/shop.access.log.1")
+    work.purge_file("/var/log/web/shop.access.log", "/var/log/web/shop.access.log", legacy_only=True)
+    work.compact("/var/log/web/shop.access.log")
+    work.drop_group("/var/log/web/blog.access.log")
+    return work.read().groupBy("main_log_path", "file_path").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_sent").alias("bytes"))
+
+
+def _error_ingest(s: SparkSession, d: str) -> DataFrame:
+    """An error log read into the table, counted by level."""
+    root = _work_dir(s, "errors")
+    fixtures.error_lines(s, d).select("raw").coalesce(1).write.text(f"{root}/logs")
+    _joined(glob.glob(f"{root}/logs/part-*"), f"{root}/web/error.log")
+    work = ingest.Ingestion(s, f"{root}/table", [f"{root}/web/error.log"], {f"{root}/web/error.log"})
+    work.round(NOW)
+    return work.table.read().groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ip").alias("ips"), F.count_distinct("path").alias("paths"))
+
+
+_add("gzip_ingest", _gzip_ingest, _STATUS_SQL)
+_add("rotation_ingest", _rotation_ingest, f"SELECT *, '[1, 0, 2, 1]' AS slices, TRUE AS all_read FROM ({_STATUS_SQL})")
+_add("table_changes", _table_changes, "SELECT main_log_path, file_path, count(*) AS n, CAST(sum(CASE WHEN status = 404 THEN -1 ELSE bytes_sent END) AS BIGINT) AS bytes FROM entries WHERE main_log_path LIKE '%shop%' AND file_path NOT IN ('/var/log/web/shop.access.log.1', '/var/log/web/shop.access.log') GROUP BY ALL")
+_add("error_ingest", _error_ingest, "SELECT level, count(*) AS n, count(DISTINCT ip) AS ips, count(DISTINCT path) AS paths FROM entries WHERE path LIKE '/error/%' GROUP BY level")
+_add("stream_ingest", _stream_ingest, _STATUS_SQL)
 _add("count_by_group", lambda s, d: fixtures.entries(s, d).groupBy("main_log_path").agg(F.count(F.lit(1)).alias("n")), "SELECT main_log_path, count(*) AS n FROM entries GROUP BY 1")
 _add(
     "city_key_parse",

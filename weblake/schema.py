@@ -27,9 +27,9 @@ FILE_STATE = _struct(
 HOST_LOGS = _struct(path=_S, type=_S, source=_S, config_file=_S)
 
 #: Lines as the source reads them.
-RAW_LINES = _struct(raw=_S, offset=_L, file_path=_S, main_log_path=_S, fingerprint=_S, position=_L)
+RAW_LINES = _struct(raw=_S, offset=_L, file_path=_S, main_log_path=_S, fingerprint=_S, position=_L, rewritten=_B)
 
-#: Disjoint ranges of IPv4 numbers with a location.
-GEO_RANGES = _struct(lo=_L, hi=_L, region_code=_S, province=_S, city=_S, city_id=_L, latitude=_D, longitude=_D, sub1_iso=_S, sub2_iso=_S)
+#: Ranges of addresses with a location, by the keys of their first and last address (``geo.address_key``, ``geo.network_keys``).
+GEO_RANGES = _struct(lo=_S, hi=_S, region_code=_S, province=_S, city=_S, city_id=_L, latitude=_D, longitude=_D, sub1_iso=_S, sub2_iso=_S)
 
 STATUSES = ("not_indexed", "queued", "indexing", "indexed", "error")

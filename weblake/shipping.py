@@ -23,3 +23,9 @@ def ship(spark: SparkSession) -> bool:
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(spark.sparkContext.applicationId)
     return True
+
+
+def one_process(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, as in tests."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")

@@ -7,12 +7,18 @@ import gzip
 import hashlib
 import os
 import re
-from dataclasses import asdict, dataclass
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, replace
 
 LONGEST_LINE = 256 * 1024
 FIRST_LINE = 4096
 SYNC_VERSION = 2
 BUSY_BYTES, BUSY_SECONDS = 100 * 2**20, 30 * 60
+#: A plain file's unread range is cut into parts of this many bytes, one task each.
+PART_BYTES = 64 * 2**20
+#: What reading a damaged or vanished file raises.
+UNREADABLE = (OSError, EOFError, zlib.error)
 
 
 @dataclass
@@ -37,7 +43,9 @@ STATE_SCHEMA = "path string, main_log_path string, fingerprint string, position
 
 @dataclass
 class Slice:
-    """Bytes of a file to read; ``purge``: what was read from it before is void."""
+    """Bytes of a file's content to read.  Lines that begin in [start, end) belong to it; ``whole`` is where the file's last
+    whole line ends, and ``inside`` tells that ``start`` need not be the beginning of a line.  ``purge``: what was read from the
+    file before is void."""
 
     path: str
     main_log_path: str
@@ -48,18 +56,20 @@ class Slice:
     size: int
     modified: float
     purge: bool = False
+    whole: int = -1
+    inside: bool = False
 
 
 def is_gzip(path: str) -> bool:
-    """A ``.gz`` name and a gzip head: anything else is read as it is."""
-    if not path.endswith(".gz"):
+    """A ``.gz`` name (in any case) and a gzip head: anything else is read as it is."""
+    if not path.lower().endswith(".gz"):
         return False
     with open(path, "rb") as f:
         return f.read(2) == b"\x1f\x8b"
 
 
-def gzip_size(path: str) -> int:
-    """The decompressed size that the trailer gives (modulo 2**32)."""
+def trailer_size(path: str) -> int:
+    """What the trailer says of the content's size: its last member's, modulo 2**32.  Good for skipping a file only."""
     if os.path.getsize(path) < 18:
         return 0
     with open(path, "rb") as f:
@@ -67,6 +77,15 @@ def gzip_size(path: str) -> int:
         return int.from_bytes(f.read(4), "little")
 
 
+def content_size(path: str, step: int = 1 << 20) -> int:
+    """The content's size, all members read to the end of the stream."""
+    size = 0
+    with gzip.open(path, "rb") as f:
+        while data := f.read(step):
+            size += len(data)
+    return size
+
+
 def open_log(path: str, compressed: bool):
     return gzip.open(path, "rb") if compressed else open(path, "rb")
 
@@ -117,65 +136,125 @@ def needs_sync(state: FileState | None, size: int, modified: float) -> bool:
 
 def throttled(state: FileState | None, path: str, size: int, now: float) -> bool:
     """A large file that was read lately waits."""
-    return state is not None and size > BUSY_BYTES and not path.endswith(".gz") and now - state.indexed < BUSY_SECONDS
-
-
-def plan(base: str, states: dict[str, FileState], force: bool = False, allowed: set[str] | None = None, now: float | None = None) -> list[Slice]:
+    return state is not None and size > BUSY_BYTES and not path.lower().endswith(".gz") and now - state.indexed < BUSY_SECONDS
+
+
+def _planned(path: str, base: str, state: FileState | None, furthest: dict[str, int], force: bool, measure: Callable[[str], int]) -> Slice:
+    info, compressed = os.stat(path), is_gzip(path)
+    print_ = fingerprint(path, compressed)
+    start, purge = 0, False
+    if force or not print_:
+        start = 0
+    elif state is not None and state.fingerprint == print_ and state.sync_version >= SYNC_VERSION:
+        purge = not compressed and info.st_size < state.position
+        start = 0 if purge else state.position
+    elif print_ in furthest:
+        start = furthest[print_] if compressed else min(furthest[print_], info.st_size)
+    else:
+        purge = state is not None and state.sync_version < SYNC_VERSION
+    if not print_:
+        end = start
+    elif not compressed:
+        end = _last_newline(path, start, info.st_size)
+    elif 0 < start < 2**32 and trailer_size(path) == start:
+        # A compressed copy of just what was read needs no decompression.
+        end = start
+    else:
+        end = max(start, measure(path))
+    return Slice(path, base, print_, start, end, compressed, info.st_size, info.st_mtime, purge, end)
+
+
+def plan(base: str, states: dict[str, FileState], force: bool = False, allowed: set[str] | None = None, now: float | None = None, measure: Callable[[str], int] = content_size) -> list[Slice]:
     """What to read of a group.  The same first line at the same path goes on where it stopped, unless the file is shorter now;
-    at another path (a rotation) it goes on from the furthest position any path has; else it is read from the start."""
+    at another path (a rotation) it goes on from the furthest position any path has; else it is read from the start.
+    ``measure`` gives the size of a compressed file's content.  A file that cannot be read is left out, the others stay."""
     furthest: dict[str, int] = {}
     for s in states.values():
         if s.fingerprint and s.sync_version >= SYNC_VERSION:
             furthest[s.fingerprint] = max(furthest.get(s.fingerprint, 0), s.position)
     out = []
     for path in group_files(base, allowed):
-        info, state = os.stat(path), states.get(path)
-        if not force and (not needs_sync(state, info.st_size, info.st_mtime) or (now is not None and throttled(state, path, info.st_size, now))):
+        state = states.get(path)
+        try:
+            info = os.stat(path)
+            if force or (needs_sync(state, info.st_size, info.st_mtime) and not (now is not None and throttled(state, path, info.st_size, now))):
+                out.append(_planned(path, base, state, furthest, force, measure))
+        except UNREADABLE:
             continue
-        compressed = is_gzip(path)
-        print_ = fingerprint(path, compressed)
-        content = gzip_size(path) if compressed else info.st_size
-        start, purge = 0, False
-        if force or not print_:
-            start = 0
-        elif state is not None and state.fingerprint == print_ and state.sync_version >= SYNC_VERSION:
-            purge = content < state.position
-            start = 0 if purge else state.position
-        elif print_ in furthest:
-            start = min(furthest[print_], content)
-        else:
-            purge = state is not None and state.sync_version < SYNC_VERSION
-        end = content if compressed else _last_newline(path, start, content)
-        out.append(Slice(path, base, print_, start, max(start, end) if print_ else 0, compressed, info.st_size, info.st_mtime, purge))
     return out
 
 
-def lines(piece: Slice):
-    """(raw, offset) of each line of a slice; blank lines and lines above ``LONGEST_LINE`` are passed over.  The last line of a
-    compressed file needs no newline."""
+def parts(piece: Slice, part_bytes: int = PART_BYTES) -> list[Slice]:
+    """A plain file's slice as ranges of bounded size; compressed content cannot be entered in the middle."""
     if piece.end <= piece.start:
+        return []
+    if piece.compressed:
+        return [piece]
+    return [replace(piece, start=a, end=min(a + part_bytes, piece.end), inside=a > piece.start) for a in range(piece.start, piece.end, part_bytes)]
+
+
+def lines(piece: Slice, step: int = 1 << 22) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Blocks of (lines, offsets) of a slice; blank lines and lines above ``LONGEST_LINE`` are passed over.  The last line of a
+    compressed file needs no newline.  A file that was rotated meanwhile is read at its new path; one that is gone gives nothing."""
+    now = where_now(piece) if piece.end > piece.start else None
+    if now is None:
         return
-    with open_log(piece.path, piece.compressed) as f:
-        if piece.start:
-            f.seek(piece.start)
-        at = piece.start
-        while at < piece.end:
-            line = f.readline(LONGEST_LINE + 1)
-            if not line:
-                return
-            begin, whole = at, line.endswith(b"\n")
-            at += len(line)
-            if not whole and len(line) > LONGEST_LINE:
-                while line and not line.endswith(b"\n"):
-                    line = f.readline(LONGEST_LINE)
-                    at += len(line)
+    compressed = is_gzip(now)
+    with open_log(now, compressed) as f:
+        # A line that begins just at ``start`` follows a newline at start - 1.
+        at = piece.start - piece.inside
+        f.seek(at)
+        rest, passing = b"", piece.inside
+        while True:
+            data = f.read(min(step, max(0, piece.whole - at - len(rest))))
+            block = rest + data
+            ends = not data
+            cut = len(block) if ends else block.rfind(b"\n") + 1
+            if not cut and len(block) > LONGEST_LINE:
+                # The beginning of a line that is too long: only its end matters.
+                at, rest, passing = at + len(block), b"", True
                 continue
-            if not whole and not piece.compressed:
+            found, begins = block[:cut].split(b"\n"), at
+            if not found[-1]:
+                found.pop()
+            elif ends and not compressed:
+                found.pop()
+            texts, offsets = [], []
+            for line in found:
+                if passing:
+                    passing = False
+                elif begins < piece.end and len(line) <= LONGEST_LINE and (text := line.rstrip(b"\r")).strip():
+                    texts.append(text)
+                    offsets.append(begins)
+                begins += len(line) + 1
+            if texts:
+                yield texts, offsets
+            at, rest = at + cut, block[cut:]
+            if ends or at >= piece.end:
                 return
-            text = line.rstrip(b"\r\n")
-            if text.strip():
-                yield text.decode("utf-8", "replace"), begin
 
 
 def state_after(piece: Slice, now: float) -> FileState:
     return FileState(piece.path, piece.main_log_path, piece.fingerprint, max(piece.start, piece.end), piece.size, piece.modified, float(now))
+
+
+def still_there(piece: Slice) -> bool:
+    """Whether the path still holds the file that was planned; a plain one may have grown."""
+    try:
+        size = os.stat(piece.path).st_size
+        return (size == piece.size or (size > piece.size and not piece.compressed)) and fingerprint(piece.path, piece.compressed) == piece.fingerprint
+    except UNREADABLE:
+        return False
+
+
+def where_now(piece: Slice) -> str | None:
+    """The path that holds the planned file's content: its own, or that of a file of the group with the same first line."""
+    if still_there(piece):
+        return piece.path
+    for path in group_files(piece.main_log_path):
+        try:
+            if piece.fingerprint and fingerprint(path) == piece.fingerprint:
+                return path
+        except UNREADABLE:
+            continue
+    return None

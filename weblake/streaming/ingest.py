@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.access import access_entry, valid_entry
 from ..functions.errorlog import error_entry
-from ..functions.useragent import with_user_agent
+from ..functions.useragent import user_agent, with_user_agent
 from ..operators.geography import locate
-from ..operators.table import EntryTable, document_id
+from ..operators.table import EntryTable, Folder, document_id
 from ..shipping import ship
 from ..sources import files
 from ..sources.rotated_log import RotatedLogSource
@@ -21,12 +23,12 @@ from ..sources.rotated_log import RotatedLogSource
 _PLACES = ("region_code", "province", "city", "sub1", "sub2", "city_point")
 
 
-def access_entries(lines: DataFrame, now: int, ranges: DataFrame | None = None) -> DataFrame:
-    """Entries of access lines that are plausible at ``now``."""
+def access_entries(lines: DataFrame, now: int, ranges: DataFrame | None = None, agent: Callable[[Column], Column] = user_agent, place: Callable[[DataFrame, DataFrame], DataFrame] = locate) -> DataFrame:
+    """Entries of access lines that are plausible at ``now``; ``agent`` and ``place`` may be parsers of one's own."""
     parsed = lines.withColumn("_e", access_entry(F.col("raw"), F.lit(now))).where("_e is not null").select(document_id(F.col("fingerprint"), F.col("offset")).alias("id"), "_e.*", F.col("_e.path").alias("path_exact"), "file_path", "main_log_path", "raw", F.lit(None).cast("string").alias("level"))
-    entries = with_user_agent(parsed.where(valid_entry(F.lit(now))))
+    entries = with_user_agent(parsed.where(valid_entry(F.lit(now))), parser=agent)
     if ranges is not None:
-        return locate(entries, ranges)
+        return place(entries, ranges)
     return entries.withColumns({c: F.lit(None).cast("string") for c in _PLACES} | {"city_id": F.lit(None).cast("long")})
 
 
@@ -45,41 +47,101 @@ def counted(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count(F.lit(1)).alias("processed"), F.sum(ok).alias("succeeded")).select("processed", "succeeded", (F.col("processed") - F.col("succeeded")).alias("failed"), ((F.col("processed") - F.col("succeeded")) / F.col("processed")).alias("error_rate"))
 
 
+def content_sizes(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """The sizes of compressed files' contents, read on the executors; files that cannot be read have none."""
+
+    def sizes(batches):
+        for batch in batches:
+            out = {}
+            for path in batch.column(0).to_pylist():
+                try:
+                    out[path] = files.content_size(path)
+                except files.UNREADABLE:
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(out.values(), pa.int64())], ["path", "size"])
+
+    if not paths:
+        return {}
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
+    return {r["path"]: r["size"] for r in rows.mapInArrow(sizes, "path string, size long").collect()}
+
+
 class Ingestion:
-    """Rounds that bring a table up to date with its log groups.  States are kept in JSON beside the table, and ids are made of
-    content and place, so a round that is repeated after a failure changes nothing."""
+    """Rounds that bring a table up to date with its log groups.  States are kept beside the table, a new version each round,
+    and ids are made of content and place, so a round that is repeated after a failure changes nothing.  A file that cannot be
+    read, or is replaced while it is read, keeps its old state and is tried again in the next round."""
 
-    def __init__(self, spark: SparkSession, root: str, groups: list[str], error_logs: set[str] = frozenset(), ranges: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, root: str, groups: list[str], error_logs: set[str] = frozenset(), ranges: DataFrame | None = None, agent: Callable[[Column], Column] = user_agent, place: Callable[[DataFrame, DataFrame], DataFrame] = locate):
         self.spark, self.table, self.groups, self.error_logs, self.ranges = spark, EntryTable(spark, root), groups, set(error_logs), ranges
+        self.agent, self.place = agent, place
         self.state_path = f"{root.rstrip('/')}/file_state"
+        self.folder = Folder(spark, self.state_path)
         ship(spark)
         spark.dataSource.register(RotatedLogSource)
 
+    def _versions(self) -> list[str]:
+        """Finished versions of the states, oldest first."""
+        return [n for n in self.folder.names() if n.startswith("v") and self.folder.has(f"{n}/_SUCCESS")]
+
     def states(self) -> dict[str, files.FileState]:
-        try:
-            return {r["path"]: files.FileState(**r.asDict()) for r in self.spark.read.schema(files.STATE_SCHEMA).json(self.state_path).collect()}
-        except Exception as error:  # the first round has none
-            if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-                return {}
-            raise
+        versions = self._versions()
+        if not versions:
+            return {}
+        return {r["path"]: files.FileState(**r.asDict()) for r in self.spark.read.schema(files.STATE_SCHEMA).json(f"{self.state_path}/{versions[-1]}").collect()}
+
+    def _save(self, states: dict[str, files.FileState]) -> None:
+        """A version of its own; the last two stay."""
+        versions = self._versions()
+        name = f"v{int(versions[-1][1:]) + 1 if versions else 1:010d}"
+        frame = self.spark.createDataFrame([s.json() for s in states.values()], files.STATE_SCHEMA)
+        frame.coalesce(1).write.mode("overwrite").json(f"{self.state_path}/{name}")
+        for old in versions[:-1]:
+            self.folder.delete(old)
+
+    def plan(self, states: dict[str, files.FileState], now: int, force: bool = False) -> list[files.Slice]:
+        """What is to be read; compressed contents are measured on the executors."""
+        own = {g: {p: s for p, s in states.items() if s.main_log_path == g} for g in self.groups}
+        asked: list[str] = []
+
+        def ask(path: str) -> int:
+            asked.append(path)
+            return 0
+
+        for group in self.groups:
+            files.plan(group, own[group], force, now=now, measure=ask)
+        sizes = content_sizes(self.spark, list(dict.fromkeys(asked)))
+
+        def known(path: str) -> int:
+            if path not in sizes:
+                raise OSError(path)
+            return sizes[path]
+
+        return [piece for group in self.groups for piece in files.plan(group, own[group], force, now=now, measure=known)]
+
+    def entries(self, lines: DataFrame, now: int) -> DataFrame:
+        """Entries of lines, by the kind of their log."""
+        if not self.error_logs:
+            return access_entries(lines, now, self.ranges, self.agent, self.place)
+        is_error = F.col("main_log_path").isin(sorted(self.error_logs))
+        access = access_entries(lines.where(~is_error), now, self.ranges, self.agent, self.place)
+        return access.unionByName(error_entries(lines.where(is_error)), allowMissingColumns=True)
 
     def round(self, now: int, force: bool = False) -> int:
         """Reads what is new; how many slices there were."""
-        states, slices = self.states(), []
-        for group in self.groups:
-            slices += files.plan(group, {p: s for p, s in states.items() if s.main_log_path == group}, force, now=now)
+        self.table.recover()
+        states = self.states()
+        slices = self.plan(states, now, force)
         if not slices:
             return 0
+        void: dict[str, list[str]] = {}
         for piece in slices:
-            if (piece.purge or force) and self.table.exists():
-                self.table.purge_file(piece.main_log_path, piece.path)
+            if piece.purge or force:
+                void.setdefault(piece.main_log_path, []).append(piece.path)
+        for group, paths in void.items():
+            self.table.purge_files(group, paths)
         lines = self.spark.read.format("rotated_log").option("slices", json.dumps([asdict(s) for s in slices])).load()
-        is_error = F.col("main_log_path").isin(sorted(self.error_logs)) if self.error_logs else F.lit(False)
-        entries = access_entries(lines.where(~is_error), now, self.ranges)
-        if self.error_logs:
-            entries = entries.unionByName(error_entries(lines.where(is_error)), allowMissingColumns=True)
-        self.table.upsert(entries)
-        self._save(states | {s.path: files.state_after(s, now) for s in slices})
+        self.table.upsert(self.entries(lines, now))
+        self._save(states | {s.path: files.state_after(s, now) for s in slices if files.still_there(s)})
         return len(slices)
 
     def prune(self, listed: set[str], before: set[str] = frozenset()) -> set[str]:
@@ -94,17 +156,15 @@ class Ingestion:
             self._save({p: s for p, s in states.items() if s.main_log_path not in gone})
         return stale - gone
 
-    def _save(self, states: dict[str, files.FileState]) -> None:
-        rows = [s.json() for s in states.values()]
-        frame = self.spark.createDataFrame(rows, files.STATE_SCHEMA)
-        frame.coalesce(1).write.mode("overwrite").json(self.state_path)
-
     def stream(self, checkpoint: str, now: int, every: str | None = None):
         """The same as a streaming query: all that is there (default), or rounds ``every`` interval."""
         lines = self.spark.readStream.format("rotated_log").option("groups", json.dumps(self.groups)).load()
 
         def write(batch: DataFrame, _: int) -> None:
-            self.table.upsert(access_entries(batch, now, self.ranges))
+            self.table.recover()
+            for r in batch.where("rewritten").select("main_log_path", "file_path").distinct().collect():
+                self.table.purge_files(r["main_log_path"], [r["file_path"]])
+            self.table.upsert(self.entries(batch, now))
 
         writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
