@@ -82,3 +82,37 @@ def test_elias_fano(n, top):
         assert (first == values[:-1]).all() and (second == values[1:]).all()
     others = rng.integers(0, top, 500, dtype=np.uint64)
     assert ((sequence.find(others) >= 0) == np.isin(others, values)).all()
+
+
+def test_pointers_steer_the_search(spark):
+    """With the pointers of other contexts, scores change."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 30, 80)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm.train(docs, shard_chars=4000)
+    before = {r["doc_id"]: r["score"] for r in lm.score(docs, model).collect()}
+    whole = lm.Model.contexts
+
+    def shifted(self, n, nodes):
+        weight, begin, end = whole(self, n, nodes)
+        return weight, np.roll(begin, 1), np.roll(end, 1)
+
+    lm.Model.contexts = shifted
+    try:
+        found = [lm._scores(model, [t.encode()], 2)[3][0] for t in texts]
+    finally:
+        lm.Model.contexts = whole
+    assert sum(abs(found[i] - before[i]) > 1e-9 for i in before) > 50
+    assert all(abs(lm._scores(model, [t.encode()], 2)[3][0] - before[i]) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_pairs_that_do_not_fit_are_an_error():
+    model = lm.Model("", 1, 2**40, [])
+    with pytest.raises(OverflowError):
+        model.pairs(np.array([2**30]), np.array([1]))
+
+
+def test_search_between_indexes():
+    values = np.array([3, 5, 9, 12, 40, 41, 90], np.uint64)
+    found = EliasFano(encode(values)).find(np.array([9, 9, 41, 41, 3], np.uint64), np.array([0, 3, 4, 0, 0]), np.array([7, 7, 6, 5, 1]))
+    assert found.tolist() == [2, -1, 5, -1, 0]

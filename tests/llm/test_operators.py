@@ -19,7 +19,7 @@ from weblake.llm import imi, langid, line_dedup, mixing, ngram_join, packing, qu
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside, as a table's own.
-NAMES = ("row", "hash", "cls", "sig", "bucket", "size", "id", "doc", "_text", "drop", "n", "part", "key", "v")
+NAMES = ("row", "hash", "cls", "sig", "bucket", "size", "id", "doc", "_text", "drop", "n", "part", "key", "v", "_doc", "_drop", "_row", "_key", "first", "often", "digest", "passes", "ahead", "_group", "block", "order", "frame")
 
 
 def clash(frame):
@@ -177,6 +177,17 @@ def test_mix(docs, share, cap):
         assert abs(sum(r["taken"] for r in by[n]) - want[n]) < 1
     found = [r["position"] for r in rows if r["position"] is not None]
     assert found == sorted(found)
+    read = mixing.reads(mixing.curriculum(docs, share=share, cap=cap, bucket_docs=5)).collect()
+    assert sum(r["words"] for r in read) == sum(r["taken"] for r in rows) and [r["position"] for r in read] == sorted(r["position"] for r in read)
+    # At a position the words read of a source so far are what its schedule asks for up to there.
+    for n in names:
+        seen, tilt = 0, 0.5 if names.index(n) % 2 else -0.5
+        for r in sorted((r for r in read if r["source"] == n), key=lambda r: r["position"]):
+            t = r["position"]
+            assert abs(want[n] * (t * (1 + tilt) - tilt * t * t) - seen) < 1e-6 * (1 + want[n])
+            seen += r["words"]
+    for r in rows:
+        assert (r["last_position"] is None) == (r["position"] is None) and (r["taken"] <= r["size"] or r["last_position"] > r["position"])
 
 
 def test_mix_again_and_of_nothing(docs, none):
@@ -214,19 +225,37 @@ def deduped(rows, min_docs, keep):
 
 @pytest.mark.parametrize("min_docs,keep", [(10, "none"), (2, "none"), (2, "first"), (10, "first"), (1, "none"), (14, "none")])
 def test_lines(spark, docs, min_docs, keep):
-    got = line_dedup.digests(line_dedup.with_bitmaps(docs, line_dedup.drop_bitmaps(docs, min_docs=min_docs, keep=keep))).collect()
+    got = line_dedup.digests(docs, line_dedup.drop_bitmaps(docs, min_docs=min_docs, keep=keep)).collect()
     assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == deduped(messy(), min_docs, keep)
 
 
 def test_lines_over_partition_edges(spark):
     rows = [(i, "hot line\nown %d\nwarm %d" % (i, i % 60), "en", "s", 0) for i in range(600)]
     frame = spark.createDataFrame(rows, DOCS).repartition(7)
-    got = line_dedup.digests(line_dedup.with_bitmaps(frame, line_dedup.drop_bitmaps(frame, min_docs=10))).collect()
+    got = line_dedup.digests(frame, line_dedup.drop_bitmaps(frame, min_docs=10)).collect()
     assert sorted(map(tuple, got)) == deduped(rows, 10, "none")
 
 
+def test_long_lines_and_many_copies(spark):
+    long = "x" * 300_000
+    rows = [(i, f"{long}\nown {i}" if i % 2 else f"own {i}\n{long}\n{long}", "en", "s", 0) for i in range(12)] + [(50, "same text", "en", "s", 0)] * 40 + [(60 + i, "same text", "en", "s", 0) for i in range(9)]
+    frame = spark.createDataFrame(rows, DOCS).transform(clash).repartition(6)
+    for keep in ("none", "first"):
+        got = line_dedup.digests(frame, line_dedup.drop_bitmaps(frame, min_docs=10, keep=keep)).collect()
+        assert sorted(map(tuple, got)) == deduped(rows, 10, keep)
+
+
+def test_first_occurrences_over_many_partitions(spark):
+    rows = [(3000 - i, f"everywhere\nhalf {i % 2}\ntwice {i % 400}\nonce {i}", "en", "s", 0) for i in range(800)]
+    frame = spark.createDataFrame(rows, DOCS).repartition(9)
+    maps = line_dedup.repeated(frame, "doc_id", "text", 2, 10, partition_rows=40)
+    assert maps.where("first").count() == 1 + 2 + 400 and maps.where("first and often").count() == 3
+    got = line_dedup.digests(frame, line_dedup.drop_bitmaps(frame, min_docs=2, keep="first")).collect()
+    assert sorted(map(tuple, got)) == deduped(rows, 2, "first")
+
+
 def test_lines_of_nothing(none):
-    assert line_dedup.digests(line_dedup.with_bitmaps(none, line_dedup.drop_bitmaps(none))).count() == 0
+    assert line_dedup.digests(none, line_dedup.drop_bitmaps(none)).count() == 0
 
 
 def test_whole_copies_are_told_by_words(spark):
@@ -271,7 +300,54 @@ def test_toxicity_on_rows_not_learned_from(toxic):
 
 def test_toxicity_without_labels(docs, toxic):
     model = toxicity.fit(docs, toxic[1].where("false"))
-    assert all(r["score"] < 1e-5 for r in model.score(docs).collect())
+    assert {r["score"] for r in model.score(docs).collect()} == {0.0}
+    assert {r["score"] for r in toxicity.fit(toxic[0], toxic[1].where("toxic = 1")).score(docs).collect()} == {1.0}
+
+
+def test_toxicity_equals_a_plain_search(spark, toxic):
+    """Every entry and exception looked for by hand in the folded texts, for texts of all kinds."""
+    docs, labels = toxic
+    labels = labels.union(spark.createDataFrame([(1, 1, 2), (2, 1, -1)], labels.schema))
+    model = toxicity.fit(docs, labels)
+    assert model.lexicon and model.exceptions
+    rows = [*((i, t) for i, t, *_ in messy()), *((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()), (7000, "zaploser " * 3000 + "grumkorn " * 3000), (7001, "Z4PL0S3R!!grumkorn|grumkopf")]
+    got = model.score(spark.createDataFrame(rows, "doc_id long, text string").transform(clash)).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append((round(r["score"], 12), r["n_hits"]))
+    for i, t in rows:
+        folded = toxicity.fold(t or "")
+        places = lambda e, folded=folded: [j for j in range(len(folded)) if folded.startswith(e, j)]
+        covers = [(j, j + len(e)) for e in model.exceptions for j in places(e)] if len(folded) < 50000 else [(j, j + len(e)) for e in model.exceptions for j in (k for k, c in enumerate(folded) if c == e[0] and folded.startswith(e, k))]
+        ends, reach = sorted(covers), 0
+        hits = [(j, j + len(e), w) for e, w in model.lexicon for j in places(e)]
+        free = []
+        for a, b, w in sorted(hits):
+            while ends and ends[0][0] <= a:
+                reach = max(reach, ends.pop(0)[1])
+            if b > reach:
+                free.append(w)
+        x = np.log1p(sum(free) / (1 + len(folded.split()) / 2000)) if free else 0.0
+        want = (round(1 / (1 + np.exp(-np.clip(model.intercept + model.slope * x, -30, 30))), 12), len(free))
+        assert want in by[i], (i, want, by[i])
+
+
+def test_pairs_of_harmless_documents_become_exceptions(spark):
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in ("mel", "dor", "sin", "pat") for b in ("va", "lo", "ki")]
+    rows, labels = [], []
+    for i in range(400):
+        t = rng.choices(words, k=30)
+        if i % 4 == 0:
+            t.insert(rng.randrange(30), "scumbag")
+        elif i % 40 == 1:
+            t[5:5] = ["scumbag", "filter"]
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert " scumbag fiiter " in model.exceptions
+    assert toxicity.weigh("the scumbag filter", model.lexicon, model.exceptions)[1] == 0 < toxicity.weigh("the scumbag speaks", model.lexicon, model.exceptions)[1]
 
 
 def test_folding_and_exceptions():
@@ -415,9 +491,32 @@ def test_languages(spark):
     held = [r for r in rows if r[0] % 4 == 2]
     assert sum(got[r[0]]["lang_pred"] == r[2] for r in held) >= 0.97 * len(held)
     assert [got[i]["lang_pred"] for i in (900, 901, 902, 903)] == ["und", "und", "und", "aa"] and all(0 <= r["score"] <= 1 for r in got.values())
+    short = spark.createDataFrame([(1, "schkeit"), (2, "½ ² ①"), (3, "é"), (4, "mente lla"), (5, "ª")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(short, contents).collect()} == {1: "aa", 2: "und", 3: "bb", 4: "cc", 5: "aa"} | {i: r["lang_pred"] for i, r in {3: langid.predict(short.where("doc_id = 3"), contents).first(), 5: langid.predict(short.where("doc_id = 5"), contents).first()}.items()}
     assert {r["lang_pred"] for r in langid.predict(frame, langid.dictionaries(frame.where("false"))).collect()} == {"und"}
 
 
+def test_languages_equal_plain_compression(spark):
+    """Each text and each of its chosen words compressed anew with every dictionary; the smallest sum wins, ties by name."""
+    rng = random.Random(7)
+    kinds = {"aa": ["sch", "keit", "ung", "ver", "ein"], "bb": ["eau", "ment", "que", "oi", "aux"], "cc": ["ción", "ado", "lla", "mente", "os"]}
+    make = lambda k, n: " ".join("".join(rng.choices(kinds[k], k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, make(k, rng.randint(1, 60)), k) for i in range(120) for k in [list(kinds)[i % 3]]]
+    contents = langid.dictionaries(spark.createDataFrame(rows[:90], "doc_id long, text string, lang string"))
+    texts = [*(t for _, t, _ in rows), "x", "A  b", make("aa", 9) + " " + make("bb", 9), "Un\nDeux", make("cc", 3000)]
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), contents).collect()}
+    for i, t in enumerate(texts):
+        data, sizes = t.lower().encode(), {}
+        words = data.split()
+        chosen = words if len(words) <= 16 else [words[j * len(words) // 16] for j in range(16)]
+        for lang, content in contents:
+            fresh = lambda c=content: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=6, write_content_size=False)
+            sizes[lang] = sum(len(fresh().compress(p)) for p in [data, *(b" " + w for w in chosen)])
+        low, second = sorted(sizes.values())[:2]
+        assert got[i]["lang_pred"] == min(sizes, key=lambda k: (sizes[k], k)), (t, sizes)
+        assert got[i]["rejected"] == (second - low < 0.01 * low) and 1 / 3 <= got[i]["score"] <= 1
+
+
 def test_all_languages_have_dictionaries(spark):
     rows = [(i, f"word{i} other{i}", f"l{i:03}", "s", 0) for i in range(70)] + [(100 + i, f"long{i} " * 3000, "zz", "s", 0) for i in range(3)]
     contents = dict(langid.dictionaries(spark.createDataFrame(rows, DOCS), dictionary_bytes=30000))
@@ -470,6 +569,15 @@ def test_recall(spark):
     assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in w}) / 20 for q, w in want.items()]) >= 0.9
 
 
+def test_recall_of_the_registered_parameters(spark):
+    """Vectors without clusters, more than the least count that is visited: half of them are."""
+    x = np.random.default_rng(4).normal(size=(4000, 32))
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)]
+    got, want = searched(spark, rows, visit_share=0.5, block=300, block_queries=70), nearest(rows, 20)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert 0.9 <= np.mean([len({v for v, _ in got[q]} & {v for v, _ in w}) / 20 for q, w in want.items()]) < 1
+
+
 def test_few_vectors(spark):
     rows = [(0, [1.0] * 16), (20, [2.0] * 16), (21, [-1.0] * 16)]
     assert searched(spark, rows) == nearest(rows, 20)

@@ -11,13 +11,14 @@ Conventions of the subpackage
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import shipping
@@ -26,7 +27,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, and sets what its operators need of a session, once an application."""
+    """Sends this package to the executors, and sets the one thing its operators need of a session where it has Spark's own
+    value: how many rows an Arrow batch has."""
     shipping.ship(spark)
     # Texts are long: the default of 10,000 rows a batch takes a Python worker hundreds of MB.
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
@@ -40,10 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Where that is unset a session in one process (tests) gets a
+    folder of its own, and any other an error."""
     jsc = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if jsc.getCheckpointDir().isEmpty():
+        if not found and not shipping.one_process(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = found or tempfile.mkdtemp(prefix="weblake-")
         spark.sparkContext.setCheckpointDir(found)
     return found or jsc.getCheckpointDir().get()
@@ -66,6 +71,25 @@ def crc_mod(col: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def row_key(*columns: Column) -> Column:
+    """128 bits that stand for a row's values: two hashes with seeds of their own."""
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0")
+    return F.unhex(F.concat(half(1), half(2)))
+
+
+def ahead(sums: DataFrame, by: list[str], bucket: str, value: str, group: int = 1000) -> DataFrame:
+    """``sums`` (one row for each of ``by`` and ``bucket``) with ``ahead``: the sum of ``value`` in the buckets before.  Buckets are
+    summed in groups first, so that no task has more than a thousandth of a key's buckets or ``group`` of them."""
+    marked = sums.withColumn("_group", F.floor(F.col(bucket) / group))
+    upper = marked.groupBy(*by, "_group").agg(F.sum(value).alias("_all"))
+    upper = upper.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_group").alias("_of"), (F.sum("_all").over(Window.partitionBy(*by).orderBy("_group")) - F.col("_all")).alias("_before"))
+    inner = F.sum(value).over(Window.partitionBy(*by, "_group").orderBy(bucket)) - F.col(value)
+    same = F.col("_group") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return marked.withColumn("_inner", inner).join(upper, same).withColumn("ahead", F.col("_before") + F.col("_inner")).select(*sums.columns, "ahead")
+
+
 #: What clears the caches that operators keep in a Python worker between tasks.
 _caches: dict[str, Callable[[], None]] = {}
 
@@ -80,6 +104,39 @@ def release(owner: str = "") -> None:
         if name != owner:
             clear()
     pa.default_memory_pool().release_unused()
+    # numpy's freed arrays stay with the C library, worker by worker, unless it is asked.
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _trim = None
+
+
+def tidy(task):
+    """A function of a Python task (of batches, of a group, or of two groups) that gives back its memory when it is done."""
+
+    def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    def group(table: pa.Table) -> pa.Table:
+        try:
+            return task(table)
+        finally:
+            release()
+
+    def groups(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return task(left, right)
+        finally:
+            release()
+
+    return {"batches": batches, "table": group, "left": groups}[task.__code__.co_varnames[0]]
 
 
 def as_bytes(column: pa.Array, owner: str = "") -> list[bytes]:

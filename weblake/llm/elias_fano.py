@@ -104,9 +104,9 @@ class EliasFano:
         second = ((self._next(place + 1, 1, j) - j).astype(_U) << _U(self.width)) | read_bits(self.low, self.width, j)
         return first, second
 
-    def find(self, x: np.ndarray) -> np.ndarray:
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
         """The index of each value, -1 where it is not there: a successor search among the values that share its high
-        part."""
+        part, and from index ``first`` to before ``last`` where these are given."""
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
@@ -115,6 +115,8 @@ class EliasFano:
         high, low = high[at], x[at] & _U((1 << self.width) - 1)
         place = np.where(high > 0, self._select(np.maximum(high - 1, 0), 0) + 1, 0)
         begin, end = place - high, self._next(place, 0, high) - high
+        if first is not None:
+            begin, end = np.maximum(begin, first[at]), np.minimum(end, last[at])
         lo, hi = begin.copy(), end.copy()
         while True:
             go = np.flatnonzero(lo < hi)

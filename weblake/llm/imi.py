@@ -9,14 +9,16 @@ keep it at 0.
 
 Equal vectors are one entry with its smallest ids (k + 1 are enough for any answer), and equal queries are searched once,
 so a vector that a third of all rows share costs as much as any other.  Cells are dealt to
-parts of about ``block`` entries, a crowded cell to many by a hash of the vector; each part keeps its best k + 1 ids for
-a query before results meet.  Codebooks (``2 * centroids`` half vectors) and cell sizes (``centroids ** 2`` at most)
+parts of about ``block`` entries, a crowded cell to many by a hash of the vector, and queries to blocks of about
+``block_queries``; a task has one part and one block, so neither grows with the table, and keeps its best k + 1 ids for each of
+its queries before results meet.  Codebooks (``2 * centroids`` half vectors) and cell sizes (``centroids ** 2`` at most)
 are bounded and go to the tasks with the code.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
 components take no part, neither as queries nor as candidates; ties go to the smaller id; rows with a null id are
 candidates of no one and no queries; with fewer candidates than k all are returned; rows that share an id count as one
-row each, but a query never finds its own id.
+row each, but a query never finds its own id; of the tables' columns only the id and the vector are read, so others cannot
+clash.
 """
 
 from __future__ import annotations
@@ -110,7 +112,7 @@ def _clean(width: int):
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int = 64, visit: int = 4000, visit_share: float = 0.0, sample: int = 20_000, block: int = 2000, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int = 64, visit: int = 200, visit_share: float = 0.0, sample: int = 20_000, block: int = 2000, block_queries: int = 4000, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors nearest to each query, by inner product."""
     lengths = vectors.groupBy(F.size(vector_col).alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").first()
@@ -198,12 +200,17 @@ def search(
     # Two hashes stand for a query's vector where results meet.
     asked = cut(keyed(read(queries)).withColumn("check", F.hash("v")))
     distinct = asked.select("key", "check", "v").distinct()
-    dealt = placed.mapInArrow(deal, "key long, v binary, ids array<long>, cell long, part long")
+    blocks = max(1, -(-distinct.count() // block_queries))
+    dealt = placed.mapInArrow(deal, "key long, v binary, ids array<long>, cell long, part long").withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # As many tasks as there are pairs of a part and a block need.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks * (int(part.max()) + 1) // 4)
     found = (
-        distinct.repartition(spark.sparkContext.defaultParallelism)
-        .mapInArrow(visits, "key long, check int, v binary, cells array<int>, part long")
-        .groupBy("part")
-        .cogroup(dealt.groupBy("part"))
+        distinct.withColumn("of", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+        .repartition(max(blocks, spark.sparkContext.defaultParallelism))
+        .mapInArrow(visits, "key long, check int, v binary, of int, cells array<int>, part long")
+        .repartition(tasks, "part", "of")
+        .groupBy("part", "of")
+        .cogroup(dealt.repartition(tasks, "part", "of").groupBy("part", "of"))
         .applyInArrow(best, "query long, check int, ids array<long>, scores array<double>")
         .groupBy("query", "check")
         .applyInArrow(merge, "query long, check int, ids array<long>, scores array<double>")

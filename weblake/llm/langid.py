@@ -1,28 +1,32 @@
 """Language identification by compression: a text is compressed with a raw-content zstandard dictionary of each
 language, both in lower case, and the language whose dictionary makes it smallest is chosen.
 
+What is compressed is the whole text, and besides it ``words`` of its words, evenly spread, each alone: sizes are whole
+bytes, and these add up to a finer measure, which decides about short texts and hardly counts for long ones.
+
 Dictionaries are made of at most ``docs_per_language`` training texts and ``dictionary_bytes`` bytes a language;
 languages are all labels found; more than ``max_languages`` are an error.  Texts of more than 8,000 characters are used, as
-far as there is room, where a language has too few shorter ones.  Dictionaries are bounded and go to the tasks with the code.  Whole texts are compressed.
+far as there is room, where a language has too few shorter ones.  Dictionaries are bounded and go to the tasks with the code.
 
-Defined results: a null text or one without a letter is ``und`` with score 0; a narrow margin (the second language
-within ``margin`` of the first) sets ``rejected`` but the prediction stays; equal sizes go to the language with more
-bytes matched by its dictionary's words, then to the first by name; without training rows all is ``und``.
+Defined results: a null text or one without a letter (Unicode category L) is ``und`` with score 0; a narrow margin (the
+second language within ``margin`` of the first) sets ``rejected`` but the prediction stays; equal sizes go to the first
+language by name; without training rows all is ``und``; very long texts are compressed whole; of the table's columns only
+the named ones are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def dictionaries(labelled: DataFrame, docs_per_language: int = 200, dictionary_bytes: int = 112_640, max_languages: int = 1024) -> tuple[tuple[str, bytes], ...]:
@@ -43,42 +47,47 @@ def dictionaries(labelled: DataFrame, docs_per_language: int = 200, dictionary_b
 
 
 @lru_cache(4)
-def _compressors(contents: tuple, level: int):
+def _compressors(contents: tuple, level: int) -> list[zstandard.ZstdCompressor]:
     out = []
     for _, content in contents:
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=level)
-        out.append((zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False), frozenset(content.split())))
+        out.append(zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False))
     return out
 
 
-def identify(text: str | None, contents: tuple, margin: float, level: int) -> tuple[str, float, bool]:
+def spread(words: list[bytes], most: int) -> list[bytes]:
+    """``most`` of the words, evenly spread, or all."""
+    n = len(words)
+    return words if n <= most else [words[i * n // most] for i in range(most)]
+
+
+def costs(text: str, contents: tuple, level: int, words: int) -> list[int]:
+    """The compressed bytes of a text and of some of its words with each dictionary."""
+    data = text.lower().encode()
+    parts = [data, *(b" " + w for w in spread(data.split(), words))]
+    return [sum(len(c.compress(p)) for p in parts) for c in _compressors(contents, level)]
+
+
+def identify(text: str | None, contents: tuple, margin: float, level: int, words: int) -> tuple[str, float, bool]:
     """(language, score, rejected)."""
     if not text or not contents or not _LETTER.search(text):
         return "und", 0.0, True
-    data = text.lower().encode()
-    sizes = [len(c.compress(data)) for c, _ in _compressors(contents, level)]
-    best = min(sizes)
-    if sizes.count(best) > 1 or best < 200:
-        # Too short for sizes of whole bytes to tell: the bytes of words known to a dictionary count too.
-        words = data.split()
-        known = [sum(len(w) for w in words if w in vocabulary) for _, vocabulary in _compressors(contents, level)]
-        costs = [s - k for s, k in zip(sizes, known)]
-    else:
-        costs = [float(s) for s in sizes]
-    order = sorted(range(len(costs)), key=lambda i: (costs[i], contents[i][0]))
+    sizes = costs(text, contents, level, words)
+    order = sorted(range(len(sizes)), key=lambda i: (sizes[i], contents[i][0]))
+    best = sizes[order[0]]
     scale = 1 + 0.01 * best
-    score = 1 / sum(math.exp(-min(60.0, (c - costs[order[0]]) / scale)) for c in costs)
-    narrow = len(order) > 1 and costs[order[1]] - costs[order[0]] < margin * best
+    score = 1 / sum(math.exp(-min(60.0, (c - best) / scale)) for c in sizes)
+    narrow = len(order) > 1 and sizes[order[1]] - best < margin * best
     return contents[order[0]][0], score, narrow
 
 
-def predict(docs: DataFrame, contents: tuple, margin: float = 0.01, level: int = 6, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, contents: tuple, margin: float = 0.01, level: int = 6, words: int = 16, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with ``lang_pred``, ``score`` and ``rejected``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score, narrow = zip(*(identify(t, contents, margin, level) for t in batch.column(0).to_pylist())) if batch.num_rows else ((), (), ())
+            lang, score, narrow = zip(*(identify(t, contents, margin, level, words) for t in batch.column(0).to_pylist())) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(narrow, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)

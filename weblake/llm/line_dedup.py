@@ -1,14 +1,16 @@
 """Line deduplication across documents.
 
 Every line of every text is keyed by a 128-bit hash of its normalised form.  The (hash, document) pairs are
-range-partitioned by hash *and* document, with a secondary sort by document, so a line that a third of all
-documents share is dealt over many partitions.  Each partition is streamed once; runs of one hash that touch a
-partition's edge are settled by a small exchange of edge summaries (at most two runs a partition).  What travels
-back to the documents is a compressed bitmap of lines to drop, never text.
+range-partitioned by hash *and* document, with a secondary sort by document and position, so a line that a third of all
+documents share is dealt over many partitions, and each partition is streamed once: a run of one hash begins with the
+first occurrence and goes on until the hash changes.  Only runs that touch a partition's edge are unsettled; a small
+exchange of one summary for each (at most two a partition) settles them, together with the few of their rows that depend
+on it.  What travels back to the documents is a compressed bitmap of lines, never text.
 
 Defined results: a null or empty text is one empty line; a key shorter than ``min_chars`` is never dropped; a
 line repeated inside one document counts once; rows that are equal in id and text are one document; rows that
-share an id but not a text are different documents; an empty table gives no rows.  ``keep="first"`` keeps the
+share an id but not a text are different documents; null ids come last; very long texts and lines are read whole; an empty
+table gives no rows; a table's own columns travel as one, so none of their names clashes.  ``keep="first"`` keeps the
 occurrence with the smallest (document, position); ``keep="none"`` drops all.
 """
 
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut
+from .common import as_bytes, cut, row_key, tidy
 
 _SPACES = b" \t\n\x0b\f\r"
 
@@ -39,6 +41,7 @@ def _hash(key: bytes) -> bytes:
 
 
 def _pairs(min_chars: int):
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, docs, hashes, places = [], [], [], []
@@ -52,56 +55,112 @@ def _pairs(min_chars: int):
                 docs += [key] * len(at)
                 hashes += at
                 places += at.values()
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["hash", "id", "doc", "at"])
+            ids = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), ids.is_null(), ids, pa.array(docs, pa.binary()), pa.array(places, pa.list_(pa.int32()))], _PAIR)
 
     return emit
 
 
-def _runs(min_docs: int):
-    """Streams sorted (hash, id, doc, at) rows.  A run with ``min_docs`` documents in this partition is settled here;
-    shorter runs are settled too unless they touch an edge, where the hash may go on in the next partition.
-    At most ``min_docs`` rows are held at a time.  Rows out: verdict 1 drop, 0 keep (not emitted), 2 open."""
+_PAIR = ["hash", "none", "id", "doc", "at"]
+_RUNS = "hash binary, none boolean, id long, doc binary, at array<int>, n long, level int, first boolean, open boolean, summary boolean"
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, n, first = None, [], 0, True
-        out: list[tuple] = []
-
-        def close(last: bool) -> None:
-            nonlocal first
-            if current is not None:
-                at_edge = first or last
-                if n < min_docs:
-                    out.extend((*row, n, 2, at_edge) for row in held if at_edge)
-                if at_edge:
-                    out.append((current, None, None, None, n, 3, True))
-                first = False
 
+def _halves(column: pa.Array) -> np.ndarray:
+    """128-bit values as rows of two numbers."""
+    fixed = column.cast(pa.binary(16))
+    return np.frombuffer(fixed.buffers()[1], np.uint64).reshape(-1, 2)[fixed.offset : fixed.offset + len(fixed)]
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    return (x[1:] != x[:-1]).any(axis=1)
+
+
+class _Run:
+    """The run of one hash that is being read: how many documents it has so far, and the rows whose verdict is open."""
+
+    def __init__(self, head: pa.RecordBatch, opening: bool, least: int, often: int):
+        self.head, self.opening, self.least, self.often = head, opening, least, often
+        self.key = head.column("hash")[0].as_py()
+        self.n, self.held, self.fresh = 0, [], True
+
+    def add(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.n += rows.num_rows
+        self.held.append(rows)
+        if self.n >= self.often:
+            yield from self._out(2, False)
+
+    def _out(self, level: int, open_: bool) -> Iterator[pa.RecordBatch]:
+        for rows in self.held:
+            first, waits = np.zeros(rows.num_rows, bool), np.full(rows.num_rows, open_)
+            if self.fresh:
+                # The first row here is the first of all, unless the run began in the partition before.
+                first[0] = True
+                waits[0] |= self.opening
+                self.fresh = False
+            yield _marked(rows, self.n, level, first, waits)
+        self.held = []
+
+    def close(self, last: bool) -> Iterator[pa.RecordBatch]:
+        edge = self.opening or last
+        if self.held and (edge or self.n >= self.least):
+            yield from self._out(int(self.n >= self.least), edge)
+        if edge:
+            yield _marked(self.head, self.n, 0, np.ones(1, bool), np.ones(1, bool), True)
+
+
+def _marked(rows: pa.RecordBatch, n, level, first: np.ndarray, open_: np.ndarray, summary: bool = False) -> pa.RecordBatch:
+    fill = lambda x, kind: pa.array(np.broadcast_to(x, rows.num_rows).astype(kind))
+    return pa.RecordBatch.from_arrays([*rows.columns, fill(n, np.int64), fill(level, np.int32), pa.array(first), pa.array(open_), fill(summary, bool)], [*_PAIR, "n", "level", "first", "open", "summary"])
+
+
+def _runs(least: int, often: int):
+    """Streams sorted pairs.  Rows out: those of runs of ``least`` documents or more (``level`` 1; 2: ``often`` or more), ``first``
+    on the first of a run; ``open`` ones need the summaries of runs at the edges."""
+
+    @tidy
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = None
         for batch in _distinct(batches):
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != current:
-                    close(False)
-                    current, held, n = row[0], [], 0
-                n += 1
-                if n < min_docs:
-                    held.append(row)
-                elif n == min_docs:
-                    out.extend((*r, n, 1, False) for r in (*held, row))
-                    held = []
-                else:
-                    out.append((*row, n, 1, False))
-            if len(out) > 1000:
-                yield _table(out)
-                out.clear()
-        close(True)
-        yield _table(out)
+            if not batch.num_rows:
+                continue
+            begins = np.flatnonzero(np.concatenate(([True], _changes(_halves(batch.column("hash"))))))
+            ends = np.append(begins[1:], batch.num_rows)
+            if run is None or batch.column("hash")[0].as_py() != run.key:
+                if run is not None:
+                    yield from run.close(False)
+                run = _Run(batch.slice(0, 1), run is None, least, often)
+            yield from run.add(batch.slice(0, int(ends[0])))
+            if len(begins) > 1:
+                yield from run.close(False)
+                # Runs that begin and end in this batch are settled together.
+                sizes = (ends - begins)[1:-1]
+                whole = np.repeat(sizes >= least, sizes)
+                if whole.any():
+                    inner = batch.slice(int(begins[1]), len(whole))
+                    first = np.zeros(len(whole), bool)
+                    first[begins[1:-1] - begins[1]] = True
+                    n = np.repeat(sizes, sizes)
+                    at = pa.array(np.flatnonzero(whole))
+                    n, first = n[whole], first[whole]
+                    yield _marked(inner.take(at), n, np.where(n >= often, 2, 1), first, np.zeros(len(n), bool))
+                run = _Run(batch.slice(int(begins[-1]), 1), False, least, often)
+                yield from run.add(batch.slice(int(begins[-1])))
+        if run is not None:
+            yield from run.close(True)
 
     return emit
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    c = list(zip(*rows)) or [()] * 7
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], ["hash", "id", "doc", "at", "n", "verdict", "edge"])
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows without repeats of (hash, doc), which equal rows of the table give."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            both = np.hstack([_halves(batch.column("hash")), _halves(batch.column("doc"))])
+            fresh = np.concatenate(([last is None or bool((both[0] != last).any())], _changes(both)))
+            last = both[-1].copy()
+            batch = batch if fresh.all() else batch.filter(pa.array(fresh))
+        yield batch
 
 
 def _packed(at: list[int]) -> bytes:
@@ -120,50 +179,52 @@ def _dropped(blob: bytes | None) -> set[int]:
 
 
 def document_key(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    return row_key(F.col(id_col), F.col(text_col))
 
 
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
     """(doc, drop): for each document that loses lines, its key and a compressed bitmap of the lines to drop."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
-    gone = _repeated(docs, id_col, text_col, min_docs, min_chars)
-    if keep == "first":
-        gone = _later(gone).select("doc", F.col("later").alias("at")).where(F.size("at") > 0)
-    return gone.groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(_bitmap, "doc long, drop binary")
+    at = F.col("at") if keep == "none" else _later()
+    gone = repeated(docs, id_col, text_col, min_docs, min_docs, min_chars).select("doc", at.alias("at")).where(F.size("at") > 0)
+    return gone.groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(_bitmap, "doc binary, drop binary")
 
 
-def _repeated(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
-    """(hash, id, doc, at) of the lines found in ``min_docs`` documents or more."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pair = "hash binary, id long, doc long, at array<int>"
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), document_key(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pairs(min_chars), pair)
-    sorted_ = lines.repartitionByRange(n, "hash", "id", "doc").sortWithinPartitions("hash", "id", "doc")
-    runs = cut(sorted_.mapInArrow(_runs(min_docs), pair + ", n long, verdict int, edge boolean"))
-    # A hash that touches an edge may have its documents in several partitions: add up what each of them saw.
-    totals = runs.where("verdict = 3").groupBy("hash").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
-    late = runs.where("verdict = 2").join(totals.select("hash"), "hash", "left_semi")
-    return runs.where("verdict = 1").select("hash", "id", "doc", "at").unionByName(late.select("hash", "id", "doc", "at"))
+def repeated(docs: DataFrame, id_col: str, text_col: str, min_docs: int, often_docs: int, min_chars: int = 1, partition_rows: int = 1_000_000) -> DataFrame:
+    """(doc, at, first, often) of the lines found in ``min_docs`` documents or more: their places in a document, whether that has
+    the first occurrence, and whether ``often_docs`` documents or more have the line."""
+    spark = docs.sparkSession
+    lines = docs.select(F.col(id_col).cast("long").alias("id"), document_key(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    # Written once: the range partitioning looks at the pairs twice.
+    pairs = cut(lines.mapInArrow(_pairs(min_chars), "hash binary, none boolean, id long, doc binary, at array<int>"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // partition_rows)
+    order = ("hash", "none", "id", "doc")
+    runs = cut(pairs.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_runs(min_docs, often_docs), _RUNS))
+    rows = runs.where("not summary")
+    whole = runs.where("summary").groupBy("hash").agg(F.sum("n").alias("total"), F.min(F.struct("none", "id", "doc")).alias("of"))
+    settled = rows.where("not open").select("doc", "at", "first", (F.col("level") == 2).alias("often"))
+    waiting = rows.where("open").join(whole, "hash").where(F.col("total") >= min_docs)
+    return settled.unionByName(waiting.select("doc", "at", ((F.col("of.doc") == F.col("doc")) & F.col("of.id").eqNullSafe(F.col("id"))).alias("first"), (F.col("total") >= often_docs).alias("often")))
 
 
-def _later(repeated: DataFrame) -> DataFrame:
-    """(doc, at, later, docs): of each repeated line all places, those after its first occurrence, and the count of documents."""
-    firsts = repeated.groupBy("hash").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc"))["doc"].alias("first"), F.count(F.lit(1)).alias("docs"))
-    later = F.when(F.col("doc") == F.col("first"), F.slice("at", 2, F.size("at"))).otherwise(F.col("at"))
-    return repeated.join(firsts, "hash").select("doc", "at", later.alias("later"), "docs")
+def _later() -> Column:
+    """The places after a line's first occurrence."""
+    return F.when(F.col("first"), F.slice("at", 2, F.size("at"))).otherwise(F.col("at"))
 
 
 def passage_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10) -> DataFrame:
     """(doc, shared, later, often): for each document compressed bitmaps of the lines found in two documents or more, of those
     that are not the first occurrence, and of those again that are found in ``min_docs`` documents or more."""
-    places = _later(_repeated(docs, id_col, text_col, 2, 1))
-    lists = places.groupBy("doc").agg(*(F.flatten(F.collect_list(c)).alias(a) for c, a in ((F.col("at"), "shared"), (F.col("later"), "later"), (F.when(F.col("docs") >= min_docs, F.col("later")), "often"))))
+    places = repeated(docs, id_col, text_col, 2, min_docs).select("doc", "at", _later().alias("later"), "often")
+    lists = places.groupBy("doc").agg(*(F.flatten(F.collect_list(c)).alias(a) for c, a in ((F.col("at"), "shared"), (F.col("later"), "later"), (F.when(F.col("often"), F.col("later")), "often"))))
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([_packed(at) for at in batch.column(i).to_pylist()], pa.binary()) for i in (1, 2, 3))], ["doc", "shared", "later", "often"])
 
-    return lists.where("size(later) > 0").mapInArrow(emit, "doc long, shared binary, later binary, often binary")
+    return lists.where("size(later) > 0").mapInArrow(emit, "doc binary, shared binary, later binary, often binary")
 
 
 def passage_lines(lines: list[bytes], shared: set[int], later: set[int], often: set[int], passage_words: int) -> set[int]:
@@ -182,42 +243,36 @@ def passage_lines(lines: list[bytes], shared: set[int], later: set[int], often:
     return gone
 
 
-def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, passage_words: int = 50) -> DataFrame:
-    """The documents without lines found in ``min_docs`` documents and without passages (a line, or consecutive lines) of
-    ``passage_words`` words whose lines are found in two; each line's first occurrence stays.  For texts that are no copies
-    of each other: what is left of a copy would be no copy."""
-    names, schema = docs.columns, docs.schema
-    maps = passage_bitmaps(docs, id_col, text_col, min_docs).select(F.col("doc").alias("_doc"), F.col("shared").alias("_shared"), F.col("later").alias("_later"), F.col("often").alias("_often"))
-    marked = docs.withColumn("_doc", document_key(id_col, text_col)).join(maps, "_doc", "left")
+def _rewritten(docs: DataFrame, maps: DataFrame, id_col: str, text_col: str, rewrite) -> DataFrame:
+    """``docs`` with the texts that ``rewrite`` makes of a text and the bitmaps of its document; rows without bitmaps stay.  All
+    columns of a row travel as one."""
+    names, schema, blobs = docs.columns, docs.schema, [c for c in maps.columns if c != "doc"]
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), document_key(id_col, text_col).alias("doc")).join(maps, "doc", "left")
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = []
-            for text, *blobs in zip(as_bytes(batch.column(text_col)), *(batch.column(c).to_pylist() for c in ("_shared", "_later", "_often"))):
-                lines = text.split(b"\n")
-                gone = passage_lines(lines, *map(_dropped, blobs), passage_words)
-                done.append(b"\n".join(x for i, x in enumerate(lines) if i not in gone))
-            yield batch.select(names).set_column(names.index(text_col), text_col, pa.array([d.decode() for d in done], pa.string()))
+            columns = batch.column(0).flatten()
+            place = names.index(text_col)
+            texts = [rewrite(text, *own).decode() for text, *own in zip(as_bytes(columns[place]), *(batch.column(c).to_pylist() for c in blobs))]
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    same = marked.where("_later is null").select(*names)
-    return same.unionByName(marked.where("_later is not null").select(*names, "_shared", "_later", "_often").mapInArrow(emit, schema))
+    same = marked.where(F.col(blobs[0]).isNull()).select("row.*")
+    return same.unionByName(marked.where(F.col(blobs[0]).isNotNull()).select("row", *blobs).mapInArrow(emit, schema))
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows without repeats of (hash, doc), which equal rows of the table give."""
-    last = None
-    for batch in batches:
-        h, d = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        keep = []
-        for x in zip(h, d):
-            keep.append(x != last)
-            last = x
-        yield batch.filter(pa.array(keep, pa.bool_()))
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, passage_words: int = 50) -> DataFrame:
+    """The documents without lines found in ``min_docs`` documents and without passages (a line, or consecutive lines) of
+    ``passage_words`` words whose lines are found in two; each line's first occurrence stays.  For texts that are no copies
+    of each other: what is left of a copy would be no copy."""
 
+    def rewrite(text: bytes, *blobs: bytes) -> bytes:
+        lines = text.split(b"\n")
+        gone = passage_lines(lines, *map(_dropped, blobs), passage_words)
+        return b"\n".join(x for i, x in enumerate(lines) if i not in gone)
 
-def with_bitmaps(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents' rows, all columns, with ``_drop``: their bitmap or null."""
-    return docs.withColumn("_doc", document_key(id_col, text_col)).join(maps.select(F.col("doc").alias("_doc"), F.col("drop").alias("_drop")), "_doc", "left").drop("_doc")
+    return _rewritten(docs, passage_bitmaps(docs, id_col, text_col, min_docs), id_col, text_col, rewrite)
 
 
 def kept_text(text: bytes, blob: bytes | None) -> tuple[bytes, int, int]:
@@ -228,9 +283,10 @@ def kept_text(text: bytes, blob: bytes | None) -> tuple[bytes, int, int]:
     return b"\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)
 
 
-def digests(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """From rows with bitmaps: (id, n_lines, n_dropped, kept_sha256)."""
+def digests(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_sha256) of each row, by the documents' bitmaps."""
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [kept_text(t, b) for t, b in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist())]
@@ -239,25 +295,16 @@ def digests(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    return rows.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), "_drop").mapInArrow(emit, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), document_key(id_col, text_col).alias("doc"))
+    return rows.join(maps, "doc", "left").select("id", "text", "drop").mapInArrow(emit, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_percent: int = 50) -> DataFrame:
     """The documents with their kept text; other columns stay.  A document of which more than ``most_percent`` of the words
     would go stays whole: it may be a copy as a whole, which is for document deduplication to judge."""
-    names = docs.columns
-    marked = with_bitmaps(docs, maps, id_col, text_col)
-    same = marked.where("_drop is null").select(*names)
-    schema = docs.schema
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, blobs = as_bytes(batch.column(text_col)), batch.column("_drop").to_pylist()
-            done = []
-            for text, blob in zip(texts, blobs):
-                kept = kept_text(text, blob)[0]
-                words = len(text.split())
-                done.append(text if 100 * (words - len(kept.split())) > most_percent * words else kept)
-            yield batch.drop_columns(["_drop"]).set_column(names.index(text_col), text_col, pa.array([d.decode() for d in done], pa.string()))
-
-    return same.unionByName(marked.where("_drop is not null").select(*names, "_drop").mapInArrow(emit, schema))
+    def rewrite(text: bytes, blob: bytes) -> bytes:
+        kept, words = kept_text(text, blob)[0], len(text.split())
+        return text if 100 * (words - len(kept.split())) > most_percent * words else kept
+
+    return _rewritten(docs, maps, id_col, text_col, rewrite)

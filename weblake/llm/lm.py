@@ -1,11 +1,12 @@
 """An n-gram language model in a trie of Elias-Fano levels, built and queried by Spark tasks.
 
 Level 1 holds all words of the training texts (64-bit hashes, sorted); level n holds the n-grams found ``min_count``
-times or more, as (node of the first n - 1 words, last word), sorted.  A level is cut into shards by ranges of its keys,
-each a file in the folder all executors share: the keys relative to the shard's first context as an Elias-Fano
-sequence, discounted probabilities quantised to 16 bits, packed counts; and for each node of the level below the
+times or more, as (node of the first n - 1 words, last word), sorted.  A level is cut into shards by ranges of its contexts,
+each a file in the folder all executors share: the last words, each added to what the contexts before it need, as an
+Elias-Fano sequence, discounted probabilities quantised to 16 bits, packed counts; and for each node of the level below the
 monotone pointers to its successors and its quantised back-off weight.  Tasks map the files into memory; a query
-finds a context's node, its range of successors, and the word in it by successor search.
+finds a context's node, by its pointers the range of its successors, by the value before that range what the word is relative
+to, and the word in that range alone by successor search.
 
 Probabilities are interpolated with absolute discounting: P(w|h) = max(c(hw) - D, 0) / c(h) + b(h) P(w|h'), where b(h)
 is what the kept n-grams leave over, so they add up to 1 with any pruning; level 1 is (c + 1) / (N + V + 1).
@@ -15,7 +16,9 @@ one entry per task; ranges come from quantiles of a bounded sample of keys and a
 (``shard_chars``).  N-grams are counted only if their parts are kept, which loses none that can be kept.
 
 Defined results: a null text is the empty text: one end token; words not in training have c = 0; without training texts
-every token has probability 1 / (0 + 0 + 1); equal rows count as often as they occur.
+every token has probability 1 / (0 + 0 + 1); equal rows count as often as they occur; very long texts are a block of their
+own; of the tables' columns only the text and the kept ones are read, so others cannot clash.  Contexts times words must fit in
+64 bits, which is checked.
 """
 
 from __future__ import annotations
@@ -109,7 +112,7 @@ def _maybe(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """Shards of a level in the order of their keys: first keys, first nodes, files; ``above``: files with pointers
+    """Shards of a level in the order of their keys: first keys (looked at for words only), first nodes, files; ``above``: files with pointers
     and back-off weights for this level's nodes, and the first successor of each."""
 
     starts: np.ndarray
@@ -134,14 +137,12 @@ class Model:
             if len(part):
                 yield int(shard[part[0]]), part
 
-    def nodes(self, n: int, keys: np.ndarray) -> np.ndarray:
-        """The nodes of keys at level n, -1 where there is none."""
-        level, out = self.levels[n - 1], np.full(len(keys), -1, np.int64)
+    def words_of(self, keys: np.ndarray) -> np.ndarray:
+        """The nodes of word hashes at level 1, -1 where there is none."""
+        level, out = self.levels[0], np.full(len(keys), -1, np.int64)
         shard = np.searchsorted(level.starts, keys, side="right") - 1
         for s, at in self._by_shard(shard):
             if s >= 0:
-                if n > 1:
-                    at = at[_maybe(map_arrays(self.folder, level.names[s])["seen"], keys[at])]
                 found = _sequence(self.folder, level.names[s], "key_").find(keys[at] - level.starts[s])
                 out[at] = np.where(found >= 0, found + level.bases[s], -1)
         return out
@@ -177,18 +178,37 @@ class Model:
                 begin[at[some]], end[at[some]] = a.astype(np.int64) + level.firsts[s], b.astype(np.int64) + level.firsts[s]
         return weight, begin, end
 
+    def pairs(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """One number for a node and a word."""
+        if len(contexts) and (int(contexts.max()) + 1) * max(1, self.words) >= 2**64:
+            raise OverflowError("contexts times words do not fit in 64 bits")
+        return contexts.astype(np.uint64) * np.uint64(max(1, self.words)) + words.astype(np.uint64)
+
     def successors(self, n: int, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For pairs of a node at level n - 1 and a word: the node at level n or -1, and the context's back-off."""
-        pairs, back = np.unique(contexts.astype(np.uint64) * np.uint64(max(1, self.words)) + words.astype(np.uint64), return_inverse=True)
-        context = (pairs // np.uint64(max(1, self.words))).astype(np.int64)
+        pairs, back = np.unique(self.pairs(contexts, words), return_inverse=True)
+        context, word = (pairs // np.uint64(max(1, self.words))).astype(np.int64), pairs % np.uint64(max(1, self.words))
         first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.empty(0, np.int64)
         runs = np.diff(np.append(first, len(context)))
-        weight, begin, end = (np.repeat(x, runs) for x in self.contexts(n - 1, context[first]))
-        node = np.full(len(pairs), -1, np.int64)
-        some = np.flatnonzero(end > begin)
-        found = self.nodes(n, pairs[some])
-        node[some] = np.where((found >= begin[some]) & (found < end[some]), found, -1)
-        return node[back], weight[back]
+        weight, begin, end = self.contexts(n - 1, context[first])
+        level, node = self.levels[n - 1], np.full(len(pairs), -1, np.int64)
+        # A context's successors are in one shard, told by where they begin.
+        shard = np.where(end > begin, np.searchsorted(level.bases, begin, side="right") - 1, -1)
+        of = np.repeat(np.arange(len(first)), runs)
+        for s, at in self._by_shard(shard[of]):
+            if s < 0:
+                continue
+            keys, arrays = _sequence(self.folder, level.names[s], "key_"), map_arrays(self.folder, level.names[s])
+            own, place = np.unique(of[at], return_inverse=True)
+            low, high = begin[own] - level.bases[s], end[own] - level.bases[s]
+            zero = np.zeros(len(own), np.uint64)
+            later = np.flatnonzero(low > 0)
+            zero[later] = keys.get(low[later] - 1) + np.uint64(1)
+            x = zero[place] + word[at]
+            some = _maybe(arrays["seen"], x)
+            found = keys.find(x[some], low[place[some]], high[place[some]])
+            node[at[some]] = np.where(found >= 0, found + level.bases[s], -1)
+        return node[back], np.repeat(weight, runs)[back]
 
 
 class _Tokens:
@@ -201,7 +221,7 @@ class _Tokens:
         keys = np.full(len(self.text), END, np.uint64)
         keys[np.arange(len(h)) + np.repeat(np.arange(len(texts)), sizes)] = h
         own, back = np.unique(keys, return_inverse=True)
-        node = model.nodes(1, own) if model.levels else np.full(len(own), -1, np.int64)
+        node = model.words_of(own) if model.levels else np.full(len(own), -1, np.int64)
         count = model.counts(1, node) if model.levels else np.zeros(len(own), np.int64)
         self.node, self.count = node[back], count[back]
 
@@ -255,7 +275,7 @@ def _keys(model: Model, n: int, texts: list[bytes], least: int) -> np.ndarray:
         # The last n - 1 words must be kept as well.
         ok = nodes[i + 1] >= 0
         context, word = context[ok], word[ok]
-    return context.astype(np.uint64) * np.uint64(max(1, model.words)) + word.astype(np.uint64)
+    return model.pairs(context, word)
 
 
 def _count(model: Model, n: int, bounds: np.ndarray, least: int):
@@ -308,12 +328,12 @@ def _sample(model: Model, n: int, least: int, share: int):
     return emit
 
 
-def _bounds(keys: np.ndarray, counts: np.ndarray, shards: int, lists: int) -> np.ndarray:
+def _bounds(keys: np.ndarray, counts: np.ndarray, shards: int, lists: int, words: int) -> np.ndarray:
     """First keys of shards that get about as many list entries each: a key that the sample has more than once is taken to be
-    in nearly every task's list, any other in one."""
+    in nearly every task's list, any other in one.  A shard begins with a context."""
     weight = np.cumsum(np.where(counts > 1, lists, 1))
     at = np.searchsorted(weight, weight[-1] * np.arange(1, shards) / shards) if len(keys) else np.empty(0, np.int64)
-    return np.unique(np.concatenate((np.zeros(1, np.uint64), keys[at])))
+    return np.unique(np.concatenate((np.zeros(1, np.uint64), keys[at] - keys[at] % np.uint64(max(1, words)))))
 
 
 def _build(model: Model, n: int, bounds: np.ndarray, least: int, discount: float):
@@ -326,19 +346,24 @@ def _build(model: Model, n: int, bounds: np.ndarray, least: int, discount: float
         if n > 1:
             kept = c >= least
             k, c = k[kept], c[kept]
-        arrays = {f"key_{name}": a for name, a in encode(k - bounds[shard]).items()}
+        values = k - bounds[shard]
         width = int(c.max()).bit_length() if len(c) else 1
-        arrays |= {"count": pack_bits(c, width), "width": np.array([width], np.int64)}
+        arrays = {"count": pack_bits(c, width), "width": np.array([width], np.int64)}
         parents, mass, children = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
         if n > 1 and len(k):
             context = (k // np.uint64(model.words)).astype(np.int64)
             first = np.flatnonzero(np.concatenate(([True], np.diff(context) != 0)))
             parents = context[first]
             children = np.diff(np.concatenate((first, [len(k)])))
+            # Words of a context begin after the last of the context before it, so values rise and stay small.
+            words = k % np.uint64(model.words)
+            last = words[first + children - 1] + np.uint64(1)
+            values = words + np.repeat(np.cumsum(last) - last, children)
             total = model.counts(n - 1, parents)
             p = restore(quantise((c - discount) / np.repeat(total, children)))
-            arrays |= {"prob": quantise(p), "seen": _seen(k)}
+            arrays |= {"prob": quantise(p), "seen": _seen(values)}
             mass = np.add.reduceat(p, first)
+        arrays |= {f"key_{name}": a for name, a in encode(values).items()}
         name = write_arrays(model.folder, f"level{n}", arrays)
         return pa.table(
             [pa.array([x], t) for x, t in ((shard, pa.int32()), (len(k), pa.int64()), (int(c.sum()), pa.int64()), (name, pa.string()), (parents.tobytes(), pa.binary()), (mass.tobytes(), pa.binary()), (children.tobytes(), pa.binary()))],
@@ -400,7 +425,7 @@ def train(docs: DataFrame, order: int = 3, min_count: int = 2, discount: float =
         else:
             taken = some.mapInArrow(_sample(model, n, min_count, 16), "keys binary, counts binary").collect()
             keys, counts = _add([np.frombuffer(r["keys"], np.uint64) for r in taken], [np.frombuffer(r["counts"], np.uint64) for r in taken])
-            bounds = _bounds(keys, counts, shards, max(1, int(chars) // task_chars))
+            bounds = _bounds(keys, counts, shards, max(1, int(chars) // task_chars), model.words)
         counted = texts.mapInArrow(_count(model, n, bounds, min_count), "shard int, keys binary, counts binary")
         built = cut(counted.groupBy("shard").applyInArrow(_build(model, n, bounds, min_count, discount), _BUILT))
         listed = sorted((r for r in built.select("shard", "n", "tokens", "name").collect() if r["n"]), key=lambda r: r["shard"])

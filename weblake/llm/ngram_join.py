@@ -23,7 +23,8 @@ Steps, all Spark jobs over whole texts:
 
 Defined results: a null or empty text, or one without words, has the empty set, links with nothing and is its own
 component; a text of fewer words than the n-gram has one shingle, the whole sequence; equal rows are copies; rows that
-share an id are separate documents of one id; null ids are never the smallest id.
+share an id are separate documents of one id; null ids are never the smallest id; whole texts are read however long they are;
+of the table's columns only the id and the text are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -37,10 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, cut, mix, windows, word_hashes
+from .common import as_bytes, blocks, cut, mix, row_key, tidy, windows, word_hashes
 
 #: The document frequency up to which a token is rare and indexed alone.
 RARE = 32
+#: Members of a signature in a block of the join of signatures.
+SPREAD = 128
 #: 64-bit words of a set's sketch: a bit for each hash value modulo 512 that its shared tokens have.
 SKETCH = 8
 
@@ -113,6 +116,7 @@ def _unplanes(data: bytes, kind) -> np.ndarray:
 
 
 def _measure(k: int):
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [(len(s), set_class(s) if len(s) else None) for s in shingle_sets(as_bytes(batch.column(2)), k)]
@@ -124,7 +128,7 @@ def _measure(k: int):
 class _Chunk:
     """The representatives' sets of one chunk of documents, and its distinct tokens cut to ``bits`` bits."""
 
-    def __init__(self, left: pa.Table, rows: list[int], k: int, bits: int):
+    def __init__(self, left: pa.Table, rows: list[bytes], k: int, bits: int):
         order, at = {}, left.column("row").to_pylist()
         wanted = set(rows)
         for i, r in enumerate(at):
@@ -138,22 +142,28 @@ class _Chunk:
         self.own, self.back, self.counts = np.unique(tokens, return_inverse=True, return_counts=True)
 
 
-def _ask(k: int, bits: int, bounds: np.ndarray):
+def _ask(k: int, bits: int, buckets: int):
+    """Buckets are ranges of tokens, told by their first bits; a chunk sends a row to those only that it has tokens of, so there
+    are never more rows than tokens."""
+    shift = np.uint64(bits - (buckets.bit_length() - 1))
+
+    @tidy
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
             c = _Chunk(left, right.column("row").to_pylist(), k, bits)
             chunk = right.column("chunk")[0].as_py()
-            cuts = np.append(np.searchsorted(c.own, bounds), len(c.own)).tolist()
-            for bucket, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if b > a:
-                    rows.append((bucket, chunk, _planes(np.diff(c.own[a:b], prepend=np.uint64(0))), _planes(np.minimum(c.counts[a:b], 65535).astype(np.uint16))))
+            bucket = c.own >> shift
+            begins = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            for a, b in zip(begins.tolist(), np.append(begins[1:], len(bucket)).tolist()):
+                rows.append((int(bucket[a]), chunk, _planes(np.diff(c.own[a:b], prepend=np.uint64(0))), _planes(np.minimum(c.counts[a:b], 65535).astype(np.uint16))))
         cols = list(zip(*rows)) or [()] * 4
-        return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "keys", "counts"])
+        return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "keys", "counts"])
 
     return emit
 
 
+@tidy
 def _answer(table: pa.Table) -> pa.Table:
     """Classes of the tokens that each chunk asked about, in its order."""
     keys = [np.cumsum(_unplanes(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
@@ -162,10 +172,11 @@ def _answer(table: pa.Table) -> pa.Table:
     total = np.bincount(back, counts)
     classes = np.searchsorted(np.array([1, RARE]), total, side="left").astype(np.uint8)[back]
     parts = np.split(classes, np.cumsum([len(x) for x in keys])[:-1])
-    return pa.table([table.column("chunk"), pa.array([None] * len(parts), pa.int64()), table.column("bucket"), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["chunk", "row", "bucket", "classes"])
+    return pa.table([table.column("chunk"), pa.array([None] * len(parts), pa.binary()), table.column("bucket"), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["chunk", "row", "bucket", "classes"])
 
 
 def _index(k: int, bits: int, percent: int):
+    @tidy
     def emit(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         rows = [r for r in right.column("row").to_pylist() if r is not None]
@@ -189,6 +200,7 @@ def _index(k: int, bits: int, percent: int):
 
 
 def _linked(percent: int):
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -258,6 +270,7 @@ def _overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 
 def _counted(percent: int):
+    @tidy
     def emit(table: pa.Table) -> pa.Table:
         table = table.select(["comp", "i", "j", "b", "cls", "n", "tokens"]).sort_by("comp")
         comp, i, j = (table.column(c).to_pylist() for c in ("comp", "i", "j"))
@@ -296,23 +309,25 @@ def link_counts(sets: DataFrame, comp: DataFrame, percent: int, block: int = 256
 
 def link_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, chunk_tokens: int = 1_500_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per row of ``docs`` (id, row, n, cls), (node, comp) of the classes that have links, and classes with their tokens."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
-    measured = cut(rows.select("id", "row", "text").mapInArrow(_measure(k), "id long, row long, n long, cls binary"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("row"))
+    measured = cut(rows.select("id", "row", "text").mapInArrow(_measure(k), "id long, row binary, n long, cls binary"))
     spark = docs.sparkSession
     none = spark.createDataFrame([], "node binary, comp binary")
     total = measured.agg(F.sum("n")).first()[0] or 0
     if not total:
         return measured, none, spark.createDataFrame([], "cls binary, n long, tokens binary")
     chunks = max(1, total // chunk_tokens)
+    buckets = 1 << (chunks.bit_length() - 1)
     bits = min(62, total.bit_length() + 14)
-    bounds = np.array([(b << bits) // chunks for b in range(chunks)], np.uint64)
-    chunk = F.pmod("row", F.lit(chunks)).alias("chunk")
+    chunk = F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk")
     firsts = measured.where("n > 0").groupBy("cls").agg(F.min("row").alias("row")).select(chunk, "row")
+    # As many tasks as the texts need: their count follows the input, whatever the session's count is.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks // 4)
     texts = rows.select(chunk, "row", "text")
-    asked = texts.groupBy("chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(_ask(k, bits, bounds), "bucket int, chunk long, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, row long, bucket int, classes binary")
-    sides = firsts.select("chunk", "row", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("classes")).union(answers)
-    sets = cut(texts.groupBy("chunk").cogroup(sides.groupBy("chunk")).applyInArrow(_index(k, bits, percent), "cls binary, n long, alone long, tokens binary, sigs array<long>, " + ", ".join(f"{b} long" for b in _BITS)))
+    asked = texts.repartition(tasks, "chunk").groupBy("chunk").cogroup(firsts.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(_ask(k, bits, buckets), "bucket long, chunk long, keys binary, counts binary")
+    answers = asked.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_answer, "chunk long, row binary, bucket long, classes binary")
+    sides = firsts.select("chunk", "row", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("classes")).union(answers)
+    sets = cut(texts.repartition(tasks, "chunk").groupBy("chunk").cogroup(sides.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(_index(k, bits, percent), "cls binary, n long, alone long, tokens binary, sigs array<long>, " + ", ".join(f"{b} long" for b in _BITS)))
 
     signed = sets.select("cls", "n", "alone", F.explode("sigs").alias("sig"))
     # Three members of each signature stand for it: the one with the fewest tokens of its own, and two by a hash.
@@ -331,15 +346,19 @@ def link_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: s
     if held.isEmpty():
         return measured, comp, sets
     bits = sets.select(F.col("cls").alias("a"), *_BITS)
-    left = held.where("apart").drop("apart").join(bits, "a")
-    right = held.join(bits, "a").select("sig", F.col("a").alias("q"), F.col("na").alias("nb"), F.col("ua").alias("ub"), F.col("ca").alias("cq"), F.col("apart").alias("apart_too"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
-    pairs = left.join(right, "sig").where((F.col("ca") != F.col("cq")) & (~F.col("apart_too") | (F.col("a") < F.col("q"))) & _overlap_possible(percent)).select("a", F.col("q").alias("b"))
+    # The members of a signature are dealt to blocks; those that are apart meet each block in a row of its own, so that the
+    # comparisons of a signature that many classes have are shared by many tasks.
+    sizes = held.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("blocks"))
+    held = held.join(sizes, "sig")
+    left = held.where("apart").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("apart", "blocks").join(bits, "a")
+    right = held.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).join(bits, "a").select("block", "sig", F.col("a").alias("q"), F.col("na").alias("nb"), F.col("ua").alias("ub"), F.col("ca").alias("cq"), F.col("apart").alias("apart_too"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)))
+    pairs = left.join(right, ["sig", "block"]).where((F.col("ca") != F.col("cq")) & (~F.col("apart_too") | (F.col("a") < F.col("q"))) & _overlap_possible(percent)).select("a", F.col("q").alias("b"))
     late = cut(verified(pairs.distinct(), sets, percent))
     return measured, (comp if late.isEmpty() else components(edges.union(late))), sets
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 1_500_000, links: bool = True, block: int = 256) -> DataFrame:
-    """(id, row, n_shingles, component_id, class_id, comp, n_links) per row of ``docs``; ``row`` is ``xxhash64(id, text)``, ``class_id``
+    """(id, row, n_shingles, component_id, class_id, comp, n_links) per row of ``docs``; ``row`` is ``row_key(id, text)``, ``class_id``
     names the documents of an equal set and ``comp`` its component (null without words), ``n_links`` is the count of other classes that this one links
     with, whatever their component's shape.  Without ``links`` that column is left out, and its work."""
     measured, comp, sets = link_classes(docs, k, percent, id_col, text_col, chunk_tokens)

@@ -6,10 +6,11 @@ room (the shortest packs), a whole count of equal packs at a time; the result is
 Patterns go back to the pieces by rank: the r-th piece of a length takes the r-th slot of that length.
 
 Ranks do not gather a frequent length in one task: pieces are dealt to buckets of a hash, buckets are counted, the
-counts are summed in order, and ranks are taken inside a bucket.
+counts are summed in order in two steps, and ranks are taken inside a bucket.
 
 Defined results: a null or empty text is the single end id; rows that share an id are cut apart and packed like other
-rows; equal rows are interchangeable; an empty table gives no rows.
+rows; equal rows are interchangeable; very long texts are tokenised whole and cut into pieces; of the table's columns only the
+id and the text are read, so others cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, keep_cache
+from .common import ahead, as_bytes, cut, keep_cache
 
 END = 2
 _STOPS = b".,"
@@ -193,7 +194,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, piece:
     buckets = max(1, sum(histogram.values()) // bucket_pieces)
     dealt = cutting.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     counts = dealt.groupBy("length", "bucket").count()
-    ahead = counts.select("length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("ahead"))
+    begins = ahead(counts, ["length"], "bucket", "count").select("length", "bucket", "ahead")
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
-    ranked = dealt.withColumn("within", F.row_number().over(inside) - 1).join(ahead, ["length", "bucket"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("ahead") + F.col("within")).alias("rank"))
+    ranked = dealt.withColumn("within", F.row_number().over(inside) - 1).join(begins, ["length", "bucket"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("ahead") + F.col("within")).alias("rank"))
     return ranked.mapInArrow(_placed(slots(patterns(histogram, size))), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

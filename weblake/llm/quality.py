@@ -4,12 +4,13 @@ A line is normalised (ASCII white space stripped, A-Z lower-cased, digits to 0)
 documents of each line are counted; lines in more documents than the host's limit are removed, and a document is
 rejected when what remains is depleted: less than ``min_left_percent`` of its words.  The limit is ``share_percent`` of
 the host's documents, ``floor_docs`` at least and ``max_docs`` at most.  Counting is a group-by that
-combines before the shuffle, and only frequent lines come back to the documents, so neither a host nor a line with
-a third of all rows gathers in one task.
+combines before the shuffle, and only frequent lines come back to the documents.  A line is one row for each batch of
+documents that has it, however many these are, so neither a host nor a line with a third of all rows gathers in one task.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept; a null host is a host of
 its own; each row is a document, equal rows too; a line repeated in one document counts once for it, but all its
-repeats are removed; lines without a word are ignored; an empty table gives no rows.
+repeats are removed; lines without a word are ignored; very long texts and lines are read whole; of the table's columns
+only the named ones are read, and the others travel as one, so none clashes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, cut, windows, word_hashes
+from .common import as_bytes, blocks, cut, row_key, tidy, windows, word_hashes
 
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_MEASURED = "id long, host string, " + ", ".join(f"{k} long" for k in _COUNTS) + ", lines array<binary>, line_words array<int>"
 _SYMBOLS = tuple(bytes([c]) for c in b"#*$%&|<>")
 
 
@@ -43,11 +45,11 @@ def repeated_words(h: np.ndarray, k: int = 3) -> int:
     return int(cover.sum())
 
 
-def line_hash(core: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(core.lower().translate(_DIGITS)) - (1 << 63)
+def line_hash(core: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(core.lower().translate(_DIGITS))
 
 
-def line_counts(text: bytes) -> tuple[int, dict[int, int]]:
+def line_counts(text: bytes) -> tuple[int, dict[bytes, int]]:
     """The count of lines with a word that equal an earlier line, and the words under each normalised line's hash."""
     seen, dup, lines = set(), 0, {}
     for line in text.split(b"\n"):
@@ -60,6 +62,7 @@ def line_counts(text: bytes) -> tuple[int, dict[int, int]]:
     return dup, lines
 
 
+@tidy
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         everything = as_bytes(batch.column(3))
@@ -72,7 +75,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((n, int(chars[end] - chars[end - n]), sum(map(text.count, _SYMBOLS)), dup, repeated_words(h[end - n : end]), list(lines), list(lines.values())))
         cols = list(zip(*rows)) or [()] * 7
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(3)), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.list_(pa.int64())), pa.array(cols[6], pa.list_(pa.int32()))],
+            [*(batch.column(i) for i in range(3)), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.list_(pa.binary())), pa.array(cols[6], pa.list_(pa.int32()))],
             ["row", "id", "host", *_COUNTS, "lines", "line_words"],
         )
 
@@ -80,20 +83,34 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     return cut(
         docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-            _measure, "row long, id long, host string, " + ", ".join(f"{k} long" for k in _COUNTS) + ", lines array<long>, line_words array<int>"
+            _measure, f"row long, {_MEASURED}"
         )
     )
 
 
-def _frequent(measured: DataFrame, max_docs: int, share_percent: float, floor_docs: int) -> tuple[DataFrame, DataFrame]:
-    """The lines of all rows (row, host, line, text_line, words), and the ``line`` above their host's limit; ``line`` is a line
-    of a host, ``text_line`` the same of any."""
-    host = F.xxhash64("host").alias("host")
-    lines = measured.select("row", host, F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.xxhash64("host", "l.lines").alias("line"), F.col("l.lines").alias("text_line"), F.col("l.line_words").alias("words"))
-    limits = measured.groupBy(host).count().select(F.col("host").alias("of"), F.least(F.lit(max_docs), F.greatest(F.lit(floor_docs), F.col("count") * share_percent / 100)).alias("limit"))
-    least = min(max_docs, floor_docs)
-    counts = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.first("host").alias("host")).where(F.col("n") > least)
-    return lines, counts.join(limits, counts["host"] == limits["of"]).where(F.col("n") > F.col("limit")).select("line")
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a batch of documents, a row for each line of a host: the documents that have it, and their words in it."""
+    for batch in batches:
+        found: dict[tuple, tuple[list, list]] = {}
+        for row, host, lines, words in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "lines", "line_words"))):
+            for line, n in zip(lines, words):
+                rows, counts = found.setdefault((host, line), ([], []))
+                rows.append(row)
+                counts.append(n)
+        hosts, keys = zip(*found) if found else ((), ())
+        rows, counts = zip(*found.values()) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(batch.schema.field("row").type)), pa.array(counts, pa.list_(pa.int32()))], ["host", "line", "rows", "words"])
+
+
+def _removed(measured: DataFrame, max_docs: int, share_percent: float, floor_docs: int) -> DataFrame:
+    """(row, line, words): the lines of each row that are above their host's limit."""
+    row = measured.schema["row"].dataType.simpleString()
+    lines = measured.select("row", "host", "lines", "line_words").mapInArrow(_gathered, f"host string, line binary, rows array<{row}>, words array<int>")
+    limits = measured.groupBy("host").count().select(F.col("host").alias("of"), F.least(F.lit(max_docs), F.greatest(F.lit(floor_docs), F.col("count") * share_percent / 100)).alias("limit"))
+    counts = lines.groupBy("host", "line").agg(F.sum(F.size("rows")).alias("n")).where(F.col("n") > min(max_docs, floor_docs))
+    frequent = counts.join(limits, counts["host"].eqNullSafe(limits["of"])).where(F.col("n") > F.col("limit")).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
+    found = lines.join(frequent, (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host")))
+    return found.select("line", F.explode(F.arrays_zip("rows", "words")).alias("r")).select(F.col("r.rows").alias("row"), "line", F.col("r.words").alias("words"))
 
 
 def _failed(min_words: int, max_repeat_percent: int):
@@ -114,8 +131,7 @@ def line_rules(
 ) -> DataFrame:
     """(id, the five counts, base_failed, removed_words, kept), a row for each row of ``docs``."""
     measured = _measured(docs, id_col, text_col, host_col)
-    lines, frequent = _frequent(measured, max_docs, share_percent, floor_docs)
-    removed = lines.join(frequent, "line", "left_semi").groupBy("row").agg(F.sum("words").alias("removed_words"))
+    removed = _removed(measured, max_docs, share_percent, floor_docs).groupBy("row").agg(F.sum("words").alias("removed_words"))
     rows = measured.select("row", "id", *_COUNTS).join(removed, "row", "left")
     return rows.select("id", *_COUNTS, _failed(min_words, max_repeat_percent).alias("base_failed"), F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words")).withColumn(
         "kept", ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("removed_words")) >= min_left_percent * F.col("n_words"))
@@ -133,17 +149,22 @@ def cleaned(
 ) -> DataFrame:
     """All rows and columns of ``docs``, the texts without the lines that ``line_rules`` removes."""
     names, schema = docs.columns, docs.schema
-    key = F.xxhash64(F.col(host_col).cast("string"), F.col(text_col).cast("string"))
+    place = names.index(text_col)
+    key = row_key(F.col(host_col).cast("string"), F.col(text_col).cast("string"))
     # Texts that are equal in one host lose the same lines, so these find their rows by the text.
-    keyed = docs.withColumn("_key", key)
-    lines, frequent = _frequent(_measured(keyed, "_key", text_col, host_col).withColumnRenamed("row", "_row").withColumnRenamed("id", "row"), max_docs, share_percent, floor_docs)
-    gone = lines.join(frequent, "line", "left_semi").groupBy("row").agg(F.collect_set("text_line").alias("_gone")).withColumnRenamed("row", "_key")
-    marked = keyed.join(gone, "_key", "left")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("whole"), key.alias("key"))
+    texts = docs.select(key.alias("key"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    measured = cut(texts.select(F.col("key").alias("row"), F.lit(None).cast("long").alias("id"), F.col("host").cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, f"row binary, {_MEASURED}"))
+    gone = _removed(measured, max_docs, share_percent, floor_docs).groupBy("row").agg(F.collect_set("line").alias("gone"))
+    marked = keyed.join(gone, keyed["key"] == gone["row"], "left")
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [b"\n".join(x for x in text.split(b"\n") if not x.strip() or line_hash(x.strip()) not in gone) for text, gone in zip(as_bytes(batch.column(text_col)), map(set, batch.column("_gone").to_pylist()))]
-            yield batch.select(names).set_column(names.index(text_col), text_col, pa.array([d.decode() for d in done], pa.string()))
+            columns = batch.column(0).flatten()
+            kept = [b"\n".join(x for x in text.split(b"\n") if not x.strip() or line_hash(x.strip()) not in gone) for text, gone in zip(as_bytes(columns[place]), map(set, batch.column(1).to_pylist()))]
+            columns[place] = pa.array([d.decode() for d in kept], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    same = marked.where("_gone is null").select(*names)
-    return same.unionByName(marked.where("_gone is not null").select(*names, "_gone").mapInArrow(emit, schema))
+    same = marked.where("gone is null").select("whole.*")
+    return same.unionByName(marked.where("gone is not null").select("whole", "gone").mapInArrow(emit, schema))

@@ -14,12 +14,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", *(F.round(c, 9).alias(c) for c in ("position", "last_position")))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return line_dedup.digests(line_dedup.with_bitmaps(docs, line_dedup.drop_bitmaps(docs, min_docs=10, min_chars=1)))
+    return line_dedup.digests(docs, line_dedup.drop_bitmaps(docs, min_docs=10, min_chars=1))
 
 
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,16 +8,19 @@ them.  The weights found in a text are added, normalised by its length, and mapp
 Learning uses at most ``max_labelled`` labelled rows (an even share of them by a hash of the id); its results, at most
 ``max_entries`` entries and two coefficients, are bounded and go to the tasks with the code.
 
-Defined results: a null or empty text scores what a text without hits scores; null labels and rows whose remainder is
-held out are not learned from; equal rows count as often as they occur; without labels of both kinds every score is
-the share of toxic labels (0 without any).
+Defined results: a null or empty text scores what a text without hits scores; labels other than 0 and 1 and rows whose
+remainder is held out are not learned from; equal rows count as often as they occur; without labels of both kinds every
+score is the share of toxic labels (0 without any); very long texts are read whole, in time that grows with their length;
+of the tables' columns only the named ones are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, tidy
 
 # Characters that stand for others.
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
@@ -43,6 +46,8 @@ def fold(text: str) -> str:
 
 #: Word beginnings of these lengths may be entries, besides whole words.
 STEMS = (4, 5, 6)
+#: How far from a hit its neighbours may begin.
+_NEAR = 60
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,20 +99,53 @@ def _automaton(lexicon: tuple, exceptions: tuple):
     return machine
 
 
+def _hits(folded: str, lexicon: tuple, exceptions: tuple) -> list[tuple[int, int, float]]:
+    """(begin, end, weight) of the entries in a folded text that are not inside an exception."""
+    hits, covers = [], []
+    if lexicon:
+        for end, (n, weight) in _automaton(lexicon, exceptions).iter(folded):
+            (covers if weight is None else hits).append((end + 1 - n, end + 1, weight))
+    if covers and hits:
+        covers.sort(key=lambda c: c[0])
+        begins, reach = [c[0] for c in covers], list(accumulate((c[1] for c in covers), max))
+        # Of the exceptions that begin at or before a hit, does the one that reaches furthest hold it?
+        hits = [h for h in hits if not ((i := bisect_right(begins, h[0])) and reach[i - 1] >= h[1])]
+    return hits
+
+
 def weigh(text: str, lexicon: tuple, exceptions: tuple, half: int = 2000) -> tuple[float, int]:
     """The logarithm of 1 + the hits' weight, normalised by length (halved at ``half`` words), and the count of hits."""
     folded = fold(text)
-    hits, covered = [], []
-    if lexicon:
-        for end, (n, weight) in _automaton(lexicon, exceptions).iter(folded):
-            (covered if weight is None else hits).append((end + 1 - n, end + 1, weight))
-    if covered:
-        hits = [h for h in hits if not any(a <= h[0] and (h[1] <= b) for a, b, _ in covered)]
+    hits = _hits(folded, lexicon, exceptions)
     if not hits:
         return 0.0, 0
     return math.log1p(sum(h[2] for h in hits) / (1 + len(folded.split()) / half)), len(hits)
 
 
+def _pairs(lexicon: tuple, exceptions: tuple):
+    """Each hit's word with the word before or after it, once a document."""
+
+    @tidy
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            phrases, toxic = [], []
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folded, found = fold(text or ""), set()
+                for a, b, _ in _hits(folded, lexicon, exceptions):
+                    begin, end = folded.rfind(" ", 0, a + 2), folded.find(" ", max(a + 1, b - 1))
+                    left, right = folded[max(0, begin - _NEAR) : begin], folded[end : end + _NEAR]
+                    before, after = left.split(), right.split()
+                    if before:
+                        found.add(folded[begin - len(left) + left.rindex(before[-1]) - 1 : end + 1])
+                    if after:
+                        found.add(folded[begin : end + right.index(after[0]) + len(after[0]) + 1])
+                phrases += found
+                toxic += [y] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(toxic, pa.int32())], ["entry", "toxic"])
+
+    return emit
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
     """Intercept and slope by Newton's method; the ridge keeps separable data finite."""
     a, b = 0.0, 0.0
@@ -124,23 +162,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 
 
 class ToxicityModel:
-    """A fitted lexicon: ``lexicon`` (entry, weight) pairs, ``exceptions`` phrases, and the logistic curve."""
+    """A fitted lexicon: ``lexicon`` (entry, weight) pairs, ``exceptions`` phrases, and the logistic curve; or, where there was
+    nothing to tell apart, one score for all (``same``)."""
 
-    def __init__(self, lexicon: tuple, exceptions: tuple, intercept: float, slope: float):
-        self.lexicon, self.exceptions, self.intercept, self.slope = lexicon, exceptions, intercept, slope
+    def __init__(self, lexicon: tuple, exceptions: tuple, intercept: float, slope: float, same: float | None = None):
+        self.lexicon, self.exceptions, self.intercept, self.slope, self.same = lexicon, exceptions, intercept, slope, same
 
     def score(self, docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The ``keep`` columns with ``score`` and ``n_hits``."""
-        lexicon, exceptions, a, b = self.lexicon, self.exceptions, self.intercept, self.slope
+        lexicon, exceptions, a, b, same = self.lexicon, self.exceptions, self.intercept, self.slope, self.same
 
         names = [*keep, *([] if text_col in keep else [text_col])]
         place = names.index(text_col)
 
+        @tidy
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            release()
             for batch in batches:
                 found = [weigh(t or "", lexicon, exceptions) for t in batch.column(place).to_pylist()]
-                scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x)))) for x, _ in found]
+                scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x)))) if same is None else same for x, _ in found]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array([n for _, n in found], pa.int64())], [*keep, "score", "n_hits"])
 
         rows = docs.select(*names)
@@ -150,15 +189,15 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_entries: int = 2_000, least_odds: float = 3.0, least_spread: float = 20.0, exceptions: tuple[str, ...] = ()) -> ToxicityModel:
     """Fits the lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0/1).  The chosen labels are at most
     ``max_labelled`` rows of two numbers, so they are broadcast and only their texts are moved."""
-    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     share = -(-known.count() // max_labelled)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, share))) == 0).limit(max_labelled)
+    order = F.xxhash64("doc_id")
+    chosen = known.where(F.pmod(order, F.lit(max(1, share))) == 0).orderBy(order, "doc_id", "toxic").limit(max_labelled)
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").repartition(16))
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     P, N = int(toxic), int(n) - int(toxic)
     if not P or not N:
-        share = P / n if n else 0.0
-        return ToxicityModel((), (), math.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0)
+        return ToxicityModel((), (), 0.0, 0.0, P / n if n else 0.0)
     counts = cut(sample.mapInArrow(_candidates, "entry string, toxic int").groupBy("entry").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).where("p >= 3 or n >= 3"))
     strong = counts.where(F.col("p") * N > 4 * F.col("n") * P).orderBy(F.desc(F.col("p") - F.col("n")), "entry").limit(20 * max_entries)
     lexicon = _lexicon(((r["entry"], r["p"], r["n"]) for r in strong.collect()), P, N, least_odds, least_spread, max_entries)
@@ -168,7 +207,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_entr
         begins = F.substring("entry", 1, 1) == " "
         harmless = counts.where((F.col("p") == 0) & begins & F.col("entry").endswith(" ")).where(F.substring("entry", 1, 5).isin([s[:5] for s in stems])).orderBy(F.desc("n"), "entry").limit(max_entries)
         exceptions = (*(fold(e).rstrip() + " " for e in exceptions), *(r["entry"] for r in harmless.collect() if any(r["entry"].startswith(s) for s in stems)))
-    model = ToxicityModel(tuple(sorted(lexicon.items())), tuple(dict.fromkeys(exceptions)), 0.0, 1.0)
+    else:
+        exceptions = tuple(fold(e).rstrip() + " " for e in exceptions)
+    entries, known = tuple(sorted(lexicon.items())), tuple(dict.fromkeys(exceptions))
+    pairs = sample.mapInArrow(_pairs(entries, known), "entry string, toxic int").groupBy("entry").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")).where("p = 0 and n >= 3")
+    harmless = [r["entry"] for r in pairs.orderBy(F.desc("n"), "entry").limit(max_entries).collect()] if entries else []
+    model = ToxicityModel(entries, tuple(dict.fromkeys((*known, *harmless))), 0.0, 1.0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

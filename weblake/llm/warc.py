@@ -7,12 +7,14 @@ the archives named by the finished job's manifest are read.  The reader streams
 version line, the mandatory headers, the declared lengths, and the digests of payloads that are there.
 
 Of records with equal payloads the one with the smallest id is a ``response``, the others are ``revisit`` records
-without the payload, which name the first.  Copies are found by digest with a minimum that combines before the
-shuffle, and only (id, digest) rows take part.
+without the payload, which name the first.  Each page is read, hashed and compressed once, into a table of frames in the
+shared folder.  Copies are found by digest with a minimum that combines before the shuffle; only (row, id, digest) take part,
+and what a row has to be comes back to its frame by the row's own key, so a payload that a third of the pages share does not
+gather in one task.
 
 Defined results: a null payload is empty; rows equal in id, url and payload are each the first of their payload, if
-they are; a null id
-is smallest of all; an empty table gives no archives and no rows.
+they are; a null id is smallest of all; very long payloads are one record; of the table's columns only the named ones are
+read, so others cannot clash; an empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, file_system, shared_dir
+from .common import as_bytes, cut, file_system, row_key, shared_dir, tidy
 
 # Fixed values of the format.
 SKIPPABLE = 0x184D2A5D
@@ -198,14 +200,10 @@ def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), level=level)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array([digest(p) for p in as_bytes(batch.column("payload"))], pa.string())], ["id", "row", "digest"])
-
-
 def _frames(dictionary: bytes, level: int):
     """Each payload's response record as it will be in an archive: what moves between tasks is compressed."""
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = _compressor(dictionary, level)
         for batch in batches:
@@ -217,20 +215,25 @@ def _frames(dictionary: bytes, level: int):
     return emit
 
 
-def with_revisits(pages: DataFrame, dictionary: bytes, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, level: int = 3) -> DataFrame:
+def with_revisits(pages: DataFrame, folder: str, dictionary: bytes, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, level: int = 3) -> DataFrame:
     """(id, url, bytes, digest, frame, refers_to, again): of equal payloads of at least ``min_bytes`` bytes all but the
-    first are revisits (``again``)."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"), F.xxhash64(id_col, url_col, payload_col).alias("row"))
+    first are revisits (``again``), without a frame."""
+    spark = pages.sparkSession
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"), row_key(F.col(id_col), F.col(url_col), F.col(payload_col)).alias("row"))
+    framed = rows.mapInArrow(_frames(dictionary, level), "id long, url string, row binary, bytes long, digest string, frame binary")
+    # The frames are compressed already.
+    framed.write.option("compression", "none").parquet(f"{folder}/frames")
+    framed = spark.read.parquet(f"{folder}/frames")
     order = F.struct(F.col("id").isNotNull().alias("known"), "id", "row")
-    digests = rows.select("id", "row", "payload").mapInArrow(_digests, "id long, row long, digest string")
-    first = digests.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first.id", "first.row").toDF("digest", "first_id", "first_row")
-    framed = rows.mapInArrow(_frames(dictionary, level), "id long, url string, row long, bytes long, digest string, frame binary")
-    again = (F.col("bytes") >= min_bytes) & F.col("first_row").isNotNull() & (F.col("row") != F.col("first_row"))
-    return framed.join(first, "digest", "left").select("id", "url", "bytes", "digest", "frame", F.when(again, F.col("first_id")).alias("refers_to"), F.coalesce(again, F.lit(False)).alias("again"))
+    large = framed.where(F.col("bytes") >= min_bytes)
+    first = large.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("of"), F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"))
+    marks = large.select("row", "digest").join(first, F.col("digest") == F.col("of")).where("row <> first_row").select(F.col("row").alias("later"), "first_id").dropDuplicates(["later"])
+    again = F.col("later").isNotNull()
+    return framed.join(marks, framed["row"] == marks["later"], "left").select("id", "url", "bytes", "digest", F.when(~again, F.col("frame")).alias("frame"), F.when(again, F.col("first_id")).alias("refers_to"), again.alias("again"))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, **columns: str) -> DataFrame:
     """Writes all pages to archives and reads them back."""
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     dictionary = train_dictionary(pages, columns.get("payload_col", "html"))
-    return read_archives(write_archives(with_revisits(pages, dictionary, min_bytes=min_bytes, **columns), folder, dictionary))
+    return read_archives(write_archives(with_revisits(pages, folder, dictionary, min_bytes=min_bytes, **columns), folder, dictionary))
