@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblake.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from weblake.llm.common import cut, shared_dir, ship, table
+from weblake.llm.common import cut, row_key, shared_dir, ship, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -40,7 +40,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     # Components are told by their classes: rows of one id can be in several.
     own = F.when(F.col("id").isNull() | F.col("comp").isNull(), F.col("row"))
     stay = groups.groupBy(F.col("id").isNull().alias("none"), "comp", own.alias("own")).agg(F.min(F.struct("id", "row"))["row"].alias("_row")).select("_row")
-    left = cut(docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS))
+    left = cut(docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text"))).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS))
     kept = line_dedup.without_passages(left, min_docs=10, passage_words=50)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -48,7 +48,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of all words, by the sources' weights and none twice, in the order of the curriculum.  A document is
     taken whole if half of it or more is."""
-    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "text"))
+    docs = docs.select(*COLUMNS).withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
     places = cut(mixing.curriculum(docs, share=0.9, cap=1.0, keep=("_row",)).where("2 * taken >= size").groupBy("_row").agg(F.min("position").alias("_position")))
     return docs.join(places, "_row").orderBy(F.col("_position").asc_nulls_last(), "doc_id").select(*COLUMNS)
 
