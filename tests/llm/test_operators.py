@@ -308,9 +308,9 @@ def test_toxicity_equals_a_plain_search(spark, toxic):
     """Every entry and exception looked for by hand in the folded texts, for texts of all kinds."""
     docs, labels = toxic
     labels = labels.union(spark.createDataFrame([(1, 1, 2), (2, 1, -1)], labels.schema))
-    model = toxicity.fit(docs, labels)
-    assert model.lexicon and model.exceptions
-    rows = [*((i, t) for i, t, *_ in messy()), *((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()), (7000, "zaploser " * 3000 + "grumkorn " * 3000), (7001, "Z4PL0S3R!!grumkorn|grumkopf")]
+    model = toxicity.fit(docs, labels, exceptions=("Grumkopf club", "the and zaploser club"))
+    assert model.lexicon and set(model.exceptions) >= {" grumkopf ciub ", " the and zapioser ciub "}
+    rows = [*((i, t) for i, t, *_ in messy()), *((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()), (7000, "zaploser " * 3000 + "grumkorn " * 3000), (7001, "Z4PL0S3R!!grumkorn|grumkopf"), (7002, "the and ZAPLOSER club; zaploser club, Grumkopf  club, grumkopf club grumkopf")]
     got = model.score(spark.createDataFrame(rows, "doc_id long, text string").transform(clash)).collect()
     assert len(got) == len(rows)
     by = defaultdict(list)
