@@ -1,15 +1,15 @@
 """Language identification by compression: a text is compressed with a raw-content zstandard dictionary of each
 language, both in lower case, and the language whose dictionary makes it smallest is chosen.
 
-What is compressed is the whole text, and besides it ``words`` of its words, evenly spread, each alone: sizes are whole
-bytes, and these add up to a finer measure, which decides about short texts and hardly counts for long ones.
+What is compressed is the whole text, whatever its length.  Sizes are whole bytes, so short texts may have the same size with
+two dictionaries; these are compressed again at the next of ``levels``, which parses in another way, until one is smallest.
 
 Dictionaries are made of at most ``docs_per_language`` training texts and ``dictionary_bytes`` bytes a language;
 languages are all labels found; more than ``max_languages`` are an error.  Texts of more than 8,000 characters are used, as
 far as there is room, where a language has too few shorter ones.  Dictionaries are bounded and go to the tasks with the code.
 
 Defined results: a null text or one without a letter (Unicode category L) is ``und`` with score 0; a narrow margin (the
-second language within ``margin`` of the first) sets ``rejected`` but the prediction stays; equal sizes go to the first
+second language within ``margin`` of the first) sets ``rejected`` but the prediction stays; sizes that are equal at all levels go to the first
 language by name; without training rows all is ``und``; very long texts are compressed whole; of the table's columns only
 the named ones are read, so others cannot clash.
 """
@@ -46,7 +46,7 @@ def dictionaries(labelled: DataFrame, docs_per_language: int = 200, dictionary_b
     return tuple((lang, "\n".join(t).lower().encode()[:dictionary_bytes]) for lang, t in sorted(texts.items()))
 
 
-@lru_cache(4)
+@lru_cache(12)
 def _compressors(contents: tuple, level: int) -> list[zstandard.ZstdCompressor]:
     out = []
     for _, content in contents:
@@ -56,38 +56,31 @@ def _compressors(contents: tuple, level: int) -> list[zstandard.ZstdCompressor]:
     return out
 
 
-def spread(words: list[bytes], most: int) -> list[bytes]:
-    """``most`` of the words, evenly spread, or all."""
-    n = len(words)
-    return words if n <= most else [words[i * n // most] for i in range(most)]
-
-
-def costs(text: str, contents: tuple, level: int, words: int) -> list[int]:
-    """The compressed bytes of a text and of some of its words with each dictionary."""
-    data = text.lower().encode()
-    parts = [data, *(b" " + w for w in spread(data.split(), words))]
-    return [sum(len(c.compress(p)) for p in parts) for c in _compressors(contents, level)]
-
-
-def identify(text: str | None, contents: tuple, margin: float, level: int, words: int) -> tuple[str, float, bool]:
+def identify(text: str | None, contents: tuple, margin: float, levels: tuple[int, ...]) -> tuple[str, float, bool]:
     """(language, score, rejected)."""
     if not text or not contents or not _LETTER.search(text):
         return "und", 0.0, True
-    sizes = costs(text, contents, level, words)
-    order = sorted(range(len(sizes)), key=lambda i: (sizes[i], contents[i][0]))
-    best = sizes[order[0]]
+    data = text.lower().encode()
+    sizes = [len(c.compress(data)) for c in _compressors(contents, levels[0])]
+    best = min(sizes)
+    left = [i for i, s in enumerate(sizes) if s == best]
+    for level in levels[1:]:
+        if len(left) > 1:
+            again = {i: len(_compressors(contents, level)[i].compress(data)) for i in left}
+            left = [i for i in left if again[i] == min(again.values())]
+    chosen = min(left, key=lambda i: contents[i][0])
     scale = 1 + 0.01 * best
-    score = 1 / sum(math.exp(-min(60.0, (c - best) / scale)) for c in sizes)
-    narrow = len(order) > 1 and sizes[order[1]] - best < margin * best
-    return contents[order[0]][0], score, narrow
+    score = 1 / sum(math.exp(-min(60.0, (s - best) / scale)) for s in sizes)
+    narrow = any(s - best < margin * best for i, s in enumerate(sizes) if i != chosen)
+    return contents[chosen][0], score, narrow
 
 
-def predict(docs: DataFrame, contents: tuple, margin: float = 0.01, level: int = 6, words: int = 16, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, contents: tuple, margin: float = 0.01, levels: tuple[int, ...] = (6, 3, 9), text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with ``lang_pred``, ``score`` and ``rejected``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score, narrow = zip(*(identify(t, contents, margin, level, words) for t in batch.column(0).to_pylist())) if batch.num_rows else ((), (), ())
+            lang, score, narrow = zip(*(identify(t, contents, margin, levels) for t in batch.column(0).to_pylist())) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(narrow, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
