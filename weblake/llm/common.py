@@ -27,12 +27,14 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, and sets the one thing its operators need of a session where it has Spark's own
-    value: how many rows an Arrow batch has."""
+    """Sends this package to the executors, and sets what its operators need of a session where it has Spark's own values: how
+    many rows and bytes an Arrow batch has."""
     shipping.ship(spark)
-    # Texts are long: the default of 10,000 rows a batch takes a Python worker hundreds of MB.
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3000")
+    # Texts are long, and a Python worker holds a batch several times over: with Spark's own limits (10,000 rows, 64 MB) that
+    # takes hundreds of MB.
+    for name, default, own in (("maxRecordsPerBatch", "10000", "3000"), ("maxBytesPerBatch", "67108864b", "16m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", own)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

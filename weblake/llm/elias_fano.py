@@ -54,6 +54,15 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     return {"low": pack_bits(values & _U((1 << low) - 1), low), "high": words, "ones": ones.astype(np.int64), "meta": np.array([n, low, top >> low], np.int64)}
 
 
+def _parts(n: int, step: int = 1 << 17) -> list[slice]:
+    """Queries are served a part at a time: select looks at a whole block of the bit vector for each."""
+    return [slice(a, a + step) for a in range(0, n, step)]
+
+
+def _joined(arrays: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.empty(0, kind)
+
+
 class EliasFano:
     """Batched access and search over the arrays of ``encode``."""
 
@@ -93,11 +102,19 @@ class EliasFano:
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at indexes."""
+        return _joined([self._get(i[part]) for part in _parts(len(i))], _U)
+
+    def _get(self, i: np.ndarray) -> np.ndarray:
         high = (self._select(i, 1) - i).astype(_U)
         return (high << _U(self.width)) | read_bits(self.low, self.width, i)
 
     def span(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values i and i + 1."""
+        both = [self._span(i[part]) for part in _parts(len(i))]
+        return _joined([x for x, _ in both], _U), _joined([x for _, x in both], _U)
+
+    def _span(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = self._select(i, 1)
         first = ((place - i).astype(_U) << _U(self.width)) | read_bits(self.low, self.width, i)
         j = i + 1
@@ -107,6 +124,10 @@ class EliasFano:
     def find(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
         """The index of each value, -1 where it is not there: a successor search among the values that share its high
         part, and from index ``first`` to before ``last`` where these are given."""
+        cut = lambda bounds, part: None if bounds is None else bounds[part]
+        return _joined([self._find(x[part], cut(first, part), cut(last, part)) for part in _parts(len(x))], np.int64)
+
+    def _find(self, x: np.ndarray, first: np.ndarray | None, last: np.ndarray | None) -> np.ndarray:
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out

@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, cut, file_system, hashed_words, mix, shared_dir
+from .common import as_bytes, blocks, cut, file_system, hashed_words, mix, shared_dir, tidy
 from .elias_fano import EliasFano, encode, pack_bits, read_bits
 
 END = np.uint64(0x5E1F_E11D_0F_7E87)
 #: Quantised logarithms: 0 is probability 1, a step is 16 / 65535 of a power of ten.
 _STEP = 16 / 65535
-_BLOCK_CHARS = 12 << 20
-_HELD = 2_000_000
+_BLOCK_CHARS = 6 << 20
+_HELD = 1_500_000
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -279,6 +279,7 @@ def _keys(model: Model, n: int, texts: list[bytes], least: int) -> np.ndarray:
 
 
 def _count(model: Model, n: int, bounds: np.ndarray, least: int):
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -319,6 +320,7 @@ def _count(model: Model, n: int, bounds: np.ndarray, least: int):
 def _sample(model: Model, n: int, least: int, share: int):
     """Some keys, chosen by their hash, with their counts."""
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, c = np.unique(_keys(model, n, as_bytes(batch.column(0)), least), return_counts=True)
@@ -339,6 +341,7 @@ def _bounds(keys: np.ndarray, counts: np.ndarray, shards: int, lists: int, words
 def _build(model: Model, n: int, bounds: np.ndarray, least: int, discount: float):
     """Merges a shard's lists, writes its file, and returns its contexts' kept mass and successors."""
 
+    @tidy
     def merge(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         lists = [np.cumsum(_unplanes(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
@@ -394,6 +397,7 @@ def _by_parent(bases: np.ndarray):
 def _link(folder: str, n: int, bases: np.ndarray, ends: np.ndarray):
     """Writes the pointers and back-off weights of one shard of level n."""
 
+    @tidy
     def merge(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         p, m, c = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("parents", np.int64), ("mass", np.float64), ("children", np.int64)))
@@ -479,6 +483,7 @@ def _scores(model: Model, texts: list[bytes], least: int):
 def score(docs: DataFrame, model: Model, min_count: int = 2, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with n_tokens, n_known, train_tokens, base_score and score."""
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(0))

@@ -358,17 +358,17 @@ def link_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: s
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 1_500_000, links: bool = True, block: int = 256) -> DataFrame:
-    """(id, row, n_shingles, component_id, class_id, comp, n_links) per row of ``docs``; ``row`` is ``row_key(id, text)``, ``class_id``
-    names the documents of an equal set and ``comp`` its component (null without words), ``n_links`` is the count of other classes that this one links
+    """(id, row, n_shingles, component_id, class_id, class_low, comp, n_links) per row of ``docs``; ``row`` is ``row_key(id, text)``, ``class_id``
+    names the documents of an equal set, ``class_low`` is their smallest id, and ``comp`` names the component (null without words); ``n_links`` is the count of other classes that this one links
     with, whatever their component's shape.  Without ``links`` that column is left out, and its work."""
     measured, comp, sets = link_classes(docs, k, percent, id_col, text_col, chunk_tokens)
     classes = measured.where("n > 0").groupBy("cls").agg(F.min("id").alias("low"))
     joined = classes.join(comp, classes["cls"] == comp["node"], "left").select("cls", "low", F.coalesce("comp", "cls").alias("comp"))
     lows = joined.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = joined.join(lows, "comp").select(F.col("cls").alias("of"), "component_id", "comp")
+    named = joined.join(lows, "comp").select(F.col("cls").alias("of"), F.col("low").alias("class_low"), "component_id", "comp")
     more = []
     if links:
         found = link_counts(sets, comp, percent, block).withColumnRenamed("cls", "linked")
-        named = named.join(found, named["of"] == found["linked"], "left").select("of", "component_id", "comp", "links")
+        named = named.join(found, named["of"] == found["linked"], "left").select("of", "class_low", "component_id", "comp", "links")
         more = [F.coalesce("links", F.lit(0)).cast("long").alias("n_links")]
-    return measured.join(named, measured["cls"] == named["of"], "left").select("id", "row", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.lower(F.hex("cls")).alias("class_id"), "comp", *more)
+    return measured.join(named, measured["cls"] == named["of"], "left").select("id", "row", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.lower(F.hex("cls")).alias("class_id"), F.coalesce("class_low", "id").alias("class_low"), "comp", *more)
