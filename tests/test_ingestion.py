@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weblake.operators.detail import completed, error_details
-from weblake.operators.table import EntryTable
+from weblake.operators.table import EntryTable, group_digest
 from weblake.plans import catalog
 from weblake.sources import files
 from weblake.streaming.ingest import Ingestion
@@ -175,6 +175,20 @@ def test_entries_that_change_their_day(spark, tmp_path):
     assert len([p for p in grp.iterdir() if p.name.startswith("dt=")]) == 2
 
 
+def test_groups_whose_digests_look_like_numbers(spark, tmp_path):
+    table = EntryTable(spark, str(tmp_path / "t"))
+    names, i = [], 0
+    while len(names) < 2:
+        if group_digest(f"/log/{i}")[1:].replace("e", "1", 1).isdigit():
+            names.append(f"/log/{i}")
+        i += 1
+    make = lambda v: spark.createDataFrame([("a", NOW, n, "f", v) for n in names], "id string, timestamp long, main_log_path string, file_path string, bytes_sent long")
+    table.upsert(make(1))
+    table.upsert(make(2))
+    table.drop_group(names[0])
+    assert [(r["main_log_path"], r["bytes_sent"]) for r in table.read().collect()] == [(names[1], 2)] and table.count(names[1]) == 1
+
+
 def test_stream_of_error_logs_and_rewritten_files(spark, tmp_path, log):
     other = log.replace("access", "error")
     work = Ingestion(spark, str(tmp_path / "table"), [log, other], {other})

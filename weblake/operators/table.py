@@ -17,7 +17,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..schema import ENTRIES
 
-VERSION = 1
+VERSION = 2
 _PARTS = ("grp", "dt")
 
 
@@ -51,8 +51,8 @@ def keep_last(rows: DataFrame, order: str = "_seq") -> DataFrame:
 
 
 def group_digest(log_group: str) -> str:
-    """The name of a group's partition."""
-    return hashlib.md5(log_group.encode()).hexdigest()[:12]
+    """The name of a group's partition; its first letter keeps Spark from reading digits as a number."""
+    return "g" + hashlib.md5(log_group.encode()).hexdigest()[:12]
 
 
 class Folder:
@@ -87,7 +87,7 @@ class EntryTable:
         self.folder = Folder(spark, self.root)
 
     def _placed(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("grp", F.substring(F.md5(F.col("main_log_path").cast("binary")), 1, 12)).withColumn("dt", F.to_date(F.timestamp_seconds("timestamp")))
+        return rows.withColumn("grp", F.concat(F.lit("g"), F.substring(F.md5(F.col("main_log_path").cast("binary")), 1, 12))).withColumn("dt", F.to_date(F.timestamp_seconds("timestamp")))
 
     def exists(self) -> bool:
         try:

@@ -56,7 +56,9 @@ class _Batch(DataSourceReader):
         return _partitions([s for g in self.groups for s in files.plan(g, {p: s for p, s in self.states.items() if s.main_log_path == g}, self.force)])
 
     def read(self, partition):
-        yield from _batches(files.Slice(**partition.piece))
+        # Spark asks once without a partition where there is none.
+        if partition is not None:
+            yield from _batches(files.Slice(**partition.piece))
 
 
 class _Stream(DataSourceStreamReader):
@@ -97,7 +99,9 @@ class _Stream(DataSourceStreamReader):
         return _partitions(out)
 
     def read(self, partition):
-        yield from _batches(files.Slice(**partition.piece))
+        # Spark asks once without a partition where there is none.
+        if partition is not None:
+            yield from _batches(files.Slice(**partition.piece))
 
     def commit(self, end: dict) -> None:
         pass
