@@ -1,5 +1,10 @@
 """The corpus pipeline: toxic documents go, repeated lines go, one document of each group of near duplicates stays, sources
-are mixed to weights, and what is left is packed into training sequences."""
+are mixed to weights, and what is left is packed into training sequences.
+
+Defined results, for every stage: only the columns of ``documents`` are read and returned, so others cannot clash; null and empty
+texts stay documents (they score as texts without hits, are one empty line, link with nothing, take no words, and are packed as one end
+id); rows that share an id but not a text are documents of their own, null ids included; of rows equal in id and text near
+duplicates keep one; ties go to the smallest id; texts of any length are read whole; an empty table passes through."""
 
 from __future__ import annotations
 
