@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 # Methods that are kept.
 METHODS = ("GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH", "TRACE", "CONNECT", "PROPFIND", "PROPPATCH", "MKCOL", "COPY", "MOVE", "LOCK", "UNLOCK")
-#: Groups: what is whole up to the status, ip, time, request, status, size, referer, agent, request time, upstream time.  A line
-#: that ends before the status is kept with what was read, stamped with the time of reading.
+#: Groups: what is whole up to the status, ip, time, method, path, protocol, status, size, referer, agent, request time, upstream
+#: time.  A line that ends before the status is kept with what was read, stamped with the time of reading.
 LINE = (
     r'(?s)^(?=((?=.{20})[^ ]+ +[^ ]* *[^ ]* *\[[^\]]*\] *"[^"]*" *[0-9]+.)?)'
-    r'([^ ]+) *[^ ]* *[^ ]* *(?:\[([^\]]*)\]?)? *(?:"([^"]*)"?)? *([0-9]*) *([0-9-]*)(?: *"([^"]*)"?)?(?: *"([^"]*)"?)? *([0-9.-]*) *([0-9.-]*).*$'
+    r'([^ ]+) *[^ ]* *[^ ]* *(?:\[([^\]]*)\]?)? *(?:"\s*([^"\s]*)\s*([^"\s]*)\s*([^"\s]*)[^"]*"?)? *([0-9]*) *([0-9-]*)(?: *"([^"]*)"?)?(?: *"([^"]*)"?)? *([0-9.-]*) *([0-9.-]*).*$'
 )
+_GROUPS = 12
 _MARK = "\x1f"
 MAX_LINE = 16 * 1024
 TIMES = ("dd/MMM/yyyy:HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss")
@@ -29,7 +30,7 @@ def epoch(text: Column) -> Column:
 
 def _parts(raw: Column) -> Column:
     """The groups of a line, matched once.  A separator character in the line counts as a space."""
-    groups = _MARK.join(f"${i}" for i in range(1, 11))
+    groups = _MARK.join(f"${i}" for i in range(1, _GROUPS + 1))
     return F.split(F.regexp_replace(F.translate(raw, _MARK + "\n", "  "), LINE, groups), _MARK)
 
 
@@ -40,24 +41,24 @@ def access_entry(raw: Column, ingest_time: Column | None = None) -> Column:
 
     def fields(parts: Column) -> Column:
         # A line that the pattern does not fit (it begins with a space) has no groups.
-        fits = F.size(parts) == 10
+        fits = F.size(parts) == _GROUPS
         group = lambda i: F.when(fits, F.get(parts, i)).otherwise("")
-        request = F.split(F.trim(group(3)), r"\s+")
-        method, path, protocol = (F.coalesce(F.get(request, i), F.lit("")) for i in range(3))
-        status = F.coalesce(group(4).try_cast("int"), F.lit(0))
-        seconds = lambda i: F.when(group(i).rlike(r"^[0-9]+(\.[0-9]*)?$|^\.[0-9]+$"), group(i).try_cast("double"))
+        number = lambda i, kind: group(i).try_cast(kind)
+        # A cast of what is no number costs an exception, so the shape is looked at first.
+        seconds = lambda i: F.when(group(i).rlike(r"^[0-9]+(\.[0-9]*)?$|^\.[0-9]+$"), number(i, "double"))
+        method, status = group(3), F.coalesce(number(6, "int"), F.lit(0))
         return F.struct(
             group(1).alias("ip"),
             F.when(group(0) != "", epoch(group(2))).otherwise(F.coalesce(inner, F.lit(0))).cast("long").alias("timestamp"),
             F.when(method.isin(*METHODS), method).otherwise("").alias("method"),
-            path.alias("path"),
-            protocol.alias("protocol"),
+            group(4).alias("path"),
+            group(5).alias("protocol"),
             F.when(status.between(100, 599), status).otherwise(0).alias("status"),
-            F.coalesce(group(5).try_cast("long"), F.lit(0)).alias("bytes_sent"),
-            F.nullif(group(6), F.lit("")).alias("referer"),
-            F.nullif(group(7), F.lit("")).alias("user_agent"),
-            F.nullif(seconds(8), F.lit(0.0)).alias("request_time"),
-            seconds(9).alias("upstream_time"),
+            F.coalesce(number(7, "long"), F.lit(0)).alias("bytes_sent"),
+            F.nullif(group(8), F.lit("")).alias("referer"),
+            F.nullif(group(9), F.lit("")).alias("user_agent"),
+            F.nullif(seconds(10), F.lit(0.0)).alias("request_time"),
+            seconds(11).alias("upstream_time"),
         )
 
     # A variable of ``transform`` stands for the groups, so that each line is matched once however often they are named.
