@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imi, langid, line_dedup, lm, mixing, ngram_join, packing, quality, toxicity, warc
+from . import divergence, imi, langid, line_dedup, lm, mixing, ngram_join, packing, quality, toxicity, tput, warc
 from .common import crc_mod, table
 
 
@@ -60,7 +60,15 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.train(docs.where(~held_out))).withColumn("held_out", held_out)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_curriculum_mixing, op3_line_dedup, op4_toxicity, op5_line_quality, op6_packing, op7_language_id, op8_multi_index, op9_warc, op10_lm_scoring)}
+def op12_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tput.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_curriculum_mixing, op3_line_dedup, op4_toxicity, op5_line_quality, op6_packing, op7_language_id, op8_multi_index, op9_warc, op10_lm_scoring, op12_tput_search, op13_source_divergence)}
 ORACLES: dict[str, str] = {}
 ORACLES["op1_ngram_jaccard"] = r"""
 WITH RECURSIVE words AS (
@@ -131,6 +139,8 @@ WITH payloads AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM firsts
 """
 ORACLES["op2_curriculum_mixing"] = mixing.ORACLE
+ORACLES["op12_tput_search"] = tput.ORACLE
+ORACLES["op13_source_divergence"] = divergence.ORACLE
 ORACLES["op3_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
