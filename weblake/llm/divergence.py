@@ -1,14 +1,15 @@
 """How far the sources of a language are from one another, and the terms that set each of them apart.
 
 Terms are runs of letters (A-Z lower-cased) and characters beyond ASCII.  A language keeps the terms found in at least
-``min_docs`` of its documents.  Tasks count terms by (language, source) and send the counts on by (language, term); a task then
-holds a sorted share of the terms, cuts it into chunks, and encodes a chunk by integers: the kept terms in an array sorted by
-UTF-8 bytes, each count's id found in it by binary search, and the counts of a source added up by id into one dense vector.  Ids of
-a chunk are in the order of the terms, so equal values are told apart by id.  Chunks are written once; sizes, pairs and listed
-terms are sums over them.
+``min_docs`` of its documents.  Languages and sources are numbered first.  Tasks count terms by language and source and send them on
+by (language, term), a row for each with its counts by source; a task then holds a sorted share of the terms, cuts it into chunks, and
+encodes a chunk by integers: the kept terms in an array sorted by UTF-8 bytes, each row's id found in it by binary search, and the
+counts added up by (source, id) into dense vectors.  Ids of a chunk are in the order of the terms, so equal values are told apart by
+id.  Chunks are written once; sizes, pairs and listed terms are sums over them.
 
 All arithmetic is in 64-bit integers and exact for counts below 10 ** 15.  A chunk has at most ``cells`` counts (terms times
-sources), so tasks are bounded by it whatever the vocabulary; a term has at most one row of each task and source.
+sources), so tasks are bounded by it whatever the vocabulary; a term has at most one row of each task's share.  The numbered groups go
+to the tasks with the code: the result has the square of a language's sources, so more than ``max_groups`` are an error.
 
 Defined results: null language, source and text are empty strings; a group without kept terms has pairs of value 0 where the
 language keeps none, and else those of its empty counts; a language of one source has no pairs; equal rows count as often as
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,111 +34,133 @@ SCALE, ADDED = 1_000_000_000, 2
 
 #: Letters as they are (A-Z lower-cased), bytes of other characters as they are, anything else a space.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_COUNTS = "lang string, source string, term string, n long, docs long"
-_CHUNKS = "lang string, terms array<string>, vectors array<struct<source:string,n:array<bigint>>>"
+_COUNTS = "lang int, term string, docs long, sources array<int>, n array<bigint>"
+_CHUNKS = "lang int, terms array<string>, counts array<bigint>, sums array<bigint>"
 
 
 def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_TERMS).split()
 
 
-def _counted(groups: dict[tuple[bytes, bytes], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-    for (lang, source), (counts, docs) in groups.items():
-        # A row without a term tells that the group is there.
-        terms, n, held = [None, *counts], [0, *counts.values()], [0, *(docs[t] for t in counts)]
-        for a in range(0, len(terms), 50_000):
-            part = slice(a, a + 50_000)
-            size = len(terms[part])
-            fixed = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(size, np.int32)), pa.array([v.decode()])).cast(pa.string()) for v in (lang, source)]
-            columns = [*fixed, pa.array(terms[part], pa.binary()).cast(pa.string()), pa.array(n[part], pa.int64()), pa.array(held[part], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+def numbered(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", max_groups: int = 100_000) -> dict[str, list[str]]:
+    """The sources of each language, both in the order of their UTF-8 bytes."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.select(name(lang_col).alias("lang"), name(source_col).alias("source")).distinct().limit(max_groups + 1).collect()
+    if len(rows) > max_groups:
+        raise ValueError(f"more than {max_groups} sources")
+    out: dict[str, list[str]] = {}
+    for lang, source in sorted(((r["lang"], r["source"]) for r in rows), key=lambda r: (r[0].encode(), r[1].encode())):
+        out.setdefault(lang, []).append(source)
+    return out
+
+
+def _counted(lang: int, docs: Counter, sources: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of a language with its counts by source."""
+    place = {t: i for i, t in enumerate(docs)}
+    at = [np.fromiter(map(place.__getitem__, counts), np.int64, len(counts)) for counts in sources.values()]
+    n = [np.fromiter(counts.values(), np.int64, len(counts)) for counts in sources.values()]
+    source = np.repeat(np.fromiter(sources, np.int32, len(sources)), [len(x) for x in at])
+    at, n = np.concatenate(at), np.concatenate(n)
+    order = np.argsort(at, kind="stable")
+    at, n, source = at[order], n[order], source[order]
+    edges = np.searchsorted(at, np.arange(len(place) + 1))
+    terms, held = list(docs), np.fromiter(docs.values(), np.int64, len(docs))
+    for a in range(0, len(terms), 50_000):
+        b = min(len(terms), a + 50_000)
+        offsets, part = pa.array((edges[a : b + 1] - edges[a]).astype(np.int32)), slice(edges[a], edges[b])
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[part])) for x in (source, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, lang, np.int32)), pa.array(terms[a:b], pa.binary()).cast(pa.string()), pa.array(held[a:b]), *lists], ["lang", "term", "docs", "sources", "n"])
+
+
+def _count(groups: dict[str, list[str]], flush: int):
+    langs = {k.encode(): i for i, k in enumerate(groups)}
+    places = [{s.encode(): j for j, s in enumerate(v)} for v in groups.values()]
 
-
-def _count(flush: int):
     @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
+        docs: dict[int, Counter] = {}
+        counts: dict[int, dict[int, Counter]] = {}
         held = 0
         for batch in batches:
-            for lang, source, text in zip(*map(as_bytes, batch.columns)):
-                counts, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-                words, before = terms_of(text), len(counts)
-                counts.update(words)
-                docs.update(set(words))
-                held += len(counts) - before
+            for name, source, text in zip(*map(as_bytes, batch.columns)):
+                if not (words := terms_of(text)):
+                    continue
+                lang = langs[name]
+                own = counts.setdefault(lang, {}).setdefault(places[lang][source], Counter())
+                before = len(own)
+                own.update(words)
+                docs.setdefault(lang, Counter()).update(set(words))
+                held += len(own) - before
                 if held >= flush:
-                    yield from _counted(groups)
-                    groups, held = {}, 0
-        yield from _counted(groups)
+                    for k in counts:
+                        yield from _counted(k, docs[k], counts[k])
+                    docs, counts, held = {}, {}, 0
+        for k in counts:
+            yield from _counted(k, docs[k], counts[k])
 
     return emit
 
 
-def _encoded(table: pa.Table, min_docs: int, cells: int) -> Iterator[pa.RecordBatch]:
-    """The chunks of sorted counts of one language: all rows of each of its terms."""
+def _encoded(table: pa.Table, n_sources: int, min_docs: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of sorted rows of one language: all rows of each of its terms."""
     lang = table.column("lang")[0].as_py()
-    names, source = np.unique(np.array(as_bytes(table.column("source").combine_chunks()), object), return_inverse=True)
-    present = table.column("term").is_valid().to_numpy()
-    n, docs = (table.column(c).to_numpy()[present] for c in ("n", "docs"))
-    entries = np.array(as_bytes(table.column("term").combine_chunks().filter(pa.array(present))), object)
-    there = source[present]
-    begins = np.flatnonzero(np.concatenate(([True], entries[1:] != entries[:-1]))) if len(entries) else np.empty(0, np.int64)
-    kept = entries[begins[np.add.reduceat(docs, begins) >= min_docs]] if len(begins) else entries
-    step = max(1, cells // max(1, len(names)))
-    for a in range(0, max(1, len(kept)), step):
+    rows = np.array(as_bytes(table.column("term").combine_chunks()), object)
+    begins = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    kept = rows[begins[np.add.reduceat(table.column("docs").to_numpy(), begins) >= min_docs]]
+    lists = {c: table.column(c).combine_chunks() for c in ("sources", "n")}
+    lengths = np.diff(lists["n"].offsets.to_numpy())
+    source, n = (lists[c].flatten().to_numpy() for c in ("sources", "n"))
+    step = max(1, cells // n_sources)
+    for a in range(0, len(kept), step):
         terms = kept[a : a + step]
-        ids = np.searchsorted(terms, entries)
-        found = np.flatnonzero(ids < len(terms))
-        found = found[terms[ids[found]] == entries[found]]
         size = len(terms)
-        # One cell for each (source, id): the counts of a group in one go.
-        dense = np.zeros(len(names) * size, np.int64)
-        np.add.at(dense, there[found] * size + ids[found], n[found])
-        vectors = [{"source": s.decode(), "n": v} for s, v in zip(names, dense.reshape(len(names), size))]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang], pa.string()), pa.array([[t.decode() for t in terms]], pa.list_(pa.string())), pa.array([vectors], pa.list_(pa.struct([("source", pa.string()), ("n", pa.list_(pa.int64()))])))],
-            ["lang", "terms", "vectors"],
-        )
-
-
-def _encode(min_docs: int, cells: int):
+        ids = np.searchsorted(terms, rows)
+        there = ids < size
+        there[there] = terms[ids[there]] == rows[there]
+        each = np.repeat(there, lengths)
+        # One cell for each (source, id): the counts of all groups in one go.
+        dense = np.zeros(n_sources * size, np.int64)
+        np.add.at(dense, source[each].astype(np.int64) * size + np.repeat(ids, lengths)[each], n[each])
+        lists_of = [pa.array([x], kind) for x, kind in (([t.decode() for t in terms], pa.list_(pa.string())), (dense, pa.list_(pa.int64())), (dense.reshape(n_sources, size).sum(axis=1), pa.list_(pa.int64())))]
+        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.int32()), *lists_of], ["lang", "terms", "counts", "sums"])
+
+
+def _encode(sizes: list[int], min_docs: int, cells: int):
     def complete(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        langs = table.column("lang").combine_chunks().dictionary_encode().indices.to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(langs)) + 1), len(langs)]
+        langs = table.column("lang").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(langs)) + 1).tolist(), len(langs)]
         for a, b in zip(edges, edges[1:]):
-            yield from _encoded(table.slice(a, b - a), min_docs, cells)
-
-    def summed(table: pa.Table) -> pa.Table:
-        return table.group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(["lang", "source", "term", "n", "docs"])
+            yield from _encoded(table.slice(a, b - a), sizes[langs[a]], min_docs, cells)
 
     @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
         for batch in batches:
-            waiting.append(pa.table({c: batch.column(c).cast(t) for c, t in (("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64()))}))
+            waiting.append(pa.Table.from_batches([batch]))
             held += batch.num_rows
-            if held < cells:
+            if held < cells // 4:
                 continue
             release()
             table = pa.concat_tables(waiting).combine_chunks()
             # All rows of the last term wait for those that may follow.
             last = table.slice(table.num_rows - 1)
-            same = [pa.compute.equal(table.column(c).fill_null(""), last.column(c)[0].as_py() or "") for c in ("lang", "term")]
-            a = int(np.argmax((same[0].to_numpy() & same[1].to_numpy())))
+            same = pc.and_(*(pc.equal(table.column(c), last.column(c)[0]) for c in ("lang", "term")))
+            a = int(np.argmax(same.to_numpy()))
             if a:
-                yield from complete(table.slice(0, a))
-            rest = summed(table.slice(a))
-            waiting, held = [rest], rest.num_rows
+                yield from complete(table.slice(0, a).combine_chunks())
+            waiting, held = [table.slice(a)], table.num_rows - a
         if held:
             yield from complete(pa.concat_tables(waiting).combine_chunks())
 
     return emit
 
 
-def chunks(docs: DataFrame, min_docs: int = 10, cells: int = 1 << 18, flush: int = 400_000, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, terms, vectors): the encoded counts, kept terms only; ``vectors`` are (source, counts in the order of ``terms``)."""
-    counts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).mapInArrow(_count(flush), _COUNTS)
-    return counts.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_encode(min_docs, cells), _CHUNKS)
+def chunks(docs: DataFrame, groups: dict[str, list[str]], min_docs: int = 10, cells: int = 1 << 18, flush: int = 1_000_000, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(lang, terms, counts, sums): the encoded counts of kept terms: those of the first source in the order of ``terms``, then those
+    of the next; ``sums`` adds up each source's."""
+    named = docs.select(F.col(lang_col).cast("string"), F.col(source_col).cast("string"), F.col(text_col))
+    counts = named.mapInArrow(_count(groups, flush), _COUNTS)
+    return counts.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_encode([len(v) for v in groups.values()], min_docs, cells), _CHUNKS)
 
 
 def probabilities(counts: np.ndarray, total: int, kept: int) -> np.ndarray:
@@ -154,60 +178,49 @@ def _distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // (p + q)
 
 
-def _compare(top: int):
+def _compare(groups: dict[str, list[str]], kept: list[int], totals: list[list[int]], top: int):
+    langs = list(groups)
+
     @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                lang, kept = (row.column(c)[0].as_py() for c in ("lang", "kept"))
-                groups = row.column("groups")[0].as_py()
-                terms = row.column("terms").flatten()
-                names = [g["source"] for g in groups]
-                place = {s: j for j, s in enumerate(names)}
-                counts = np.zeros((len(names), len(terms)), np.int64)
-                vectors = row.column("vectors").flatten()
-                inner = vectors.field("n")
-                for j, s in enumerate(vectors.field("source").to_pylist()):
-                    counts[place[s]] += inner[j].values.to_numpy() if len(terms) else 0
-                totals = [g["total"] for g in groups]
-                p = np.stack([probabilities(c, t, kept) for c, t in zip(counts, totals)]) if kept else np.zeros_like(counts)
+            for i, lang in enumerate(batch.column("lang").to_pylist()):
+                names, terms = groups[langs[lang]], batch.column("terms")[i].values
+                counts = batch.column("counts")[i].values.to_numpy().reshape(len(names), -1)
                 out: list[tuple] = []
                 pairs = np.zeros((len(names), len(names)), np.int64)
-                for a in range(len(names) - 1):
-                    if len(terms):
-                        pairs[a, a + 1 :] = _distance(p[a], p[a + 1 :]).sum(axis=1)
-                for a, s in enumerate(names):
-                    out += [(s, "pair", names[b], int(pairs[min(a, b), max(a, b)])) for b in range(len(names)) if b != a]
                 if len(terms):
-                    q = probabilities(counts.sum(axis=0), sum(totals), kept)
+                    p = np.stack([probabilities(c, t, kept[lang]) for c, t in zip(counts, totals[lang])])
+                    for a in range(len(names) - 1):
+                        pairs[a, a + 1 :] = _distance(p[a], p[a + 1 :]).sum(axis=1)
+                    q = probabilities(counts.sum(axis=0), sum(totals[lang]), kept[lang])
                     for a, s in enumerate(names):
                         ids = np.flatnonzero((counts[a] > 0) & (p[a] > q))
                         value = _distance(p[a][ids], q[ids])
                         best = np.lexsort((ids, -value))[:top]
                         out += [(s, "term", terms[int(ids[j])].as_py(), int(value[j])) for j in best]
+                pairs += pairs.T
+                out += [(s, "pair", item, int(pairs[a, b])) for a, s in enumerate(names) for b, item in enumerate(names) if a != b]
                 source, part, item, value = zip(*out) if out else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(out), pa.string()), *(pa.array(c, pa.string()) for c in (source, part, item)), pa.array(value, pa.int64())], ["lang", "source", "part", "item", "value"]
-                )
+                columns = [pa.array([langs[lang]] * len(out), pa.string()), *(pa.array(c, pa.string()) for c in (source, part, item)), pa.array(value, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "part", "item", "value"])
 
     return emit
 
 
-def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, cells: int = 1 << 18, salts: int = 32, flush: int = 400_000) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, cells: int = 1 << 18, flush: int = 1_000_000, max_groups: int = 100_000) -> DataFrame:
     """(lang, source, part, item, value, rank): for each source of a language its distances to the language's other sources
     (``pair``) and the ``top`` terms that it has more of than the language as a whole (``term``)."""
-    encoded = cut(chunks(docs, min_docs, cells, flush))
-    vectors = encoded.select("lang", F.explode("vectors").alias("v"))
-    totals = vectors.groupBy("lang", F.col("v.source").alias("source")).agg(F.sum(F.aggregate("v.n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))
-    # A language's list of sources is as long as the root of what is returned of it.
-    groups = totals.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("groups"))
-    sizes = groups.join(encoded.groupBy("lang").agg(F.sum(F.size("terms")).cast("long").alias("kept")), "lang")
-    # Copies of each language's sizes, so that the chunks of a large language are not in one task.
-    dealt = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = encoded.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
-    parts = salted.join(dealt, ["lang", "_salt"]).select("lang", "terms", "vectors", "groups", "kept").mapInArrow(_compare(top), "lang string, source string, part string, item string, value long")
-    parts = cut(parts)
+    groups = numbered(docs, max_groups=max_groups)
+    encoded = cut(chunks(docs, groups, min_docs, cells, flush))
+    kept, totals = [0] * len(groups), [[0] * len(v) for v in groups.values()]
+    for r in encoded.groupBy("lang").agg(F.sum(F.size("terms")).alias("kept")).collect():
+        kept[r["lang"]] = r["kept"]
+    for r in encoded.select("lang", F.posexplode("sums")).groupBy("lang", "pos").agg(F.sum("col").alias("total")).collect():
+        totals[r["lang"]][r["pos"]] = r["total"]
+    # An empty chunk of each language, so that languages that keep nothing have their pairs.
+    empty = docs.sparkSession.createDataFrame([(i, [], [], []) for i in range(len(groups))], _CHUNKS)
+    parts = cut(encoded.unionByName(empty).mapInArrow(_compare(groups, kept, totals, top), "lang string, source string, part string, item string, value long"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = parts.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(order))
     terms = parts.where("part = 'term'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, imi, langid, line_dedup, lm, mixing, ngram_join, packing, quality, toxicity, tput, warc
+from . import crf, divergence, imi, langid, line_dedup, lm, mixing, ngram_join, packing, quality, toxicity, tput, warc
 from .common import crc_mod, table
 
 
@@ -60,6 +60,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.train(docs.where(~held_out))).withColumn("held_out", held_out)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = crf.described(F.col("spans"), *crf.KINDS)
+    return crf.find(docs, crf.fit(docs)).select("doc_id", *map(count, crf.KINDS), F.sha2(base, 256).alias("base_sha256"), crf.described(F.col("spans")).alias("spans"))
+
+
 def op12_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tput.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,7 +75,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_curriculum_mixing, op3_line_dedup, op4_toxicity, op5_line_quality, op6_packing, op7_language_id, op8_multi_index, op9_warc, op10_lm_scoring, op12_tput_search, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_curriculum_mixing, op3_line_dedup, op4_toxicity, op5_line_quality, op6_packing, op7_language_id, op8_multi_index, op9_warc, op10_lm_scoring, op11_secret_scan, op12_tput_search, op13_source_divergence)}
 ORACLES: dict[str, str] = {}
 ORACLES["op1_ngram_jaccard"] = r"""
 WITH RECURSIVE words AS (
