@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import ipaddress
 import random
 
@@ -62,21 +63,53 @@ def test_bad_access_lines(spark):
     assert (short["ip"], short["timestamp"]) == ("198.51.100.8", 41)
 
 
-def test_error_lines(spark):
-    line = '2024/05/06 07:08:09 [crit] 311#17: *42 mkdir() "/srv/cache/a, b" failed (28: disk full), client: 198.51.100.8, server: shop.example, request: "PUT /a?b HTTP/2.0", upstream: "http://[::1]:90/a", host: "shop.example", referrer: "https://shop.example/c, d"'
-    e = one(spark, line, errorlog.error_entry)
-    assert (e["timestamp"], e["level"], e["pid"], e["connection"]) == (1714979289, "crit", 311, 42)
-    assert e["message"] == 'mkdir() "/srv/cache/a, b" failed (28: disk full)' and (e["client"], e["server"]) == ("198.51.100.8", "shop.example")
-    assert (e["method"], e["path"], e["upstream"], e["host"], e["referrer"]) == ("PUT", "/a?b", "http://[::1]:90/a", "shop.example", "https://shop.example/c, d")
-    e = one(spark, "2024/05/06 07:08:09 [info] 5#5: workers are ready", errorlog.error_entry)
-    assert (e["level"], e["pid"], e["connection"], e["message"], e["client"]) == ("info", 5, 0, "workers are ready", None)
-    e = one(spark, "2024/05/06 07:08:09 [alert] 6#6: *8 slow reply, client: 2001:db8::2, server: any", errorlog.error_entry)
-    assert (e["client"], e["server"], e["message"]) == ("2001:db8::2", "any", "slow reply")
-    e = one(spark, '2024/05/06 07:08:09 [warn] 6#6: *8 said "server: none", server: one, host: "two"', errorlog.error_entry)
-    assert (e["server"], e["host"], e["request"], e["message"]) == ("one", "two", None, 'said "server: none"')
-    for other in ("\tat a line of its own", "2024/05/06 07:08:09 [loud] 6#6: x", "2024/05/41 07:08:09 [error] 6#6: x", '198.51.100.8 - - [03/Mar/2024:08:15:30 +0000] "GET / HTTP/1.1" 200 1 "-" "-"'):
-        assert one(spark, other, errorlog.error_entry) is None, other
-    for value, want in {" Emergency": "emerg", "NOTICE": "notice", "critical": "crit", "panic": None, "": None}.items():
+def error_cases(seed: int = 5):
+    """Lines built from the grammar, with what they hold: every level, with and without process and connection, every set of context
+    keys, values that hold separators or quotes, and values that are empty."""
+    rng = random.Random(seed)
+    values = {"client": ["192.0.2.4", "fe80::7", "unix:"], "server": ["_", "a.example"], "request": ["GET /p HTTP/1.1", "nonsense", "LOCK /d", ""], "upstream": ["fastcgi://x:9", "http://[::2]/u, v"], "host": ["a.example:81", ""], "referrer": ["https://b.example/?q=1, 2", "x, client: y"]}
+    words = ["open()", "failed", "(2:", "gone)", '"quoted, text"', "client:", "a,b", "ünï"]
+    for n in range(1, 65):
+        keys = [k for i, (k, _) in enumerate(errorlog.CONTEXT) if n % 64 >> i & 1]
+        level = errorlog.LEVELS[n % len(errorlog.LEVELS)]
+        process, connection = (rng.randint(1, 9999), rng.randint(0, 99)) if n % 3 else None, rng.randint(1, 10**6) if n % 4 else None
+        message = " ".join(rng.choices(words, k=rng.randint(1, 6)))
+        held = {k: rng.choice(values[k]) for k in keys}
+        line = f"2023/{n % 12 + 1:02d}/{n % 28 + 1:02d} {n % 24:02d}:{n % 60:02d}:59 [{level}] " + (f"{process[0]}#{process[1]}: " if process else "") + (f"*{connection} " if connection else "") + message
+        line += "".join(f', {k}: "{held[k]}"' if quoted else f", {k}: {held[k]}" for k, quoted in errorlog.CONTEXT if k in held)
+        moment = datetime.datetime(2023, n % 12 + 1, n % 28 + 1, n % 24, n % 60, 59, tzinfo=datetime.timezone.utc)
+        words_of = held.get("request", "").split()
+        method, path = (words_of[0], words_of[1]) if len(words_of) > 1 and words_of[0] in access.METHODS else (None, None)
+        want = {"timestamp": int(moment.timestamp()), "level": level, "pid": process[0] if process else 0, "connection": connection or 0, "message": message, "method": method, "path": path}
+        yield line, want | {k: held.get(k) or None for k, _ in errorlog.CONTEXT}
+
+
+def test_error_lines_of_the_grammar(spark):
+    cases = list(error_cases())
+    frame = spark.createDataFrame([(i, line) for i, (line, _) in enumerate(cases)], "i int, v string")
+    for r in frame.select("i", errorlog.error_entry(F.col("v")).alias("e")).collect():
+        line, want = cases[r["i"]]
+        assert {k: r["e"][k] for k in want} == want, line
+
+
+def test_lines_that_are_no_error_lines(spark):
+    """Each break of the grammar alone: the time's form and range, the brackets, the level, the length."""
+    good = "2023/02/28 23:59:59 [error] 7#8: *9 text"
+    broken = [good.replace("/02/28", "/02/30"), good.replace("23:59:59", "24:00:00"), good.replace("/", "-"), good.replace("[error]", "error"), good.replace("error", "fatal"), " " + good, good[:24], "", good + "x" * errorlog.MAX_LINE]
+    assert all(one(spark, line, errorlog.error_entry) is None for line in broken) and one(spark, good, errorlog.error_entry)["pid"] == 7
+    longest = good + "x" * (errorlog.MAX_LINE - len(good))
+    assert len(one(spark, longest, errorlog.error_entry)["message"]) == len(longest) - len(good) + 4
+
+
+def test_context_keys_out_of_order_belong_to_the_one_before(spark):
+    """Keys are read in the order they are written in; one that comes late is left out."""
+    e = one(spark, '2023/02/28 23:59:59 [info] text, server: s, client: 192.0.2.4, host: "h"', errorlog.error_entry)
+    assert (e["message"], e["server"], e["client"], e["host"]) == ("text", "s", None, None)
+
+
+def test_levels(spark):
+    named = {n: n for n in errorlog.LEVELS} | dict(errorlog.ALIASES)
+    for value, want in ({f" {n.upper()} ": v for n, v in named.items()} | {"loud": None, "": None, "error!": None}).items():
         assert one(spark, value, errorlog.level_of) == want == errorlog.level_name(value)
 
 

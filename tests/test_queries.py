@@ -150,7 +150,6 @@ def test_dashboard_equals_a_plain_count(spark):
     assert len(parts["daily"].collect()) == 2
     later = dash.dashboard(spark, frame, end + 40 * 86400, end + 41 * 86400)
     assert all(later[k].isEmpty() for k in ("hourly", "daily", "browsers", "urls"))
-    parts.close(), later.close()
 
 
 def test_every_query_has_its_sql():

@@ -1,147 +1,197 @@
 """The traffic dashboard of a window [start, end): buckets, totals, peaks and lists.
 
-All figures come from one pass over the entries: each entry is counted in a few *cells* (its visitor in its hour, its minute, and
-each of its listed values), cells are added up before and after one shuffle, and every figure is a small sum over cells."""
+Entries are counted in three small ways, each in one grouped pass over the columns it needs: visitors by hour, views by minute, and
+views by listed value.  All figures are sums over these and are computed in one job; they are as many as the window has hours and days,
+and 250 listed values at most, so they are held by the driver, and the parts of a dashboard are local tables.  The counts can also
+come from sums that were stored when entries were written (see ``rollup``)."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
 from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.params import hour_of, local_date, minute_of, percent
+from ..functions.params import hour_of, local_date, minute_of
 from .search import RequestError
 
 BUFFER = 12 * 3600
 #: Listed columns, and how many of their values are listed.
 LISTS = {"browsers": ("browser", 50), "systems": ("os", 50), "devices": ("device_type", 50), "urls": ("path_exact", 100)}
+#: Columns with few values, which are counted together.
+FEW = ("browser", "os", "device_type")
 
 
-def base(entries: DataFrame, start: int, end: int) -> DataFrame:
-    """The window with twelve hours at either side, only the columns the dashboard reads."""
-    if start < 0 or end <= start:
-        raise RequestError("the start is before the end")
-    return entries.where((F.col("timestamp") >= start - BUFFER) & (F.col("timestamp") < end + BUFFER)).select("timestamp", "ip", "path_exact", "browser", "os", "device_type", "bytes_sent")
+@dataclass(frozen=True)
+class Cells:
+    """``visits`` (hour, date, ip, n, inside, bytes): views by visitor, all and those inside the window, whose bytes are added up;
+    ``minutes`` (minute, n) and ``terms`` (kind, term, n) of the window."""
 
+    visits: DataFrame
+    minutes: DataFrame
+    terms: DataFrame
 
-def cells(entries: DataFrame, start: int, end: int) -> DataFrame:
-    """(kind, hour, date, inside, term, n, bytes): ``visit`` cells count a visitor (``term``) in an hour and a date, for the window
-    (``inside``) and the hours around it apart; ``minute`` cells a minute of the window, and those of a listed column one of its values."""
-    time = F.col("timestamp")
-    inside = (time >= start) & (time < end)
-    none = lambda kind: F.lit(None).cast(kind)
+    def with_(self, other: Cells) -> Cells:
+        """The counts of both; the same cell may be in either."""
+        return Cells(*(getattr(self, f.name).unionByName(getattr(other, f.name)) for f in fields(Cells)))
 
-    def cell(kind: str, hour, date, within, term):
-        return F.struct(F.lit(kind).alias("kind"), hour.alias("hour"), date.alias("date"), within.alias("inside"), term.alias("term"))
 
-    own = [cell("visit", hour_of(time), local_date(time), inside, F.nullif("ip", F.lit(""))), F.when(inside, cell("minute", minute_of(time), none("date"), F.lit(True), none("string")))]
-    own += [F.when(inside & (F.col(c) != ""), cell(c, none("long"), none("date"), F.lit(True), F.col(c))) for c, _ in LISTS.values()]
-    spread = base(entries, start, end).select("bytes_sent", F.explode(F.array_compact(F.array(*own))).alias("c")).select("c.*", "bytes_sent")
-    return spread.groupBy("kind", "hour", "date", "inside", "term").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes_sent"), F.lit(0)).alias("bytes"))
+def check_window(start: int, end: int) -> None:
+    if start < 0 or end <= start:
+        raise RequestError("the start is before the end")
 
 
-def _visits(counted: DataFrame) -> DataFrame:
-    return counted.where("kind = 'visit'")
+def base(entries: DataFrame, start: int, end: int) -> DataFrame:
+    """The window with twelve hours at either side, only the columns the dashboard reads."""
+    check_window(start, end)
+    near = (F.col("timestamp") >= start - BUFFER) & (F.col("timestamp") < end + BUFFER)
+    return entries.where(near).select("timestamp", "ip", "path_exact", *FEW, "bytes_sent")
 
 
-def _sums() -> tuple:
-    return F.count_distinct("term").alias("uv"), F.sum("n").alias("pv")
+def cells(entries: DataFrame, start: int, end: int) -> Cells:
+    """The counts of entries."""
+    rows, time = base(entries, start, end), F.col("timestamp")
+    inside = (time >= start) & (time < end)
+    visits = rows.groupBy(hour_of(time).alias("hour"), local_date(time).alias("date"), F.nullif("ip", F.lit("")).alias("ip")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("inside"), F.coalesce(F.sum(F.when(inside, F.col("bytes_sent"))), F.lit(0)).alias("bytes")
+    )
+    own = rows.where(inside)
+    minutes = own.groupBy(minute_of(time).alias("minute")).agg(F.count(F.lit(1)).alias("n"))
+    return Cells(visits, minutes, listed(own.groupBy(*FEW).agg(F.count(F.lit(1)).alias("n")), own.groupBy("path_exact").agg(F.count(F.lit(1)).alias("n"))))
+
+
+def listed(few: DataFrame, paths: DataFrame) -> DataFrame:
+    """(kind, term, n) from counts by ``FEW`` together, and by path."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("term")) for c in FEW)))
+    return few.select("n", each.alias("e")).select("e.kind", "e.term", "n").union(paths.select(F.lit("path_exact"), F.col("path_exact"), "n"))
+
+
+@dataclass(frozen=True)
+class Figures:
+    """A dashboard's numbers: (uv, pv) by hour and by date, the window's totals, the busiest minute's views, and listed values."""
+
+    hours: dict[int, tuple[int, int]]
+    dates: dict[object, tuple[int, int]]
+    uv: int
+    pv: int
+    traffic: int
+    peak: int
+    lists: dict[str, list[tuple[str, int]]]
+
+
+def figures(counted: Cells) -> Figures:
+    """All figures, in one job."""
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+
+    def part(rows: DataFrame, kind: str, hour: Column | None = None, date: Column | None = None, uv=None, pv=None, size=None) -> DataFrame:
+        return rows.select(
+            F.lit(kind).alias("part"), none("hour", "long") if hour is None else hour.alias("hour"), none("date", "date") if date is None else date.alias("date"), none("term", "string"),
+            none("uv", "long") if uv is None else uv.alias("uv"), none("pv", "long") if pv is None else pv.alias("pv"), none("size", "long") if size is None else size.alias("size"),
+        )
+
+    sums = F.count_distinct("ip").alias("uv"), F.sum("n").alias("pv")
+    uv, pv = F.col("uv"), F.col("pv")
+    whole = counted.visits.where("inside > 0").agg(F.count_distinct("ip").alias("uv"), F.coalesce(F.sum("inside"), F.lit(0)).alias("pv"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "term"))
+    top = counted.terms.where("term <> ''").groupBy("kind", "term").agg(F.sum("n").alias("n")).withColumn("_rank", rank).where(F.col("_rank") <= max(n for _, n in LISTS.values()))
+    rows = (
+        part(counted.visits.groupBy("hour").agg(*sums), "hour", hour=F.col("hour"), uv=uv, pv=pv)
+        .union(part(counted.visits.groupBy("date").agg(*sums), "date", date=F.col("date"), uv=uv, pv=pv))
+        .union(part(whole, "total", uv=uv, pv=pv, size=F.col("size")))
+        .union(part(counted.minutes.groupBy("minute").agg(F.sum("n").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("pv")), "peak", pv=pv))
+        .union(top.select("kind", none("hour", "long"), none("date", "date"), "term", none("uv", "long"), "n", F.col("_rank").cast("long")))
+        .collect()
+    )
+    by = lambda kind: [r for r in rows if r["part"] == kind]
+    total = by("total")[0]
+    return Figures(
+        {r["hour"]: (r["uv"], r["pv"]) for r in by("hour")},
+        {r["date"]: (r["uv"], r["pv"]) for r in by("date")},
+        total["uv"],
+        total["pv"],
+        total["size"],
+        by("peak")[0]["pv"],
+        {c: [(r["term"], r["pv"]) for r in sorted(by(c), key=lambda r: r["size"])] for c, _ in LISTS.values()},
+    )
 
 
-def hourly(spark: SparkSession, counted: DataFrame, start: int, end: int, aligned: bool = False) -> DataFrame:
-    """(hour, timestamp, uv, pv): buckets of an hour from ``start`` - 12 h; those that no row falls in have 0.  Buckets that do
-    not begin on a full hour stay empty unless ``aligned``."""
+def _hourly(found: Figures, start: int, end: int, aligned: bool = False) -> list[tuple]:
     first = start - BUFFER
     first -= first % 3600 if aligned else 0
-    n = -(-(end - start + 24 * 3600) // 3600)
-    grid = spark.range(n).select((F.lit(first) + F.col("id") * 3600).alias("timestamp"))
-    seen = _visits(counted).groupBy(F.col("hour").alias("timestamp")).agg(*_sums())
-    return grid.join(seen, "timestamp", "left").select((F.pmod(F.col("timestamp"), F.lit(86400)) / 3600).cast("int").alias("hour"), "timestamp", F.coalesce("uv", F.lit(0)).alias("uv"), F.coalesce("pv", F.lit(0)).alias("pv"))
+    times = range(first, first + 3600 * -(-(end - start + 24 * 3600) // 3600), 3600)
+    return [(t % 86400 // 3600, t, *found.hours.get(t, (0, 0))) for t in times]
 
 
-def daily(spark: SparkSession, counted: DataFrame, start: int, end: int) -> DataFrame:
-    """(date, timestamp, uv, pv): the days, in the session's zone, of start, start + 1 day and so on before ``end``; each counts
-    all rows of its date."""
+def _daily(spark: SparkSession, found: Figures, start: int, end: int) -> list[tuple]:
     zone = ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
     moment, days = datetime.fromtimestamp(start, zone), {}
     while moment.timestamp() < end:
         midnight = datetime(moment.year, moment.month, moment.day, tzinfo=zone)
         days[midnight.date()] = int(midnight.timestamp())
         moment += timedelta(days=1)
-    grid = spark.createDataFrame(list(days.items()), "date date, timestamp long")
-    seen = _visits(counted).groupBy("date").agg(*_sums())
-    return grid.join(seen, "date", "left").select("date", "timestamp", F.coalesce("uv", F.lit(0)).alias("uv"), F.coalesce("pv", F.lit(0)).alias("pv"))
+    return [(d, t, *found.dates.get(d, (0, 0))) for d, t in days.items()]
 
 
-def totals(counted: DataFrame) -> DataFrame:
-    """(pv, uv, traffic) of the window."""
-    return _visits(counted).where("inside").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pv"), F.count_distinct("term").alias("uv"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("traffic"))
+def hourly(spark: SparkSession, found: Figures, start: int, end: int, aligned: bool = False) -> DataFrame:
+    """(hour, timestamp, uv, pv): buckets of an hour from ``start`` - 12 h; those that no row falls in have 0.  Buckets that do
+    not begin on a full hour stay empty unless ``aligned``."""
+    return spark.createDataFrame(_hourly(found, start, end, aligned), "hour int, timestamp long, uv long, pv long")
 
 
-def peak_minute(counted: DataFrame) -> DataFrame:
-    """The most views of a minute."""
-    return counted.where("kind = 'minute'").agg(F.coalesce(F.max("n"), F.lit(0)).alias("peak"))
+def daily(spark: SparkSession, found: Figures, start: int, end: int) -> DataFrame:
+    """(date, timestamp, uv, pv): the days, in the session's zone, of start, start + 1 day and so on before ``end``; each counts
+    all rows of its date."""
+    return spark.createDataFrame(_daily(spark, found, start, end), "date date, timestamp long, uv long, pv long")
 
 
-def top(counted: DataFrame, column: str, size: int = 50) -> DataFrame:
-    """(term, count, percent): the most frequent values of a listed column, ties by value; percentages are of all views."""
-    every = _visits(counted).where("inside").agg(F.sum("n").alias("every"))
-    listed = counted.where(F.col("kind") == column).select("term", F.col("n").alias("count")).orderBy(F.desc("count"), "term").limit(size)
-    return listed.crossJoin(F.broadcast(every)).select("term", "count", percent(F.col("count"), F.col("every")).alias("percent"))
+def totals(spark: SparkSession, found: Figures) -> DataFrame:
+    """(pv, uv, traffic) of the window."""
+    return spark.createDataFrame([(found.pv, found.uv, found.traffic)], "pv long, uv long, traffic long")
 
 
-def summary(spark: SparkSession, counted: DataFrame, start: int, end: int) -> DataFrame:
-    """One row: totals, daily averages, the peak hour (the earliest of the busiest, of the buckets), average and peak rate."""
-    hours = hourly(spark, counted, start, end).agg(F.max(F.struct("pv", (-F.col("timestamp")).alias("t"), "hour")).alias("h")).select(F.when(F.col("h.pv") > 0, F.col("h.hour")).otherwise(0).alias("peak_hour"), F.col("h.pv").alias("peak_hour_traffic"))
-    days = daily(spark, counted, start, end).agg(F.count(F.lit(1)).alias("days"), F.sum("pv").alias("day_pv"))
-    row = totals(counted).crossJoin(peak_minute(counted)).crossJoin(hours).crossJoin(days)
-    return row.select(
-        F.col("uv").alias("total_uv"),
-        F.col("pv").alias("total_pv"),
-        F.col("traffic").alias("total_traffic"),
-        F.when(F.col("days") > 0, F.col("uv") / F.col("days")).otherwise(0.0).alias("avg_daily_uv"),
-        F.when(F.col("days") > 0, F.col("day_pv") / F.col("days")).otherwise(0.0).alias("avg_daily_pv"),
-        "peak_hour",
-        "peak_hour_traffic",
-        (F.col("pv") / F.lit(float(end - start))).alias("avg_qps"),
-        (F.col("peak") / 60.0).alias("peak_qps"),
-    )
+def peak_minute(spark: SparkSession, found: Figures) -> DataFrame:
+    """The most views of a minute."""
+    return spark.createDataFrame([(found.peak,)], "peak long")
 
 
-class Dashboard(dict):
-    """The parts by name; they share the cells, which stay persisted until ``close`` or the end of a ``with`` block."""
+def top(spark: SparkSession, found: Figures, column: str, size: int = 50) -> DataFrame:
+    """(term, count, percent): the most frequent values of a listed column, ties by value; percentages are of all views."""
+    rows = [(term, n, 100.0 * n / found.pv) for term, n in found.lists[column][:size]]
+    return spark.createDataFrame(rows, "term string, count long, percent double")
 
-    def __init__(self, counted: DataFrame, parts: dict[str, DataFrame]):
-        super().__init__(parts)
-        self.counted = counted
 
-    def close(self) -> None:
-        self.counted.unpersist()
+def summary(spark: SparkSession, found: Figures, start: int, end: int) -> DataFrame:
+    """One row: totals, daily averages, the peak hour (the earliest of the busiest, of the buckets), average and peak rate."""
+    hours, days = _hourly(found, start, end), _daily(spark, found, start, end)
+    busiest = max(hours, key=lambda h: (h[3], -h[1]))
+    row = (
+        found.uv, found.pv, found.traffic, found.uv / len(days) if days else 0.0, sum(d[3] for d in days) / len(days) if days else 0.0,
+        busiest[0] if busiest[3] else 0, busiest[3], found.pv / float(end - start), found.peak / 60.0,
+    )
+    return spark.createDataFrame([row], "total_uv long, total_pv long, total_traffic long, avg_daily_uv double, avg_daily_pv double, peak_hour int, peak_hour_traffic long, avg_qps double, peak_qps double")
 
-    def __enter__(self) -> Dashboard:
-        return self
 
-    def __exit__(self, *_) -> None:
-        self.close()
+def parts(spark: SparkSession, found: Figures, start: int, end: int) -> dict[str, DataFrame]:
+    """The parts of a dashboard by name; lists and buckets are empty when the window has no views."""
+    out = {"hourly": hourly(spark, found, start, end), "daily": daily(spark, found, start, end)}
+    out |= {name: top(spark, found, column, size) for name, (column, size) in LISTS.items()}
+    return {k: v if found.pv else v.limit(0) for k, v in out.items()} | {"summary": summary(spark, found, start, end)}
 
 
-def dashboard(spark: SparkSession, entries: DataFrame, start: int, end: int) -> Dashboard:
-    """All figures; lists and buckets are empty when the window has no views."""
-    counted = cells(entries, start, end).persist()
-    some = F.broadcast(counted.where("kind = 'minute'").limit(1).select(F.lit(True).alias("_some")))
-    parts = {"hourly": hourly(spark, counted, start, end), "daily": daily(spark, counted, start, end)}
-    parts |= {name: top(counted, column, size) for name, (column, size) in LISTS.items()}
-    return Dashboard(counted, {k: v.crossJoin(some).drop("_some") for k, v in parts.items()} | {"summary": summary(spark, counted, start, end)})
+def dashboard(spark: SparkSession, entries: DataFrame, start: int, end: int) -> dict[str, DataFrame]:
+    """All parts, from the entries themselves."""
+    return parts(spark, figures(cells(entries, start, end)), start, end)
 
 
 def day_hours(spark: SparkSession, entries: DataFrame, last_day_start: int) -> DataFrame:
     """The 48 hours from twelve before a day to twelve after it."""
     end = last_day_start + 86400
-    return hourly(spark, cells(entries, last_day_start, end), last_day_start, end)
+    return hourly(spark, figures(cells(entries, last_day_start, end)), last_day_start, end)
 
 
 def daily_hits(spark: SparkSession, hits: DataFrame, start: int, end: int) -> DataFrame:
     """Days of hits that are at hand already: (date, timestamp, uv, pv), hits outside the window left out."""
-    return daily(spark, cells(hits.where((F.col("timestamp") >= start) & (F.col("timestamp") < end)), start, end), start, end)
+    inside = hits.where((F.col("timestamp") >= start) & (F.col("timestamp") < end))
+    return daily(spark, figures(cells(inside, start, end)), start, end)

@@ -158,7 +158,7 @@ _add("distinct_ip", lambda s, d: facets.distinct(fixtures.entries(s, d), "ip"),
 _add("distinct_path", lambda s, d: facets.distinct(matching(fixtures.entries(s, d), SearchRequest(start=START, end=END)), "path_exact"), f'SELECT count(DISTINCT path_exact) AS "distinct" FROM entries WHERE {_IN}')
 _add(
     "distinct_ip_approximate",
-    lambda s, d: facets.distinct(fixtures.entries(s, d), "ip").crossJoin(F.broadcast(facets.distinct(fixtures.entries(s, d), "ip", True).toDF("estimate"))).select("distinct", (F.abs(F.col("estimate") - F.col("distinct")) <= 0.05 * F.col("distinct")).alias("near")),
+    lambda s, d: facets.distinct(fixtures.entries(s, d), "ip").crossJoin(F.broadcast(facets.distinct(fixtures.entries(s, d), "ip", True).toDF("estimate"))).select("distinct", (F.abs(F.col("estimate") - F.col("distinct")) <= 0.03 * F.col("distinct")).alias("near")),
     'SELECT count(DISTINCT ip) AS "distinct", TRUE AS near FROM entries',
 )
 
@@ -170,14 +170,14 @@ _DAYS = f"days AS (SELECT t AS timestamp, count(DISTINCT ip) AS uv, count(ip) AS
 
 
 def _dash(name: str, run, sql: str) -> None:
-    _add(name, lambda s, d: run(s, dash.cells(fixtures.entries(s, d), START, END)), f", {_ROWS}, {_HOURS}, {_DAYS} {sql}")
+    _add(name, lambda s, d: run(s, dash.figures(dash.cells(fixtures.entries(s, d), START, END))), f", {_ROWS}, {_HOURS}, {_DAYS} {sql}")
     ORACLES[name] = f"WITH {fixtures.ENTRIES_SQL}, {_ROWS}, {_HOURS}, {_DAYS} {sql}"
 
 
 _dash("dash_hourly", lambda s, r: dash.hourly(s, r, START, END), f"SELECT CAST(timestamp % {DAY} // 3600 AS INTEGER) AS hour, timestamp, uv, pv FROM hours")
 _dash("dash_daily", lambda s, r: dash.daily(s, r, START, END).select("timestamp", "uv", "pv"), "SELECT timestamp, uv, pv FROM days")
-_dash("dash_window", lambda s, r: dash.totals(r), "SELECT count(*) AS pv, count(DISTINCT ip) AS uv, CAST(sum(bytes_sent) AS BIGINT) AS traffic FROM inside")
-_dash("dash_peak_minute", lambda s, r: dash.peak_minute(r), "SELECT max(n) AS peak FROM (SELECT count(*) AS n FROM inside GROUP BY timestamp // 60)")
+_dash("dash_window", lambda s, r: dash.totals(s, r), "SELECT count(*) AS pv, count(DISTINCT ip) AS uv, CAST(sum(bytes_sent) AS BIGINT) AS traffic FROM inside")
+_dash("dash_peak_minute", lambda s, r: dash.peak_minute(s, r), "SELECT max(n) AS peak FROM (SELECT count(*) AS n FROM inside GROUP BY timestamp // 60)")
 _dash(
     "dash_summary",
     lambda s, r: dash.summary(s, r, START, END),
@@ -191,10 +191,10 @@ def _top_sql(column: str, size: int) -> str:
     return f"SELECT {column} AS term, count(*) AS count, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM inside) AS percent FROM inside WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY count DESC, term LIMIT {size}"
 
 
-_dash("dash_browsers", lambda s, r: dash.top(r, "browser", 50), _top_sql("browser", 50))
-_dash("dash_os", lambda s, r: dash.top(r, "os", 50), _top_sql("os", 50))
-_dash("dash_devices", lambda s, r: dash.top(r, "device_type", 50), _top_sql("device_type", 50))
-_dash("dash_top_urls", lambda s, r: dash.top(r, "path_exact", 100), _top_sql("path_exact", 100))
+_dash("dash_browsers", lambda s, r: dash.top(s, r, "browser", 50), _top_sql("browser", 50))
+_dash("dash_os", lambda s, r: dash.top(s, r, "os", 50), _top_sql("os", 50))
+_dash("dash_devices", lambda s, r: dash.top(s, r, "device_type", 50), _top_sql("device_type", 50))
+_dash("dash_top_urls", lambda s, r: dash.top(s, r, "path_exact", 100), _top_sql("path_exact", 100))
 _add("dash_empty", lambda s, d: dash.dashboard(s, fixtures.entries(s, d), 1700006400, 1700006400 + DAY)["hourly"], "SELECT 0 AS hour, 0::BIGINT AS timestamp, 0::BIGINT AS uv, 0::BIGINT AS pv WHERE FALSE")
 _add("dash_daily_hits", lambda s, d: dash.daily_hits(s, fixtures.entries(s, d), START + 3600, END).select("timestamp", "uv", "pv"), f"SELECT t AS timestamp, count(DISTINCT ip) AS uv, count(ip) AS pv FROM (SELECT {START} + i * {DAY} AS t FROM range(7) r(i)) LEFT JOIN entries ON timestamp - timestamp % {DAY} = t AND timestamp >= {START + 3600} AND timestamp < {END} GROUP BY t")
 _LAST = START + 6 * DAY

@@ -128,7 +128,6 @@ class Ingestion:
 
     def round(self, now: int, force: bool = False) -> int:
         """Reads what is new; how many slices there were."""
-        self.table.recover()
         states = self.states()
         slices = self.plan(states, now, force)
         if not slices:
@@ -161,7 +160,6 @@ class Ingestion:
         lines = self.spark.readStream.format("rotated_log").option("groups", json.dumps(self.groups)).load()
 
         def write(batch: DataFrame, _: int) -> None:
-            self.table.recover()
             for r in batch.where("rewritten").select("main_log_path", "file_path").distinct().collect():
                 self.table.purge_files(r["main_log_path"], [r["file_path"]])
             self.table.upsert(self.entries(batch, now))
