@@ -278,7 +278,8 @@ def learn(examples: list[tuple[bytes, tuple[str, ...], tuple[int, int] | None]],
         tags = [OUTSIDE if secret is None or not secret[0] <= a < secret[1] else BEGIN if a == secret[0] else INSIDE for a in begins.tolist()]
         chains.append((shape_features(shapes), rows, tags))
     if not chains:
-        return Field({}, np.zeros((base, 3)), np.zeros((3, 3)))
+        # Nothing is known of secrets: all is outside.
+        return Field({}, np.zeros((base, 3)), np.eye(3)[[OUTSIDE] * 3])
     size, width = max(len(c[2]) for c in chains), len(_SHAPE_FEATURES) + 3 + _GROUPS
     none = base + len(names)
     ids = np.full((len(chains), size, width), none)

@@ -5,10 +5,12 @@ letter (i, l, 1, ! and | are one), and turns other ASCII characters into spaces.
 and whole words, each with the logarithm of its odds among toxic documents; exception phrases cover hits inside
 them.  The weights found in a text are added, normalised by its length, and mapped to 0..1 by a logistic curve.
 
-Learning uses at most ``max_labelled`` labelled rows (an even share of them by a hash of the id); its results, at most
-``max_entries`` entries and two coefficients, are bounded and go to the tasks with the code.
+Learning uses at most ``max_labelled`` labelled rows (an even share of them by a hash of the id).  What is learned goes to the
+tasks with the code, so it is bounded too: at most ``max_entries`` entries, chosen from the 20 times as many that lead by most among
+the toxic, and at most as many exceptions of each kind, the most frequent ones.  Scores are of all texts, read whole.
 
-Defined results: a null or empty text scores what a text without hits scores; labels other than 0 and 1 and rows whose
+Defined results: a null or empty text scores what a text without hits scores; ties of odds or counts go to the entry that is first
+in alphabetical order; an empty table to score gives no rows; labels other than 0 and 1 and rows whose
 remainder is held out are not learned from; equal rows count as often as they occur; without labels of both kinds every
 score is the share of toxic labels (0 without any); very long texts are read whole, in time that grows with their length;
 of the tables' columns only the named ones are read, so others cannot clash.
@@ -46,8 +48,6 @@ def fold(text: str) -> str:
 
 #: Word beginnings of these lengths may be entries, besides whole words.
 STEMS = (4, 5, 6)
-#: How far from a hit its neighbours may begin.
-_NEAR = 60
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +122,19 @@ def weigh(text: str, lexicon: tuple, exceptions: tuple, half: int = 2000) -> tup
     return math.log1p(sum(h[2] for h in hits) / (1 + len(folded.split()) / half)), len(hits)
 
 
+def _letter_before(folded: str, at: int) -> int:
+    """The place of the last character before ``at`` that is no space, -1 if there is none."""
+    while at >= 0 and folded[at] == " ":
+        at -= 1
+    return at
+
+
+def _letter_after(folded: str, at: int) -> int:
+    while at < len(folded) and folded[at] == " ":
+        at += 1
+    return at
+
+
 def _pairs(lexicon: tuple, exceptions: tuple):
     """Each hit's word with the word before or after it, once a document."""
 
@@ -133,12 +146,10 @@ def _pairs(lexicon: tuple, exceptions: tuple):
                 folded, found = fold(text or ""), set()
                 for a, b, _ in _hits(folded, lexicon, exceptions):
                     begin, end = folded.rfind(" ", 0, a + 2), folded.find(" ", max(a + 1, b - 1))
-                    left, right = folded[max(0, begin - _NEAR) : begin], folded[end : end + _NEAR]
-                    before, after = left.split(), right.split()
-                    if before:
-                        found.add(folded[begin - len(left) + left.rindex(before[-1]) - 1 : end + 1])
-                    if after:
-                        found.add(folded[begin : end + right.index(after[0]) + len(after[0]) + 1])
+                    if (last := _letter_before(folded, begin)) >= 0:
+                        found.add(folded[folded.rfind(" ", 0, last) : end + 1])
+                    if (first := _letter_after(folded, end)) < len(folded):
+                        found.add(folded[begin : folded.find(" ", first) + 1])
                 phrases += found
                 toxic += [y] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(toxic, pa.int32())], ["entry", "toxic"])

@@ -4,10 +4,9 @@ Terms are runs of ASCII letters and digits and of characters beyond ASCII, only
 (its terms and their counts) and the posting lists: (term, document, gain), where a term's gain in a document is its weight times
 the share of its count.  A search takes three passes:
 
-1. the head of each list, its ``k`` greatest gains: the scores of an item's documents in them give a bound that the ``k``-th
-   score reaches;
-2. of each list of an item all entries of at least a threshold, the same for all of them: the greatest at which what lies below it
-   adds up to less than the bound, so that a document in no list above it cannot reach the bound;
+1. the head of each list, its ``k`` greatest gains: sums over an item's heads give a bound that the ``k``-th score reaches;
+2. of each list of an item all entries of at least that bound divided by the item's number of lists, the same threshold for
+   all of them; a document that is in no list above it cannot reach the bound;
 3. the documents whose sum so far, with the threshold for each list they were not seen in, reaches the bound of the second
    pass: their exact scores are looked up.
 
@@ -22,6 +21,7 @@ so are items; very long texts are read whole; an empty table gives no rows; othe
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, tidy
+from .common import as_bytes, cut, shared_dir, tidy
 
 #: Letters and digits as they are (A-Z lower-cased), bytes of other characters as they are, anything else a space.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -118,29 +118,23 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, most_terms: int = 200
     weights = cut(own.documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(asked.select("term").distinct(), "term", "left_semi").select("term", own.weight(F.col("df")).alias("weight")))
     lists = entries.join(few(weights), "term").select("term", "doc", (F.col("weight") * F.col("share")).alias("gain")).where("gain > 0")
 
-    weighed = asked.join(weights, "term").groupBy("item", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("times") * F.col("weight")))).alias("weights"))
-    gains = lambda total, e: total + F.coalesce(F.try_element_at("weights", e["terms"]), F.lit(0)) * own.share(e["counts"], F.col("n"))
+    weighed = asked.join(weights, "term").select("item", "item_id", "term", (F.col("times") * F.col("weight")).alias("worth"))
 
     def exact(pairs: DataFrame) -> DataFrame:
         """The whole scores of (item, doc) pairs, looked up in the documents' rows."""
-        whole = pairs.join(own.documents, "doc").join(few(weighed), "item")
-        score = F.aggregate(F.arrays_zip("terms", "counts"), F.lit(0).cast("long"), gains)
-        return whole.select("item", "item_id", "doc", "doc_id", score.alias("score")).where("score > 0")
+        rows = pairs.join(own.documents, "doc").select("item", "doc", "doc_id", "n", F.explode(F.arrays_zip("terms", "counts")).alias("e"))
+        terms = rows.select("item", "doc", "doc_id", F.col("e.terms").alias("term"), own.share(F.col("e.counts"), F.col("n")).alias("share"))
+        gains = terms.join(few(weighed), ["item", "term"])
+        return gains.groupBy("item", "doc").agg(F.first("item_id").alias("item_id"), F.first("doc_id").alias("doc_id"), F.sum(F.col("worth") * F.col("share")).alias("score")).where("score > 0")
 
     # 1: the lists' heads.
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("gain"), "doc"))
     heads = cut(lists.withColumn("_place", place).where(F.col("_place") <= k).drop("_place"))
-    first = _kth(exact(asked.join(heads, "term").select("item", "doc").distinct()), k)
+    first = _kth(asked.join(heads, "term").groupBy("item", "doc").agg(F.sum(F.col("times") * F.col("gain")).alias("score")), k)
     tops = asked.join(heads.groupBy("term").agg(F.max("gain").alias("top")), "term").withColumn("top", F.col("top") * F.col("times"))
-    # The greatest level at which entries below it, at most the head of each list, add up to less than the bound: lists in the order of
-    # their heads, the short ones counted whole, and the rest shared evenly by the others.
-    rising = Window.partitionBy("item").orderBy("top", "term")
-    before = F.coalesce(F.sum("top").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.count(F.lit(1)).over(Window.partitionBy("item")) - F.row_number().over(rising) + 1
-    level = F.call_function("div", F.greatest(F.lit(0), F.col("least") - 1 - before), left)
-    levels = tops.join(first, "item").withColumn("level", level).where("level <= top").groupBy("item", "least").agg(F.min_by("level", F.struct("top", "term")).alias("level"))
+    bounds = tops.groupBy("item").agg(F.count(F.lit(1)).alias("_lists")).join(first, "item").withColumn("limit", F.greatest(F.lit(1), F.ceil(F.col("least") / F.col("_lists")).cast("long")))
     # What an entry below the threshold can add, list by list; only lists whose head is above it are read.
-    limits = cut(tops.join(levels, "item").select("item", "term", "times", "top", "least", (F.col("level") + 1).alias("limit"), F.least("level", "top").alias("unseen")))
+    limits = cut(tops.join(bounds, "item").select("item", "term", "times", "top", "least", "limit", F.least(F.col("limit") - 1, "top").alias("unseen")))
     spare = limits.groupBy("item").agg(F.sum("unseen").alias("spare"), F.first("least").alias("least"))
     read = limits.where("top >= limit")
 
@@ -148,8 +142,10 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, most_terms: int = 200
     least = few(read.groupBy("term").agg(F.min(F.ceil(F.col("limit") / F.col("times")).cast("long")).alias("lowest")))
     above = lists.join(least, "term").where("gain >= lowest").select("term", "doc", "gain")
     seen = above.join(few(read.select("item", "term", "times", "limit", "unseen")), "term").where("gain * times >= limit")
-    # Read twice, for the bound and for the candidates: from one shuffle.
-    sums = seen.groupBy("item", "doc").agg(F.sum(F.col("gain") * F.col("times")).alias("score"), F.sum("unseen").alias("_seen"))
+    # Read twice, for the bound and for the candidates, so written once; as columns they take half of what a checkpoint does.
+    folder = f"{shared_dir(docs.sparkSession).rstrip('/')}/tput-{uuid.uuid4().hex}"
+    seen.groupBy("item", "doc").agg(F.sum(F.col("gain") * F.col("times")).alias("score"), F.sum("unseen").alias("_seen")).write.parquet(folder)
+    sums = docs.sparkSession.read.parquet(folder)
     second = spare.join(_kth(sums, k).withColumnRenamed("least", "_least"), "item").select("item", "spare", F.greatest("least", "_least").alias("least"))
     candidates = sums.join(few(second), "item").where("score + spare - _seen >= least").select("item", "doc")
 
