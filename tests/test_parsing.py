@@ -54,6 +54,28 @@ def test_access_lines(spark, line, want):
     assert (e["ip"], e["timestamp"], e["method"], e["path"], e["protocol"], e["status"], e["bytes_sent"], e["referer"], e["user_agent"], e["request_time"], e["upstream_time"]) == want
 
 
+def odd_lines(seed: int, n: int):
+    """Lines of the common form with a few characters changed, added or left out, many of them at the edges of its fields."""
+    rng = random.Random(seed)
+    good = lambda: (f'{rng.choice(["10.1.2.3", "::1", "h"])} {rng.choice("-a")} {rng.choice(["-", "b"])} [{rng.randint(1, 31):02d}/{rng.choice(["Jan", "Feb", "Jun", "Dec"])}/{rng.choice([2024, 2023, 1900, 2000, 1969, 9999])}:{rng.randint(0, 23):02d}:{rng.randint(0, 60):02d}:{rng.randint(0, 60):02d} {rng.choice(["+0000", "-0730", "+1400", "+1500", "+0560"])}] '
+        f'"{rng.choice(["GET", "HEAD", "get", "MKCOL"])} /{rng.choice(["", "a?b=c", "x%20y"])} HTTP/1.1" {rng.choice([200, 404, 600, 99, 100])} {rng.choice(["-", "0", "12", "9" * 18, "9" * 20])} "{rng.choice(["-", "", "http://r/"])}" "{rng.choice(["-", "", "A (b; c) d/1.0", "ü"])}"{rng.choice(["", " null", ' "-"', ' 0.2 "-" "x"', " 0.001", " 1.5 0.25", " - -", " .5", " 1. 2", " 0.000 -", " 1 2 3", " x"])}')
+    signs = ' "[]:/-+0123456789.\t\r\x0b\x1faJ'
+    for _ in range(n):
+        line = list(good())
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            at = rng.randrange(len(line))
+            line[at : at + rng.randint(0, 1)] = rng.choice(["", rng.choice(signs), rng.choice(signs)])
+        yield "".join(line)
+
+
+def test_the_common_form_is_read_as_the_pattern_reads_it(spark):
+    lines = [*odd_lines(3, 6000), *(f'h - - [{d:02d}/{m}/{y}:00:00:00 +0000] "GET / HTTP/1.1" 200 1 "-" "-"' for y in (1600, 1900, 1999, 2000, 2024, 2100) for m in ("Jan", "Feb", "Mar", "Dec") for d in (1, 28, 29, 31))]
+    lines += ["", None, "x" * (access.MAX_LINE + 1), " " * 30]
+    frame = spark.createDataFrame([(x, 1) for x in lines], "raw string, `odd.name` int")
+    rows = access.with_entry(frame, F.lit(7)).select("*", access.access_entry(F.col("raw"), F.lit(7)).alias("b")).collect()
+    assert len(rows) == len(lines) and [r["raw"] for r in rows if r["_e"] != r["b"]] == []
+
+
 def test_bad_access_lines(spark):
     for gone in (None, "", "y" * (access.MAX_LINE + 1)):
         assert one(spark, gone, access.access_entry) is None

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .functions import access, errorlog, geo, params, rotation, text, useragent
 from .operators import dashboard as dash
-from .operators import detail, facets, geography, table
+from .operators import detail, facets, geography, rollup, table
 from .operators.search import SearchRequest, by_relevance, fragments, hits, highlighted, latest, matching, total
 from .plans import catalog
 from .shipping import one_process
@@ -247,7 +247,16 @@ SELECT id, CASE WHEN u % 5 = 0 THEN '2001:db8:0:' || printf('%x', u % 16) || '::
   CASE WHEN u % 5 = 0 THEN 'DD' WHEN u % 7 = 0 THEN NULL WHEN c IN (2, 3) THEN 'ZZ' WHEN c > 0 THEN 'CC' WHEN u BETWEEN 64 AND 127 THEN 'BB' ELSE 'AA' END AS region_code,
   CASE WHEN u % 5 = 0 THEN 'six' WHEN u % 7 = 0 THEN NULL WHEN c > 0 THEN 'all' WHEN u BETWEEN 64 AND 127 THEN 'narrow' ELSE 'wide' END AS city FROM a""".replace("'DD'", "CASE WHEN u % 16 = 7 THEN 'EE' ELSE 'DD' END").replace("THEN 'six'", "THEN CASE WHEN u % 16 = 7 THEN 'six narrow' ELSE 'six' END"),
 )
-_add("geo_documentation", lambda s, d: geography.locate(s.createDataFrame([("192.0.2.17",), ("192.0.2.30",), ("10.1.1.1",), ("2001:db8:1::1",)], "ip string"), geography.documentation_places(s, [("FR", "p", "c", 1, 1.0, 2.0, None, None)])).select("ip", "region_code", "city"), "SELECT * FROM (VALUES ('192.0.2.17', 'FR', 'c'), ('192.0.2.30', 'FR', 'c'), ('10.1.1.1', NULL, NULL), ('2001:db8:1::1', 'FR', 'c')) v(ip, region_code, city)")
+
+
+def _documented(s: SparkSession, d: str) -> DataFrame:
+    """Every third visitor of the events moved to a documentation network: those have the place of their block, others have none."""
+    user = F.substring_index("ip", ".", -1).cast("int")
+    rows = fixtures.events(s, d).select("id", F.when(user % 3 == 0, F.concat(F.lit("192.0.2."), user.cast("string"))).when(user % 3 == 1, F.concat(F.lit("2001:db8:1::"), user.cast("string"))).otherwise(F.col("ip")).alias("ip"))
+    return geography.locate(rows, geography.documentation_places(s, [("FR", "p", "c", 1, 1.0, 2.0, None, None)])).select("id", "ip", "region_code", "city")
+
+
+_add("geo_documentation", _documented, ", u AS (SELECT id, ip, CAST(split_part(ip, '.', 4) AS INT) AS u FROM entries) SELECT id, CASE u % 3 WHEN 0 THEN '192.0.2.' || u WHEN 1 THEN '2001:db8:1::' || u ELSE ip END AS ip, CASE WHEN u % 3 < 2 THEN 'FR' END AS region_code, CASE WHEN u % 3 < 2 THEN 'c' END AS city FROM u")
 _add("location_label", lambda s, d: fixtures.entries(s, d).select("id", geo.location_label(F.col("region_code"), F.col("province"), F.col("city")).alias("label")), "SELECT id, concat_ws(', ', region_code, province, city) AS label FROM entries")
 
 _add("entries_completed", lambda s, d: detail.completed(fixtures.entries(s, d).select("id", "level", "region_code", "city_id", "referer", "browser", "request_time")), "SELECT id, level, CASE WHEN level IS NULL THEN coalesce(region_code, '') ELSE region_code END AS region_code, CASE WHEN level IS NULL THEN coalesce(city_id, 0) ELSE city_id END AS city_id, coalesce(referer, '') AS referer, CASE WHEN level IS NULL THEN coalesce(browser, '') ELSE browser END AS browser, request_time FROM entries")
@@ -333,7 +342,11 @@ _state_query(
 _state_query("catalog_ungrouped", lambda s, st: catalog.ungrouped(st, _hosts(s)).select("path", "type", "index_status", "document_count", "last_size"), "SELECT path, 'access' AS type, index_status, document_count, last_size FROM states WHERE path = '/var/log/web/shop.access.log' UNION ALL SELECT '/var/log/web/new.error.log', 'error', 'not_indexed', 0, 0")
 _state_query("catalog_changes", lambda s, st: catalog.reset_tasks(catalog.enable(catalog.delete(st, path="/var/log/web/shop.access.log.1"), "/var/log/web/blog.access.log.1", False)).groupBy("index_status", "enabled").agg(F.count(F.lit(1)).alias("n"), F.sum("queue_position").alias("positions")), "SELECT CASE WHEN index_status = 'queued' THEN 'not_indexed' ELSE index_status END AS index_status, enabled AND path <> '/var/log/web/blog.access.log.1' AS enabled, count(*) AS n, CAST(sum(CASE WHEN index_status = 'queued' THEN 0 ELSE queue_position END) AS BIGINT) AS positions FROM states WHERE path <> '/var/log/web/shop.access.log.1' GROUP BY 1, 2")
 _state_query("catalog_needs_indexing", lambda s, st: st.select("path", catalog.needs_indexing(F.col("last_size") + F.length("path") % 2, F.col("last_modified")).alias("changed"), catalog.needs_rebuild(F.col("last_size") - F.length("path") % 2, F.col("last_modified")).alias("rebuild"), catalog.is_healthy().alias("healthy"), catalog.can_retry().alias("retry")), "SELECT path, length(path) % 2 = 1 AS changed, length(path) % 2 = 1 AS rebuild, index_status <> 'error' AND enabled AS healthy, index_status = 'error' AS retry FROM states")
-_state_query("catalog_filtered", lambda s, st: catalog.filtered(catalog.groups(st, _hosts(s)), type_="access", name="access", path="web", indexed="true").select("path"), "SELECT main_log_path AS path FROM states GROUP BY 1 HAVING NOT bool_or(index_status = 'queued')")
+_state_query(
+    "catalog_filtered",
+    lambda s, st: catalog.filtered(catalog.groups(st, _hosts(s)), type_="access", name="access", path="blog").union(catalog.filtered(catalog.groups(st, _hosts(s)), path="web", indexed="false")).select("path"),
+    "SELECT DISTINCT main_log_path AS path FROM states WHERE main_log_path LIKE '%blog%' UNION ALL SELECT '/var/log/web/new.error.log'",
+)
 _state_query(
     "catalog_status_items",
     lambda s, st: catalog.status_items(st, _hosts(s), type_="access").select("path", "name", "config_file", "index_status", "document_count", "has_time_range", "is_compressed", "retry_count", "queue_position"),
@@ -385,12 +398,10 @@ def _joined(parts: list[str], path: str) -> None:
 
 
 def _gzip_ingest(s: SparkSession, d: str) -> DataFrame:
-    """The same from a rotated file that is made of several gzip members, beside an empty log."""
+    """The same from compressed files, which the executors write, each a group of its own."""
     root = _work_dir(s, "gzip")
-    _lines(s, d).select("raw").repartition(3).write.option("compression", "gzip").text(f"{root}/logs")
-    _joined(sorted(glob.glob(f"{root}/logs/part-*.gz")), f"{root}/web/access.log.1.GZ")
-    _joined([], f"{root}/web/access.log")
-    work = ingest.Ingestion(s, f"{root}/table", [f"{root}/web/access.log"])
+    _lines(s, d).select("raw").repartition(6).write.option("compression", "gzip").text(f"{root}/logs")
+    work = ingest.Ingestion(s, f"{root}/table", [f"{root}/logs/part-{i:05d}" for i in range(6)])
     work.round(NOW)
     return _status_counts(work.table.read())
 
@@ -434,16 +445,82 @@ def _table_changes(s: SparkSession, d: str) -> DataFrame:
     return work.read().groupBy("main_log_path", "file_path").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_sent").alias("bytes"))
 
 
+_tables: dict[tuple[str, str], table.EntryTable] = {}
+
+
+def _stored(s: SparkSession, d: str) -> table.EntryTable:
+    """The entries as a table: three changes, in which the second's ids are new and the third's replace others.  Made once."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _tables:
+        entries, own = fixtures.entries(s, d), table.EntryTable(s, f"{_work_dir(s, 'stored')}/table")
+        number = F.substring("id", 3, 12).cast("long")
+        own.upsert(entries.where(number % 10 < 8))
+        own.upsert(entries.where(number % 10 >= 8))
+        own.upsert(entries.where((F.col("timestamp") >= START) & (F.col("timestamp") < START + 3600)).withColumn("bytes_sent", F.lit(7).cast("long")))
+        _tables[key] = own
+    return _tables[key]
+
+
+#: The rows of that table.
+_STORED = f"(SELECT * REPLACE (CASE WHEN timestamp >= {START} AND timestamp < {START + 3600} THEN 7 ELSE bytes_sent END AS bytes_sent) FROM entries)"
+
+
+def _stored_search(name: str, where: str, **request) -> None:
+    asked = SearchRequest(limit=200, fields=[*_IDS, "bytes_sent"], **request)
+    page = f"SELECT id, timestamp, ip, status, bytes_sent, row_number() OVER (ORDER BY timestamp DESC, id) AS place FROM {_STORED} AS entries WHERE {where}"
+    _add(name, lambda s, d: _ranked(_stored(s, d).search(asked)), f"SELECT * FROM ({page}) WHERE place <= 200")
+
+
+_stored_search("stored_search_address", "ip = '10.0.0.7'", exact={"ip": ["10.0.0.7"]})
+_stored_search("stored_search_text", "ip IN ('10.0.1.20', '10.0.3.1') OR path LIKE '/signup/%'", query="10.0.1.20 10.0.3.1 signup")
+_stored_search("stored_search_phrase", f"({_sql_phrase('path', 'purchase', '42')}) AND {_IN}", phrases={"path": ["purchase/42"]}, start=START, end=END)
+
+
+def _stored_figures(s: SparkSession, d: str) -> DataFrame:
+    """What a table says of itself without reading rows: counts and ranges by group, and distinct values by its sketches."""
+    own = _stored(s, d)
+    near = own.distinct("ip").crossJoin(F.broadcast(facets.distinct(own.read(), "ip"))).select((F.abs(F.col("n") - F.col("distinct")) <= 4 * rollup.STANDARD_ERROR * F.col("distinct")).alias("near"))
+    return own.groups().crossJoin(F.broadcast(near))
+
+
+_CUT_START, _CUT_END = START + 1234, END - 777
+_add("stored_figures", _stored_figures, "SELECT main_log_path, count(*) AS document_count, min(timestamp) AS first, max(timestamp) AS last, TRUE AS near FROM entries GROUP BY 1")
+_add("stored_dash_window", lambda s, d: _stored(s, d).dashboard(_CUT_START, _CUT_END)["summary"].select("total_pv", "total_uv", "total_traffic", "peak_qps"), f"SELECT count(*) AS total_pv, count(DISTINCT ip) AS total_uv, CAST(sum(bytes_sent) AS BIGINT) AS total_traffic, (SELECT max(n) FROM (SELECT count(*) AS n FROM entries WHERE timestamp >= {_CUT_START} AND timestamp < {_CUT_END} GROUP BY timestamp // 60)) / 60.0::DOUBLE AS peak_qps FROM {_STORED} AS entries WHERE timestamp >= {_CUT_START} AND timestamp < {_CUT_END}")
+_add("stored_dash_hourly", lambda s, d: _stored(s, d).dashboard(START, END)["hourly"], "")
+ORACLES["stored_dash_hourly"] = ORACLES["dash_hourly"]
+_add("stored_dash_urls", lambda s, d: _stored(s, d).dashboard(START, END)["urls"], "")
+ORACLES["stored_dash_urls"] = ORACLES["dash_top_urls"]
+_add(
+    "stored_versions",
+    lambda s, d: reduce(DataFrame.union, (_stored(s, d).read(version=v).agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("n"), F.sum("bytes_sent").alias("bytes")) for v in (1, 2, 3))),
+    f"SELECT 1 AS version, count(*) AS n, CAST(sum(bytes_sent) AS BIGINT) AS bytes FROM entries WHERE CAST(substr(id, 3) AS BIGINT) % 10 < 8 UNION ALL SELECT 2, count(*), CAST(sum(bytes_sent) AS BIGINT) FROM entries UNION ALL SELECT 3, count(*), CAST(sum(bytes_sent) AS BIGINT) FROM {_STORED} AS entries",
+)
+
+
 def _error_ingest(s: SparkSession, d: str) -> DataFrame:
-    """An error log read into the table, counted by level."""
+    """Error logs, each a group of its own, read into the table and counted by level."""
     root = _work_dir(s, "errors")
-    fixtures.error_lines(s, d).select("raw").coalesce(1).write.text(f"{root}/logs")
-    _joined(glob.glob(f"{root}/logs/part-*"), f"{root}/web/error.log")
-    work = ingest.Ingestion(s, f"{root}/table", [f"{root}/web/error.log"], {f"{root}/web/error.log"})
+    fixtures.error_lines(s, d).select("raw").repartition(4).write.text(f"{root}/logs")
+    groups = [f"{root}/logs/part-{i:05d}" for i in range(4)]
+    work = ingest.Ingestion(s, f"{root}/table", groups, set(groups))
     work.round(NOW)
     return work.table.read().groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ip").alias("ips"), F.count_distinct("path").alias("paths"))
 
 
+def _ingest_report(s: SparkSession, d: str) -> DataFrame:
+    """Logs with a broken line after every tenth: what a round says of them, and the lines that it kept aside."""
+    root = _work_dir(s, "report")
+    number = F.substring("id", 3, 12).cast("long")
+    broken = _lines(s, d).where(number % 10 == 0).select(F.concat(F.lit("10.0.0.1 - - [01/Jan/2040:00:00:00 +0000] odd "), "id").alias("raw"))
+    _lines(s, d).select("raw").union(broken).repartition(4).write.text(f"{root}/logs")
+    work = ingest.Ingestion(s, f"{root}/table", [f"{root}/logs/part-{i:05d}" for i in range(4)])
+    work.round(NOW)
+    report, groups = work.report, work.group_states()
+    said = groups.agg(F.sum("document_count").alias("documents"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return said.select("*", *(F.lit(v).cast("long").alias(k) for k, v in (("processed", report.processed), ("succeeded", report.succeeded), ("failed", report.failed), ("kept", work.rejected().where("raw like '% odd e-%'").count()))))
+
+
+_add("ingest_report", _ingest_report, "SELECT count(*) AS documents, min(timestamp) AS first, max(timestamp) AS last, count(*) + count(*) FILTER (WHERE CAST(substr(id, 3) AS BIGINT) % 10 = 0) AS processed, count(*) AS succeeded, count(*) FILTER (WHERE CAST(substr(id, 3) AS BIGINT) % 10 = 0) AS failed, count(*) FILTER (WHERE CAST(substr(id, 3) AS BIGINT) % 10 = 0) AS kept FROM entries")
 _add("gzip_ingest", _gzip_ingest, _STATUS_SQL)
 _add("rotation_ingest", _rotation_ingest, f"SELECT *, '[1, 0, 2, 1]' AS slices, TRUE AS all_read FROM ({_STATUS_SQL})")
 _add("table_changes", _table_changes, "SELECT main_log_path, file_path, count(*) AS n, CAST(sum(CASE WHEN status = 404 THEN -1 ELSE bytes_sent END) AS BIGINT) AS bytes FROM entries WHERE main_log_path LIKE '%shop%' AND file_path NOT IN ('/var/log/web/shop.access.log.1', '/var/log/web/shop.access.log') GROUP BY ALL")
