@@ -160,10 +160,57 @@ def test_round_that_fails_is_repeated_without_loss(work, log, monkeypatch):
 def test_state_of_a_round_that_is_cut_short(work, log):
     put(log, range(3))
     work.round(NOW)
-    os.makedirs(f"{work.state_path}/v{9:010d}")  # a version without its mark
+    os.makedirs(f"{work.state_path}/v{9:010d}")  # of an earlier format
+    with open(f"{work.state_path}/.part", "w") as f:
+        f.write('[{"path": ')  # a version that was not written to its end has no name yet
     assert work.states()[log].position == sum(len(line(i)) for i in range(3))
 
 
+def test_rounds_made_at_once(spark, work, log, tmp_path, monkeypatch):
+    """A second round between another's reading and saving: both read the same lines, none is lost or there twice."""
+    other_log = log.replace("access", "other")
+    put(log, range(5))
+    put(other_log, range(100, 103))
+    second, save = Ingestion(spark, work.table.root, [log, other_log]), Ingestion._save
+
+    def late(self, *changed):
+        monkeypatch.setattr(Ingestion, "_save", save)
+        put(log, range(5, 8), "a")
+        second.round(NOW)
+        return save(self, *changed)
+
+    monkeypatch.setattr(Ingestion, "_save", late)
+    work.round(NOW)
+    assert numbers(work) == [*range(8), 100, 101, 102] and set(work.states()) == {log, other_log}
+    second.round(NOW)
+    assert numbers(work) == [*range(8), 100, 101, 102]
+
+
+def test_report_and_rejected_lines(work, log):
+    put(log, range(6), end="a/b - - - x\n" + line(6).replace("/Jan/2025", "/Jan/2055"))
+    work.round(NOW)
+    assert (work.report.slices, work.report.processed, work.report.succeeded, work.report.failed) == (1, 8, 6, 2)
+    assert work.report.lines_per_second > 0 and work.report.error_rate == 0.25 and work.report.bytes == os.path.getsize(log) - 8
+    kept = work.rejected().collect()
+    assert {r["raw"] for r in kept} == {"a/b - - - x", line(6).replace("/Jan/2025", "/Jan/2055").rstrip()} and {r["round"] for r in kept} == {NOW}
+    group = work.group_states().first()
+    assert (group["main_log_path"], group["files"], group["document_count"]) == (log, 1, 6) and group["last"] - group["first"] == 5
+    work.round(NOW)
+    assert work.report.processed == 0
+
+
+def test_rebuild_of_all_groups(spark, tmp_path, log):
+    other = log.replace("access", "other")
+    put(log, range(3))
+    put(other, range(10, 12))
+    work = Ingestion(spark, str(tmp_path / "table"), [log, other])
+    work.round(NOW)
+    before = work.round
+    work.round = lambda now, force=False: before(now, force) if work.groups != [other] else (_ for _ in ()).throw(OSError("unreadable"))
+    assert work.rebuild(NOW) == {log: "indexed", other: "error: unreadable"}
+    assert numbers(work) == [0, 1, 2, 10, 11] and work.groups == [log, other]
+
+
 def test_entries_that_change_their_day(spark, tmp_path):
     table = EntryTable(spark, str(tmp_path / "t"))
     make = lambda rows: spark.createDataFrame(rows, "id string, timestamp long, main_log_path string, file_path string, bytes_sent long")

@@ -35,7 +35,8 @@ def entries(spark, n, seed=0, days=4, prefix="aaaabbbbccccdddd", groups=("/g", "
 
 @pytest.fixture
 def table(spark, tmp_path):
-    return EntryTable(spark, str(tmp_path / "t"))
+    # A root whose own path looks like that of a change.
+    return EntryTable(spark, str(tmp_path / uuid.uuid4().hex / "t"))
 
 
 def ids(rows):

@@ -39,7 +39,7 @@ def _hashes(rows: DataFrame) -> Column:
             held = spaced.contains(F.concat(F.lit(" "), F.col(c), F.lit(" "))) | spaced.contains(F.concat(F.lit('"'), F.col(c), F.lit('"')))
             found = F.when(~F.coalesce(held, F.lit(False)), found)
         parts.append(F.coalesce(found, F.array().cast("array<string>")))
-    return F.transform(F.flatten(F.array(*parts)), lambda t: F.xxhash64(t))
+    return F.transform(F.flatten(F.array(*parts)), lambda t: F.xxhash64(t)) if parts else F.array().cast("array<bigint>")
 
 
 def _pages(file: str, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:

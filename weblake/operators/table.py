@@ -323,7 +323,7 @@ class EntryTable:
             if not files:
                 return before.manifest.unionByName(fresh), schema
             # Ids only: which files hold one of the new ones.
-            path = F.regexp_extract("_metadata.file_path", "[0-9a-f]{32}/.*", 0)
+            path = F.regexp_extract("_metadata.file_path", "[0-9a-f]{32}/grp=[^/]*/dt=[^/]*/[^/]*$", 0)
             held = self.load(before, near).select(path.alias("file"), "main_log_path", "id").join(ids, ["main_log_path", "id"], "left_semi")
             hit = self.spark.createDataFrame(held.select("file").distinct().collect(), "file string")
             stay = before.manifest.join(F.broadcast(hit), "file", "left_anti").unionByName(fresh)

@@ -131,8 +131,8 @@ class Ingestion:
         spark.dataSource.register(RotatedLogSource)
 
     def _versions(self) -> list[str]:
-        """Versions of the states, oldest first."""
-        return [n for n in self.folder.names() if n.startswith("v")]
+        """Versions of the states, oldest first; each is a file that is there whole or not at all."""
+        return [n for n in self.folder.names() if n.startswith("s")]
 
     def states(self) -> dict[str, files.FileState]:
         versions = self._versions()
@@ -145,7 +145,7 @@ class Ingestion:
         for _ in range(100):
             versions = self._versions()
             states = {p: s for p, s in self.states().items() if not gone(s)} | changed
-            name = f"v{int(versions[-1][1:]) + 1 if versions else 1:010d}"
+            name = f"s{int(versions[-1][1:]) + 1 if versions else 1:010d}"
             if self.folder.put(name, json.dumps([s.json() for s in states.values()])):
                 for old in versions[:-1]:
                     self.folder.delete(old)
