@@ -617,3 +617,30 @@ def test_broken_archives():
             list(warc.read_archive(io.BytesIO(bad)))
     with pytest.raises(warc.WarcError):
         warc.page_of(*warc.parse_record(warc.record(1, "u", b"abd", 3, warc.digest(b"abc"))))
+
+
+# --- empty tables ------------------------------------------------------------------------------------------------------
+
+
+def test_nothing_to_score(spark, none):
+    """No documents to learn from or to score: no rows, or the defined scores of what there is."""
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame(messy()[:6], DOCS)
+    assert toxicity.fit(none, labels).score(none).count() == 0 and toxicity.fit(some, labels).score(none).count() == 0
+    assert {r["score"] for r in toxicity.fit(none, labels.where("false")).score(some).collect()} == {0.0}
+    contents = langid.dictionaries(some.withColumn("lang", F.lit("aa")))
+    assert langid.predict(none, contents).count() == 0 and langid.predict(none, langid.dictionaries(none)).count() == 0
+    twice = [r["lang_pred"] for r in langid.predict(some.union(some), contents).collect()]
+    assert len(twice) == 12 and set(twice) <= {"aa", "und"}
+
+
+def test_exceptions_hold_whole_neighbour_words():
+    """A long word before or after a hit is an exception as a whole, with its spaces."""
+    import pyarrow as pa
+
+    long = "q" * 300
+    text = f"{long}    hate  w{long} x hate"
+    batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([0], pa.int32())], ["text", "toxic"])
+    lexicon = ((toxicity.fold("hate"), 1.0),)
+    found = {e for b in toxicity._pairs(lexicon, ())(iter([batch])) for e in b.column(0).to_pylist()}
+    assert found == {f" {long}    hate ", f" hate  w{long} ", " x hate "}
