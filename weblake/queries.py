@@ -508,16 +508,16 @@ def _error_ingest(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ingest_report(s: SparkSession, d: str) -> DataFrame:
-    """Logs with a broken line after every tenth: what a round says of them, and the lines that it kept aside."""
+    """Logs with lines of a time to come, one for every tenth: what a round says of them, and the lines that it kept aside."""
     root = _work_dir(s, "report")
     number = F.substring("id", 3, 12).cast("long")
-    broken = _lines(s, d).where(number % 10 == 0).select(F.concat(F.lit("10.0.0.1 - - [01/Jan/2040:00:00:00 +0000] odd "), "id").alias("raw"))
+    broken = _lines(s, d).where(number % 10 == 0).select(F.concat(F.lit('10.0.0.1 - - [01/Jan/2040:00:00:00 +0000] "GET /odd/'), "id", F.lit(' HTTP/1.1" 200 1 "-" "-"')).alias("raw"))
     _lines(s, d).select("raw").union(broken).repartition(4).write.text(f"{root}/logs")
     work = ingest.Ingestion(s, f"{root}/table", [f"{root}/logs/part-{i:05d}" for i in range(4)])
     work.round(NOW)
     report, groups = work.report, work.group_states()
     said = groups.agg(F.sum("document_count").alias("documents"), F.min("first").alias("first"), F.max("last").alias("last"))
-    return said.select("*", *(F.lit(v).cast("long").alias(k) for k, v in (("processed", report.processed), ("succeeded", report.succeeded), ("failed", report.failed), ("kept", work.rejected().where("raw like '% odd e-%'").count()))))
+    return said.select("*", *(F.lit(v).cast("long").alias(k) for k, v in (("processed", report.processed), ("succeeded", report.succeeded), ("failed", report.failed), ("kept", work.rejected().where("raw like '%/odd/e-%'").count()))))
 
 
 _add("ingest_report", _ingest_report, "SELECT count(*) AS documents, min(timestamp) AS first, max(timestamp) AS last, count(*) + count(*) FILTER (WHERE CAST(substr(id, 3) AS BIGINT) % 10 = 0) AS processed, count(*) AS succeeded, count(*) FILTER (WHERE CAST(substr(id, 3) AS BIGINT) % 10 = 0) AS failed, count(*) FILTER (WHERE CAST(substr(id, 3) AS BIGINT) % 10 = 0) AS kept FROM entries")

@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.access import valid_entry, with_entry
+from ..functions.access import access_entry, valid_entry, with_entry
 from ..functions.errorlog import error_entry
 from ..functions.useragent import user_agent, with_user_agent
 from ..operators.geography import locate
@@ -28,9 +28,11 @@ _REJECTED = [c.split()[0] for c in _REJECTED_SCHEMA.split(", ")]
 _PLACES = ("region_code", "province", "city", "sub1", "sub2", "city_point")
 
 
-def parsed_access(lines: DataFrame, now: int) -> DataFrame:
-    """Lines with their fields, ``_e``: null where a line is none, and ``_ok``: whether they are plausible at ``now``."""
-    rows = with_entry(lines, F.lit(now))
+def parsed_access(lines: DataFrame, now: int, split: bool = False) -> DataFrame:
+    """Lines with their fields, ``_e``: null where a line is none, and ``_ok``: whether they are plausible at ``now``.  ``split`` reads
+    lines of the common form without the pattern; its result is to be persisted before it is filtered, since Spark would move a
+    filter below each of its steps and write them all into it."""
+    rows = with_entry(lines, F.lit(now)) if split else lines.withColumn("_e", access_entry(F.col("raw"), F.lit(now)))
     named = rows.select("*", *(F.col(f"_e.{c}").alias(c) for c in ("ip", "timestamp", "method", "path", "status")))
     return named.select(*lines.columns, "_e", F.coalesce(F.col("_e").isNotNull() & valid_entry(F.lit(now)), F.lit(False)).alias("_ok"))
 
@@ -72,8 +74,8 @@ def errors_of(parsed: DataFrame) -> DataFrame:
 
 def counted(lines: DataFrame) -> DataFrame:
     """One row: lines read, parsed, not parsed, and the share of those."""
-    ok = F.col("_e").isNotNull().cast("int")
-    return with_entry(lines).agg(F.count(F.lit(1)).alias("processed"), F.sum(ok).alias("succeeded")).select("processed", "succeeded", (F.col("processed") - F.col("succeeded")).alias("failed"), ((F.col("processed") - F.col("succeeded")) / F.col("processed")).alias("error_rate"))
+    ok = access_entry(F.col("raw")).isNotNull().cast("int")
+    return lines.agg(F.count(F.lit(1)).alias("processed"), F.sum(ok).alias("succeeded")).select("processed", "succeeded", (F.col("processed") - F.col("succeeded")).alias("failed"), ((F.col("processed") - F.col("succeeded")) / F.col("processed")).alias("error_rate"))
 
 
 @dataclass(frozen=True)
@@ -176,7 +178,7 @@ class Ingestion:
         """Parses lines once: their entries are upserted, the others kept in ``rejected``, and both are counted."""
         began = time.perf_counter()
         is_error = F.col("main_log_path").isin(sorted(self.error_logs)) if self.error_logs else F.lit(False)
-        kinds = [(parsed_access(lines.where(~is_error) if self.error_logs else lines, now), lambda rows: enriched(rows, self.ranges, self.agent, self.place))]
+        kinds = [(parsed_access(lines.where(~is_error) if self.error_logs else lines, now, split=True), lambda rows: enriched(rows, self.ranges, self.agent, self.place))]
         if self.error_logs:
             kinds.append((parsed_errors(lines.where(is_error)), errors_of))
         held = [(parsed.persist(StorageLevel.MEMORY_AND_DISK), entries) for parsed, entries in kinds]
