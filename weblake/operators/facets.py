@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,7 +104,34 @@ def distinct(matches: DataFrame, column: str, approximate: bool = False, rsd: fl
     return matches.agg((F.approx_count_distinct(_present(column), rsd) if approximate else F.count_distinct(_present(column))).alias("distinct"))
 
 
-def scan(matches: DataFrame, columns: list[str], fold, schema: str) -> DataFrame:
-    """A user's own fold over the named columns: ``fold`` takes Arrow batches of a partition and yields partial results, which
-    the caller adds up."""
-    return matches.select(*columns).mapInArrow(fold, schema)
+def scan(matches: DataFrame, columns: list[str], fold, schema: str, merge=None, fan: int = 32) -> DataFrame:
+    """A user's own aggregate over the named columns: ``fold`` takes the Arrow batches of a partition and yields partial results
+    (rows of ``schema``).  With ``merge``, which takes batches of such rows and yields fewer, they are merged in ``fan`` tasks and then
+    in one, so the last sees what ``fan`` tasks have left, however many partitions there were.  Without it the caller adds them up."""
+    partial = matches.select(*columns).mapInArrow(fold, schema)
+    if merge is None:
+        return partial
+    return partial.repartition(fan).mapInArrow(merge, schema).repartition(1).mapInArrow(merge, schema)
+
+
+def size_histogram(matches: DataFrame, column: str = "bytes_sent") -> DataFrame:
+    """(bits, n): how many values have so many binary digits, as an aggregate of one's own (``scan``); 0 and nulls have none."""
+
+    def counted(pairs):
+        n = np.zeros(65, np.int64)
+        for bits, count in pairs:
+            n += np.bincount(bits, count, 65).astype(np.int64)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["bits", "n"])
+
+    def fold(batches):
+        def digits(batch):
+            values = np.maximum(0, batch.column(0).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False))
+            return np.searchsorted(2 ** np.arange(63, dtype=np.int64), values, side="right"), None
+
+        return counted(map(digits, batches))
+
+    def merge(batches):
+        return counted((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches)
+
+    return scan(matches, [column], fold, "bits int, n long", merge)

@@ -154,6 +154,7 @@ _add(
     f"{_ROUND} (SELECT * EXCLUDE (every) REPLACE (round(total_bytes * every / docs, 3) AS total_bytes, total_request_time * every / docs AS total_request_time), every > docs AS approximate FROM (SELECT {_STATS.format(t='DOUBLE')} FROM (SELECT * FROM entries ORDER BY timestamp, id LIMIT 500)), (SELECT count(*) AS every FROM entries))",
 )
 _add("entries_stats_terms", lambda s, d: facets.entries_stats(fixtures.entries(s, d))["terms"].where("field <> 'user_agent'"), " UNION ALL ".join(_facet_sql(c) for c in ("path_exact", "ip", "status", "method")))
+_add("scan_sizes", lambda s, d: facets.size_histogram(fixtures.entries(s, d)), "SELECT CAST(CASE WHEN bytes_sent > 0 THEN length(bin(bytes_sent)) ELSE 0 END AS INTEGER) AS bits, count(*) AS n FROM entries GROUP BY 1")
 _add("distinct_ip", lambda s, d: facets.distinct(fixtures.entries(s, d), "ip"), 'SELECT count(DISTINCT ip) AS "distinct" FROM entries')
 _add("distinct_path", lambda s, d: facets.distinct(matching(fixtures.entries(s, d), SearchRequest(start=START, end=END)), "path_exact"), f'SELECT count(DISTINCT path_exact) AS "distinct" FROM entries WHERE {_IN}')
 _add(
