@@ -228,16 +228,17 @@ def test_filters_lose_no_token_and_let_few_others_through(spark, tmp_path, monke
         skipping.write(rows, f"{folder}/c")
         files = spark.createDataFrame([(f"f{i}", "c") for i in range(3)], "file string, change string")
         own = lambda *tokens: {r["file"] for r in skipping.able(spark, folder, files, [[frozenset(tokens)]]).collect()}
-        for i in (0, 17, 19_999, 20_000, 39_999, 59_999):
+        any_of = lambda *tokens: {r["file"] for r in skipping.able(spark, folder, files, [[frozenset([t]) for t in tokens]]).collect()}
+        for i in (0, 19_999, 20_000, 59_999):
             assert f"f{i // 20_000}" in own(f"tok{i}", "common")
-        wrong = sum(len(own(f"no{i}")) for i in range(40))
-        assert wrong <= 3 and own("common") == {"f0", "f1", "f2"}
+        assert own("common") == {"f0", "f1", "f2"} == any_of(*(f"tok{i}" for i in (3, 20_001, 40_007)))
+        assert sum(len(any_of(*(f"no{k}-{i}" for i in range(8)))) for k in range(3)) <= 2
 
 
 # --- stored sums -------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
 def test_dashboards_from_sums_equal_those_from_rows(spark, table, zone):
     table.upsert(entries(spark, 900, days=4))
     table.upsert(entries(spark, 900, days=4).where("timestamp % 5 = 0").withColumn("ip", F.lit("10.0.0.9")))
@@ -246,11 +247,10 @@ def test_dashboards_from_sums_equal_those_from_rows(spark, table, zone):
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
         rows = table.read()
-        for start, end in ((START + DAY, START + 3 * DAY), (START + DAY + 1234, START + 2 * DAY + 777), (START + 5000, START + 5100), (START + 90 * DAY, START + 91 * DAY)):
-            for group in (None, "/g"):
-                want = dash.dashboard(spark, rows if group is None else rows.where(F.col("main_log_path") == group), start, end)
-                got = table.dashboard(start, end, group)
-                assert {k: v.collect() for k, v in got.items()} == {k: v.collect() for k, v in want.items()}, (start, end, group)
+        for start, end, group in ((START + DAY, START + 3 * DAY, None), (START + DAY + 1234, START + 2 * DAY + 777, "/g"), (START + 5000, START + 5100, None), (START + 90 * DAY, START + 91 * DAY, None)):
+            want = dash.dashboard(spark, rows if group is None else rows.where(F.col("main_log_path") == group), start, end)
+            got = table.dashboard(start, end, group)
+            assert {k: v.collect() for k, v in got.items()} == {k: v.collect() for k, v in want.items()}, (start, end, group)
     finally:
         spark.conf.set("spark.sql.session.timeZone", held)
 
