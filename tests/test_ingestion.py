@@ -325,6 +325,17 @@ def test_planning_helpers(tmp_path, log):
     assert not files.is_gzip(log + ".2.gz") and len(files.group_files(log)) == 2
 
 
+def test_large_files_wait_only_while_no_other_file_changed(log, monkeypatch):
+    monkeypatch.setattr(files, "BUSY_BYTES", 100)
+    put(log, range(3))
+    states = {log: files.state_after(files.plan(log, {})[0], NOW)}
+    put(log, range(3, 6), "a")
+    assert not files.plan(log, states, now=NOW + 60) and len(files.plan(log, states, now=NOW + 3600)) == 1
+    os.rename(log, log + ".1")
+    put(log, range(10, 13))
+    assert [(p.path, p.start > 0) for p in files.plan(log, states, now=NOW + 60)] == [(log, False), (log + ".1", True)]
+
+
 def test_upsert_keeps_the_last_of_an_id(spark, tmp_path):
     table = EntryTable(spark, str(tmp_path / "t"))
     make = lambda rows: spark.createDataFrame(rows, "id string, timestamp long, main_log_path string, file_path string, bytes_sent long")

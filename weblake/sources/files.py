@@ -135,7 +135,7 @@ def needs_sync(state: FileState | None, size: int, modified: float) -> bool:
 
 
 def throttled(state: FileState | None, path: str, size: int, now: float) -> bool:
-    """A large file that was read lately waits."""
+    """Whether a file alone is no reason for a round: it is large and was read lately."""
     return state is not None and size > BUSY_BYTES and not path.lower().endswith(".gz") and now - state.indexed < BUSY_SECONDS
 
 
@@ -167,18 +167,26 @@ def _planned(path: str, base: str, state: FileState | None, furthest: dict[str,
 def plan(base: str, states: dict[str, FileState], force: bool = False, allowed: set[str] | None = None, now: float | None = None, measure: Callable[[str], int] = content_size) -> list[Slice]:
     """What to read of a group.  The same first line at the same path goes on where it stopped, unless the file is shorter now;
     at another path (a rotation) it goes on from the furthest position any path has; else it is read from the start.
+    A group of which only large files changed that were read lately waits; if any other file changed, all that changed are read.
     ``measure`` gives the size of a compressed file's content.  A file that cannot be read is left out, the others stay."""
     furthest: dict[str, int] = {}
     for s in states.values():
         if s.fingerprint and s.sync_version >= SYNC_VERSION:
             furthest[s.fingerprint] = max(furthest.get(s.fingerprint, 0), s.position)
-    out = []
+    changed, due = [], force
     for path in group_files(base, allowed):
         state = states.get(path)
         try:
             info = os.stat(path)
-            if force or (needs_sync(state, info.st_size, info.st_mtime) and not (now is not None and throttled(state, path, info.st_size, now))):
-                out.append(_planned(path, base, state, furthest, force, measure))
+        except UNREADABLE:
+            continue
+        if force or needs_sync(state, info.st_size, info.st_mtime):
+            changed.append(path)
+            due = due or now is None or not throttled(state, path, info.st_size, now)
+    out = []
+    for path in changed if due else ():
+        try:
+            out.append(_planned(path, base, states.get(path), furthest, force, measure))
         except UNREADABLE:
             continue
     return out
