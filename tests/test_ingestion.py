@@ -356,3 +356,12 @@ def test_catalogue_rollup(spark):
     got = {r["path"]: (r["document_count"], r["last_size"], r["index_status"]) for r in catalog.groups(states, hosts).collect()}
     assert got == {"/a.log": (9, 5, "indexed"), "/b.log": (3, 5, "queued"), "/new.log": (0, 0, "not_indexed")}
     assert [r["main_log_path"] for r in catalog.stale(states, hosts).collect()] == ["/b.log"]
+
+
+def test_ids_that_come_twice_at_once(spark, tmp_path):
+    table = EntryTable(spark, str(tmp_path / "t"))
+    make = lambda rows: spark.createDataFrame(rows, "id string, timestamp long, main_log_path string, file_path string, bytes_sent long")
+    once, twice = make([("a", NOW, "g", "f", 1), ("a", NOW, "h", "f", 2)]), make([("a", NOW, "g", "f", 1), ("a", NOW - 3 * 86400, "g", "f", 1), ("b", NOW, "g", "f", 5)])
+    assert table._write_unique(once, "one") == "one" and table._write_unique(twice, "two") != "two" and not table.folder.has("data/two")
+    table.upsert(twice)
+    assert sorted((r["id"], r["bytes_sent"]) for r in table.read().collect()) == [("a", 1), ("b", 5)] and table.count() == 2

@@ -273,14 +273,28 @@ class EntryTable:
         digest = F.concat(F.lit("g"), F.substring(F.md5(F.col("main_log_path").cast("binary")), 1, 12))
         return rows.withColumns({"grp": digest, "dt": F.to_date(F.timestamp_seconds("timestamp"))})
 
-    def _write(self, rows: DataFrame, change: str) -> DataFrame:
-        """Writes rows to files of a change, with their token filters and sums; the manifest's rows of the files."""
-        data = f"{self.root}/data/{change}"
+    def _write_data(self, rows: DataFrame, change: str) -> None:
         # Spark splits large days and joins small ones, so files have an even size; in each of them time goes up.
         even = self._placed(rows).hint("rebalance", *_PARTS)
-        even.sortWithinPartitions(*_PARTS, "timestamp", "id").write.partitionBy(*_PARTS).parquet(data)
-        schema = T.StructType([*rows.schema, T.StructField("grp", T.StringType()), T.StructField("dt", T.DateType())])
-        path = F.regexp_extract("_metadata.file_path", f"{change}/.*", 0)
+        even.sortWithinPartitions(*_PARTS, "timestamp", "id").write.partitionBy(*_PARTS).parquet(f"{self.root}/data/{change}")
+
+    def _write_unique(self, rows: DataFrame, change: str) -> str:
+        """Writes rows, one of each (group, id), and the change that they are in.  Ids rarely come twice, so rows are written as they are and
+        only their ids are compared; where some do, the rows are written once more without the others."""
+        self._write_data(rows, change)
+        written = self.spark.read.schema(rows.schema).parquet(f"{self.root}/data/{change}")
+        if written.groupBy("main_log_path", "id").count().where("count > 1").isEmpty():
+            return change
+        again = uuid.uuid4().hex
+        self._write_data(keep_last(written.withColumn("_seq", F.lit(0))).drop("_seq"), again)
+        self.folder.delete(f"data/{change}")
+        return again
+
+    def _described(self, of: T.StructType, change: str) -> DataFrame:
+        """Writes the token filters and sums of a change's files; the manifest's rows of the files."""
+        data = f"{self.root}/data/{change}"
+        schema = T.StructType([*of, T.StructField("grp", T.StringType()), T.StructField("dt", T.DateType())])
+        path = F.substring_index("_metadata.file_path", "/data/", -1)
         written = self.spark.read.schema(schema).parquet(data).withColumns({"_file": path, "_bytes": F.col("_metadata.file_size")})
         skipping.write(written, f"{self.root}/tokens/{change}")
         rollup.write(written, f"{self.root}/sums/{change}")
@@ -297,6 +311,11 @@ class EntryTable:
         )
         return self.spark.createDataFrame([_manifest_row(r, change) for r in every.toLocalIterator()], MANIFEST)
 
+    def _write(self, rows: DataFrame, change: str) -> DataFrame:
+        """Writes rows to files of a change, with their token filters and sums; the manifest's rows of the files."""
+        self._write_data(rows, change)
+        return self._described(rows.schema, change)
+
     def _overlapping(self, live: DataFrame, fresh: DataFrame) -> DataFrame:
         """The live files whose ranges of ids meet those of fresh ones in the same group."""
         ranged = lambda m, p: m.select("grp", F.col("file").alias(f"{p}file"), F.explode("stems").alias("stem", f"{p}r"))
@@ -309,9 +328,9 @@ class EntryTable:
 
     def upsert(self, rows: DataFrame) -> None:
         """Adds rows; one with the id of another of its group replaces it, on whatever day that was."""
-        change = uuid.uuid4().hex
-        unique = keep_last(acceptable(compact_nulls(rows)).withColumn("_seq", F.lit(0))).drop("_seq")
-        fresh = self._write(unique, change)
+        unique = acceptable(compact_nulls(rows))
+        change = self._write_unique(unique, uuid.uuid4().hex)
+        fresh = self._described(unique.schema, change)
         if fresh.isEmpty():
             return
         ids = self.spark.read.schema(unique.schema).parquet(f"{self.root}/data/{change}").select("main_log_path", "id")
