@@ -358,6 +358,21 @@ def test_catalogue_rollup(spark):
     assert [r["main_log_path"] for r in catalog.stale(states, hosts).collect()] == ["/b.log"]
 
 
+def test_large_compressed_content_is_dealt_to_tasks(work, log, monkeypatch):
+    with gzip.open(log + ".1.gz", "wt") as f:
+        f.write("".join(map(line, range(500))))
+    put(log, range(500, 503))
+    monkeypatch.setattr(files, "PART_BYTES", 4096)
+    slices = work.plan({}, NOW)
+    (packed,) = [s for s in slices if s.compressed]
+    monkeypatch.setattr(files, "parts", lambda s, n=4096, parts=files.parts: parts(s, n))
+    lines = work.lines(slices)
+    want = -(-packed.end // 4096)
+    assert want > 5 and lines.where("file_path like '%.gz'").select(F.spark_partition_id().alias("p")).distinct().count() > want // 2
+    work.round(NOW)
+    assert numbers(work) == list(range(503)) and work.report.processed == 503
+
+
 def test_ids_that_come_twice_at_once(spark, tmp_path):
     table = EntryTable(spark, str(tmp_path / "t"))
     make = lambda rows: spark.createDataFrame(rows, "id string, timestamp long, main_log_path string, file_path string, bytes_sent long")

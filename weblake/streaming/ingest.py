@@ -183,10 +183,12 @@ class Ingestion:
             kinds.append((parsed_errors(lines.where(is_error)), errors_of))
         held = [(parsed.persist(StorageLevel.MEMORY_AND_DISK), entries) for parsed, entries in kinds]
         try:
-            # Entries of both kinds in one change, so that a round is there whole or not at all.
-            self.table.upsert(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (entries(parsed) for parsed, entries in held)))
+            # Counting comes first: it is one stage, so each line is parsed by one task; the stages of an upsert begin together and
+            # would each parse what the others have not kept yet.
             count = lambda rows: rows.agg(F.count(F.lit(1)), F.count_if("_ok"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()
             processed, succeeded, size = map(sum, zip(*(count(parsed) for parsed, _ in held)))
+            # Entries of both kinds in one change, so that a round is there whole or not at all.
+            self.table.upsert(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (entries(parsed) for parsed, entries in held)))
             if processed > succeeded:
                 rejected = reduce(DataFrame.union, (parsed.where("not _ok").select(*_REJECTED) for parsed, _ in held))
                 rejected.withColumn("round", F.lit(int(now))).write.mode("append").parquet(self.rejected_path)
@@ -202,6 +204,18 @@ class Ingestion:
             return self.spark.createDataFrame([], f"{_REJECTED_SCHEMA}, round long")
         return self.spark.read.schema(f"{_REJECTED_SCHEMA}, round long").parquet(self.rejected_path)
 
+    def lines(self, slices: list[files.Slice]) -> DataFrame:
+        """The lines of slices.  One task reads a compressed file, so what a large one holds is dealt to as many tasks as a plain file of its
+        content would have; parsing a line takes far longer than reading it."""
+        read = lambda some: self.spark.read.format("rotated_log").option("slices", json.dumps([asdict(s) for s in some])).load()
+        tasks = {s.path: len(files.parts(replace(s, compressed=False))) for s in slices if s.compressed}
+        large = [s for s in slices if tasks.get(s.path, 0) > 1]
+        if not large:
+            return read(slices)
+        dealt = read(large).repartition(sum(tasks[s.path] for s in large), "file_path", "offset")
+        rest = [s for s in slices if tasks.get(s.path, 0) <= 1]
+        return read(rest).union(dealt) if rest else dealt
+
     def round(self, now: int, force: bool = False) -> int:
         """Reads what is new; how many slices there were.  ``report`` tells more of the last round."""
         self.report = Report()
@@ -215,8 +229,7 @@ class Ingestion:
                 void.setdefault(piece.main_log_path, []).append(piece.path)
         for group, paths in void.items():
             self.table.purge_files(group, paths)
-        lines = self.spark.read.format("rotated_log").option("slices", json.dumps([asdict(s) for s in slices])).load()
-        self.report = replace(self._load(lines, now), slices=len(slices))
+        self.report = replace(self._load(self.lines(slices), now), slices=len(slices))
         self._save({s.path: files.state_after(s, now) for s in slices if files.still_there(s)})
         return len(slices)
 
