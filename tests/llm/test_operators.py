@@ -451,6 +451,30 @@ def test_special_strings_and_case():
         assert np.frombuffer(next(encoder.texts([t.encode()])), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_words_are_encoded_once_without_signs():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, given = public_tokenizers.path("word_bpe_49k.json"), []
+    encoder = packing._Encoder(path)
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **kw):
+            given.extend(w for t in texts for w in t.split())
+            return self.tokenizer.encode_batch_fast(texts, **kw)
+
+    plain = Tokenizer.from_file(path)
+    encoder.tokenizer, encoder.merges_only = Counted(encoder.tokenizer), Counted(encoder.merges_only)
+    words, signs = ["ertiblent", "cióníquega", "schaußzu"], ["", "$$$", ".%%%", "###", ",&&&", "-_-", "<|", "'", "'s", "'re.", "\u0338", "=\u0338", "5", "|>"]
+    texts = [" ".join(w + x for w in words for x in signs), "\x0b" + "\t".join(w.upper() + x for w in words for x in signs) + "\r", "a<|endoftext|>. <|startoftext|>$ <|b", " \n"]
+    for got, t in zip(encoder.texts([t.encode() for t in texts]), texts, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert max(Counter(given).values()) == 1 and not {w + x for w in words for x in ("$$$", ".%%%", "###", ",&&&", "-_-", "|>")} & set(given)
+
+
 def test_other_tokenizers_get_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer

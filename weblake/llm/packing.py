@@ -26,20 +26,24 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ahead, as_bytes, cut, keep_cache
+from .common import ahead, as_bytes, blocks, cut, keep_cache
 
 END = 2
-_STOPS = b".,"
 _MOST_WORDS = 1_000_000
+_BLOCK_CHARS = 8 << 20
+#: Plain words that are encoded as one text.
+_TOGETHER = 200
 _encoders: dict = {}
 keep_cache("packing", _encoders.clear)
 
 
-#: Words of these letters alone are not changed by normalisation nor cut before merging.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: A word of these letters is not changed by normalisation nor cut before merging; a run of signs after it is apart from it.  An
+#: apostrophe is no such sign: it may belong to letters.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class _Encoder(dict):
@@ -58,18 +62,44 @@ class _Encoder(dict):
         cutters = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.by_words = steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cutters] == ["Split", "ByteLevel"] and cutters[0]["invert"] and "[\\p{L}]+" in cutters[0]["pattern"]["Regex"]
         if self.by_words:
-            rules |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": cutters[1]}
+            last = rules["model"].get("end_of_word_suffix") or "\0"
+            rules |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, cutters[1]]}}
             self.merges_only = Tokenizer.from_str(json.dumps(rules))
-
-    def _encode(self, words: list[bytes]) -> None:
-        plain: list[str] = []
-        other: list[str] = []
-        for w in words:
-            text = w.decode()
-            (plain if _PLAIN.fullmatch(text) else other).append(text)
-        for tokenizer, part in ((self.merges_only, plain), (self.tokenizer, other)):
-            for text, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[text.encode()] = array("I", e.ids).tobytes()
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(last)]] = True
+
+    def _encode(self, plain: list[str], other: list[str]) -> None:
+        parts = [plain[a : a + _TOGETHER] for a in range(0, len(plain), _TOGETHER)]
+        for part, e in zip(parts, self.merges_only.encode_batch_fast(list(map(" ".join, parts)), add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(cuts) != len(part):
+                # Words of which the vocabulary has no last token.
+                other = other + part
+                continue
+            data = ids.tobytes()
+            self.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            self[w] = array("I", e.ids).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Takes up words.  A plain word with signs after it is the word's ids and the signs'."""
+        plain, other, signed = set(), set(), []
+        for w, found in zip(new, map(_PLAIN.fullmatch, new)):
+            if found is None:
+                other.add(w)
+                continue
+            core, signs = found.groups()
+            if core not in self:
+                plain.add(core)
+            if signs:
+                signed.append((w, core, signs))
+                if signs not in self:
+                    other.add(signs)
+        self._encode(list(plain), list(other))
+        for w, core, signs in signed:
+            self[w] = self[core] + self[signs]
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
         if not self.by_words:
@@ -78,27 +108,23 @@ class _Encoder(dict):
             return
         if len(self) > _MOST_WORDS:
             self.clear()
-        found, gaps, new = [], [], set()
-        for t in texts:
-            # A-Z are lower-cased by the tokenizer in any case; only its special tokens tell them apart.
-            words = (t.lower() if b"<|" not in t else t).split()
-            ids = list(map(self.get, words))
-            gap = [(i, words[i]) for i, x in enumerate(ids) if x is None]
-            new.update(w for _, w in gap)
-            found.append(ids)
-            gaps.append(gap)
-        # A stop or comma after a-z is a token of its own, so such a word is its core's ids and the sign's.
-        stopped = [w for w in new if w[-1] in _STOPS and len(w) > 1 and 97 <= w[-2] <= 122]
-        new.difference_update(stopped)
-        new.update(c for w in stopped if (c := w[:-1]) not in self)
-        new.update(s for s in (b".", b",") if s not in self)
-        self._encode(list(new))
-        for w in stopped:
-            self[w] = self[w[:-1]] + self[w[-1:]]
-        for ids, gap in zip(found, gaps):
-            for i, w in gap:
-                ids[i] = self[w]
-            yield b"".join(ids)
+        self[""] = b""  # what is before a text's first white space, and after its last
+        column = pa.array(texts, pa.string())
+        # A-Z are lower-cased by the tokenizer in any case; only its special tokens tell them apart.
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column)))
+        coded = words.flatten().dictionary_encode()
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.get, own))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        self._learn([own[i] for i in gaps])
+        for i in gaps:
+            ids[i] = self[own[i]]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))), np.frombuffer(b"".join(ids), "<u4"))
+        data = lists.take(coded.indices).flatten().to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes[coded.indices.to_numpy()])))[np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy())))]
+        for a, b in zip(ends.tolist(), ends[1:].tolist()):
+            yield data[a:b].tobytes()
 
 
 def _pieces(path: str, piece: int):
@@ -108,8 +134,8 @@ def _pieces(path: str, piece: int):
         for batch in batches:
             rows: list[tuple] = []
             texts = as_bytes(batch.column(1), "packing")
-            for a in range(0, len(texts), 500):
-                for i, ids in enumerate(encoder.texts(texts[a : a + 500]), a):
+            for a, b in blocks(map(len, texts), _BLOCK_CHARS):
+                for i, ids in enumerate(encoder.texts(texts[a:b]), a):
                     ids += end
                     n = len(ids) // 4
                     rows += ((i, s, min(piece, n - s), zlib.crc32(ids[4 * s : 4 * (s + piece)]), n) for s in range(0, n, piece))
