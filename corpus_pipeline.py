@@ -44,9 +44,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     groups = ngram_join.join(docs, k=5, percent=80, links=False)
     # Components are told by their classes: rows of one id can be in several.
     own = F.when(F.col("id").isNull() | F.col("comp").isNull(), F.col("row"))
-    stay = groups.groupBy(F.col("id").isNull().alias("none"), "comp", own.alias("own")).agg(F.min(F.struct("id", "row"))["row"].alias("_row")).select("_row")
-    left = cut(docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text"))).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS))
-    kept = line_dedup.without_passages(left, min_docs=10, passage_words=50)
+    stay = groups.groupBy(F.col("id").isNull().alias("none"), "comp", own.alias("own")).agg(F.min(F.struct("id", "row"))["row"].alias("doc")).select("doc")
+    kept = line_dedup.without_passages(docs, min_docs=10, passage_words=50, only=cut(stay))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline as pipeline
 import pytest
 from pyspark.sql import functions as F
 
 from weblake.llm import queries
-from weblake.llm.common import cut
+from weblake.llm.common import cut, shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -89,6 +90,20 @@ def test_shared_passages_stay_once(spark, tmp_path):
     assert got == dict(rows[:7]) | {1: own[1], 3: "\n" + own[3]}
 
 
+def test_near_duplicates_write_no_texts_to_checkpoints(spark):
+    rng = random.Random(8)
+    block = " ".join(f"b{rng.randrange(10**9)}" for _ in range(60))
+    texts = [" ".join(f"{rng.randrange(16**8):08x}" for _ in range(400)) + (f"\n{block}" if i % 50 == 0 else "") for i in range(300)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(7, texts[7], "en", "s", 0), (900, texts[8], "en", "s", 0), (None, texts[9][::-1], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    folder = shared_dir(spark).removeprefix("file:")
+    held = lambda: sum(p.stat().st_size for p in Path(folder).rglob("*") if p.is_file())
+    before = held()
+    got = Counter((r["doc_id"], r["text"]) for r in pipeline.without_near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(i, t if i == 0 else t.split("\n")[0]) for i, t in enumerate(texts)] + [(None, texts[9][::-1])])
+    assert held() - before < 0.3 * sum(map(len, texts))
+
+
 def test_stages_of_nothing(spark, corpus):
     folder = corpus[0]
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")

@@ -191,13 +191,15 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return gone.groupBy("doc").agg(F.flatten(F.collect_list("at")).alias("at")).mapInArrow(_bitmap, "doc binary, drop binary")
 
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, min_docs: int, often_docs: int, min_chars: int = 1, partition_rows: int = 1_000_000) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str, text_col: str, min_docs: int, often_docs: int, min_chars: int = 1, partition_rows: int = 1_000_000, only: DataFrame | None = None) -> DataFrame:
     """(doc, at, first, often) of the lines found in ``min_docs`` documents or more: their places in a document, whether that has
-    the first occurrence, and whether ``often_docs`` documents or more have the line."""
+    the first occurrence, and whether ``often_docs`` documents or more have the line.  With ``only``, documents whose key (doc) is
+    not there are left out."""
     spark = docs.sparkSession
     lines = docs.select(F.col(id_col).cast("long").alias("id"), document_key(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     # Written once: the range partitioning looks at the pairs twice.
-    pairs = cut(lines.mapInArrow(_pairs(min_chars), "hash binary, none boolean, id long, doc binary, at array<int>"))
+    pairs = lines.mapInArrow(_pairs(min_chars), "hash binary, none boolean, id long, doc binary, at array<int>")
+    pairs = cut(pairs if only is None else pairs.join(only, "doc", "left_semi").select(*_PAIR))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // partition_rows)
     order = ("hash", "none", "id", "doc")
     runs = cut(pairs.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_runs(min_docs, often_docs), _RUNS))
@@ -213,10 +215,10 @@ def _later() -> Column:
     return F.when(F.col("first"), F.slice("at", 2, F.size("at"))).otherwise(F.col("at"))
 
 
-def passage_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10) -> DataFrame:
+def passage_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, only: DataFrame | None = None) -> DataFrame:
     """(doc, shared, later, often): for each document compressed bitmaps of the lines found in two documents or more, of those
     that are not the first occurrence, and of those again that are found in ``min_docs`` documents or more."""
-    places = repeated(docs, id_col, text_col, 2, min_docs).select("doc", "at", _later().alias("later"), "often")
+    places = repeated(docs, id_col, text_col, 2, min_docs, only=only).select("doc", "at", _later().alias("later"), "often")
     lists = places.groupBy("doc").agg(*(F.flatten(F.collect_list(c)).alias(a) for c, a in ((F.col("at"), "shared"), (F.col("later"), "later"), (F.when(F.col("often"), F.col("later")), "often"))))
 
     @tidy
@@ -243,11 +245,12 @@ def passage_lines(lines: list[bytes], shared: set[int], later: set[int], often:
     return gone
 
 
-def _rewritten(docs: DataFrame, maps: DataFrame, id_col: str, text_col: str, rewrite) -> DataFrame:
+def _rewritten(docs: DataFrame, maps: DataFrame, id_col: str, text_col: str, rewrite, only: DataFrame | None = None) -> DataFrame:
     """``docs`` with the texts that ``rewrite`` makes of a text and the bitmaps of its document; rows without bitmaps stay.  All
-    columns of a row travel as one."""
+    columns of a row travel as one.  With ``only``, the documents of these keys, one row each."""
     names, schema, blobs = docs.columns, docs.schema, [c for c in maps.columns if c != "doc"]
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), document_key(id_col, text_col).alias("doc")).join(maps, "doc", "left")
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), document_key(id_col, text_col).alias("doc"))
+    marked = marked.join(maps, "doc", "left") if only is None else marked.join(cut(only.join(maps, "doc", "left")), "doc")
 
     @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,21 +261,24 @@ def _rewritten(docs: DataFrame, maps: DataFrame, id_col: str, text_col: str, rew
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    same = marked.where(F.col(blobs[0]).isNull()).select("row.*")
-    return same.unionByName(marked.where(F.col(blobs[0]).isNotNull()).select("row", *blobs).mapInArrow(emit, schema))
+    same, changed = marked.where(F.col(blobs[0]).isNull()), marked.where(F.col(blobs[0]).isNotNull())
+    if only is not None:
+        same, changed = same.dropDuplicates(["doc"]), changed.dropDuplicates(["doc"])
+    return same.select("row.*").unionByName(changed.select("row", *blobs).mapInArrow(emit, schema))
 
 
-def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, passage_words: int = 50) -> DataFrame:
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, passage_words: int = 50, only: DataFrame | None = None) -> DataFrame:
     """The documents without lines found in ``min_docs`` documents and without passages (a line, or consecutive lines) of
     ``passage_words`` words whose lines are found in two; each line's first occurrence stays.  For texts that are no copies
-    of each other: what is left of a copy would be no copy."""
+    of each other: what is left of a copy would be no copy.  With ``only``, the documents of these keys (doc, each once), one row
+    each: others are left out before lines are counted, and texts are shuffled once for both."""
 
     def rewrite(text: bytes, *blobs: bytes) -> bytes:
         lines = text.split(b"\n")
         gone = passage_lines(lines, *map(_dropped, blobs), passage_words)
         return b"\n".join(x for i, x in enumerate(lines) if i not in gone)
 
-    return _rewritten(docs, passage_bitmaps(docs, id_col, text_col, min_docs), id_col, text_col, rewrite)
+    return _rewritten(docs, passage_bitmaps(docs, id_col, text_col, min_docs, only), id_col, text_col, rewrite, only)
 
 
 def kept_text(text: bytes, blob: bytes | None) -> tuple[bytes, int, int]:
