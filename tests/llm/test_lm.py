@@ -116,3 +116,27 @@ def test_search_between_indexes():
     values = np.array([3, 5, 9, 12, 40, 41, 90], np.uint64)
     found = EliasFano(encode(values)).find(np.array([9, 9, 41, 41, 3], np.uint64), np.array([0, 3, 4, 0, 0]), np.array([7, 7, 6, 5, 1]))
     assert found.tolist() == [2, -1, 5, -1, 0]
+
+
+def test_pairs_are_sorted_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"a{i % 50} b{i % 7} c{i % 3} a{i % 50} c{i % 2}",) for i in range(400)], "text string")
+    model = lm.train(docs, shard_chars=500)
+    assert len(model.levels[1].names) > 3
+    context, word = (x.ravel() for x in np.meshgrid(np.arange(model.words), np.arange(model.words)))
+    calls, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    node, weight = model.successors(2, context, word)
+    assert len(calls) == 1 and (node >= 0).any() and (node < 0).any()
+    one = [model.successors(2, context[i : i + 1], word[i : i + 1]) for i in range(0, len(context), 37)]
+    assert node[::37].tolist() == [int(n[0]) for n, _ in one] and weight[::37].tolist() == [float(w[0]) for _, w in one]
+
+
+@pytest.mark.parametrize("words", [[2**64 - 1] * 16, [0] * 15 + [1 << 63], [2**64 - 1] * 7 + [1] + [0] * 7 + [2**64 - 1], [0x8000000000000001] * 16])
+def test_places_of_bits(words):
+    high = np.array(words, np.uint64)
+    bits = np.unpackbits(high.view(np.uint8), bitorder="little")
+    ones = np.concatenate(([0], np.cumsum(bits.reshape(-1, 512).sum(axis=1))))
+    found = EliasFano({"low": np.zeros(1, np.uint64), "high": high, "ones": ones.astype(np.int64), "meta": np.array([int(bits.sum()), 0, 0], np.int64)})
+    for bit in (0, 1):
+        want = np.flatnonzero(bits == bit)
+        assert found._select(np.arange(len(want)), bit).tolist() == want.tolist()

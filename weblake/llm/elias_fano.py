@@ -63,6 +63,9 @@ def _joined(arrays: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate(arrays) if arrays else np.empty(0, kind)
 
 
+_ONE_8, _TOP_8, _ONE_16, _TOP_16 = _U(0x0101010101010101), _U(0x8080808080808080), _U(0x0001000100010001), _U(0x8000800080008000)
+
+
 class EliasFano:
     """Batched access and search over the arrays of ``encode``."""
 
@@ -78,16 +81,24 @@ class EliasFano:
         block = np.searchsorted(directory, k, side="right") - 1
         words = self.blocks[block]
         words = words if bit else ~words
-        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int16)
-        left = (k - directory[block]).astype(np.int16)
-        word = (upto <= left[:, None]).sum(axis=1)
+        left = k - directory[block]
+        # The sums of the words' bits, four to a number of 64 bits, and how many of them are not above what is left.
+        upto = np.bitwise_count(words).astype(np.uint16).view(_U) * _ONE_16
+        for i in range(1, upto.shape[1]):
+            upto[:, i] += (upto[:, i - 1] >> _U(48)) * _ONE_16
+        word = np.zeros(len(k), np.int64)
+        wanted = left.astype(_U) * _ONE_16 | _TOP_16
+        for i in range(upto.shape[1]):
+            word += np.bitwise_count((wanted - upto[:, i]) & _TOP_16)
         each = np.arange(len(k))
-        left -= np.where(word > 0, upto[each, word - 1], 0).astype(np.int16)
-        octets = words[each, word].view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int16)
-        octet = (upto <= left[:, None]).sum(axis=1)
-        left -= np.where(octet > 0, upto[each, octet - 1], 0).astype(np.int16)
-        return block * (64 * _BLOCK) + word * 64 + octet * 8 + _IN_BYTE[octets[each, octet], left]
+        left -= np.where(word > 0, upto.view(np.uint16)[each, word - 1], 0)
+        # The same with the bytes of the word.
+        bits = words[each, word]
+        upto = np.bitwise_count(bits.view(np.uint8)).view(_U) * _ONE_8
+        octet = np.bitwise_count(((left.astype(_U) * _ONE_8 | _TOP_8) - upto) & _TOP_8).astype(_U) << _U(3)
+        left -= ((upto << _U(8) >> octet) & _U(255)).astype(np.int64)
+        octet_bits = (bits >> octet) & _U(255)
+        return block * (64 * _BLOCK) + word * 64 + octet.astype(np.int64) + _IN_BYTE[octet_bits, left]
 
     def _next(self, place: np.ndarray, bit: int, k: np.ndarray) -> np.ndarray:
         """The place of the k-th bit of that kind, the first one from ``place`` on: most often in the next 64 bits."""

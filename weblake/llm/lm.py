@@ -131,7 +131,8 @@ class Model:
 
     def _by_shard(self, shard: np.ndarray):
         """(shard, indices) of runs of equal shards; the input need not be sorted."""
-        order = np.argsort(shard, kind="stable")
+        # Numbers of 16 bits are sorted digit by digit.
+        order = np.argsort(shard.astype(np.int16) if len(shard) and shard.max() < 2**15 else shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         for part in np.split(order, cuts):
             if len(part):
@@ -199,7 +200,9 @@ class Model:
             if s < 0:
                 continue
             keys, arrays = _sequence(self.folder, level.names[s], "key_"), map_arrays(self.folder, level.names[s])
-            own, place = np.unique(of[at], return_inverse=True)
+            # Pairs are sorted, so a context's are side by side.
+            begins = np.concatenate(([True], of[at[1:]] != of[at[:-1]]))
+            own, place = of[at[begins]], np.cumsum(begins) - 1
             low, high = begin[own] - level.bases[s], end[own] - level.bases[s]
             zero = np.zeros(len(own), np.uint64)
             later = np.flatnonzero(low > 0)
