@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -136,6 +137,68 @@ def test_cut_chains_equal_whole_chains(field):
         assert wild.spans(r[1].encode(), table, possible) == full_chain(wild, r[1].encode())
 
 
+def wild_field(field, seed: int):
+    """Weights at random, so that nearly every token is near the edge."""
+    return crf.Field(dict(field.names), np.random.default_rng(seed).normal(scale=0.6, size=field.weights.shape), np.random.default_rng(seed + 1).normal(size=(3, 3)))
+
+
+def test_texts_of_a_block_equal_texts_alone(field):
+    edges = ["", " \n", "=", "======= x9", "x9 =======", "token", 'auth: "q8Zt3LmX0vB7nRk2WcYd5HsJ"', "Größe9=ÄÖü8xY ======x9 =======x9", "a\nb9", "my_secret_key Ab9_"]
+    raw = [t.encode() for t in edges] + [(r[1] or "").encode() for r in secret_docs(9, 10)[:10]] + [t.encode() for t in edges[:4]]
+    for own in (field, wild_field(field, 11), crf.learn([])):
+        table = own.table()
+        possible = own.possible(table)
+        found = own.block_spans(raw, table, possible)
+        assert all(found.values())
+        for i, text in enumerate(raw):
+            assert found.get(i, []) == (full_chain(own, text) if text.strip() else []), text
+        # The features of every token are those that it has by itself.
+        text = b"\n".join(raw)
+        begins, ends, shapes = crf.tokenised(text)
+        starts = np.cumsum([0, *(len(t) + 1 for t in raw)])[:-1]
+        first = np.append(np.searchsorted(begins, starts), len(begins))
+        at = np.flatnonzero(~crf.PLAIN[shapes])
+        of = np.searchsorted(first, at, side="right") - 1
+        for i, t, ids in zip(at.tolist(), of.tolist(), own.around(text, begins, ends, crf._SIGNS[shapes], first, at, of).tolist()):
+            alone = crf.tokenised(raw[t])
+            assert ids == [own.names.get(n, len(own.weights)) for n in crf.neighbours(raw[t], *alone, i - int(first[t]))]
+
+
+def least_seconds(f) -> float:
+    taken = []
+    for _ in range(3):
+        begin = time.process_time()
+        f()
+        taken.append(time.process_time() - begin)
+    return min(taken)
+
+
+def test_a_loose_bound_costs_little(field):
+    """Where what was learned keeps no shape outside, tokens are still weighed together: at small multiples of splitting the text."""
+    rng = random.Random(12)
+    text = " ".join(rng.choices(["Straße", "Größe", "die", "Ouèantre", "x9", "und", "2024"], k=40_000)).encode()
+    table = field.table()
+    took = least_seconds(lambda: field.spans(text, table, np.ones(crf.SHAPES, bool)))
+    assert took < 25 * least_seconds(lambda: crf.tokenised(text))
+
+
+def test_many_spans_of_one_text(spark, field):
+    """Spans are dealt into a text's own by order: a text of many took time by the square of their number."""
+    text = "é9 " * 20_000 + SECRETS[0] + " é9" * 20_000
+    every = wild_field(field, 13)
+    every.weights[:] = 0
+    every.weights[crf._SHAPE_BASES[4] : crf._SHAPE_BASES[5], crf.BEGIN] = 1  # each token by itself
+    every.moves[:] = 0
+    begin = time.monotonic()
+    [row] = crf.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), every).collect()
+    assert time.monotonic() - begin < 20
+    base = plain_spans(text)
+    spans = [(s["kind"], s["begin"], s["end"]) for s in row["spans"]]
+    assert [s for s in spans if s[0] != "crf"] == base and [s[1] for s in spans] == sorted(s[1] for s in spans)
+    touched = lambda m: any(a < m.end() and m.start() < b for _, a, b in base)
+    assert [s for s in spans if s[0] == "crf"] == [("crf", m.start(), m.end()) for m in re.finditer(r"\w+|\S", text) if not touched(m)]
+
+
 def test_best_tags_are_the_best_of_all():
     rng = np.random.default_rng(4)
     for n in (1, 2, 5, 7):

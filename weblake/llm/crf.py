@@ -3,8 +3,9 @@
 Tokens are runs of letters, digits and underscores (all characters beyond ASCII count as letters), and single other signs.  The
 field tags each as the begin of a secret, inside one, or outside, from its shape (length, kinds of characters and how often they
 change, whether it stands close to its neighbours), the neighbouring words and signs, and figures of the whole text.  The best tags
-of a text are found by Viterbi's method.  Tokens whose shape alone makes them lose to "outside" whatever else they and their
-neighbours are, by a bound on all other weights, cut a text into short chains, which is exact and leaves few tokens to weigh in full.
+of a text are found by Viterbi's method.  Tokens that lose to "outside" whatever the tags beside them are cut a text into short
+chains, which is exact.  They are left out for a block of texts at once and in three steps, since what the first leaves hangs on the
+weights that were learned: by their shape and a bound on all other weights, then by the figures of their text, then by all weights.
 
 Learning takes at most about ``max_docs`` documents (an even share by hash) and of these at most ``max_windows`` windows of 40
 characters at either side of a fixed pattern's match, and as many around other tokens.  Each window is used as it is and with
@@ -24,6 +25,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -125,11 +127,20 @@ def shape_features(shapes: np.ndarray) -> np.ndarray:
     return np.stack([base + of(shapes) for base, (_, of) in zip(_SHAPE_BASES, _SHAPE_FEATURES)], axis=1)
 
 
+#: Features of the whole text, shares of signs and of tokens with digits, and size, with their numbers of values.
+_FIGURES = (("signs", 5), ("digits", 5), ("size", 6))
+
+
+def _figures(bytes_: np.ndarray, tokens: np.ndarray, signs: np.ndarray, digits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The figures of texts with so many bytes, tokens, signs, and tokens with digits."""
+    n = np.maximum(1, tokens)
+    return np.minimum(4, signs * 8 // n), np.minimum(4, digits * 20 // n), np.minimum(5, np.frexp(bytes_)[1] // 3)
+
+
 def figures(text: bytes, begins: np.ndarray, shapes: np.ndarray) -> tuple[str, str, str]:
-    """Features of the whole text: shares of signs and of tokens with digits, and size."""
-    n = max(1, len(begins))
-    masks = _mask(shapes)
-    return f"signs {min(4, int((masks >= 32).sum()) * 8 // n)}", f"digits {min(4, int(((masks < 32) & (masks & 1 > 0)).sum()) * 20 // n)}", f"size {min(5, len(text).bit_length() // 3)}"
+    """The names of a text's figures."""
+    found = _figures(*(np.array([n]) for n in (len(text), len(begins), np.count_nonzero(_SIGNS[shapes]), np.count_nonzero(_DIGITAL[shapes]))))
+    return tuple(f"{name} {int(x[0])}" for (name, _), x in zip(_FIGURES, found))
 
 
 def plain(shapes: np.ndarray) -> np.ndarray:
@@ -140,6 +151,11 @@ def plain(shapes: np.ndarray) -> np.ndarray:
 
 
 PLAIN = plain(np.arange(SHAPES))
+#: Shapes of signs, and of other tokens with digits.
+_SIGNS = _mask(np.arange(SHAPES)) >= 32
+_DIGITAL = ~_SIGNS & (_mask(np.arange(SHAPES)) & 1 > 0)
+#: So many signs are read before a token.
+_BEFORE = 6
 
 
 def neighbours(text: bytes, begins: np.ndarray, ends: np.ndarray, shapes: np.ndarray, i: int) -> list[str]:
@@ -147,16 +163,28 @@ def neighbours(text: bytes, begins: np.ndarray, ends: np.ndarray, shapes: np.nda
     if PLAIN[shapes[i]]:
         return []
     j, signs = i - 1, []
-    while j >= 0 and len(signs) < 6 and _mask(shapes[j]) >= 32:
+    while j >= 0 and len(signs) < _BEFORE and _mask(shapes[j]) >= 32:
         signs.append(chr(text[begins[j]]))
         j -= 1
-    word = text[begins[j] : ends[j]].lower()[:24].decode(errors="replace") if j >= 0 and _mask(shapes[j]) < 32 else ""
-    parts = {word, *word.split("_"), "_".join(word.split("_")[-2:])}
-    after = text[begins[i + 1] : ends[i + 1]].lower()[:12].decode(errors="replace") if i + 1 < len(begins) else ""
-    name = "credential" if parts & _CREDENTIALS else "other"
+    word = _word_before(text[begins[j] : ends[j]]) if j >= 0 and _mask(shapes[j]) < 32 else ""
+    after = _token_after(text[begins[i + 1] : ends[i + 1]]) if i + 1 < len(begins) else ""
+    name = _name(word)
     return [f"word {word}", f"name {name}", f"between {''.join(reversed(signs))}", f"name {name} {'sign' if signs else 'no sign'}", f"next {after}"]
 
 
+def _word_before(token: bytes) -> str:
+    return token.lower()[:24].decode(errors="replace")
+
+
+def _token_after(token: bytes) -> str:
+    return token.lower()[:12].decode(errors="replace")
+
+
+def _name(word: str) -> str:
+    parts = {word, *word.split("_"), "_".join(word.split("_")[-2:])}
+    return "credential" if parts & _CREDENTIALS else "other"
+
+
 _CREDENTIALS = frozenset(CREDENTIALS)
 _GROUPS = 5
 
@@ -176,20 +204,31 @@ class Field:
         """The weights of every shape."""
         return self.weights[shape_features(np.arange(SHAPES))].sum(axis=1)
 
-    def possible(self, table: np.ndarray) -> np.ndarray:
-        """Which shapes can be tagged at all: those that no bound on everything else keeps outside."""
-        groups: dict[str, np.ndarray] = {}
-        for name, i in self.names.items():
-            # Two features begin with "name" (with and without a sign): the bound takes both.
-            kind = name.split(" ")[0] + str(name.count(" ")) if name.startswith("name ") else name.split(" ")[0]
-            gain = np.maximum(0, self.weights[i, :2] - self.weights[i, OUTSIDE])
-            groups[kind] = np.maximum(groups.get(kind, 0), gain)
-        own = sum((g for k, g in groups.items() if k in ("signs", "digits", "size")), np.zeros(2))
-        around = sum((g for k, g in groups.items() if k not in ("signs", "digits", "size")), np.zeros(2))
+    def weight(self, name: str) -> np.ndarray:
+        return self.weights[at] if (at := self.names.get(name)) is not None else np.zeros(3)
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The most that BEGIN and INSIDE can gain over OUTSIDE by a text's figures, by what stands around, and by the moves."""
+        gain = lambda w: w[..., :2] - w[..., OUTSIDE:]
+        own = sum(gain(self.figure_weights(k)).max(axis=0) for k in range(len(_FIGURES)))
+        # A token has one name, with a sign or without.
+        around = np.max([gain(self.weight(f"name {n}") + self.weight(f"name {n} {s}")) for n in ("credential", "other") for s in ("sign", "no sign")], axis=0)
+        for kind in ("word ", "between ", "next "):
+            ids = [i for name, i in self.names.items() if name.startswith(kind)]
+            around = around + np.maximum(0, gain(self.weights[ids]).max(axis=0, initial=0))
         m = self.moves
         move = np.array([max(m[p, y] + m[y, n] - m[p, OUTSIDE] - m[OUTSIDE, n] for p in range(3) for n in range(3)) for y in (BEGIN, INSIDE)])
-        gain = table[:, :2] - table[:, OUTSIDE:] + own + move + np.where(PLAIN[:, None], 0, around)
-        return (gain >= -1e-6).any(axis=1)
+        return own, around, move
+
+    def figure_weights(self, k: int) -> np.ndarray:
+        """The weights of each value of a figure."""
+        name, n = _FIGURES[k]
+        return np.stack([self.weight(f"{name} {i}") for i in range(n)])
+
+    def possible(self, table: np.ndarray) -> np.ndarray:
+        """Which shapes can be tagged at all: those that no bound on everything else keeps outside."""
+        own, around, move = self.bounds()
+        return _can_gain(table, own + move + np.where(PLAIN[:, None], 0, around))
 
     def scores(self, text: bytes, begins: np.ndarray, ends: np.ndarray, shapes: np.ndarray, table: np.ndarray, own: np.ndarray, i: int) -> np.ndarray:
         out = table[shapes[i]] + own
@@ -203,34 +242,116 @@ class Field:
 
     def best(self, scores: list[np.ndarray]) -> list[int]:
         """The tags with the greatest sum of a chain with tokens outside at either end."""
-        held, back = self.moves[OUTSIDE] + scores[0], []
-        for s in scores[1:]:
-            each = held[:, None] + self.moves
-            back.append(each.argmax(axis=0))
-            held = each.max(axis=0) + s
-        tags = [int((held + self.moves[:, OUTSIDE]).argmax())]
+        # With three tags plain numbers are quicker than small arrays.
+        moves = self.moves.tolist()
+        (m00, m01, m02), (m10, m11, m12), (m20, m21, m22) = moves
+        rows = np.asarray(scores).tolist()
+        a, b, c = (m + s for m, s in zip(moves[OUTSIDE], rows[0]))
+        back = []
+        for s0, s1, s2 in rows[1:]:
+            x0, y0, z0, x1, y1, z1, x2, y2, z2 = a + m00, b + m10, c + m20, a + m01, b + m11, c + m21, a + m02, b + m12, c + m22
+            f0 = (0 if x0 >= z0 else 2) if x0 >= y0 else (1 if y0 >= z0 else 2)
+            f1 = (0 if x1 >= z1 else 2) if x1 >= y1 else (1 if y1 >= z1 else 2)
+            f2 = (0 if x2 >= z2 else 2) if x2 >= y2 else (1 if y2 >= z2 else 2)
+            a, b, c = (x0, y0, z0)[f0] + s0, (x1, y1, z1)[f1] + s1, (x2, y2, z2)[f2] + s2
+            back.append((f0, f1, f2))
+        last = (a + m02, b + m12, c + m22)
+        tags = [last.index(max(last))]
         for step in reversed(back):
-            tags.append(int(step[tags[-1]]))
+            tags.append(step[tags[-1]])
         return tags[::-1]
 
     def spans(self, text: bytes, table: np.ndarray, possible: np.ndarray) -> list[tuple[int, int]]:
         """(begin, end) of the secrets of a text, in bytes."""
+        return self.block_spans([text], table, possible).get(0, [])
+
+    def block_spans(self, raw: list[bytes], table: np.ndarray, possible: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """(begin, end) of the secrets of many texts, in bytes of each, by the numbers of those that have any."""
+        text = b"\n".join(raw)
         begins, ends, shapes = tokenised(text)
-        some = np.flatnonzero(possible[shapes])
-        if not len(some):
-            return []
-        own, out = self.own(figures(text, begins, shapes)), []
-        for chain in np.split(some, np.flatnonzero(np.diff(some) > 1) + 1):
-            tags = self.best([self.scores(text, begins, ends, shapes, table, own, int(i)) for i in chain])
-            inside = False
-            for i, tag in zip(chain.tolist(), tags):
-                if tag == BEGIN or (tag == INSIDE and not inside):
-                    out.append((int(begins[i]), int(ends[i])))
-                elif tag == INSIDE:
-                    out[-1] = (out[-1][0], int(ends[i]))
-                inside = tag != OUTSIDE
+        at = np.flatnonzero(possible[shapes]) if len(begins) else begins
+        if not len(at):
+            return {}
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        starts = np.cumsum(sizes + 1) - (sizes + 1)
+        first = np.append(np.searchsorted(begins, starts), len(begins))
+        of = np.searchsorted(first, at, side="right") - 1
+        _, around, move = self.bounds()
+        # By the figures of their texts.
+        sign = _SIGNS[shapes]
+        count = lambda x: np.diff(np.append(0, np.cumsum(x))[first])
+        own = np.zeros((len(raw), 3))
+        for k, values in enumerate(_figures(sizes, np.diff(first), count(sign), count(_DIGITAL[shapes]))):
+            own = own + self.figure_weights(k)[values]
+        scores = table[shapes[at]] + own[of]
+        odd = ~PLAIN[shapes[at]]
+        live = _can_gain(scores, move + np.where(odd[:, None], around, 0))
+        at, of, scores, odd = at[live], of[live], scores[live], odd[live]
+        # By what stands around them.
+        if odd.any():
+            some = scores[odd]
+            weights = np.concatenate((self.weights, np.zeros((1, 3))))
+            for ids in self.around(text, begins, ends, sign, first, at[odd], of[odd]).T:
+                some = some + weights[ids]
+            scores[odd] = some
+            live = _can_gain(scores, move)
+            at, of, scores = at[live], of[live], scores[live]
+        if not len(at):
+            return {}
+        fresh = np.append(True, (np.diff(at) > 1) | (np.diff(of) > 0))
+        heads = np.flatnonzero(fresh)
+        lengths = np.diff(np.append(heads, len(at)))
+        # Chains of one token all at once.
+        tags = ((self.moves[OUTSIDE] + scores) + self.moves[:, OUTSIDE]).argmax(axis=1)
+        for a, n in zip(heads[lengths > 1].tolist(), lengths[lengths > 1].tolist()):
+            tags[a : a + n] = self.best(scores[a : a + n])
+        held = np.flatnonzero(tags != OUTSIDE)
+        out: dict[int, list[tuple[int, int]]] = {}
+        before = -2
+        for i, t, tag, new, a, b in zip(held.tolist(), of[held].tolist(), tags[held].tolist(), fresh[held].tolist(), (begins[at[held]] - starts[of[held]]).tolist(), (ends[at[held]] - starts[of[held]]).tolist()):
+            found = out.setdefault(t, [])
+            if tag == BEGIN or new or before != i - 1:
+                found.append((a, b))
+            else:
+                found[-1] = (found[-1][0], b)
+            before = i
         return out
 
+    def around(self, text: bytes, begins: np.ndarray, ends: np.ndarray, sign: np.ndarray, first: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The numbers of the features that ``neighbours`` gives for tokens ``at`` of the texts ``of`` of a block, one past the last for
+        those that were not learned; ``sign`` tells which tokens are signs, and ``first`` which is the first of each text."""
+        none, low = len(self.weights), first[of]
+        word = np.maximum.accumulate(np.where(sign, -1, np.arange(len(sign))))
+        before = np.where(at > low, word[at - 1], -1)
+        before = np.where(before >= low, before, -1)
+        signs = np.minimum(_BEFORE, at - np.where(before >= 0, before + 1, low))
+        before = np.where(at - 1 - before <= _BEFORE, before, -1)
+        after = np.where(at + 1 < first[of + 1], at + 1, -1)
+        slices = lambda i: (np.where(i >= 0, begins[i], 0).tolist(), np.where(i >= 0, ends[i], 0).tolist())
+        get, characters = self.names.get, np.frombuffer(text, np.uint8)[begins].tobytes()
+        name = {(n, s): (get(f"name {n}", none), get(f"name {n} {'sign' if s else 'no sign'}", none)) for n in ("credential", "other") for s in (False, True)}
+        # A block repeats most of its words and signs.
+        words: dict[bytes, tuple[int, str]] = {}
+        betweens: dict[bytes, int] = {}
+        nexts: dict[bytes, int] = {}
+        rows = []
+        for i, n, a, b, c, d in zip(at.tolist(), signs.tolist(), *slices(before), *slices(after)):
+            w, s, x = text[a:b], characters[i - n : i], text[c:d]
+            if (found := words.get(w)) is None:
+                words[w] = found = (get(f"word {(read := _word_before(w))}", none), _name(read))
+            if (between := betweens.get(s)) is None:
+                betweens[s] = between = get(f"between {s.decode()}", none)
+            if (follows := nexts.get(x)) is None:
+                nexts[x] = follows = get(f"next {_token_after(x)}", none)
+            named, signed = name[found[1], n > 0]
+            rows.append((found[0], named, between, signed, follows))
+        return np.array(rows)
+
+
+def _can_gain(scores: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which tokens may be tagged, if all else gains ``most`` over OUTSIDE; a bit is left for the order of sums."""
+    return (scores[:, :2] - scores[:, OUTSIDE:] + most >= -1e-6).any(axis=1)
+
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
@@ -419,10 +540,9 @@ def find(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), tex
             raw = [(t or "").encode() for t in texts]
             hinted = {k: pc.fill_null(pc.match_substring_regex(column, h), False).to_pylist() for k, h in _HINTS.items()}
             spans = [base_spans(t, kinds) if t and (kinds := tuple(k for k in KINDS if hinted[k][i])) else [] for i, t in enumerate(texts)]
-            # Texts of a block are weighed at once as far as shapes go: most have no token that can be a secret.
             for a, b in blocks(map(len, raw)):
-                for i in _suspects(raw[a:b], possible):
-                    _add(texts[a + i], raw[a + i], field.spans(raw[a + i], table, possible), spans[a + i])
+                for i, found in field.block_spans(raw[a:b], table, possible).items():
+                    spans[a + i] = _added(texts[a + i], raw[a + i], found, spans[a + i])
             kept = [_redact(t, s) if s else t for t, s in zip(texts, spans)]
             found = pa.array([[{"kind": k, "begin": x, "end": y} for k, x, y in s] for s in spans], pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found, pa.array(kept, pa.string())], [*keep, "spans", "redacted"])
@@ -432,23 +552,16 @@ def find(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), tex
     return rows.mapInArrow(emit, f"{kinds}, spans array<struct<kind:string,begin:bigint,end:bigint>>, redacted string")
 
 
-def _suspects(raw: list[bytes], possible: np.ndarray) -> list[int]:
-    """Which texts have a token that can be a secret."""
-    begins, _, shapes = tokenised(b"\n".join(raw))
-    some = begins[possible[shapes]] if len(begins) else begins
-    edges = np.cumsum([len(t) + 1 for t in raw])
-    return np.unique(np.searchsorted(edges, some, side="right")).tolist()
-
-
-def _add(text: str, raw: bytes, found: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> None:
-    """Adds the field's spans to a text's, in code points, but those that touch one of the patterns."""
-    held = list(spans)
-    for a, b in found:
-        begin = a if len(text) == len(raw) else len(raw[:a].decode())
-        end = begin + (b - a if len(text) == len(raw) else len(raw[a:b].decode()))
-        if not any(s[1] < end and begin < s[2] for s in held):
-            at = bisect_left([(s[1], _ORDER[s[0]]) for s in spans], (begin, _ORDER[FOUND]))
-            spans.insert(at, (FOUND, begin, end))
+def _added(text: str, raw: bytes, found: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """A text's spans with the field's, in code points, but those that touch one of the patterns."""
+    places = np.array(found)
+    if len(text) != len(raw):
+        points = np.cumsum(np.append(0, (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
+        # The begin of a character is the number of those that begin before it.
+        places = points[places]
+    begins, furthest = [s[1] for s in spans], list(accumulate((s[2] for s in spans), max))
+    more = [(FOUND, a, b) for a, b in places.tolist() if not (n := bisect_left(begins, b)) or furthest[n - 1] <= a]
+    return sorted([*spans, *more], key=lambda s: (s[1], _ORDER[s[0]]))
 
 
 def _redact(text: str, spans: list[tuple[str, int, int]]) -> str:
